@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import mixing, pieces, quality, secrets, simhash
+from hashloom.llm import lm, media, mixing, pieces, quality, secrets, simhash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Weights of the mixture's tree.
@@ -46,8 +46,17 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), MODEL)
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.stored_texts(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op6_mixing, op7_sentencepiece)}
+    found = (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op6_mixing, op7_sentencepiece, op8_media_columns, op10_lm_scoring)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
