@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import lm, media, mixing, pieces, quality, secrets, simhash
+from hashloom.llm import lm, media, mixing, pieces, quality, secrets, simhash, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Weights of the mixture's tree.
@@ -50,12 +50,16 @@ def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.stored_texts(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op6_mixing, op7_sentencepiece, op8_media_columns, op10_lm_scoring)
+    found = (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring)
     return {f.__name__: f for f in found}
 
 
