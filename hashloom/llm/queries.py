@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import lm, media, mixing, pieces, quality, secrets, simhash, toxicity
+from hashloom.llm import html, lm, media, mixing, pieces, quality, secrets, simhash, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Weights of the mixture's tree.
@@ -37,6 +37,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), domain(), WEIGHTS)
     return mixed.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
@@ -59,7 +63,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring)
+    found = (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring)
     return {f.__name__: f for f in found}
 
 
