@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import html, lm, media, mixing, pieces, quality, secrets, simhash, toxicity
+from hashloom.llm import html, lm, media, mixing, pieces, quality, secrets, simhash, substrings, toxicity
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 # Weights of the mixture's tree.
@@ -32,6 +32,10 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -63,7 +67,7 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_secret_scans, op4_simhash_near_dedup, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring)
+    found = (op1_quality_rules, op2_secret_scans, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring)
     return {f.__name__: f for f in found}
 
 
