@@ -2,45 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Java character class of what separates words.
-SPACE = r"[\x20\x09-\x0D]+"
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables: a subfolder of spark.checkpoint.dir.
+from hashloom.plans.scratch import materialize, scratch_dir
 
-    Where that setting is absent, a temporary folder serves single-machine
-    sessions only; on a cluster the setting is required.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="hashloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}"
+__all__ = ["SPACE", "connected_components", "let", "materialize", "scratch_dir", "words_of"]
 
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage.
-
-    The files survive the loss of any executor. Nothing is dropped or reordered
-    that a DataFrame promises to keep.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Java character class of what separates words.
+SPACE = r"[\x20\x09-\x0D]+"
 
 
 def let(value: Column, body) -> Column:
