@@ -25,8 +25,10 @@ ALPHABETS = (
     ("base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
-#: Excess of a written word's index of coincidence over a uniform alphabet's (English letters: 26 * 0.0667 - 1).
-EXCESS = 0.73
+#: Index of coincidence of written words (English letters), whatever the alphabet they are read in.
+COINCIDENCE = 0.0667
+#: Least excess over a uniform alphabet that is taken for written (digits among sixteen: 16 / 10 - 1).
+LEAST_EXCESS = 0.6
 #: Strings are tested in classes of one encoding and one octave of length, up to this many octaves.
 OCTAVES = 24
 #: P-values are counted in steps of a tenth of a decade, down to 10 ** -30.
@@ -65,8 +67,9 @@ def _battery(token: Column) -> Column:
     random: none of three tests rejects uniform draws from the alphabet at one in a
     thousand (chi-squared of the counts, Wald-Wolfowitz runs about the alphabet's middle,
     lag-one serial correlation). p: the chance that a written word of this length looks
-    as even as the string does, from the chi-squared statistic's law with non-centrality
-    EXCESS a character; longer strings can reach smaller values.
+    as even as the string does, from the chi-squared statistic's law with the
+    non-centrality that COINCIDENCE gives a character in this alphabet; longer strings
+    and wider alphabets can reach smaller values.
     """
     encoding = F.coalesce(*[F.when(token.rlike(f"^[{a.replace('-', '')}{'-' * ('-' in a)}]+$"), F.lit(n)) for n, a in ALPHABETS])
     alphabet = F.coalesce(*[F.when(token.rlike(f"^[{a.replace('-', '')}{'-' * ('-' in a)}]+$"), F.lit(a)) for _, a in ALPHABETS])
@@ -93,7 +96,8 @@ def _battery(token: Column) -> Column:
         # Wilson and Hilferty: the cube root of chi-squared over its degrees is nearly normal
         d = k - 1
         uneven = (F.pow(v["chi"] / d, F.lit(1 / 3)) - (1 - 2 / (9 * d))) / F.sqrt(2 / (9 * d))
-        written = (v["chi"] - (d + EXCESS * n)) / F.sqrt(2 * d + 4 * EXCESS * n)
+        excess = F.greatest(k * COINCIDENCE - 1, F.lit(LEAST_EXCESS)) * n
+        written = (v["chi"] - (d + excess)) / F.sqrt(2 * d + 4 * excess)
         return F.struct(v["e"].alias("encoding"), _normal(written).alias("p"),
                         ((F.abs(serial) < 3.29) & (F.abs(runs) < 3.29) & (F.abs(uneven) < 3.29)).alias("random"))
 
@@ -188,9 +192,9 @@ def redact(text: Column, found: Column, mark: str = "[SECRET]") -> Column:
 
 def redact_secrets(docs: DataFrame, rate: float = 0.01) -> DataFrame:
     """``docs`` (all columns) with secrets in its text redacted, and n_chars, if there, counted anew."""
-    scanned = materialize(scan(docs.withColumn("_text", F.col("text")), "text").withColumnRenamed("_text", "text"), "scanned-docs")
-    out = apply_rate(scanned, rate)
-    text = redact(F.col("text"), F.col("found"))
+    scanned = materialize(scan(docs.select(F.struct(*docs.columns).alias("row"), "text")), "scanned-docs")
+    out, text = apply_rate(scanned, rate), redact(F.col("row.text"), F.col("found"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("found") > 0, F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.withColumn("text", text).select(*docs.columns)
+        new["n_chars"] = F.when(F.size("found") > 0, F.length(text)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
