@@ -225,7 +225,8 @@ def _signs(rows: DataFrame, machine: Machine, carried: list[str]) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[Machine, list[float]]:
     """(machine, coefficients) from the labelled rows that are not held out, ``rows`` of them at most.
 
-    Words count once for each pair of neighbours, so that copies of a text weigh as one.
+    Words of three letters or digits and more count, stripped of other marks, once for
+    each pair of neighbours, so that copies of a text weigh as one.
     A word is a bad example if it has three such places in toxic texts and none in
     others, a good one if it has a place in another text. Two thirds of the rows teach
     words, the others how margins turn into chances.
@@ -238,8 +239,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tupl
         for batch in batches:
             seen = set()
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = ["", *units(text), ""]
-                seen.update((w, crc32(f"{a} {c}".encode()), toxic) for a, w, c in zip(words, words[1:], words[2:]))
+                words = ["", *("".join(filter(str.isalnum, u)) for u in units(text)), ""]
+                seen.update((w, crc32(f"{a} {c}".encode()), toxic) for a, w, c in zip(words, words[1:], words[2:]) if len(w) > 2)
             if seen:
                 columns = [pa.array(c, t) for c, t in zip(zip(*seen), (pa.string(), pa.int64(), pa.int32()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["word", "place", "toxic"])
