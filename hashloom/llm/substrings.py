@@ -4,8 +4,10 @@ Every string of LENGTH bytes has one anchor, the least-hashed K-byte string in i
 first of equals), so equal strings have equal anchors at equal places. Strings that
 follow one another and share an anchor form a stretch; most repeated text consists of
 equal stretches, which a document's bytes give in about one of fifteen places. Stretches
-are matched by hash across documents. Where one anchor has different stretches, the
-suffixes of these, and only these, are sorted.
+are matched by hash across documents. Different stretches of one anchor can share a
+string only if they agree on the bytes before the anchor or on those after it, half of
+what a string has besides; where they do, the suffixes of these, and only these, are
+sorted.
 """
 
 from __future__ import annotations
@@ -22,17 +24,21 @@ from pyspark.sql import functions as F
 from hashloom.llm.common import materialize
 
 LENGTH, K = 50, 20
+#: Bytes beside the anchor, before or after, that each string must have.
+SIDE = (LENGTH - K) // 2
 #: Text bytes for each bucket of anchors, and for each group of documents that is read back.
 BUCKET_BYTES = 12 << 20
 #: Text that is hashed at a time, and longest piece of a document.
 CHUNK = 1 << 20
 #: Entries held before a task sends them off.
-HELD = 600_000
+HELD = 1_200_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTER = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64)
 NEVER = (1 << 63) - 1
+#: A stretch's hash is its lower 48 bits; the upper ones tell the bytes before and after the anchor.
+STRETCH = _U((1 << 48) - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +65,10 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc, order, low, high, anchor, stretch) of all stretches: window starts low to high, and two hashes."""
+    """(doc, order, low, high, anchor, stretch) of all stretches: window starts low to high, and two hashes.
+
+    Anchors are told by 48 bits, stretches by 48 bits and 8 for either side of the anchor.
+    """
     parts, held, size = [], [], 0
     counts = [0] * len(texts)
 
@@ -87,6 +96,14 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
         firsts = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(piece, prepend=-1) != 0))
         lasts = np.append(firsts[1:], len(at)) - 1
         low, high, at, piece = start[firsts], start[lasts], at[firsts], piece[firsts]
+        begin = (ends - sizes)[piece]
+
+        def side(i: np.ndarray, fits: np.ndarray) -> np.ndarray:
+            """8 bits of the SIDE bytes from i on, 0 where the text does not reach so far."""
+            i = np.where(fits, i, 0)
+            return np.where(fits, _mix((prefix[i + SIDE] - prefix[i]) * inverse[i]) % _U(255) + _U(1), _U(0))
+
+        sides = side(at - SIDE, at - SIDE >= begin) << _U(48) | side(at + K, at + K + SIDE <= ends[piece]) << _U(56)
         whole = _mix((prefix[high + LENGTH] - prefix[low]) * inverse[low] ^ _mix((high - low).astype(_U) + _U(77)))
         doc, base = np.array([d for d, _, _ in held])[piece], np.array([b for _, b, _ in held])[piece]
         shift = np.concatenate([[0], np.cumsum(sizes)[:-1]])[piece]
@@ -95,7 +112,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             a, b = np.searchsorted(doc, [d, d + 1])
             order[a:b] = counts[d] + np.arange(b - a)
             counts[d] += int(b - a)
-        parts.append((doc, order, low - shift + base, high - shift + base, grams[at], whole))
+        parts.append((doc, order, low - shift + base, high - shift + base, grams[at] >> _U(16), whole & STRETCH | sides))
         held, size = [], 0
 
     for d, text in enumerate(texts):
@@ -137,7 +154,7 @@ def _packed(key: np.ndarray, kind: int, doc: np.ndarray, row: np.ndarray, place:
         names, back = np.unique(np.stack([doc[a:b], row[a:b]]), axis=1, return_inverse=True)
         gaps = np.diff(anchor[a:b], prepend=_U(0))
         rows.append((int(key[a]), kind, names.tobytes(), _planes(back.ravel().astype(_U), 3), _planes(place[a:b].astype(_U), 4),
-                     _planes(gaps) if kind == 0 else b"", _planes(stretch[a:b], 6 if kind == 0 else 1)))
+                     _planes(gaps) if kind == 0 else b"", _planes(stretch[a:b], 8 if kind == 0 else 1)))
     return rows
 
 
@@ -148,7 +165,7 @@ def _unpacked(rows: list[dict]) -> tuple[np.ndarray, ...]:
         names = np.frombuffer(r["doc"], np.int64).reshape(2, -1)
         back = _plain(r["row"], 3).astype(np.int64)
         anchor = np.cumsum(_plain(r["anchor"]), dtype=_U) if r["kind"] == 0 else np.zeros(len(back), _U)
-        out.append((names[0][back], names[1][back], _plain(r["place"], 4).astype(np.int64), anchor, _plain(r["stretch"], 6 if r["kind"] == 0 else 1)))
+        out.append((names[0][back], names[1][back], _plain(r["place"], 4).astype(np.int64), anchor, _plain(r["stretch"], 8 if r["kind"] == 0 else 1)))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, _U, _U))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -169,10 +186,9 @@ def _ask(buckets: int):
 
         def out() -> pa.RecordBatch:
             doc, row, place, anchor, stretch = (np.concatenate(c) for c in zip(*held))
-            stretch &= _U((1 << 48) - 1)
-            order = np.lexsort((doc, stretch, anchor))
+            order = np.lexsort((doc, stretch & STRETCH, anchor))
             doc, row, place, anchor, stretch = (x[order] for x in (doc, row, place, anchor, stretch))
-            fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (stretch[1:] != stretch[:-1])])
+            fresh = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | ((stretch[1:] ^ stretch[:-1]) & STRETCH != 0)])
             first = doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
             known = doc > first  # a smaller document of this very batch has it
             rows = []
@@ -200,23 +216,29 @@ def _ask(buckets: int):
 
 
 def _answer(buckets: int):
-    """Of a bucket's stretches: those of later documents (REMOVED), and those whose anchor has other ones too (OPEN)."""
+    """Of a bucket's stretches: those of later documents (REMOVED), and those that others of their anchor may share a string with (OPEN)."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         ready = [tuple(r[n] for n in NAMES) for r in rows if r["kind"] == 1]
         doc, row, place, anchor, stretch = _unpacked([r for r in rows if r["kind"] == 0])
         if len(doc):
-            order = np.lexsort((doc, stretch, anchor))
+            order = np.lexsort((doc, stretch & STRETCH, anchor))
             doc, row, place, anchor, stretch = (x[order] for x in (doc, row, place, anchor, stretch))
             group = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-            fresh = group | np.concatenate([[True], stretch[1:] != stretch[:-1]])
+            fresh = group | np.concatenate([[True], (stretch[1:] ^ stretch[:-1]) & STRETCH != 0])
             at = np.flatnonzero(fresh)
             first = doc[at]  # the least document of each different stretch
             of = np.cumsum(group)[at] - 1
-            starts = np.flatnonzero(np.diff(of, prepend=-1))
-            differ = np.minimum.reduceat(first, starts) < np.maximum.reduceat(first, starts)
+            alike = np.zeros(len(at), bool)
+            for shift in (48, 56):  # stretches of one anchor and one side, of different documents
+                side = (stretch[at] >> _U(shift)) & _U(255)
+                turn = np.lexsort((side, of))
+                starts = np.flatnonzero(np.concatenate([[True], (of[turn][1:] != of[turn][:-1]) | (side[turn][1:] != side[turn][:-1])]))
+                differ = np.minimum.reduceat(first[turn], starts) < np.maximum.reduceat(first[turn], starts)
+                sizes = np.diff(np.append(starts, len(turn)))
+                alike[turn] |= np.repeat(differ, sizes) & (side[turn] > 0)
             kind = np.cumsum(fresh) - 1
-            code = np.where(doc > first[kind], REMOVED, np.where(differ[of[kind]], OPEN, 0))
+            code = np.where(doc > first[kind], REMOVED, np.where(alike[kind], OPEN, 0))
             k = code > 0
             if k.any():
                 ready += _packed(row[k] % buckets, 1, doc[k], row[k], place[k], anchor[k], code[k].astype(_U))
@@ -428,8 +450,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     string which also starts in a document of smaller doc_id; strings are judged on the
     input, and never cross documents. Rows of one doc_id do not remove from each other.
     Null doc_ids count as larger than all others, and as equal. Removal by equal
-    stretches rests on an anchor's equal bytes hash and 48 further hash bits; open
-    stretches are verified byte by byte.
+    stretches rests on 48 hash bits of the anchor and 48 of the stretch; open stretches
+    are verified byte by byte.
     """
     key = docs.schema["doc_id"].dataType
     base = docs.select(
