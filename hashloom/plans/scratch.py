@@ -24,15 +24,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}"
 
 
+#: Whether a query's shuffle files go when it ends, instead of when the driver next collects its garbage.
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage.
 
-    The files survive the loss of any executor.
+    The files survive the loss of any executor, so the shuffles that made them are
+    released at once.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    before = spark.conf.get(SHUFFLES_GO, "false")
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_GO, before)
     return spark.read.schema(df.schema).parquet(path)
