@@ -460,7 +460,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // bucket_bytes + 1)
     asked = base.select("doc", "row", "text").mapInArrow(_ask(buckets), ROWS)
-    answered = asked.groupBy("key").applyInArrow(_answer(buckets), ROWS)
+    answered = materialize(asked.groupBy("key").applyInArrow(_answer(buckets), ROWS), "answers")
     keyed = base.withColumn("key", F.col("row") % buckets)
     parts = materialize(keyed.groupBy("key").cogroup(answered.groupBy("key")).applyInArrow(_apply(buckets), PARTS), "substrings", partition_by="part")
     wait, opened = parts.where(F.col("part") == WAITING), parts.where(F.col("part") == SUFFIXES)
