@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 from zlib import crc32
 
 import numpy as np
@@ -15,20 +16,22 @@ from hashloom.llm.common import materialize
 
 #: The token at the end of a text; no word is empty.
 END = b""
-#: Bits of the whole filter: what is broadcast is never larger than this (64 MB).
-FILTER_BITS = 1 << 29
-#: Filter bits for each stored level, at least.
-BITS_PER_KEY = 8
+#: Filter bits for each stored level.
+BITS_PER_KEY = 16
 PROBES = 4
-#: Level j stands for counts from 2 * STEP ** (j - 1) up.
+#: Level 1 stands for a single count, level j for counts from 2 * STEP ** (j - 2) up.
 STEP = 1.3
 LEVELS = 96
 #: Absolute discount of seen pairs.
 DISCOUNT = 0.75
+#: Steps of a whole in which contexts' masses are stored: the least mass, 1 - DISCOUNT, is one.
+MASS_STEPS = 4
 #: Words whose exact counts are broadcast, at most; the others' are joined.
 TOP_WORDS = 300_000
 #: Training tokens whose pairs one bucket counts, and tokens whose pairs a task holds before it sends them off.
 BUCKET_TOKENS = 1 << 21
+#: Tokens whose different words and pairs are looked up together.
+CHUNK_TOKENS = 1 << 20
 #: Different words that a task holds before it sends their counts off.
 HELD_WORDS = 250_000
 
@@ -55,14 +58,15 @@ def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    return np.clip(np.floor(np.log(np.maximum(counts, 2) / 2) / np.log(STEP) + 1e-9).astype(np.int64) + 1, 1, LEVELS)
+    level = np.floor(np.log(np.maximum(counts, 2) / 2) / np.log(STEP) + 1e-9).astype(np.int64) + 2
+    return np.where(counts < 2, 1, np.minimum(level, LEVELS))
 
 
 def counts_of() -> np.ndarray:
-    """The count that each level stands for (index 0: not stored)."""
-    edge = 2 * STEP ** np.arange(LEVELS + 1)
+    """The count that each level stands for (index 0: not stored, unseen)."""
+    edge = 2 * STEP ** np.arange(LEVELS)
     low, high = np.ceil(edge[:-1] - 1e-9), np.maximum(np.ceil(edge[1:] - 1e-9) - 1, np.ceil(edge[:-1] - 1e-9))
-    return np.concatenate([[0.5], np.sqrt(low * high)])
+    return np.concatenate([[0.0, 1.0], np.sqrt(low * high)])
 
 
 def word_key(ids: np.ndarray) -> np.ndarray:
@@ -87,11 +91,16 @@ class Filter:
         h = _mix(keys + _U(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         return (keys % _U(self.buckets)) * _U(self.bits), h, (h >> _U(32)) | _U(1)
 
-    def add(self, keys: np.ndarray, level: int) -> None:
-        base, h, step = self._start(keys, level)
-        for i in range(PROBES):
-            at = base + (h + _U(i) * step) % _U(self.bits)
-            np.bitwise_or.at(self.data, (at >> _U(3)).astype(np.int64), np.left_shift(1, (at & _U(7)).astype(np.uint8)).astype(np.uint8))
+    @classmethod
+    def of(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> Filter:
+        """One bucket that holds each key at its level and at all levels below."""
+        self, flags = cls(1, bits, np.zeros(0, np.uint8)), np.zeros(bits, bool)
+        for level in range(1, int(levels.max(initial=0)) + 1):
+            base, h, step = self._start(keys[levels >= level], level)
+            for i in range(PROBES):
+                flags[((h + _U(i) * step) % _U(bits)).astype(np.int64)] = True
+        self.data = np.packbits(flags, bitorder="little")
+        return self
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Each key's stored level: probes go up level by level until the first that is missing."""
@@ -189,26 +198,24 @@ def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys[firsts], np.add.reduceat(counts, firsts)
 
 
-def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bits: int = FILTER_BITS) -> Filter:
-    """The filter of words, pairs and contexts that were seen at least twice.
+def buckets_of(total: int) -> int:
+    """Buckets for a corpus of so many tokens."""
+    return max(8, min(total // BUCKET_TOKENS + 1, 1 << 20))
 
-    counts: ``word_counts`` of ``train``, total: their sum. Pairs are counted exactly, in
-    buckets by hash whose number follows the corpus. A context's entry is the discounted
-    count of all its stored pairs. If a bucket's entries would leave fewer than
-    BITS_PER_KEY bits for each stored level, its least counts go unstored, lowest first:
-    that is the size bound of what is broadcast.
-    """
-    buckets = max(8, min(total // BUCKET_TOKENS + 1, 1 << 20))
-    bits = filter_bits // buckets // 8 * 8
 
-    def often(table: pa.Table) -> pa.Table:
+def entries_of(train: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
+    """Packed rows of every word, pair and context of the training texts, by bucket.
+
+    counts: ``word_counts`` of ``train``. Pairs are counted exactly, in buckets by hash. A
+    context's entry is the discounted count of all its pairs, in steps of 1 / MASS_STEPS.
+    """
+    def summed(table: pa.Table) -> pa.Table:
         pairs, n = _summed(table)
-        keep = n >= 2
         return pa.Table.from_arrays([
-            pa.array([table["bucket"][0].as_py()]), pa.array([0], pa.int32()), pa.array([pack(pairs[keep])], pa.binary()),
-            pa.array([n[keep].astype(np.float32).tobytes()], pa.binary())], names=["bucket", "kind", "keys", "counts"])
+            pa.array([table["bucket"][0].as_py()]), pa.array([0], pa.int32()), pa.array([pack(pairs)], pa.binary()),
+            pa.array([n.astype(np.float32).tobytes()], pa.binary())], names=["bucket", "kind", "keys", "counts"])
 
-    pairs = materialize(_pairs(train, buckets).groupBy("bucket").applyInArrow(often, PACKED), "pairs")
+    pairs = materialize(_pairs(train, buckets).groupBy("bucket").applyInArrow(summed, PACKED), "pairs")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +224,7 @@ def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bits: i
                 if len(first):
                     at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
                     sums = np.add.reduceat(np.frombuffer(n, np.float32).astype(np.float64) - DISCOUNT, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(first[at].astype(np.int64)), pa.array(sums)], names=["id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(first[at].astype(np.int64)), pa.array(sums * MASS_STEPS)], names=["id", "n"])
 
     def packed(kind: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,76 +237,80 @@ def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bits: i
         return run
 
     masses = pairs.select("keys", "counts").mapInArrow(contexts, "id bigint, n double").groupBy("id").agg(F.sum("n").alias("n"))
-    entries = pairs.union(counts.where("n > 1").select("word", "n").mapInArrow(packed(1), PACKED)).union(masses.mapInArrow(packed(2), PACKED))
+    return pairs.union(counts.select("word", "n").mapInArrow(packed(1), PACKED)).union(masses.mapInArrow(packed(2), PACKED))
+
+
+def _built(table: pa.Table, most: int | None) -> Filter:
+    """The filter of one bucket's entries: BITS_PER_KEY for each level, or ``most`` bits, which leave the least counts out."""
+    keys, levels = [], []
+    for kind, k, c in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist()):
+        values = unpack(k)
+        keys.append(pair_key(values) if kind == 0 else values)
+        levels.append(level_of(np.frombuffer(c, np.float32).astype(np.float64)))
+    keys, levels = np.concatenate(keys), np.concatenate(levels)
+    if most is None:
+        return Filter.of(keys, levels, max(int(levels.sum()) * BITS_PER_KEY // 8 * 8, 64))
+    sums = np.cumsum(np.bincount(levels, minlength=LEVELS + 1)[::-1] * np.arange(LEVELS, -1, -1))[::-1]  # of levels from here up
+    keep = levels >= int(np.argmax(sums <= most // BITS_PER_KEY))
+    return Filter.of(keys[keep], levels[keep], most)
+
+
+def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bits: int) -> Filter:
+    """A filter of ``filter_bits`` bits on the driver, for a model that small; scoring itself has no such bound.
+
+    If a bucket's entries would leave fewer than BITS_PER_KEY bits for each stored
+    level, its least counts go unstored, lowest first. total: the sum of ``counts``.
+    """
+    buckets = buckets_of(total)
+    bits = filter_bits // buckets // 8 * 8
 
     def built(table: pa.Table) -> pa.Table:
-        keys, levels = [], []
-        for kind, k, c in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist()):
-            values = unpack(k)
-            keys.append(pair_key(values) if kind == 0 else values)
-            levels.append(level_of(np.frombuffer(c, np.float32).astype(np.float64)))
-        keys, levels = np.concatenate(keys), np.concatenate(levels)
-        sums = np.cumsum(np.bincount(levels, minlength=LEVELS + 1)[::-1] * np.arange(LEVELS, -1, -1))[::-1]  # of levels from here up
-        floor = int(np.argmax(sums <= bits // BITS_PER_KEY))
-        keys, levels = keys[levels >= floor], levels[levels >= floor]
-        part = Filter(1, bits, np.zeros(bits // 8, np.uint8))
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            part.add(keys[levels >= level], level)
-        return pa.Table.from_arrays([pa.array([table["bucket"][0].as_py()]), pa.array([part.data.tobytes()], pa.binary())], names=["bucket", "data"])
+        return pa.Table.from_arrays([pa.array([table["bucket"][0].as_py()]), pa.array([_built(table, bits).data.tobytes()], pa.binary())], names=["bucket", "data"])
 
     data = np.zeros(buckets * bits // 8, np.uint8)
-    for row in entries.groupBy("bucket").applyInArrow(built, "bucket bigint, data binary").toLocalIterator():
+    for row in entries_of(train, counts, buckets).groupBy("bucket").applyInArrow(built, "bucket bigint, data binary").toLocalIterator():
         data[row["bucket"] * bits // 8:(row["bucket"] + 1) * bits // 8] = np.frombuffer(row["data"], np.uint8)
     return Filter(buckets, bits, data)
 
 
-class Scorer:
-    """Scores texts; keeps what it has looked up about words, up to a bound."""
+def _planes(x: np.ndarray) -> bytes:
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
 
-    def __init__(self, found: Filter, top: dict[bytes, int], total: int, distinct: int):
-        self.filter, self.top, self.counts = found, top, counts_of()
-        self.all = total + 0.5 * (distinct + 1)
-        self.at: dict[bytes, int] = {}
-        self._clear()
+class Chunk:
+    """Texts whose words and pairs are looked up together.
 
-    def _clear(self) -> None:
-        self.at.clear()
+    asks: keys of the different pairs, words and contexts, by bucket and ascending in it;
+    the levels that come back are in the same order. The chunk keeps, with pairs numbered
+    in that order, each token's pair, each pair's second word, and the order's places of
+    words and contexts. Word 0 is END.
+    """
+
+    def __init__(self, top: dict[bytes, int]):
+        self.top, self.index = top, defaultdict(count().__next__, {})
         self.names: list[bytes] = []
-        self.id, self.exact = np.zeros(0, _U), np.zeros(0, np.int64)
-        self.n, self.mass = np.zeros(0), np.zeros(0)
-
-    def _learn(self, words: list[bytes]) -> None:
-        fresh = sorted(set(words) - self.at.keys())
-        if not fresh:
-            return
-        if len(self.at) + len(fresh) > 400_000 and self.at:
-            self._clear()
-            fresh = sorted(set(words))
-        self.at.update(zip(fresh, range(len(self.names), len(self.names) + len(fresh))))
-        self.names += fresh
-        ids = np.fromiter(map(crc32, fresh), _U, len(fresh))
-        n = self.counts[self.filter.levels(word_key(ids))]
-        level = self.filter.levels(context_key(ids))
-        mass = np.where(level > 0, np.minimum(self.counts[level] / np.maximum(n, 1), 0.95), 0.0)
-        exact = np.fromiter((self.top.get(w, -1) for w in fresh), np.int64, len(fresh))
-        self.id, self.exact = np.append(self.id, ids), np.append(self.exact, exact)
-        self.n, self.mass = np.append(self.n, n), np.append(self.mass, mass)
-
-    def score(self, texts: list[bytes | None]):
-        """Of each text: tokens, known among top words, their log sum, the model's score, and (word, n) of other words."""
+        self.exact = np.zeros(0, np.int64)
+        self.rows, self.sizes, self.at, self.n = [], [], [], 0
+        self.index[END]
+
+    def add(self, rows: np.ndarray, texts: list[bytes | None]):
+        """Of each text: tokens, known among top words, their log sum, and (word, n) of other words."""
         lists = [tokens(t) for t in texts]
         flat = [w for words in lists for w in words]
-        self._learn([*flat, END])
-        get = self.at.__getitem__
-        at = np.fromiter(map(get, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        fresh = list(islice(self.index, len(self.names), None))
+        self.names += fresh
+        self.exact = np.append(self.exact, np.fromiter((self.top.get(w, -1) for w in fresh), np.int64, len(fresh)))
         sizes = np.array([len(x) for x in lists])
         firsts = np.cumsum(sizes) - sizes
-        before = np.concatenate([[0], at[:-1]])
-        before[firsts] = get(END)
-        level = self.filter.levels(pair_key((self.id[before] << _U(32)) | self.id[at]))
-        seen = np.where(level > 0, np.maximum(self.counts[level] - DISCOUNT, 0) / np.maximum(self.n[before], 2), 0.0)
-        single = (self.n[at] + 0.5) / self.all
-        score = np.add.reduceat(np.log10(np.minimum(seen, self.mass[before]) + (1 - self.mass[before]) * single), firsts)
+        self.rows.append(rows)
+        self.sizes.append(sizes)
+        self.at.append(at.astype(np.int32))
+        self.n += len(at)
         c = self.exact[at]
         known = np.add.reduceat((c > 0).astype(np.int64), firsts)
         logs = np.add.reduceat(np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0), firsts)
@@ -307,7 +318,48 @@ class Scorer:
         other, n = np.unique((row.astype(np.int64) << 32) | at[c < 0], return_counts=True)
         ends = np.searchsorted(other >> 32, np.arange(len(texts) + 1)).astype(np.int32)
         words = pa.array([self.names[i] for i in (other & 0xFFFFFFFF).tolist()], pa.binary())
-        return sizes, known, logs, score, ends, words, n
+        return sizes, known, logs, ends, words, n
+
+    def close(self, buckets: int) -> tuple[dict[str, bytes], list[tuple[int, bytes]]]:
+        """The chunk's own columns, and (bucket, packed keys) of what it asks."""
+        rows, sizes, at = np.concatenate(self.rows), np.concatenate(self.sizes), np.concatenate(self.at).astype(np.int64)
+        before = np.concatenate([[0], at[:-1]])
+        before[np.cumsum(sizes) - sizes] = 0
+        pairs, place = np.unique((before << 32) | at, return_inverse=True)
+        ids = np.fromiter(map(crc32, self.names), _U, len(self.names))
+        second = pairs & 0xFFFFFFFF
+        keys = np.concatenate([pair_key((ids[pairs >> 32] << _U(32)) | ids[second]), word_key(ids), context_key(ids)])
+        bucket = (keys % _U(buckets)).astype(np.int64)
+        order = np.lexsort((keys, bucket))
+        position = np.empty(len(keys), np.int64)
+        position[order] = np.arange(len(keys))
+        mine = order[order < len(pairs)]
+        number = np.empty(len(pairs), np.int64)
+        number[mine] = np.arange(len(pairs))
+        keys, bucket = keys[order], bucket[order]
+        firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
+        asks = [(int(bucket[a]), pack(keys[a:b])) for a, b in zip(firsts, np.append(firsts[1:], len(keys)))]
+        return {"rows": rows.astype(np.int64).tobytes(), "sizes": _planes(sizes), "place": _planes(number[place]), "second": _planes(second[mine]),
+                "others": _planes(position[len(pairs):])}, asks
+
+
+def score_chunk(chunk: dict[str, bytes], levels: np.ndarray, every: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) of a chunk, ``levels`` in the order of what it asked."""
+    rows, sizes = np.frombuffer(chunk["rows"], np.int64), _from_planes(chunk["sizes"])
+    place, second, others = (_from_planes(chunk[k]) for k in ("place", "second", "others"))
+    counts, firsts = counts_of(), np.cumsum(sizes) - sizes
+    of_pair = np.ones(len(levels), bool)
+    of_pair[others] = False
+    words, contexts = levels[others[:len(others) // 2]], levels[others[len(others) // 2:]]
+    n, pair = counts[words], counts[levels[of_pair]]
+    mass = np.minimum(counts[contexts] / MASS_STEPS / np.maximum(n, 1), 0.95)
+    before = np.concatenate([[0], second[place[:-1]]])
+    before[firsts] = 0
+    first = np.zeros(len(second), np.int64)
+    first[place] = before
+    seen = np.maximum(pair - DISCOUNT, 0) / np.maximum(n[first], 1)
+    logs = np.log10(np.minimum(seen, mass[first]) + (1 - mass[first]) * (n[second] + 0.5) / every)
+    return rows, np.add.reduceat(logs[place], firsts)
 
 
 def held_out(key: Column) -> Column:
@@ -315,7 +367,7 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, top_words: int = TOP_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, filter_bits: int | None = None, top_words: int = TOP_WORDS) -> DataFrame:
     """Model and base scores of every row of ``docs`` (doc_id, text, others ignored).
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Training rows
@@ -326,6 +378,12 @@ def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, top_words: int
     P(w|v) = (c(vw) - d) / c(v) + (1 - m(v)) (c(w) + 0.5) / (N + 0.5 (V + 1)), m(v) the
     share of v's count that its stored pairs hold after discount. Without training rows
     counts are zero. Repeated rows each get a row.
+
+    The filter grows with the corpus and holds every count, single ones too: it lies in
+    buckets by hash, each built by the task that answers for it, and the texts'
+    different words and pairs go to their buckets. Nothing of it is broadcast or
+    reaches the driver. A bound that the caller gives (``filter_bits``, of all buckets
+    together) leaves the least counts unstored.
     """
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     train = rows.where(~held_out(F.col("doc_id"))).select("text")
@@ -339,36 +397,81 @@ def score_texts(docs: DataFrame, filter_bits: int = FILTER_BITS, top_words: int
             break
         least = r["least"]
     top = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()} if least is not None else {}
-    sc = docs.sparkSession.sparkContext
-    found = build_filter(train, counts, total, filter_bits)
-    shared = sc.broadcast((found.buckets, found.bits, found.data.tobytes(), top))
+    buckets, every = buckets_of(total), total + 0.5 * (distinct + 1)
+    most = None if filter_bits is None else filter_bits // buckets // 8 * 8
+    shared = docs.sparkSession.sparkContext.broadcast(top)
+    key = docs.schema["doc_id"].dataType.simpleString()
+    own = ("rows", "sizes", "place", "second", "others")
+    # a row of a text, of a chunk (row: its first text's), or of what a chunk asks of a bucket
+    parts = {"row": "bigint", "doc_id": key, "n_tokens": "bigint", "known": "bigint", "logs": "double", "rare": "array<struct<word:binary,k:bigint>>",
+             "bucket": "bigint", "keys": "binary"} | dict.fromkeys(own, "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, bits, data, best = shared.value
-        scorer = Scorer(Filter(buckets, bits, np.frombuffer(data, np.uint8)), best, total, distinct)
+        chunk, schema = Chunk(shared.value), None
+
+        def record(found: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([found[f.name] if f.name in found else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            held, asks = chunk.close(buckets)
+            name = int(chunk.rows[0][0])
+            yield record({"row": pa.array([name])} | {k: pa.array([v], pa.binary()) for k, v in held.items()}, 1)
+            yield record({"row": pa.array([name] * len(asks)), "bucket": pa.array([b for b, _ in asks]), "keys": pa.array([k for _, k in asks], pa.binary())}, len(asks))
+
         for batch in pieces_of(batches, 1024):
+            if schema is None:
+                rare = pa.list_(pa.struct([pa.field("word", pa.binary()), pa.field("k", pa.int64())]))
+                kinds = {"row": pa.int64(), "doc_id": batch.schema.field(1).type, "n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": rare,
+                         "bucket": pa.int64()}
+                schema = pa.schema([pa.field(k, kinds.get(k, pa.binary())) for k in parts])
             texts, at = batch.column(2).to_pylist(), 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and (end == at or size + len(texts[end] or b"") <= 1 << 19):
                     size, end = size + len(texts[end] or b""), end + 1
-                n, known, logs, score, ends, words, others = scorer.score(texts[at:end])
-                rare = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, pa.array(others.astype(np.int64))], names=["word", "k"]))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(n.astype(np.int64)), pa.array(known), pa.array(logs),
-                    pa.array(score), rare], names=["row", "doc_id", "n_tokens", "known", "logs", "score", "rare"])
+                rows = batch.column(0).slice(at, end - at)
+                n, known, logs, ends, words, others = chunk.add(rows.to_numpy(), texts[at:end])
+                less = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, pa.array(others.astype(np.int64))], names=["word", "k"]))
+                yield record({"row": rows, "doc_id": batch.column(1).slice(at, end - at), "n_tokens": pa.array(n.astype(np.int64)), "known": pa.array(known),
+                              "logs": pa.array(logs), "rare": less.cast(schema.field("rare").type)}, end - at)
                 at = end
-
-    key = docs.schema["doc_id"].dataType.simpleString()
-    scored = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(
-        run, f"row bigint, doc_id {key}, n_tokens bigint, known bigint, logs double, score double, rare array<struct<word:binary,k:bigint>>"), "scored")
+                if chunk.n > CHUNK_TOKENS:
+                    yield from closed()
+                    chunk = Chunk(shared.value)
+        if chunk.n:
+            yield from closed()
+
+    read = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in parts.items())), "read")
+    scored = read.where("n_tokens is not null").select("row", "doc_id", "n_tokens", "known", "logs", "rare")
+
+    def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
+        values = [unpack(k) for k in asked["keys"].to_pylist()]
+        levels = np.zeros(sum(map(len, values)), np.uint8)
+        if values and model.num_rows:
+            keys, at = np.unique(np.concatenate(values), return_inverse=True)
+            levels = _built(model, most).levels(keys).astype(np.uint8)[at]
+        cuts = np.cumsum([0, *map(len, values)])
+        return pa.Table.from_arrays([
+            asked["row"].combine_chunks(), asked["bucket"].combine_chunks(),
+            pa.array([levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["row", "bucket", "levels"])
+
+    def total_up(told: pa.Table, chunk: pa.Table) -> pa.Table:
+        parts = sorted(zip(told["bucket"].to_pylist(), told["levels"].to_pylist()))
+        levels = np.frombuffer(b"".join(x for _, x in parts), np.uint8).astype(np.int64)
+        found, score = score_chunk({k: chunk[k][0].as_py() for k in own}, levels, every)
+        return pa.Table.from_arrays([pa.array(found), pa.array(score)], names=["row", "score"])
+
+    asks = read.where("bucket is not null").select("bucket", "row", "keys")
+    # written, so that the shuffles of entries and asks go before the chunks are dealt out
+    told = materialize(entries_of(train, counts, buckets).groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(
+        answer, "row bigint, bucket bigint, levels binary"), "levels")
+    scores = materialize(told.groupBy("row").cogroup(read.where("rows is not null").select("row", *own).groupBy("row")).applyInArrow(total_up, "row bigint, score double"), "scores")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(
         counts.where(F.col("n") < least) if least is not None else counts, "word", "left")
     sums = rare.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
         F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"))
-    every = total + 0.5 * (distinct + 1)
-    return scored.drop("rare").join(sums, "row", "left").select(
+    return scored.drop("rare").join(scores, "row").join(sums, "row", "left").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(every)))).alias("base_score"), "score")

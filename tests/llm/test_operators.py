@@ -642,6 +642,43 @@ def test_the_filter_keeps_quantised_counts(spark):
     assert small.data.size <= 1 << 10 and kept[names.index(max(c, key=c.get))] > 0
 
 
+def test_the_model_holds_every_count(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 1 << 9)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(400 * rng.random() ** 2)}" for _ in range(rng.randint(0, 90))) for _ in range(150)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
+    c, pairs, mass = Counter(), Counter(), Counter()
+    for t in train:
+        w = [b"", *lm.tokens(t.encode())]
+        c.update(w[1:])
+        pairs.update(zip(w, w[1:]))
+    for (v, _), n in pairs.items():
+        mass[v] += n - lm.DISCOUNT
+    near = lambda n: lm.counts_of()[lm.level_of(np.array([n]))[0]] if n else 0.0
+    every = sum(c.values()) + 0.5 * (len(c) + 1)
+
+    def score(text):
+        w, out = [b"", *lm.tokens(text.encode())], 0.0
+        for v, x in zip(w, w[1:]):
+            m = min(near(mass[v] * lm.MASS_STEPS) / lm.MASS_STEPS / max(near(c[v]), 1), 0.95)
+            out += math.log10(min(max(near(pairs[v, x]) - lm.DISCOUNT, 0) / max(near(c[v]), 1), m) + (1 - m) * (near(c[x]) + 0.5) / every)
+        return out
+    for tokens in (1 << 20, 500):  # the size of chunks changes nothing
+        monkeypatch.setattr(lm, "CHUNK_TOKENS", tokens)
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(d, top_words=50).collect()}
+        off = sum(not math.isclose(got[i], score(t), rel_tol=1e-6, abs_tol=1e-9) for i, t in enumerate(texts))
+        assert len(got) == len(texts) and off <= 0.2 * len(texts)  # the filter's false positives touch a few texts
+
+
+def test_the_filter_grows_with_its_entries():
+    keys = np.random.default_rng(2).integers(0, 1 << 63, 300_000, dtype=np.uint64)
+    levels = np.where(np.arange(len(keys)) % 4, 1, 3)
+    table = lm.pa.Table.from_pydict({"kind": [1], "keys": [lm.pack(np.sort(keys))], "counts": [lm.counts_of()[levels].astype(np.float32).tobytes()]})
+    got = lm._built(table, None).levels(np.sort(keys))
+    assert (got >= levels).all() and (got > levels).mean() < 0.01
+
+
 def test_gaps_pack_and_unpack():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert (lm.unpack(lm.pack(x)) == x).all() and len(lm.unpack(lm.pack(x[:0]))) == 0
