@@ -42,6 +42,12 @@ def sessions_by_files(spark, sf_dir):
     return lookups.sessions_by_files(files, files.where("file_path like '/st3/%'"), "output")
 
 
+@query("select file_path, session_id, max(recorded_at) as at from file_hashes where role = 'output' group by 1, 2", "file_hashes")
+def sessions_by_all_files(spark, sf_dir):
+    files = load(spark, sf_dir, "file_hashes")["file_hashes"]
+    return lookups.sessions_by_files(files, files, "output")
+
+
 @query("""select hash, count(distinct session_id) as n_sessions, string_agg(distinct host, ',' order by host) as hosts
           from contents group by 1 having count(*) > 1""", "contents")
 def sessions_by_content(spark, sf_dir):
@@ -88,6 +94,15 @@ def resolve_claims(spark, sf_dir):
     return lookups.resolve_claims(rows, wanted)
 
 
+@query("""with wanted as (select claim_id as identifier, claim_id from claims union all select file_path || ':L' || cast(line_number as string), claim_id from claims
+                          union all select file_path, min_by(claim_id, line_number) from claims group by file_path)
+          select distinct identifier, claim_id from wanted""", "claims")
+def resolve_all_claims(spark, sf_dir):
+    rows = load(spark, sf_dir, "claims")["claims"]
+    return lookups.resolve_claims(rows, rows.select(F.col("claim_id").alias("identifier")).union(
+        rows.select(F.expr("file_path || ':L' || line_number"))).union(rows.select("file_path")))
+
+
 @query("""with wanted as (select session_id as target from runs where exit_code = 1 union select script_path from runs union select file_path from file_hashes where role = 'output' union select '/nowhere'),
           by_script as (select script_path as target, max_by(session_id, (started_at, session_id)) as b from runs group by 1)
           select w.target, coalesce(r.session_id, s.b, n.session_id) as session_id from wanted w left join runs r on r.session_id = w.target
@@ -152,6 +167,7 @@ _CLOSURE = """closed as (select distinct session_id as leaf, session_id, 0 as de
               union select c.leaf, e.parent, c.depth + 1 from closed c join edges e on e.child = c.session_id)"""
 _MEMBERS = "members as (select leaf, session_id, min(depth) as depth from closed group by 1, 2)"
 _LEAVES = "leaves as (select distinct n.session_id from newest n where n.file_path like '/st7/%')"
+_ALL_LEAVES = "leaves as (select distinct n.session_id from newest n)"
 
 
 def _edges(t):
@@ -163,6 +179,10 @@ def _leaves(t):
     return newest.where("file_path like '/st7/%'").select("session_id").distinct()
 
 
+def _all_leaves(t):
+    return lineage.newest_producers(t["file_hashes"]).select("session_id").distinct()
+
+
 @query(f"with {_EDGES} select child, parent from edges", "file_hashes")
 def lineage_edges(spark, sf_dir):
     return lineage.file_edges(load(spark, sf_dir, "file_hashes")["file_hashes"])
@@ -174,6 +194,12 @@ def lineage_closure(spark, sf_dir):
     return lineage.closure(_edges(t), _leaves(t))
 
 
+@query(f"with {_EDGES}, {_ALL_LEAVES}, {_CLOSURE}, {_MEMBERS} select leaf, session_id, cast(depth as int) as depth from members", "file_hashes", "newest", recursive=True)
+def lineage_closure_of_all(spark, sf_dir):
+    t = load(spark, sf_dir, "file_hashes")
+    return lineage.closure(_edges(t), _all_leaves(t))
+
+
 @query(f"""with {_EDGES}, walk as (select child as session_id, 0 as level from edges union select parent, 0 from edges
           union select e.child, w.level + 1 from walk w join edges e on e.parent = w.session_id)
           select session_id, cast(max(level) as int) as level from walk group by 1""", "file_hashes", recursive=True)
@@ -243,6 +269,18 @@ def verify_chains(spark, sf_dir):
     return verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
 
 
+@query(f"""with {_EDGES}, targets as (select distinct p.file_path, n.session_id from file_hashes p left join newest n on n.file_path = p.file_path),
+          leaves as (select distinct session_id from targets where session_id is not null), {_CLOSURE}, {_MEMBERS}, {_CHECKED}, {_verified('v', 'suspect')},
+          of_leaf as (select m.leaf, {_WORST} as status, count(*) as n_runs from members m left join v on v.session_id = m.session_id group by 1)
+          select t.file_path, t.session_id, coalesce(o.status, 'unknown') as status, coalesce(o.n_runs, 0) as n_runs from targets t left join of_leaf o on o.leaf = t.session_id""",
+       "file_hashes", "newest", "runs", "disk", recursive=True)
+def verify_all_chains(spark, sf_dir):
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    targets = materialize(verify.targets_of(t["file_hashes"], t["file_hashes"]), "targets")
+    members = lineage.closure(_edges(t), targets.where("session_id is not null"))
+    return verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
+
+
 _DAG = f"""{_EDGES}, {_LEAVES}, {_CLOSURE}, nodes as (select distinct session_id from closed), {_CHECKED}, {_verified('v', None)},
            own as (select n.session_id, coalesce(v.status, 'unknown') as status from nodes n left join v on v.session_id = n.session_id),
            inner_edges as (select child, parent from edges where child in (select session_id from nodes) and parent in (select session_id from nodes)),
@@ -259,6 +297,15 @@ def verify_dag(spark, sf_dir):
     return verify.verify_dag(edges, lineage.closure(edges, _leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
 
 
+@query(f"""with {_DAG.replace(_LEAVES, _ALL_LEAVES)} select o.session_id, cast(w.level as int) as level, o.status, h.session_id is not null as failed
+          from own o join (select session_id, max(level) as level from walk group by 1) w on w.session_id = o.session_id left join hit h on h.session_id = o.session_id""",
+       "file_hashes", "newest", "runs", "disk", recursive=True)
+def verify_dag_of_all(spark, sf_dir):
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    edges = _edges(t)
+    return verify.verify_dag(edges, lineage.closure(edges, _all_leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
+
+
 @query(f"""with {_EDGES}, {_CHECKED}, hit as (select distinct session_id from checked where status in ('mismatch', 'missing') and session_id in (select session_id from runs)
            union select e.child from hit h join edges e on e.parent = h.session_id) select session_id from hit""", "file_hashes", "runs", "disk", recursive=True)
 def blast_radius(spark, sf_dir):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import codes, hashes
 from hashloom.operators import citations, claims, estimate, gate, groupers, lineage, lookups, rerun, verify
-from hashloom.plans import exports
+from hashloom.plans import exports, queries
+from hashloom.plans.testbed import load
 from hashloom.sources import documents, files
 from hashloom.sources.ledger import Ledger
 from hashloom.streaming import capture, live
@@ -295,3 +296,48 @@ def test_documents(spark, tmp_path):
     assert codes.resolve_severity(config["verify"]["severity"])[13] == "error"
     with pytest.raises(ValueError):
         codes.resolve_severity({"no_such": "error"})
+
+
+def test_queries_over_all_equal_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    t = load(spark, sf, "claims", "file_hashes")
+    rows = t["claims"].collect()
+    want = {r["file_path"]: min((x["line_number"], x["claim_id"]) for x in rows if x["file_path"] == r["file_path"])[1] for r in rows}
+    want |= {f"{r['file_path']}:L{r['line_number']}": r["claim_id"] for r in rows} | {r["claim_id"]: r["claim_id"] for r in rows}
+    got = [tuple(r) for r in queries.resolve_all_claims(spark, sf).select("identifier", "claim_id").collect()]
+    assert len(got) == len(want) > 2 * len(rows) and dict(got) == want
+
+    seen, made, parents = {}, {}, {}
+    files = t["file_hashes"].collect()
+    for r in sorted((r for r in files if r["role"] == "output"), key=lambda r: (r["recorded_at"], [-ord(c) for c in r["session_id"]])):
+        seen[r["file_path"], r["session_id"]] = r["recorded_at"]
+        made[r["file_path"]] = r["session_id"]
+    got = [tuple(r) for r in queries.sessions_by_all_files(spark, sf).select("file_path", "session_id", "at").collect()]
+    assert sorted(got) == sorted((*k, at) for k, at in seen.items())
+    for r in files:
+        if r["role"] == "input" and made.get(r["file_path"], r["session_id"]) != r["session_id"]:
+            parents.setdefault(r["session_id"], set()).add(made[r["file_path"]])
+
+    def depths(leaf):
+        found, now, k = {}, {leaf}, 0
+        while now:
+            found |= dict.fromkeys(now, k)
+            now, k = {p for s in now for p in parents.get(s, ())} - found.keys(), k + 1
+        return found
+    closed = {leaf: depths(leaf) for leaf in set(made.values())}
+    got = [tuple(r) for r in queries.lineage_closure_of_all(spark, sf).select("leaf", "session_id", "depth").collect()]
+    assert sorted(got) == sorted((leaf, s, k) for leaf, found in closed.items() for s, k in found.items())
+
+    status = {r["session_id"]: r["status"] for r in queries.verify_runs(spark, sf).collect()}
+    rank = ("mismatch", "missing", "suspect", "unknown", "verified")
+    worst = lambda leaf: min((status.get(s, "unknown") for s in closed[leaf]), key=rank.index)
+    want = [(p, s, worst(s), len(closed[s])) if (s := made.get(p)) else (p, None, "unknown", 0) for p in {r["file_path"] for r in files}]
+    got = [tuple(r) for r in queries.verify_all_chains(spark, sf).select("file_path", "session_id", "status", "n_runs").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+    own = {r["session_id"]: r["status"] for r in verify.verify_runs(*load(spark, sf, "runs", "file_hashes", "disk").values(), propagate=False).collect()}
+    level = lambda s: 1 + max(map(level, parents[s])) if parents.get(s) else 0
+    nodes = set().union(*closed.values())
+    failed = {s for s in nodes if any(own.get(a, "unknown") != "verified" for a in depths(s))}
+    got = [tuple(r) for r in queries.verify_dag_of_all(spark, sf).select("session_id", "level", "status", "failed").collect()]
+    assert sorted(got) == sorted((s, level(s), own.get(s, "unknown"), s in failed) for s in nodes)
