@@ -121,8 +121,10 @@ def learn_rules(labelled: DataFrame, max_rules: int = 8, max_conditions: int = 3
     if {r["bad"] for r in rows} != {True, False}:
         return []
     thresholds = {n: sorted({v for r in rows for v in r[n]}) for n in names}
-    bins = F.array(*[sum(((F.col(n) > v).cast("int") for v in thresholds[n]), F.lit(0)) for n in names])
-    left = data.withColumn("bins", bins)
+    # written once: the sums of comparisons would else be planned and compiled again in each of the jobs below
+    below = lambda x, cells: F.size(F.filter(F.lit(cells), lambda v: x > v))
+    bins = F.array(*[below(F.col(n), thresholds[n]) for n in names])
+    left = materialize(data.select("bad", "part", bins.alias("bins")), "binned")
     rules: list[Rule] = []
 
     def histogram(rows: DataFrame) -> dict:
