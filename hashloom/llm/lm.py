@@ -1,41 +1,46 @@
-"""Language-model scoring with a log-frequency Bloom filter of quantised n-gram counts."""
+"""Language-model scoring: quantised n-gram counts in log-frequency Bloom filters, probed for smoothed probabilities."""
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import re
 from collections.abc import Iterator
-from itertools import count, islice
-from zlib import crc32
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.common import materialize
 
-#: The token at the end of a text; no word is empty.
-END = b""
-#: Filter bits for each stored level.
+#: N-grams of one to so many tokens are counted.
+ORDER = 3
+#: Filter bits for each stored level, and probes of a level.
 BITS_PER_KEY = 16
 PROBES = 4
-#: Level 1 stands for a single count, level j for counts from 2 * STEP ** (j - 2) up.
-STEP = 1.3
-LEVELS = 96
-#: Absolute discount of seen pairs.
-DISCOUNT = 0.75
-#: Steps of a whole in which contexts' masses are stored: the least mass, 1 - DISCOUNT, is one.
-MASS_STEPS = 4
-#: Words whose exact counts are broadcast, at most; the others' are joined.
-TOP_WORDS = 300_000
-#: Training tokens whose pairs one bucket counts, and tokens whose pairs a task holds before it sends them off.
-BUCKET_TOKENS = 1 << 21
-#: Tokens whose different words and pairs are looked up together.
-CHUNK_TOKENS = 1 << 20
-#: Different words that a task holds before it sends their counts off.
-HELD_WORDS = 250_000
+#: Counts up to EXACT are levels of their own; above, each level is a factor of STEP, up to LEVELS.
+EXACT, STEP, LEVELS = 20, 1.05, 512
+#: Weight of the lower order in each order's mixture, in counts (by the length of the n-gram).
+PRIOR = {2: 4.0, 3: 2.0}
+#: Tokens whose different n-grams are looked up together, and those for each bucket of the filter.
+CHUNK_TOKENS, BUCKET_TOKENS = 1 << 20, 1 << 20
+#: Bytes of text that are cut into words at a time.
+PIECE_BYTES = 1 << 20
 
 _U = np.uint64
+#: Hashes of the token at the end of a text, and of the place before its first token (no word has either).
+END, START = _U(0x1F83D9ABFB41BD6B), _U(0x5BE0CD19137E2179)
+_BASE = 0x9E3779B97F4A7C15 | 1
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+#: A random number for each byte, the same for A-Z as for a-z.
+_LETTER = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
+_LETTER[65:91] = _LETTER[97:123]
+#: Longer words are hashed on their own: polynomials modulo 2 ** 64 repeat for some strings of a thousand letters.
+LONG_WORD = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,433 +50,328 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text with A-Z in lower case, then END."""
-    return [*(text or b"").lower().split(), END]
-
-
-def pieces_of(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches cut into a few hundred rows each, so that few texts at a time are Python objects."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+@cache
+def _powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, _U)
+    out[0] = 1
+    return np.cumprod(out, dtype=_U)
+
+
+def _cut(text: bytes) -> Iterator[bytes]:
+    """A text in parts of about PIECE_BYTES that end where words do."""
+    at = 0
+    while len(text) - at > 2 * PIECE_BYTES:
+        gap = _GAP.search(text, at + PIECE_BYTES)
+        end = gap.start() if gap else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): 64-bit hashes of each text's words with A-Z in lower case, END after each text; tokens in each."""
+    if len(texts) == 1 and len(texts[0]) > 2 * PIECE_BYTES:
+        words = [_word_hashes([part])[0][:-1] for part in _cut(texts[0])]
+        words = np.append(np.concatenate(words), END)
+        return words, np.array([len(words)])
+    return _word_hashes(texts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    bits = max(len(data).bit_length(), 16)
+    prefix = np.zeros(len(data) + 1, _U)
+    np.cumsum(_LETTER[data] * _powers(_BASE, bits)[:len(data)], out=prefix[1:])
+    gap = _SPACE[data]
+    edge = np.diff(gap.astype(np.int8), prepend=1)
+    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # the last byte is a gap
+    inverse = _powers(pow(_BASE, -1, 1 << 64), bits)
+    words = _mix((prefix[ends] - prefix[starts]) * inverse[starts] ^ _mix((ends - starts).astype(_U)))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        words[i] = xxhash.xxh64_intdigest(data[starts[i]:ends[i]].tobytes().lower())
+    closes = np.cumsum([len(t) + 1 for t in texts]) - 1
+    upto = np.searchsorted(starts, closes)
+    return np.insert(words, upto, END), np.diff(upto, prepend=0) + 1
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
-    level = np.floor(np.log(np.maximum(counts, 2) / 2) / np.log(STEP) + 1e-9).astype(np.int64) + 2
-    return np.where(counts < 2, 1, np.minimum(level, LEVELS))
+    """The level that a count is stored at (0: not at all)."""
+    over = np.floor(np.log(np.maximum(counts, EXACT) / EXACT) / np.log(STEP) + 1e-9).astype(np.int64)
+    return np.where(counts <= EXACT, counts, np.minimum(EXACT + over, LEVELS)).astype(np.int64)
 
 
+@cache
 def counts_of() -> np.ndarray:
-    """The count that each level stands for (index 0: not stored, unseen)."""
-    edge = 2 * STEP ** np.arange(LEVELS)
-    low, high = np.ceil(edge[:-1] - 1e-9), np.maximum(np.ceil(edge[1:] - 1e-9) - 1, np.ceil(edge[:-1] - 1e-9))
-    return np.concatenate([[0.0, 1.0], np.sqrt(low * high)])
-
-
-def word_key(ids: np.ndarray) -> np.ndarray:
-    return _mix(ids.astype(_U) + _U(1 << 40))
-
-
-def context_key(ids: np.ndarray) -> np.ndarray:
-    return _mix(ids.astype(_U) + _U(2 << 40))
-
-
-def pair_key(pairs: np.ndarray) -> np.ndarray:
-    return _mix(pairs ^ _U(0x9E3779B97F4A7C15))
+    """The count that each level stands for."""
+    low = EXACT * STEP ** np.arange(1, LEVELS - EXACT + 1)
+    return np.concatenate([np.arange(EXACT + 1), low * STEP ** 0.5])
 
 
 class Filter:
-    """``buckets`` Bloom filters of ``bits`` bits, one after the other; a key's bucket comes from its hash."""
-
-    def __init__(self, buckets: int, bits: int, data: np.ndarray):
-        self.buckets, self.bits, self.data = buckets, bits, data
-
-    def _start(self, keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = _mix(keys + _U(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        return (keys % _U(self.buckets)) * _U(self.bits), h, (h >> _U(32)) | _U(1)
-
-    @classmethod
-    def of(cls, keys: np.ndarray, levels: np.ndarray, bits: int) -> Filter:
-        """One bucket that holds each key at its level and at all levels below."""
-        self, flags = cls(1, bits, np.zeros(0, np.uint8)), np.zeros(bits, bool)
-        for level in range(1, int(levels.max(initial=0)) + 1):
-            base, h, step = self._start(keys[levels >= level], level)
+    """A Bloom filter that holds each key at its level and at all levels below, so that membership is monotone."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        self.bits = max(int(levels.sum()) * BITS_PER_KEY // 8 * 8, 64)
+        self.most = int(levels.max(initial=0))
+        flags = np.zeros(self.bits, bool)
+        order = np.argsort(-levels, kind="stable")
+        keys, upto = keys[order], np.searchsorted(-levels[order], -np.arange(1, self.most + 1), side="right")
+        for level, n in enumerate(upto.tolist(), 1):
+            h, step = self._hashed(keys[:n], np.full(n, level))
             for i in range(PROBES):
-                flags[((h + _U(i) * step) % _U(bits)).astype(np.int64)] = True
+                flags[((h + _U(i) * step) % _U(self.bits)).astype(np.int64)] = True
         self.data = np.packbits(flags, bitorder="little")
-        return self
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's stored level: probes go up level by level until the first that is missing."""
-        out, on = np.zeros(len(keys), np.int64), np.arange(len(keys))
-        for level in range(1, LEVELS + 1):
-            base, h, step = self._start(keys[on], level)
-            for i in range(PROBES):
-                at = base + (h + _U(i) * step) % _U(self.bits)
-                hit = (self.data[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    on, base, h, step = on[hit], base[hit], h[hit], step[hit]
-            if not len(on):
-                break
-            out[on] = level
+    @staticmethod
+    def _hashed(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = _mix(keys + levels.astype(_U) * _U(0x9E3779B97F4A7C15))
+        return h, (h >> _U(32)) | _U(1)
+
+    def holds(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
+        """Whether each key is a member at its level."""
+        on = np.arange(len(keys))
+        h, step = self._hashed(keys, levels)
+        for i in range(PROBES):
+            at = ((h[on] + _U(i) * step[on]) % _U(self.bits)).astype(np.int64)
+            on = on[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        out = np.zeros(len(keys), bool)
+        out[on] = True
         return out
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's level: probes double it until one misses, then halve what is left between."""
+        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), self.most + 1)
+        on, ask = np.arange(len(keys)), 1
+        while len(on) and ask <= self.most:
+            hit = self.holds(keys[on], np.full(len(on), ask))
+            low[on[hit]], high[on[~hit]] = ask, ask
+            on, ask = on[hit], 2 * ask
+        on = np.flatnonzero(high - low > 1)
+        while len(on):
+            mid = (low[on] + high[on]) // 2
+            hit = self.holds(keys[on], mid)
+            low[on[hit]], high[on[~hit]] = mid[hit], mid[~hit]
+            on = on[high[on] - low[on] > 1]
+        return low
+
+
+def grams(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Keys of the n-grams that end at each token, for n from 1 to ORDER; 0 where a text has not so many tokens before.
+
+    The place before a text counts as one token, so that bigrams hold the first words.
+    """
+    firsts = np.cumsum(sizes) - sizes
+    before = np.concatenate([words[:1], words[:-1]])
+    before[firsts] = START
+    out = [words, _mix(_mix(before) + words)]
+    back = np.arange(len(words)) - np.repeat(firsts, sizes)  # tokens of the text before this one
+    for n in range(3, ORDER + 1):
+        prior = np.concatenate([out[-1][:1], out[-1][:-1]])
+        out.append(np.where(back >= n - 2, _mix(_mix(prior + _U(n)) + words), _U(0)))
+    return out
 
-def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as byte planes of their gaps, whose upper planes compress away."""
-    gaps = np.diff(values, prepend=_U(0))
-    return gaps.view(np.uint8).reshape(-1, 8).T.tobytes()
 
+def _planes(x: np.ndarray, keep: int) -> bytes:
+    """The lower bytes of 64-bit values, by place; slowly varying places compress well."""
+    return np.ascontiguousarray(x.astype(_U).view(np.uint8).reshape(-1, 8).T[:keep]).tobytes()
 
-def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
 
+def _plain(data: bytes, keep: int) -> np.ndarray:
+    out = np.zeros((len(data) // keep, 8), np.uint8)
+    out[:, :keep] = np.frombuffer(data, np.uint8).reshape(keep, -1).T
+    return out.view(_U).ravel()
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word binary, n): exact token counts of all texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+def pack(values: np.ndarray) -> bytes:
+    """Sorted 64-bit values as gaps, in no more bytes than the largest needs."""
+    gaps = np.diff(values, prepend=_U(0))
+    keep = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([keep]) + _planes(gaps, keep)
 
-        for batch in pieces_of(batches):
-            for text in batch.column(0).to_pylist():
-                seen.update(tokens(text))
-                if len(seen) > HELD_WORDS:
-                    yield out()
-                    seen = Counter()
-        if seen:
-            yield out()
 
-    part = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n bigint")
-    return part.groupBy("word").agg(F.sum("n").alias("n"))
+def unpack(data: bytes) -> np.ndarray:
+    return np.cumsum(_plain(data[1:], data[0]), dtype=_U)
 
 
-def _by_bucket(keys: np.ndarray, values: np.ndarray, counts: np.ndarray, buckets: int, kind: int) -> pa.RecordBatch:
-    """One row for each bucket of (values, counts), values ascending in each; keys say the bucket."""
-    bucket = (keys % _U(buckets)).astype(np.int64)
-    order = np.lexsort((values, bucket))
-    bucket, values, counts = bucket[order], values[order], counts[order].astype(np.float32)
-    firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
-    ends = np.append(firsts[1:], len(bucket))
-    return pa.RecordBatch.from_arrays([
-        pa.array(bucket[firsts]), pa.array(np.full(len(firsts), kind, np.int32)),
-        pa.array([pack(values[a:b]) for a, b in zip(firsts, ends)], pa.binary()),
-        pa.array([counts[a:b].tobytes() for a, b in zip(firsts, ends)], pa.binary())], names=["bucket", "kind", "keys", "counts"])
+def _small(x: np.ndarray) -> bytes:
+    """Non-negative integers in no more bytes than the largest needs."""
+    keep = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([keep]) + _planes(x, keep)
 
 
-PACKED = "bucket bigint, kind int, keys binary, counts binary"
+def _unsmall(data: bytes) -> np.ndarray:
+    return _plain(data[1:], data[0]).astype(np.int64)
 
 
-def _pairs(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows of the pairs of neighbouring tokens (32-bit hashes side by side), counted within about BUCKET_TOKENS tokens each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-
-        def out():
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return _by_bucket(pair_key(pairs), pairs, counts, buckets, 0)
-
-        for batch in pieces_of(batches):
-            for text in batch.column(0).to_pylist():
-                ids = np.fromiter(map(crc32, [END, *tokens(text)]), _U)
-                held.append((ids[:-1] << _U(32)) | ids[1:])
-                n += len(ids)
-                if n > BUCKET_TOKENS:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
+def key_bits(total: int) -> int:
+    """Bits of the keys that are sent about for ``total`` tokens: 16 more than it takes to number their n-grams, at most 64."""
+    return min(64, max(total * ORDER, 1).bit_length() + 16)
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, PACKED)
 
+def buckets_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """The bucket of each key: even ranges of all keys of so many bits, ascending."""
+    return ((keys >> _U(bits - 24) if bits > 24 else keys << _U(24 - bits)) * _U(buckets) >> _U(24)).astype(np.int64)
 
-def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    rows = [(unpack(k), np.frombuffer(c, np.float32)) for k, c in zip(table["keys"].to_pylist(), table["counts"].to_pylist())]
-    keys, counts = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]).astype(np.float64)
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    firsts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[firsts], np.add.reduceat(counts, firsts)
 
+def different(names: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(keys, places, bits) for each length of n-gram: the different keys, ascending, and each token's place among them.
 
-def buckets_of(total: int) -> int:
-    """Buckets for a corpus of so many tokens."""
-    return max(8, min(total // BUCKET_TOKENS + 1, 1 << 20))
-
-
-def entries_of(train: DataFrame, counts: DataFrame, buckets: int) -> DataFrame:
-    """Packed rows of every word, pair and context of the training texts, by bucket.
-
-    counts: ``word_counts`` of ``train``. Pairs are counted exactly, in buckets by hash. A
-    context's entry is the discounted count of all its pairs, in steps of 1 / MASS_STEPS.
+    Keys of single tokens (``names``, with places ``at``) stay whole, others keep ``bits`` bits.
     """
-    def summed(table: pa.Table) -> pa.Table:
-        pairs, n = _summed(table)
-        return pa.Table.from_arrays([
-            pa.array([table["bucket"][0].as_py()]), pa.array([0], pa.int32()), pa.array([pack(pairs)], pa.binary()),
-            pa.array([n.astype(np.float32).tobytes()], pa.binary())], names=["bucket", "kind", "keys", "counts"])
+    out = [(names, at, 64)]
+    for keys in grams(names[at], sizes)[1:]:
+        each, place = np.unique(keys >> _U(64 - bits), return_inverse=True)
+        out.append((each, place.ravel(), bits))
+    return out
 
-    pairs = materialize(_pairs(train, buckets).groupBy("bucket").applyInArrow(summed, PACKED), "pairs")
 
-    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                first = unpack(keys) >> _U(32)
-                if len(first):
-                    at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-                    sums = np.add.reduceat(np.frombuffer(n, np.float32).astype(np.float64) - DISCOUNT, at)
-                    yield pa.RecordBatch.from_arrays([pa.array(first[at].astype(np.int64)), pa.array(sums * MASS_STEPS)], names=["id", "n"])
-
-    def packed(kind: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column(0)
-                ids = np.fromiter(map(crc32, ids.to_pylist()), _U) if kind == 1 else ids.to_numpy().astype(_U)
-                if len(ids):
-                    keys = word_key(ids) if kind == 1 else context_key(ids)
-                    yield _by_bucket(keys, keys, batch.column(1).to_numpy(zero_copy_only=False), buckets, kind)
-        return run
-
-    masses = pairs.select("keys", "counts").mapInArrow(contexts, "id bigint, n double").groupBy("id").agg(F.sum("n").alias("n"))
-    return pairs.union(counts.select("word", "n").mapInArrow(packed(1), PACKED)).union(masses.mapInArrow(packed(2), PACKED))
-
-
-def _built(table: pa.Table, most: int | None) -> Filter:
-    """The filter of one bucket's entries: BITS_PER_KEY for each level, or ``most`` bits, which leave the least counts out."""
-    keys, levels = [], []
-    for kind, k, c in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist()):
-        values = unpack(k)
-        keys.append(pair_key(values) if kind == 0 else values)
-        levels.append(level_of(np.frombuffer(c, np.float32).astype(np.float64)))
-    keys, levels = np.concatenate(keys), np.concatenate(levels)
-    if most is None:
-        return Filter.of(keys, levels, max(int(levels.sum()) * BITS_PER_KEY // 8 * 8, 64))
-    sums = np.cumsum(np.bincount(levels, minlength=LEVELS + 1)[::-1] * np.arange(LEVELS, -1, -1))[::-1]  # of levels from here up
-    keep = levels >= int(np.argmax(sums <= most // BITS_PER_KEY))
-    return Filter.of(keys[keep], levels[keep], most)
-
-
-def build_filter(train: DataFrame, counts: DataFrame, total: int, filter_bits: int) -> Filter:
-    """A filter of ``filter_bits`` bits on the driver, for a model that small; scoring itself has no such bound.
-
-    If a bucket's entries would leave fewer than BITS_PER_KEY bits for each stored
-    level, its least counts go unstored, lowest first. total: the sum of ``counts``.
-    """
-    buckets = buckets_of(total)
-    bits = filter_bits // buckets // 8 * 8
+def held_out(key: Column) -> Column:
+    """Whether a document is kept from training: the crc32 of its id as text leaves 1 modulo 5 (a null id never does)."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
-    def built(table: pa.Table) -> pa.Table:
-        return pa.Table.from_arrays([pa.array([table["bucket"][0].as_py()]), pa.array([_built(table, bits).data.tobytes()], pa.binary())], names=["bucket", "data"])
 
-    data = np.zeros(buckets * bits // 8, np.uint8)
-    for row in entries_of(train, counts, buckets).groupBy("bucket").applyInArrow(built, "bucket bigint, data binary").toLocalIterator():
-        data[row["bucket"] * bits // 8:(row["bucket"] + 1) * bits // 8] = np.frombuffer(row["data"], np.uint8)
-    return Filter(buckets, bits, data)
+CHUNK = "chunk bigint, n bigint, ids array<{}>, teaches binary, sizes binary, names binary, at binary"
 
 
-def _planes(x: np.ndarray) -> bytes:
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """One row for each about ``tokens`` tokens of texts: ids, which of them teach, sizes, the different words' hashes, and each token's word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, n, held = 0, 0, []  # of texts: ids, which teach, sizes, words
 
+        def out() -> pa.RecordBatch:
+            ids, teaches, sizes, words = zip(*held)
+            ids, (names, at) = pa.concat_arrays(ids), np.unique(np.concatenate(words), return_inverse=True)
+            cells = (np.concatenate(teaches).astype(np.uint8).tobytes(), _small(np.concatenate(sizes)), names.tobytes(), _small(at.ravel()))
+            return pa.RecordBatch.from_arrays([
+                pa.array([name]), pa.array([n]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), *[pa.array([c], pa.binary()) for c in cells]],
+                names=["chunk", "n", "ids", "teaches", "sizes", "names", "at"])
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+        for batch in batches:
+            upto, at = np.cumsum(pc.fill_null(pc.binary_length(batch.column(3)), 0).to_numpy().astype(np.int64)), 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PIECE_BYTES, side="right")))
+                part = batch.slice(at, end - at)
+                name = name if n else part.column(0)[0].as_py()
+                words, sizes = word_hashes([t or b"" for t in part.column(3).to_pylist()])
+                held.append((part.column(1), part.column(2).to_numpy(zero_copy_only=False), sizes, words))
+                n, at = n + len(words), end
+                if n >= tokens:
+                    yield out()
+                    n, held = 0, []
+        if n:
+            yield out()
 
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", (~held_out(F.col("doc_id"))).alias("teaches"), F.col("text").cast("binary"))
+    return rows.mapInArrow(run, CHUNK.format(docs.schema["doc_id"].dataType.simpleString()))
 
-class Chunk:
-    """Texts whose words and pairs are looked up together.
 
-    asks: keys of the different pairs, words and contexts, by bucket and ascending in it;
-    the levels that come back are in the same order. The chunk keeps, with pairs numbered
-    in that order, each token's pair, each pair's second word, and the order's places of
-    words and contexts. Word 0 is END.
+def asks(read: DataFrame, bits: int, buckets: int) -> DataFrame:
+    """(bucket, chunk, kind, keys, counts): each chunk's different n-grams by bucket, with their counts in its training texts."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sizes = _unsmall(row["sizes"])
+                teaches = np.repeat(np.frombuffer(row["teaches"], np.uint8), sizes)
+                for kind, (keys, place, wide) in enumerate(different(np.frombuffer(row["names"], _U), _unsmall(row["at"]), sizes, bits)):
+                    n, where = np.bincount(place, teaches, len(keys)).astype(np.int64), buckets_of(keys, wide, buckets)
+                    firsts = np.flatnonzero(np.diff(where, prepend=-1))
+                    cuts = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(keys)]))
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(where[firsts]), pa.array([row["chunk"]] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()),
+                        pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([_small(n[a:b]) for a, b in cuts], pa.binary())],
+                        names=["bucket", "chunk", "kind", "keys", "counts"])
+
+    return read.select("chunk", "teaches", "sizes", "names", "at").mapInArrow(run, "bucket bigint, chunk bigint, kind int, keys binary, counts binary")
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """Of one bucket: its filter is built from all chunks' counts and probed for what each chunk asks.
+
+    levels: of n-grams, in the order asked; exact: the counts of single tokens. The
+    bucket's first row tells how many training tokens and different ones it has.
     """
-
-    def __init__(self, top: dict[bytes, int]):
-        self.top, self.index = top, defaultdict(count().__next__, {})
-        self.names: list[bytes] = []
-        self.exact = np.zeros(0, np.int64)
-        self.rows, self.sizes, self.at, self.n = [], [], [], 0
-        self.index[END]
-
-    def add(self, rows: np.ndarray, texts: list[bytes | None]):
-        """Of each text: tokens, known among top words, their log sum, and (word, n) of other words."""
-        lists = [tokens(t) for t in texts]
-        flat = [w for words in lists for w in words]
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        fresh = list(islice(self.index, len(self.names), None))
-        self.names += fresh
-        self.exact = np.append(self.exact, np.fromiter((self.top.get(w, -1) for w in fresh), np.int64, len(fresh)))
-        sizes = np.array([len(x) for x in lists])
-        firsts = np.cumsum(sizes) - sizes
-        self.rows.append(rows)
-        self.sizes.append(sizes)
-        self.at.append(at.astype(np.int32))
-        self.n += len(at)
-        c = self.exact[at]
-        known = np.add.reduceat((c > 0).astype(np.int64), firsts)
-        logs = np.add.reduceat(np.where(c >= 0, np.log10(np.maximum(c, 0) + 0.5), 0.0), firsts)
-        row = np.repeat(np.arange(len(texts)), sizes)[c < 0]
-        other, n = np.unique((row.astype(np.int64) << 32) | at[c < 0], return_counts=True)
-        ends = np.searchsorted(other >> 32, np.arange(len(texts) + 1)).astype(np.int32)
-        words = pa.array([self.names[i] for i in (other & 0xFFFFFFFF).tolist()], pa.binary())
-        return sizes, known, logs, ends, words, n
-
-    def close(self, buckets: int) -> tuple[dict[str, bytes], list[tuple[int, bytes]]]:
-        """The chunk's own columns, and (bucket, packed keys) of what it asks."""
-        rows, sizes, at = np.concatenate(self.rows), np.concatenate(self.sizes), np.concatenate(self.at).astype(np.int64)
-        before = np.concatenate([[0], at[:-1]])
-        before[np.cumsum(sizes) - sizes] = 0
-        pairs, place = np.unique((before << 32) | at, return_inverse=True)
-        ids = np.fromiter(map(crc32, self.names), _U, len(self.names))
-        second = pairs & 0xFFFFFFFF
-        keys = np.concatenate([pair_key((ids[pairs >> 32] << _U(32)) | ids[second]), word_key(ids), context_key(ids)])
-        bucket = (keys % _U(buckets)).astype(np.int64)
-        order = np.lexsort((keys, bucket))
-        position = np.empty(len(keys), np.int64)
-        position[order] = np.arange(len(keys))
-        mine = order[order < len(pairs)]
-        number = np.empty(len(pairs), np.int64)
-        number[mine] = np.arange(len(pairs))
-        keys, bucket = keys[order], bucket[order]
-        firsts = np.flatnonzero(np.diff(bucket, prepend=-1))
-        asks = [(int(bucket[a]), pack(keys[a:b])) for a, b in zip(firsts, np.append(firsts[1:], len(keys)))]
-        return {"rows": rows.astype(np.int64).tobytes(), "sizes": _planes(sizes), "place": _planes(number[place]), "second": _planes(second[mine]),
-                "others": _planes(position[len(pairs):])}, asks
-
-
-def score_chunk(chunk: dict[str, bytes], levels: np.ndarray, every: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, scores) of a chunk, ``levels`` in the order of what it asked."""
-    rows, sizes = np.frombuffer(chunk["rows"], np.int64), _from_planes(chunk["sizes"])
-    place, second, others = (_from_planes(chunk[k]) for k in ("place", "second", "others"))
-    counts, firsts = counts_of(), np.cumsum(sizes) - sizes
-    of_pair = np.ones(len(levels), bool)
-    of_pair[others] = False
-    words, contexts = levels[others[:len(others) // 2]], levels[others[len(others) // 2:]]
-    n, pair = counts[words], counts[levels[of_pair]]
-    mass = np.minimum(counts[contexts] / MASS_STEPS / np.maximum(n, 1), 0.95)
-    before = np.concatenate([[0], second[place[:-1]]])
-    before[firsts] = 0
-    first = np.zeros(len(second), np.int64)
-    first[place] = before
-    seen = np.maximum(pair - DISCOUNT, 0) / np.maximum(n[first], 1)
-    logs = np.log10(np.minimum(seen, mass[first]) + (1 - mass[first]) * (n[second] + 0.5) / every)
-    return rows, np.add.reduceat(logs[place], firsts)
-
-
-def held_out(key: Column) -> Column:
-    """Whether a document is kept from training: the crc32 of its id as text leaves 1 modulo 5 (a null id never does)."""
-    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5 == 1, F.lit(False))
+    kinds = table["kind"].to_numpy()
+    keys = [unpack(k) for k in table["keys"].to_pylist()]
+    counts = [_unsmall(c) for c in table["counts"].to_pylist()]
+    levels: list[bytes | None] = [None] * len(keys)
+    exact: list[bytes | None] = [None] * len(keys)
+    total = distinct = 0
+    for kind in np.unique(kinds).tolist():
+        rows = np.flatnonzero(kinds == kind).tolist()
+        each, place = np.unique(np.concatenate([keys[r] for r in rows]), return_inverse=True)
+        n = np.bincount(place.ravel(), np.concatenate([counts[r] for r in rows]), len(each)).astype(np.int64)
+        cuts = np.cumsum([0, *(len(keys[r]) for r in rows)])
+        seen = n > 0
+        found = Filter(each[seen], level_of(n[seen])).levels(each)[place.ravel()]
+        if kind == 0:
+            total, distinct, told = int(n.sum()), int(seen.sum()), n[place.ravel()]
+        for r, a, b in zip(rows, cuts, cuts[1:]):
+            levels[r] = _small(found[a:b])
+            if kind == 0:
+                exact[r] = _small(told[a:b])
+    rest = len(keys) - 1
+    return pa.Table.from_arrays([
+        table["chunk"].combine_chunks(), table["kind"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(levels, pa.binary()), pa.array(exact, pa.binary()),
+        pa.array([total] + [0] * rest, pa.int64()), pa.array([distinct] + [0] * rest, pa.int64())], names=["chunk", "kind", "bucket", "levels", "exact", "total", "distinct"])
+
+
+def probabilities(levels: list[np.ndarray], exact: np.ndarray, sizes: np.ndarray, total: int, distinct: int) -> np.ndarray:
+    """P(token | those before) for each token, from the levels of the n-grams that end there and the single tokens' counts.
+
+    A token's own probability is (c + 0.5) / (N + 0.5 (V + 1)). Each longer n-gram mixes its
+    share of its context's count with the order below, which weighs PRIOR counts:
+    (c(context, w) + m P) / (c(context) + m). The place before a text was met as often as
+    END. Counts of a context's n-grams add up to its own count, so the probabilities of
+    all tokens after a context add up to one, but for quantisation.
+    """
+    back = np.arange(len(exact)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # tokens of the text before this one
+    p, context = (exact + 0.5) / (total + 0.5 * (distinct + 1)), np.roll(exact, 1)
+    context = np.where(back == 0, exact[-1], context)
+    for n in range(2, ORDER + 1):
+        c = counts_of()[levels[n - 1]]
+        p = np.where(back >= n - 2, (np.minimum(c, context) + PRIOR[n] * p) / (context + PRIOR[n]), p)
+        context = np.roll(c, 1)
+    return p
 
 
-def score_texts(docs: DataFrame, filter_bits: int | None = None, top_words: int = TOP_WORDS) -> DataFrame:
+def score_texts(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """Model and base scores of every row of ``docs`` (doc_id, text, others ignored).
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Training rows
     are those that ``held_out`` leaves; a null text is empty and has the end token alone.
-    base_score is of exact counts: those of the most frequent words, at most
-    ``top_words``, are broadcast, the others joined. score: pairs with absolute discount,
-    backing off to single words, every count a quantised one from the filter:
-    P(w|v) = (c(vw) - d) / c(v) + (1 - m(v)) (c(w) + 0.5) / (N + 0.5 (V + 1)), m(v) the
-    share of v's count that its stored pairs hold after discount. Without training rows
-    counts are zero. Repeated rows each get a row.
-
-    The filter grows with the corpus and holds every count, single ones too: it lies in
-    buckets by hash, each built by the task that answers for it, and the texts'
-    different words and pairs go to their buckets. Nothing of it is broadcast or
-    reaches the driver. A bound that the caller gives (``filter_bits``, of all buckets
-    together) leaves the least counts unstored.
+    base_score is of exact counts. score: log10 of the product of ``probabilities``, whose
+    counts of two and three tokens are quantised ones from log-frequency Bloom filters.
+    Words are told by 64-bit hashes, longer n-grams by ``key_bits`` bits. Without
+    training rows counts are zero. Repeated rows each get a row; an empty table gives
+    none; a very long text is a chunk of its own.
+
+    The filter grows with the corpus and keeps every count, single ones too. It lies in
+    buckets by hash, each built and probed in one task: texts' different n-grams, with
+    their training counts, go to the buckets once, and levels come back. Nothing of it
+    is broadcast or reaches the driver, whatever the corpus's size; a frequent n-gram
+    reaches its bucket once for each chunk.
     """
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    train = rows.where(~held_out(F.col("doc_id"))).select("text")
-    counts = materialize(word_counts(train), "word-counts")
-    sizes = counts.groupBy(F.floor(F.log2("n") * 16).cast("int").alias("size")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).collect()
-    total, distinct = sum(r["n"] for r in sizes), sum(r["words"] for r in sizes)
-    least, held = None, 0
-    for r in sorted(sizes, key=lambda r: -r["size"]):
-        held += r["words"]
-        if held > top_words:
-            break
-        least = r["least"]
-    top = {bytes(r["word"]): r["n"] for r in counts.where(F.col("n") >= least).toLocalIterator()} if least is not None else {}
-    buckets, every = buckets_of(total), total + 0.5 * (distinct + 1)
-    most = None if filter_bits is None else filter_bits // buckets // 8 * 8
-    shared = docs.sparkSession.sparkContext.broadcast(top)
-    key = docs.schema["doc_id"].dataType.simpleString()
-    own = ("rows", "sizes", "place", "second", "others")
-    # a row of a text, of a chunk (row: its first text's), or of what a chunk asks of a bucket
-    parts = {"row": "bigint", "doc_id": key, "n_tokens": "bigint", "known": "bigint", "logs": "double", "rare": "array<struct<word:binary,k:bigint>>",
-             "bucket": "bigint", "keys": "binary"} | dict.fromkeys(own, "binary")
+    read = materialize(chunks(docs, chunk_tokens), "chunks")
+    tokens = read.agg(F.sum("n")).head()[0] or 0
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, bits = max(4 * parts, tokens // bucket_tokens + 1), key_bits(tokens)
+    told = materialize(asks(read, bits, buckets).groupBy("bucket").applyInArrow(
+        answer, "chunk bigint, kind int, bucket bigint, levels binary, exact binary, total bigint, distinct bigint"), "levels")
+    total, distinct = (int(x or 0) for x in told.agg(F.sum("total"), F.sum("distinct")).head())
+
+    def score(answers: pa.Table, chunk: pa.Table) -> pa.Table:
+        got = sorted(answers.select(["kind", "bucket", "levels", "exact"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        sizes, names, at = _unsmall(chunk["sizes"][0].as_py()), np.frombuffer(chunk["names"][0].as_py(), _U), _unsmall(chunk["at"][0].as_py())
+        levels = [np.concatenate([_unsmall(r["levels"]) for r in got if r["kind"] == k])[place] for k, (_, place, _) in enumerate(different(names, at, sizes, bits))]
+        c = np.concatenate([_unsmall(r["exact"]) for r in got if r["kind"] == 0])[at]
+        p = probabilities(levels, c, sizes, total, distinct)
+        firsts = np.cumsum(sizes) - sizes
+        sums = [np.add.reduceat(x, firsts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5), np.log10(p))]
+        return pa.Table.from_arrays([chunk["ids"].combine_chunks().flatten(), pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "logs", "score"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, schema = Chunk(shared.value), None
-
-        def record(found: dict[str, pa.Array], n: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([found[f.name] if f.name in found else pa.nulls(n, f.type) for f in schema], schema=schema)
-
-        def closed() -> Iterator[pa.RecordBatch]:
-            held, asks = chunk.close(buckets)
-            name = int(chunk.rows[0][0])
-            yield record({"row": pa.array([name])} | {k: pa.array([v], pa.binary()) for k, v in held.items()}, 1)
-            yield record({"row": pa.array([name] * len(asks)), "bucket": pa.array([b for b, _ in asks]), "keys": pa.array([k for _, k in asks], pa.binary())}, len(asks))
-
-        for batch in pieces_of(batches, 1024):
-            if schema is None:
-                rare = pa.list_(pa.struct([pa.field("word", pa.binary()), pa.field("k", pa.int64())]))
-                kinds = {"row": pa.int64(), "doc_id": batch.schema.field(1).type, "n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "rare": rare,
-                         "bucket": pa.int64()}
-                schema = pa.schema([pa.field(k, kinds.get(k, pa.binary())) for k in parts])
-            texts, at = batch.column(2).to_pylist(), 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end] or b"") <= 1 << 19):
-                    size, end = size + len(texts[end] or b""), end + 1
-                rows = batch.column(0).slice(at, end - at)
-                n, known, logs, ends, words, others = chunk.add(rows.to_numpy(), texts[at:end])
-                less = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([words, pa.array(others.astype(np.int64))], names=["word", "k"]))
-                yield record({"row": rows, "doc_id": batch.column(1).slice(at, end - at), "n_tokens": pa.array(n.astype(np.int64)), "known": pa.array(known),
-                              "logs": pa.array(logs), "rare": less.cast(schema.field("rare").type)}, end - at)
-                at = end
-                if chunk.n > CHUNK_TOKENS:
-                    yield from closed()
-                    chunk = Chunk(shared.value)
-        if chunk.n:
-            yield from closed()
-
-    read = materialize(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, ", ".join(f"{k} {v}" for k, v in parts.items())), "read")
-    scored = read.where("n_tokens is not null").select("row", "doc_id", "n_tokens", "known", "logs", "rare")
-
-    def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
-        values = [unpack(k) for k in asked["keys"].to_pylist()]
-        levels = np.zeros(sum(map(len, values)), np.uint8)
-        if values and model.num_rows:
-            keys, at = np.unique(np.concatenate(values), return_inverse=True)
-            levels = _built(model, most).levels(keys).astype(np.uint8)[at]
-        cuts = np.cumsum([0, *map(len, values)])
-        return pa.Table.from_arrays([
-            asked["row"].combine_chunks(), asked["bucket"].combine_chunks(),
-            pa.array([levels[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["row", "bucket", "levels"])
-
-    def total_up(told: pa.Table, chunk: pa.Table) -> pa.Table:
-        parts = sorted(zip(told["bucket"].to_pylist(), told["levels"].to_pylist()))
-        levels = np.frombuffer(b"".join(x for _, x in parts), np.uint8).astype(np.int64)
-        found, score = score_chunk({k: chunk[k][0].as_py() for k in own}, levels, every)
-        return pa.Table.from_arrays([pa.array(found), pa.array(score)], names=["row", "score"])
-
-    asks = read.where("bucket is not null").select("bucket", "row", "keys")
-    # written, so that the shuffles of entries and asks go before the chunks are dealt out
-    told = materialize(entries_of(train, counts, buckets).groupBy("bucket").cogroup(asks.groupBy("bucket")).applyInArrow(
-        answer, "row bigint, bucket bigint, levels binary"), "levels")
-    scores = materialize(told.groupBy("row").cogroup(read.where("rows is not null").select("row", *own).groupBy("row")).applyInArrow(total_up, "row bigint, score double"), "scores")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.k").join(
-        counts.where(F.col("n") < least) if least is not None else counts, "word", "left")
-    sums = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("k")).otherwise(0)).alias("more"),
-        F.sum(F.col("k") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("more_logs"))
-    return scored.drop("rare").join(scores, "row").join(sums, "row", "left").select(
-        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(every)))).alias("base_score"), "score")
+    key = docs.schema["doc_id"].dataType.simpleString()
+    found = told.groupBy("chunk").cogroup(read.select("chunk", "ids", "sizes", "names", "at").groupBy("chunk")).applyInArrow(
+        score, f"doc_id {key}, n_tokens bigint, n_known bigint, logs double, score double")
+    return found.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))).alias("base_score"), "score")

@@ -601,87 +601,118 @@ def test_the_kernel_is_the_sum_over_gapped_subsequences():
 
 # --- language model ---------------------------------------------------------
 
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
 def test_base_scores_equal_brute_force(docs, rows, empty):
-    lists = [(i, [w for w in re.sub("[A-Z]", lambda m: m[0].lower(), t or "").split()] and WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [""]) for i, t in rows]
-    lists = [(i, w or [""]) for i, w in lists]
+    lists = [(i, [*WORD.findall(lower(t)), ""]) for i, t in rows]
     out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 1
     c = Counter(w for i, ws in lists if not out(i) for w in ws)
     n, v = sum(c.values()), len(c)
     want = Counter((i, out(i), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in lists)
-    for top in (lm.TOP_WORDS, 50, 0):
-        got = lm.score_texts(docs, filter_bits=1 << 22, top_words=top).collect()
+    for chunk, bucket in ((lm.CHUNK_TOKENS, lm.BUCKET_TOKENS), (300, 100), (1, 10_000)):
+        got = lm.score_texts(docs.withColumn("n", F.lit("x")).withColumn("row", F.lit(1)), chunk, bucket).collect()
         assert Counter((r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-        assert all(math.isfinite(r["score"]) and r["score"] <= 0.01 * r["n_tokens"] for r in got)
+        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
     assert lm.score_texts(empty).count() == 0
-
-
-def test_the_filter_keeps_quantised_counts(spark):
-    rng = random.Random(6)
-    words = [f"w{k}" for k in range(400)]
-    texts = [" ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(400)], k=200)) for _ in range(60)]
-    d = spark.createDataFrame([(t.encode(),) for t in texts], "text binary")
-    counts = lm.word_counts(d)
-    total = counts.agg(F.sum("n")).head()[0]
-    found = lm.build_filter(d, counts, total, 1 << 22)
-    c, pairs = Counter(), Counter()
-    for t in texts:
-        w = [b"", *lm.tokens(t.encode())]
-        c.update(w[1:])
-        pairs.update(zip(w, w[1:]))
-    ids = lambda ws: np.fromiter((zlib.crc32(w) for w in ws), np.uint64)
-    names = [w for w in c if c[w] > 1]
-    got = lm.counts_of()[found.levels(lm.word_key(ids(names)))]
-    assert all(1 / lm.STEP <= g / c[w] <= lm.STEP for g, w in zip(got, names))
-    often = [p for p in pairs if pairs[p] > 1]
-    keys = lm.pair_key((ids(p[0] for p in often) << np.uint64(32)) | ids(p[1] for p in often))
-    assert all(1 / lm.STEP <= g / pairs[p] <= lm.STEP for g, p in zip(lm.counts_of()[found.levels(keys)], often))
-    absent = found.levels(lm.word_key(np.arange(10_000, dtype=np.uint64)))
-    assert (absent > 0).mean() < 0.01
-    small = lm.build_filter(d, counts, total, 1 << 13)  # too small: only the greatest counts stay
-    kept = small.levels(lm.word_key(ids(names)))
-    assert small.data.size <= 1 << 10 and kept[names.index(max(c, key=c.get))] > 0
-
-
-def test_the_model_holds_every_count(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BUCKET_TOKENS", 1 << 9)
+    alone = lm.score_texts(docs.where("doc_id in (0, 1)").select(F.lit(11).alias("doc_id"), "text")).collect()  # 11 is held out
+    assert zlib.crc32(b"11") % 5 == 1 and all(r["train_tokens"] == 0 and r["n_known"] == 0 and math.isfinite(r["score"]) for r in alone)
+
+
+class Counts:
+    """What the model counts, plainly: (n, c) of words, pairs from the place before a text on, and triples."""
+
+    def __init__(self, texts):
+        self.c = [Counter(), Counter(), Counter()]
+        for t in texts:
+            w = [*WORD.findall(lower(t)), ""]
+            self.c[0].update(w)
+            self.c[1].update(zip([None, *w], w))
+            self.c[2].update(zip([None, *w], w, w[1:]))
+
+    def score(self, text, near):
+        w, total, every = [*WORD.findall(lower(text)), ""], 0.0, sum(self.c[0].values()) + 0.5 * (len(self.c[0]) + 1)
+        for i, x in enumerate(w):
+            before = w[i - 1] if i else None
+            p = (self.c[0][x] + 0.5) / every
+            n = self.c[0][before if i else ""]
+            p = (min(near(self.c[1][before, x]), n) + lm.PRIOR[2] * p) / (n + lm.PRIOR[2])
+            if i:
+                old = w[i - 2] if i > 1 else None
+                n = near(self.c[1][old, before])
+                p = (min(near(self.c[2][old, before, x]), n) + lm.PRIOR[3] * p) / (n + lm.PRIOR[3])
+            total += math.log10(p)
+        return total
+
+
+def test_scores_equal_a_plain_model(spark):
     rng = random.Random(8)
     texts = [" ".join(f"w{int(400 * rng.random() ** 2)}" for _ in range(rng.randint(0, 90))) for _ in range(150)]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    train = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1]
-    c, pairs, mass = Counter(), Counter(), Counter()
-    for t in train:
-        w = [b"", *lm.tokens(t.encode())]
-        c.update(w[1:])
-        pairs.update(zip(w, w[1:]))
-    for (v, _), n in pairs.items():
-        mass[v] += n - lm.DISCOUNT
-    near = lambda n: lm.counts_of()[lm.level_of(np.array([n]))[0]] if n else 0.0
-    every = sum(c.values()) + 0.5 * (len(c) + 1)
-
-    def score(text):
-        w, out = [b"", *lm.tokens(text.encode())], 0.0
-        for v, x in zip(w, w[1:]):
-            m = min(near(mass[v] * lm.MASS_STEPS) / lm.MASS_STEPS / max(near(c[v]), 1), 0.95)
-            out += math.log10(min(max(near(pairs[v, x]) - lm.DISCOUNT, 0) / max(near(c[v]), 1), m) + (1 - m) * (near(c[x]) + 0.5) / every)
-        return out
-    for tokens in (1 << 20, 500):  # the size of chunks changes nothing
-        monkeypatch.setattr(lm, "CHUNK_TOKENS", tokens)
-        got = {r["doc_id"]: r["score"] for r in lm.score_texts(d, top_words=50).collect()}
-        off = sum(not math.isclose(got[i], score(t), rel_tol=1e-6, abs_tol=1e-9) for i, t in enumerate(texts))
+    plain = Counts(t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1)
+    near = lambda n: float(lm.counts_of()[lm.level_of(np.array([n]))[0]])
+    for chunk in (1 << 20, 500):  # the size of chunks changes nothing
+        got = {r["doc_id"]: r["score"] for r in lm.score_texts(d, chunk, 700).collect()}
+        off = sum(not math.isclose(got[i], plain.score(t, near), rel_tol=1e-6, abs_tol=1e-9) for i, t in enumerate(texts))
         assert len(got) == len(texts) and off <= 0.2 * len(texts)  # the filter's false positives touch a few texts
 
 
-def test_the_filter_grows_with_its_entries():
-    keys = np.random.default_rng(2).integers(0, 1 << 63, 300_000, dtype=np.uint64)
-    levels = np.where(np.arange(len(keys)) % 4, 1, 3)
-    table = lm.pa.Table.from_pydict({"kind": [1], "keys": [lm.pack(np.sort(keys))], "counts": [lm.counts_of()[levels].astype(np.float32).tobytes()]})
-    got = lm._built(table, None).levels(np.sort(keys))
-    assert (got >= levels).all() and (got > levels).mean() < 0.01
-
-
-def test_gaps_pack_and_unpack():
+def test_probabilities_after_a_context_add_up_to_one():
+    rng = random.Random(3)
+    texts = [" ".join(f"w{int(60 * rng.random() ** 3)}" for _ in range(40)) for _ in range(400)]
+    plain = Counts(texts)
+    words, level = [*plain.c[0]], lambda n: lm.level_of(np.array([n]))
+    total, distinct = sum(plain.c[0].values()), len(words)
+    for u, v in [("w0", "w0"), ("w1", "w0"), ("w9", "w3"), ("w50", "w0"), ("w0", "w59")]:
+        mass = 0.0
+        for x in [*words, "unseen"]:
+            ws = [u, v, x]
+            exact = np.array([*(plain.c[0][w] for w in ws), len(texts)])
+            pairs = np.concatenate([level(plain.c[1][p]) for p in [(None, u), (u, v), (v, x), (x, "")]])
+            triples = np.concatenate([level(0), *(level(plain.c[2][p]) for p in [(None, u, v), (u, v, x), (v, x, "")])])
+            mass += lm.probabilities([pairs, pairs, triples], exact, np.array([4]), total, distinct)[2]
+        assert abs(mass - 1) < 0.01
+
+
+def test_filters_keep_every_level():
+    rng = np.random.default_rng(2)
+    keys, counts = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64), np.minimum(1 / rng.random(60_000), 1e6).astype(np.int64)
+    found = lm.Filter(keys, lm.level_of(counts))
+    got = found.levels(keys)
+    assert (got >= lm.level_of(counts)).all() and (got > lm.level_of(counts)).mean() < 0.01
+    assert (found.levels(rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)) > 0).mean() < 0.01
+    near = lm.counts_of()[lm.level_of(counts)] / counts
+    assert (near[counts <= lm.EXACT] == 1).all() and abs(near - 1).max() < 0.05
+    assert lm.Filter(keys[:0], counts[:0]).levels(keys[:5]).tolist() == [0] * 5
+    asked = np.sort(rng.integers(0, 1 << 40, 5000, dtype=np.uint64))
+    where = lm.buckets_of(asked, 40, 37)
+    assert (np.diff(where) >= 0).all() and set(where) == set(range(37))
+
+
+def test_word_hashes_follow_words():
+    long = "Word " * 300 + "x" * 3000 + " É\u00a0a\x0bb"
+    texts = [t or "" for t in odd_texts()] + [long, long.lower()]
+    hashes, sizes = lm.word_hashes([t.encode() for t in texts])
+    want = [[*WORD.findall(lower(t)), ""] for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    of = {}
+    for h, w in zip(hashes.tolist(), (w for ws in want for w in ws)):
+        assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
+def test_long_texts_are_cut_at_words(monkeypatch):
+    text = " ".join(vocabulary(400, 4)).encode() + b" " + b"y" * 500 + b"  z"
+    whole, sizes = lm.word_hashes([text])
+    monkeypatch.setattr(lm, "PIECE_BYTES", 50)
+    assert b"".join(lm._cut(text)) == text and (lm.word_hashes([text])[0] == whole).all() and len(whole) == sizes[0]
+
+
+def test_keys_pack_and_unpack():
     x = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64))
-    assert (lm.unpack(lm.pack(x)) == x).all() and len(lm.unpack(lm.pack(x[:0]))) == 0
+    for v in (x, x >> np.uint64(30), x[:0]):
+        assert (lm.unpack(lm.pack(v)) == v).all()
 
 
 # --- registration -----------------------------------------------------------
