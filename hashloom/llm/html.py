@@ -1,29 +1,43 @@
-"""HTML extraction by wrapper induction: same-host pages are aligned by simple tree matching."""
+"""HTML extraction by wrapper induction: same-host pages are aligned by simple tree matching.
+
+Each host has a reference page. Every page's tree is laid over it, so that pages share
+places; over all pages of the host it is counted where text varies. Places that never
+vary are template, the others are content; names and kinds of elements decide only
+between varying places beside the way to the bulk of the text.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pages of one host that are aligned together; a host's pages form as many groups as that takes.
-GROUP = 48
-#: A text that never varies is template from so many different pages on.
+from hashloom.llm.common import materialize
+
+#: A place whose text never varies is template from so many different pages on.
 EVIDENCE = 3
-#: Fold-in depth of nested elements; what lies deeper belongs to its ancestor at this depth.
-DEPTH = 200
+#: Share of its parent's varying text that makes an element the way to the article.
+MAIN = 0.5
+#: Share of links in an element's text from which on it is a menu, beside that way.
+LINKED = 0.6
+#: Hosts' trees and templates are broadcast up to so many bytes, else joined by shuffle.
+BROADCAST_BYTES = 32 << 20
 
 # Element kinds of HTML.
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q ruby rt s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button".split())
+RAW = frozenset("script style noscript template textarea title iframe select".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-CHROME_TAGS = frozenset("head nav header footer aside form dialog menu".split())
+CHROME_TAGS = frozenset("head nav header footer aside form dialog menu button".split())
 # Words in class, id and role attributes that name what is not the article.
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo "
@@ -37,272 +51,327 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
 
 
-class Node:
-    """An element: its children are nodes and texts (text, whether it is a link's)."""
+class Page:
+    """The block elements of a page in document order: inline elements dissolve into texts, broken nesting is mended.
 
-    __slots__ = ("tag", "name", "children", "chrome", "drop")
+    tags, names, parents and chrome by element (element 0 is the root); flow: what comes
+    in order, (element, text, whether it is a link's), and (element, None, ...) where one begins or ends.
+    """
 
-    def __init__(self, tag: str, name: str = "", chrome: bool = False):
-        self.tag, self.name, self.children, self.chrome, self.drop = tag, name, [], chrome, False
+    def __init__(self, html: str):
+        self.tags, self.names, self.parents, self.chrome = ["root"], [""], [-1], [False]
+        self.flow: list[tuple[int, str | None, bool]] = []
+        self._parse(html)
 
+    def _parse(self, html: str):
+        stack, links, at, flow = [0], 0, 0, self.flow
 
-def parse(html: str) -> Node:
-    """The tree of block elements of a page; inline elements dissolve into texts, broken nesting is mended."""
-    root = Node("root")
-    stack, links, at = [root], 0, 0
-    while at < len(html):
-        m = _TOKEN.match(html, at)
-        if m is None:  # a tag that never ends
-            break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            token = m[0]
-            if token[:2] not in ("<!", "<?"):
-                stack[-1].children.append((unescape(token) if "&" in token else token, links > 0))
-            continue
-        tag, closing = tag.lower(), m[1]
-        if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(html, at)
-                at = end.end() if end else len(html)
-            stack[-1].children.append((" ", False))
-            continue
-        named = ""
-        if m[3] and not closing:
-            named = " ".join(f"{k.lower()}={v.strip(chr(34) + chr(39)).lower()}" for k, v in _NAMED.findall(m[3]))
-        words = set(re.split(r"[^a-z]+", named)) - {"class", "id", "role"} if named else ()
-        chrome = tag in CHROME_TAGS or bool(words and not words.isdisjoint(CHROME_WORDS))
-        if tag in VOID:
-            if tag in ("br", "hr"):
-                stack[-1].children.append((" ", False))
-            continue
-        if tag in INLINE and not (chrome and not closing) and not (closing and any(n.tag == tag for n in stack[-2:])):
-            if tag == "a":
-                links = max(links + (-1 if closing else 1), 0)
-            continue
-        if closing:
+        def close(k: int):
+            for e in reversed(stack[k:]):
+                flow.append((e, None, False))
+            del stack[k:]
+
+        while at < len(html):
+            m = _TOKEN.match(html, at)
+            if m is None:  # a tag that never ends
+                break
+            at = m.end()
+            tag = m[2]
+            if tag is None:
+                token = m[0]
+                if token[:2] not in ("<!", "<?"):
+                    flow.append((stack[-1], unescape(token) if "&" in token else token, links > 0))
+                continue
+            tag, closing = tag.lower(), m[1]
+            if tag in RAW:
+                if not closing and not m[3].endswith("/"):
+                    end = re.compile(f"</{tag}[^>]*>", re.IGNORECASE).search(html, at)
+                    at = end.end() if end else len(html)
+                flow.append((stack[-1], " ", False))
+                continue
+            named = ""
+            if m[3] and not closing:
+                named = " ".join(f"{k.lower()}={v.strip(chr(34) + chr(39)).lower()}" for k, v in _NAMED.findall(m[3]))
+            words = set(re.split(r"[^a-z]+", named)) - {"class", "id", "role"} if named else ()
+            chrome = tag in CHROME_TAGS or bool(words and not words.isdisjoint(CHROME_WORDS))
+            if tag in VOID:
+                if tag in ("br", "hr"):
+                    flow.append((stack[-1], " ", False))
+                continue
+            if tag in INLINE and not (chrome and not closing) and not (closing and any(self.tags[e] == tag for e in stack[-2:])):
+                if tag == "a":
+                    links = max(links + (-1 if closing else 1), 0)
+                continue
+            if closing:
+                for k in range(len(stack) - 1, 0, -1):
+                    if self.tags[stack[k]] == tag:
+                        close(k)
+                        links = 0
+                        break
+                continue
+            if tag == "body":
+                close(2 if len(stack) > 1 and self.tags[stack[1]] == "html" else 1)
+            elif self.tags[stack[-1]] == "p" and tag not in INLINE:
+                close(len(stack) - 1)
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    links = 0
+                if self.tags[stack[k]] in CLOSES.get(tag, ()):
+                    close(k)
+                elif self.tags[stack[k]] in ("ul", "ol", "dl", "table", "div", "article", "main", "section", "select"):
                     break
-            continue
-        if tag == "body":
-            del stack[2 if len(stack) > 1 and stack[1].tag == "html" else 1:]
-        elif stack[-1].tag == "p" and tag not in INLINE:
-            stack.pop()
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in CLOSES.get(tag, ()):
-                del stack[k:]
-            elif stack[k].tag in ("ul", "ol", "dl", "table", "div", "article", "main", "section", "select"):
-                break
-        node = Node(tag, named, chrome)
-        links = 0
-        stack[-1].children.append(node)
-        if len(stack) < DEPTH:
-            stack.append(node)
-    return root
-
-
-class Slot:
-    """Siblings of one kind, folded: what a page has at a place of the template."""
-
-    __slots__ = ("key", "nodes", "kids")
-
-    def __init__(self, key: tuple[str, str], nodes: list[Node]):
-        self.key, self.nodes = key, nodes
-        kids: dict[tuple[str, str], list[Node]] = {}
-        for n in nodes:
-            for c in n.children:
-                if isinstance(c, Node):
-                    kids.setdefault((c.tag, c.name), []).append(c)
-        self.kids = [Slot(k, v) for k, v in kids.items()]
-
-    def text(self) -> str:
-        return " ".join(" ".join(c[0] for n in self.nodes for c in n.children if not isinstance(c, Node)).split())
-
-
-class Place:
-    """A node of the growing template."""
-
-    __slots__ = ("key", "kids", "pages", "first", "varies")
-
-    def __init__(self, slot: Slot):
-        self.key, self.kids, self.pages, self.first, self.varies = slot.key, [], 0, None, False
-
-
-def tree_match(a, b, memo: dict) -> int:
-    """Simple tree matching: the most node pairs that an order-keeping, level-keeping match of two trees can have."""
-    if a.key != b.key:
-        return 0
-    found = memo.get((id(a), id(b)))
-    if found is None:
-        row = [0] * (len(b.kids) + 1)
-        for x in a.kids:
-            fresh = [0]
-            for j, y in enumerate(b.kids, 1):
-                fresh.append(max(fresh[-1], row[j], row[j - 1] + tree_match(x, y, memo)))
-            row = fresh
-        found = memo[id(a), id(b)] = row[-1] + 1
-    return found
-
-
-def pairs(a, b, memo: dict) -> list[tuple[int, int]]:
-    """Index pairs of children in a best match of two matched nodes."""
-    n, m = len(a.kids), len(b.kids)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + tree_match(a.kids[i - 1], b.kids[j - 1], memo))
-    out, i, j = [], n, m
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append((i, j))
+            links = 0
+            self.tags.append(tag)
+            self.names.append(re.sub(r"[0-9]+", "", named))
+            self.parents.append(stack[-1])
+            self.chrome.append(chrome)
+            stack.append(len(self.tags) - 1)
+            flow.append((stack[-1], None, False))
+        close(0)
+
+    def keys(self) -> list[str]:
+        """What tells an element from its siblings: kind and name without digits; of nameless containers also the kinds inside."""
+        inside: list[set[str]] = [set() for _ in self.tags]
+        for tag, parent in zip(self.tags[1:], self.parents[1:]):
+            inside[parent].add(tag)
+        return [f"{t} {n}" if n or t not in ("div", "section") else f"{t} {' '.join(sorted(i))}" for t, n, i in zip(self.tags, self.names, inside)]
+
+
+class Tree:
+    """Elements folded into slots: siblings of one key are one slot, so that a slot's children have different keys.
+
+    parents and keys by slot, a slot after its parent, siblings in order of first appearance.
+    """
+
+    def __init__(self, parents: list[int], keys: list[str]):
+        self.parents, self.keys = parents, keys
+        self.kids: list[dict[str, int]] = [{} for _ in parents]
+        for s in range(1, len(parents)):
+            self.kids[parents[s]][keys[s]] = s
+
+    @classmethod
+    def of(cls, page: Page) -> tuple[Tree, list[int]]:
+        """(tree, slot of each element)."""
+        slots, parents, keys, slot_of = {}, [-1], ["root"], [0]
+        for key, parent in zip(page.keys()[1:], page.parents[1:]):
+            place = (slot_of[parent], key)
+            if place not in slots:
+                slots[place] = len(parents)
+                parents.append(place[0])
+                keys.append(key)
+            slot_of.append(slots[place])
+        return cls(parents, keys), slot_of
+
+
+def tree_match(a: Tree, b: Tree) -> tuple[int, list[int]]:
+    """Simple tree matching: (most node pairs that an order-keeping, level-keeping match can have, b's partner in a of each slot or -1).
+
+    Children have different keys, so each has one possible partner, and the best match
+    of two child lists is the heaviest run of partners that ascends in both: n log n.
+    """
+    pairs, at = [(0, 0)], 0
+    inner: list[list[int]] = []  # of each pair: pairs of children, in b's order
+    while at < len(pairs):
+        x, y = pairs[at]
+        inner.append([])
+        for key, kid in b.kids[y].items():
+            if (other := a.kids[x].get(key)) is not None:
+                inner[at].append(len(pairs))
+                pairs.append((other, kid))
+        at += 1
+    weight, chosen = [1] * len(pairs), [[] for _ in pairs]
+    for p in range(len(pairs) - 1, -1, -1):
+        chosen[p] = _heaviest([pairs[k][0] for k in inner[p]], [weight[k] for k in inner[p]])
+        weight[p] += sum(weight[inner[p][i]] for i in chosen[p])
+    partner, todo = [-1] * len(b.parents), [0]
+    while todo:
+        p = todo.pop()
+        partner[pairs[p][1]] = pairs[p][0]
+        todo += [inner[p][i] for i in chosen[p]]
+    return weight[0], partner
+
+
+def _heaviest(values: list[int], weights: list[int]) -> list[int]:
+    """Indices of the ascending subsequence of greatest weight (values differ)."""
+    tops: list[tuple[int, int, int]] = []  # (last value, weight, index): both ascend
+    back = [-1] * len(values)
+    for i, (v, w) in enumerate(zip(values, weights)):
+        k = bisect_left(tops, (v,))
+        if k:
+            w, back[i] = w + tops[k - 1][1], tops[k - 1][2]
+        end = k
+        while end < len(tops) and tops[end][1] <= w:
+            end += 1
+        tops[k:end] = [(v, w, i)]
+    out, i = [], tops[-1][2] if tops else -1
+    while i >= 0:
+        out.append(i)
+        i = back[i]
     return out[::-1]
 
 
-def align(place: Place, slot: Slot, counts: bool, links: list[tuple[Place, Slot]], memo: dict) -> None:
-    """Lay a page's slot over its place; slots without a place are added to the template after what precedes them."""
-    links.append((place, slot))
-    if counts:
-        text = slot.text()
-        place.varies = place.varies or (place.pages > 0 and text != place.first)
-        place.first, place.pages = text, place.pages + 1
-    met = {j: place.kids[i] for i, j in pairs(place, slot, memo)}
-    at = 0
-    for j, kid in enumerate(slot.kids):
-        if j in met:
-            at = next(k for k, x in enumerate(place.kids) if x is met[j]) + 1
-        else:
-            met[j] = Place(kid)
-            place.kids.insert(at, met[j])
-            at += 1
-        align(met[j], kid, counts, links, memo)
-
-
-def _mark(node: Node, inside: bool) -> None:
-    """Drop what element kinds and names tell to be no article text; inside an article its own header stays."""
-    for c in node.children:
-        if isinstance(c, Node):
-            here = inside or c.tag in ("article", "main")
-            words = set(re.split(r"[^a-z]+", c.name))
-            if c.chrome and c.tag not in ("article", "main", "body", "html"):
-                own = inside and c.tag not in CHROME_TAGS - {"header"} and not (words & (CHROME_WORDS - OWN_WORDS))
-                c.drop = not own
-            if not c.drop:
-                _mark(c, here)
-
-
-def _roots(node: Node, tags: tuple[str, ...]) -> list[Node]:
+def places(tree: Tree, reference: Tree) -> list[int]:
+    """A 63-bit number for each slot of a page: that of its partner in the reference, else one by its own parent's place."""
+    name = lambda x: xxhash.xxh64_intdigest(x) >> 1
+    _, partner = tree_match(reference, tree)
+    of_reference = [name("root")]
+    for s in range(1, len(reference.parents)):
+        of_reference.append(name(f"{of_reference[reference.parents[s]]}/{reference.keys[s]}"))
     out = []
-    for c in node.children:
-        if isinstance(c, Node) and not c.drop:
-            out += [c] if c.tag in tags else _roots(c, tags)
+    for s, p in enumerate(partner):
+        out.append(of_reference[p] if p >= 0 else name(f"{out[tree.parents[s]]}+{tree.keys[s]}"))
     return out
 
 
-def _mass(node: Node, still: set[int]) -> tuple[int, int]:
-    """(characters, those in links) of what is neither dropped nor template."""
-    n = k = 0
-    for c in node.children:
-        if isinstance(c, Node):
-            if not c.drop:
-                a, b = _mass(c, still)
-                n, k = n + a, k + b
-        elif id(node) not in still:
-            size = len(c[0].strip())
-            n, k = n + size, k + size * c[1]
-    return n, k
-
-
-def _read(node: Node, still: set[int], out: list[str]) -> None:
-    out.append(" ")
-    for c in node.children:
-        if isinstance(c, Node):
-            if not c.drop:
-                _read(c, still, out)
-        elif id(node) not in still:
-            out.append(c[0])
-    out.append(" ")
-
-
-def _content(root: Node, still: set[int]) -> list[Node]:
-    """The article or main element if there is one, else the lowest element with most of the varying, unlinked text."""
-    found = _roots(root, ("article",)) or _roots(root, ("main",))
-    if found:
-        return found
-    node = root
-    whole = _mass(root, still)[0]
-    while True:
-        heavy = [c for c in node.children if isinstance(c, Node) and not c.drop and c.tag not in ("p", "li", "td") and _mass(c, still)[0] >= 0.7 * whole]
-        if not heavy:
+def texts_of(page: Page, slot_of: list[int]) -> dict[int, tuple[str, int, int]]:
+    """By slot with any text of its own: (text, characters outside links, inside links)."""
+    parts: dict[int, list[str]] = {}
+    sizes: dict[int, list[int]] = {}
+    for element, text, linked in page.flow:
+        if text is not None and not text.isspace():
+            s = slot_of[element]
+            parts.setdefault(s, []).append(text)
+            sizes.setdefault(s, [0, 0])[linked] += len(text.strip())
+    return {s: (" ".join(" ".join(p).split()), *sizes[s]) for s, p in parts.items()}
+
+
+def extract(html: str, reference: Tree | None = None, template: dict[int, tuple[bool, float, float]] | None = None) -> str:
+    """The main text of a page.
+
+    template: by place, whether its text never varies, and its mean characters outside
+    and inside links. Template places give no text, headings excepted. From the root
+    down, the child with MAIN of the varying, unlinked text is the way to the
+    article. What lies on it stays, whatever its name. Beside and below it elements go
+    whose kind or name tells a menu, notice or the like, and outside its end also those of LINKED links.
+    """
+    page = Page(html)
+    tree, slot_of = Tree.of(page)
+    place, known, own = places(tree, reference or tree), template or {}, texts_of(page, slot_of)
+    n = len(tree.parents)
+    still = [place[s] in known and known[place[s]][0] and tree.keys[s].split(" ")[0] not in HEADINGS for s in range(n)]
+    plain, linked = [0.0] * n, [0.0] * n
+    for s, (_, a, b) in own.items():
+        if not still[s]:
+            plain[s], linked[s] = known[place[s]][1:] if place[s] in known else (a, b)
+    for s in range(n - 1, 0, -1):
+        plain[tree.parents[s]] += plain[s]
+        linked[tree.parents[s]] += linked[s]
+    way, end = {0}, 0
+    while tree.kids[end]:
+        top = max(tree.kids[end].values(), key=lambda s: plain[s])
+        if plain[top] < MAIN * plain[end] or plain[top] == 0 or tree.keys[top].split(" ")[0] in ("p", "li", "td", "tr"):
             break
-        node = heavy[0]
-    for c in node.children:
-        if isinstance(c, Node):
-            n, k = _mass(c, still)
-            c.drop = c.drop or (n > 0 and k > 0.6 * n)
-    return [node]
-
-
-def extract(pages: list[str | None]) -> list[str]:
-    """The main text of each page of one host."""
-    roots = [parse(h or "") for h in pages]
-    template, links, seen = None, [], set()
-    for root in roots:
-        slot, own = Slot(("root", ""), [root]), []
-        template = template or Place(slot)
-        parts: list[str] = []
-        _read(root, set(), parts)
-        text = "".join(parts)
-        align(template, slot, text not in seen, own, {})
-        seen.add(text)
-        links.append(own)
+        way.add(end := top)
+    under = [False] * n  # the end of the way
+    for s in range(n):
+        under[s] = s == end or s > 0 and under[tree.parents[s]]
+    drop = [False] * len(page.tags)
+    for e in range(1, len(page.tags)):
+        s = slot_of[e]
+        words = set(re.split(r"[^a-z]+", page.names[e]))
+        heads = under[s] and page.tags[e] not in CHROME_TAGS - {"header"} and not words & (CHROME_WORDS - OWN_WORDS)  # an article's own header
+        menu = not under[s] and linked[s] > LINKED * (plain[s] + linked[s])
+        drop[e] = drop[page.parents[e]] or s not in way and (page.chrome[e] and not heads or menu)
     out = []
-    for root, own in zip(roots, links):
-        still = {id(n) for place, slot in own if place.pages >= EVIDENCE and not place.varies and place.key[0] not in HEADINGS for n in slot.nodes}
-        _mark(root, False)
-        parts = []
-        for node in _content(root, still):
-            _read(node, still, parts)
-        out.append(" ".join("".join(parts).split()))
-    return out
+    for element, text, _ in page.flow:
+        if not drop[element]:
+            out.append(" " if text is None else "" if still[slot_of[element]] else text)
+    return " ".join("".join(out).split())
+
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
-def main_text(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+def _hosted(pages: DataFrame) -> DataFrame:
+    host = F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
+    return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
+
+
+def _with(rows: DataFrame, hosts: DataFrame, column: str) -> DataFrame:
+    """``rows`` with what ``hosts`` has of their host: broadcast behind a check of its size, else by a shuffled join."""
+    size = hosts.agg(F.sum(F.octet_length(column) + F.octet_length("host") + 64)).head()[0] or 0
+    return rows.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
+
+
+def references(hosted: DataFrame) -> DataFrame:
+    """(host, tree): the folded tree of each host's page of least hash, as JSON."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[str, tuple[int, str]] = {}
+
+        def out() -> pa.RecordBatch:
+            trees = [Tree.of(Page(html))[0] for _, html in least.values()]
+            return pa.RecordBatch.from_arrays([
+                pa.array(least, pa.string()), pa.array([h for h, _ in least.values()], pa.int64()), pa.array([json.dumps([t.parents, t.keys]) for t in trees], pa.string())],
+                names=["host", "turn", "tree"])
+
+        for batch in batches:
+            for host, turn, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if host and (host not in least or turn < least[host][0]):
+                    least[host] = turn, html
+            if len(least) > 512:
+                yield out()
+                least = {}
+        if least:
+            yield out()
+
+    found = hosted.where("html <> ''").select("host", F.xxhash64("html").alias("turn"), "html").mapInArrow(run, "host string, turn bigint, tree string")
+    return materialize(found.groupBy("host").agg(F.min_by("tree", "turn").alias("tree")), "references")
+
+
+def induce(hosted: DataFrame, trees: DataFrame) -> DataFrame:
+    """(host, tree, template): templates count over all pages of a host; those that are equal count once.
+
+    template: JSON of [place, never varies, mean characters outside links, inside links]
+    of each place that EVIDENCE different pages have.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree_of = lru_cache(256)(lambda shape: Tree(*json.loads(shape)))
+        for batch in batches:
+            rows = []
+            for name, shape, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                page, tree = Page(html), tree_of(shape)
+                own, slot_of = Tree.of(page)
+                place, digest = places(own, tree), xxhash.xxh64_intdigest(html) >> 1
+                rows += [(name, place[s], digest, xxhash.xxh64_intdigest(t) >> 1, a, b) for s, (t, a, b) in texts_of(page, slot_of).items()]
+            if rows:
+                kinds = (pa.string(), *[pa.int64()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "place", "page", "text", "plain", "linked"])
+
+    met = _with(hosted.where("host <> ''"), trees, "tree").where("tree is not null").select("host", "tree", "html").mapInArrow(
+        run, "host string, place bigint, page bigint, text bigint, plain bigint, linked bigint")
+    each = met.groupBy("host", "place", "page").agg(F.min("text").alias("text"), F.min("plain").alias("plain"), F.min("linked").alias("linked"))
+    sums = each.groupBy("host", "place").agg(
+        F.count("*").alias("n"), (F.min("text") == F.max("text")).alias("still"), F.avg("plain").alias("plain"), F.avg("linked").alias("linked")).where(F.col("n") >= EVIDENCE)
+    found = sums.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "still", "plain", "linked")))).alias("template"))
+    return materialize(trees.join(found, "host", "left").select("host", F.struct("tree", F.coalesce("template", F.lit("[]")).alias("template")).alias("wrapper")).select(
+        "host", F.to_json("wrapper").alias("wrapper")), "templates")
+
+
+def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html, others ignored).
 
-    Pages are sorted by host across the cluster (a large host spans partitions), and each
-    run of GROUP pages of a host is aligned into one template. Slots that never vary
-    among at least EVIDENCE different pages are template, except headings; of the
-    others, menus, notices and the like go by element kind and name, and the article
-    stays. A host's only page, and pages without host, go by kind and name alone. A null or
-    empty html gives an empty text; repeated rows each get a row, and count once in a
-    template.
+    Each host's template is induced over all its pages, in two passes over the table: one
+    aligns every page with the host's reference and counts, by place, different pages
+    and texts; one extracts. No grouping of pages into tasks or batches changes an answer.
+    A host's only page, pages without host, and hosts of fewer than EVIDENCE different
+    pages have no template, and go by the weight of their texts, kinds and names alone.
+    A null or empty html gives an empty text. Repeated rows each get a row, and
+    count once in a template; null page_ids and urls stay. Long and deeply nested pages
+    are read whole, in time linear in their length but for sorting. An empty table gives none.
     """
-    kept = pages.select("page_id", "url", "html").withColumns({
-        "_host": F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")), "_turn": F.xxhash64("page_id", "url")})
-    by = ("_host", "_turn")
-    spread = kept.repartitionByRange(partitions, *by) if partitions else kept.repartitionByRange(*by)
+    hosted = _hosted(pages)
+    wrappers = induce(hosted, references(hosted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(256)
+        def read(wrapper: str | None):
+            if wrapper is None:
+                return None, None
+            known = json.loads(wrapper)
+            return Tree(*json.loads(known["tree"])), {x["place"]: (x["still"], x["plain"], x["linked"]) for x in json.loads(known["template"])}
+
         for batch in batches:
-            hosts, html, at = batch.column(3).to_pylist(), batch.column(2).to_pylist(), 0
-            while at < len(hosts):
-                end = at
-                while end < len(hosts) and hosts[end] == hosts[at] and end - at < GROUP:
-                    end += 1
-                texts = extract(html[at:end]) if hosts[at] else [extract([h])[0] for h in html[at:end]]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
-                    names=["page_id", "url", "text", "n_chars"])
-                at = end
+            texts = [extract(html, *read(wrapper)) for html, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return spread.sortWithinPartitions(*by).select("page_id", "url", "html", "_host").mapInArrow(run, f"page_id {key}, url string, text string, n_chars bigint")
+    return _with(hosted, wrappers, "wrapper").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {key}, url string, text string, n_chars bigint")
