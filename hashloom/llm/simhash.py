@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from hashloom.llm.common import connected_components, materialize
 
+#: Fourteen sets of four byte positions: any two positions are missing together from three of them, any one from seven.
+BLOCKS = [b for b in combinations(range(8), 4) if b[0] ^ b[1] ^ b[2] ^ b[3] == 0]
+#: Postings that two fingerprints share at least, by the greatest number of differing bits.
+SHARED = {0: 14, 1: 7, 2: 3}
 #: A posting list of more distinct fingerprints than this is linked by one-bit neighbours instead of pairs.
 POSTING_PAIRS = 48
 
@@ -35,55 +39,47 @@ def simhash(words: list[bytes], shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the SimHash of each row's whole text as a signed long; null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(*carried, fp): the SimHash of each row's whole text as a signed long; null text counts as empty."""
     def run(batches):
         for batch in batches:
-            fps = [simhash((t or b"").lower().split(), shingle) for t in batch.column(1).to_pylist()]
+            fps = [simhash((t or b"").lower().split(), shingle) for t in batch.column(len(carried)).to_pylist()]
             fps = np.array(fps, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps, pa.int64())], names=[*carried, "fp"])
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {key}, fp bigint")
-
-
-def _shared_bytes(a: Column, b: Column) -> Column:
-    """How many of the eight byte positions of two fingerprints hold the same byte."""
-    x = a.bitwiseXOR(b)
-    return sum(F.when(x.bitwiseAND(F.lit(255 << 8 * i if i < 7 else -(1 << 56))) == 0, 1).otherwise(0) for i in range(8))
+    kept = docs.select(*carried)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return docs.select(*carried, F.col("text").cast("binary")).mapInArrow(run, f"{schema}, fp bigint")
 
 
 def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     """Edges (a, b) whose components are those of "at most ``distance`` (0 to 2) differing bits".
 
-    Each differing bit spoils at most one byte, so linked fingerprints share at least
-    8 - distance positional bytes. The index posts every distinct fingerprint under all
-    pairs of its four two-byte blocks (positions included): two spoilt bytes leave at
-    least two blocks whole, so no link is missed. In a posting list, pairs are tallied
-    for shared bytes, kept from the guaranteed minimum on, and verified bit by bit.
+    Each differing bit spoils at most one of the eight bytes. The index posts every
+    distinct fingerprint under the bytes at each of BLOCKS, positions included; two
+    spoilt bytes leave three postings whole, three leave one, four one at most. In
+    posting lists, shared postings are tallied for each pair, pairs below the
+    guaranteed minimum go, and the others are verified bit by bit.
 
     A list of more than POSTING_PAIRS entries would give too many pairs. Its members are
     linked exactly another way: fingerprints at most two bits apart have a common
     neighbour at most one bit from both, and each neighbour's at most 65 owners are tied
-    to the least of them.
+    to the least of them. A pair that shares such a list is found there; one that does
+    not has all its shared postings in short lists, so its tally is whole.
     """
-    if not 0 <= distance <= 2:
+    if distance not in SHARED:
         raise ValueError("distance must be 0, 1 or 2: wider ones leave too few whole bytes")
-    blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)]
-    keys = [
-        F.shiftleft(F.lit(4 * i + j).cast("long"), 32) + F.shiftleft(blocks[i], 16) + blocks[j]
-        for i, j in combinations(range(4), 2)
-    ]
+    byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(0xFF))
+    keys = [sum((F.shiftleft(byte(i), 8 * k) for k, i in enumerate(b)), F.shiftleft(F.lit(n).cast("long"), 32)) for n, b in enumerate(BLOCKS)]
     postings = fps.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     sized = materialize(postings.join(sizes, "key"), "postings")
-    near = lambda a, b: (_shared_bytes(a, b) >= 8 - distance) & (F.bit_count(a.bitwiseXOR(b)) <= distance)
-    few = (
+    near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
+    met = (
         sized.where(F.col("n") <= POSTING_PAIRS).groupBy("key").agg(F.collect_list("fp").alias("l"))
-        .select(F.explode(F.flatten(F.transform("l", lambda a: F.transform(
-            F.filter("l", lambda b: (a < b) & near(a, b)), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p"))
-        .select("p.*")
+        .select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b")).where("a < b")
     )
+    few = met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= SHARED[distance]).where(near(F.col("a"), F.col("b"))).select("a", "b")
     many = sized.where(F.col("n") > POSTING_PAIRS).select("fp").distinct()
     flips = [F.lit(0).cast("long")] + [F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)]
     owners = (
@@ -99,6 +95,15 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     return few.union(star.where(near(F.col("a"), F.col("b")))).distinct()
 
 
+def _components(each: DataFrame, distance: int) -> DataFrame:
+    """(fp, part, component_id) of the distinct fingerprints of ``each`` (doc_id, fp): part is the same throughout a component."""
+    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
+    parts = connected_components(links(fps, distance), "near-duplicates").toDF("fp", "part")
+    named = fps.join(parts, "fp", "left").select("fp", "first", F.coalesce("part", "fp").alias("part"))
+    names = named.groupBy("part").agg(F.min("first").alias("component_id"))
+    return materialize(named.join(names, "part").select("fp", "part", "component_id"), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text, any others).
 
@@ -109,21 +114,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     unless it has no other. Repeated rows give repeated rows; an empty table gives none.
     """
     each = materialize(fingerprints(docs, shingle), "fingerprints")
-    fps = materialize(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    parts = connected_components(links(fps, distance), "near-duplicates").toDF("fp", "part")
-    named = fps.join(parts, "fp", "left").select("fp", "first", F.coalesce("part", "fp").alias("part"))
-    names = named.groupBy("part").agg(F.min("first").alias("component_id"))
-    named = materialize(named.join(names, "part").select("fp", "component_id"), "components")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return each.join(_components(each, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """``docs`` with one row of each near-duplicate component, that of the least doc_id.
+    """``docs`` with one row of each near-duplicate component, that of the least doc_id, then the least hash of its text.
 
-    Of several rows with that doc_id one stays; rows without doc_id stay all. All columns
-    are kept.
+    Rows without doc_id stay all, and other rows stay beside them. Of rows with the same
+    doc_id and text one stays; where texts of one doc_id lie in different components, one
+    of each stays. All columns are kept. An empty table stays empty.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    mark = F.xxhash64("text")
+    each = materialize(fingerprints(docs.where("doc_id is not null").select("doc_id", "text", mark.alias("_text")), shingle, ("doc_id", "_text")), "fingerprints")
+    first = each.join(_components(each, distance), "fp").groupBy("part").agg(F.min(F.struct("doc_id", "_text")).alias("f")).select(
+        F.col("f.doc_id").alias("_id"), F.col("f._text").alias("_text"))
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), mark.alias("_text"))
+    kept = row.where("_id is not null").join(first, ["_id", "_text"], "left_semi").dropDuplicates(["_id", "_text"])
+    return kept.unionByName(row.where("_id is null")).select("row.*")

@@ -168,6 +168,58 @@ def test_redaction(leaky, spark):
     assert secrets.find_secrets(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+WORDS = "the quick settings internal value index report analysis customer history update message network storage session manager provider module function handler request".split()
+
+
+def written(rng):
+    w = [rng.choice(WORDS) for _ in range(rng.randint(3, 6))]
+    return rng.choice(["_".join(w), w[0] + "".join(x.title() for x in w[1:]), "/".join(w) + str(rng.randint(1, 99)), "".join(w), "-".join(w) + "-2024"])
+
+
+def test_written_strings_stay_below_the_false_discovery_rate(spark):
+    rng = random.Random(4)
+    rows = [" ".join(written(rng) for _ in range(10)) for _ in range(200)]
+    alphabets = dict(secrets.ALPHABETS)
+    rows += ["".join(rng.choice(alphabets[e]) for _ in range(n)) for e, n in (("base62", 32), ("base64", 40), ("HEX", 64), ("base32", 64)) for _ in range(50)]
+    got = secrets.find_secrets(spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")).collect()
+    false, true = (sum(r["spans"].count("random") for r in got if (r["doc_id"] < 200) == x) for x in (True, False))
+    assert true >= 180 and false <= 0.02 * (true + false)
+
+
+def test_the_three_tests_equal_plain_computation(spark):
+    rng = random.Random(2)
+    rows = ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) for _, a in secrets.ALPHABETS for _ in range(4)] + [written(rng) for _ in range(20)] + ["a" * 30, "0" * 20]
+    rows = [r for r in rows if len(r) >= 20]
+    normal = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    for t, b in [tuple(r) for r in spark.createDataFrame([(r,) for r in rows], "t string").select("t", secrets._battery(F.col("t"))).collect()]:
+        fits = [(e, a) for e, a in secrets.ALPHABETS if set(t) <= set(a)]
+        if not fits:
+            assert b is None
+            continue
+        (e, a), n = fits[0], len(t)
+        k, x = len(a), [a.index(c) for c in t]
+        chi = sum((c - n / k) ** 2 * k / n for c in (t.count(c) for c in a))
+        over = max(k * secrets.COINCIDENCE - 1, secrets.LEAST_EXCESS) * n
+        kind = [next(i for i, c in enumerate(secrets.CLASSES) if re.match(c, ch)) for ch in t]
+        rate = secrets.SWITCHES[not {0, 1} <= set(kind)]
+        runs = 1 + sum(p != q for p, q in zip(kind, kind[1:]))
+        mean = sum(x) / n
+        var = sum((v - mean) ** 2 for v in x)
+        z = (sum((p - mean) * (q - mean) for p, q in zip(x, x[1:])) / var * n + 1) / math.sqrt(n) if var else 99.0
+        want = (normal((chi - k + 1 - over) / math.sqrt(2 * (k - 1) + 4 * over)), 1 - normal((runs - 1.5 - rate * (n - 1)) / math.sqrt(rate * (1 - rate) * (n - 1))), 2 * normal(abs(z)) - 1)
+        assert b["encoding"] == e and all(math.isclose(p, q, abs_tol=1e-5) for p, q in zip((b["p_chi"], b["p_runs"], b["p_serial"]), want))
+        s = -sum(math.log(max(b[c], 1e-12)) for c in ("p_chi", "p_runs", "p_serial"))
+        assert math.isclose(b["p"], math.exp(-s) * (1 + s + s * s / 2), rel_tol=1e-6)
+
+
+def test_texts_full_of_secrets_are_read_whole(spark):
+    text = "é " + " ".join(f"token=abcdef{i}" for i in range(3000))
+    r = secrets.redact_secrets(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).head()
+    assert r["text"] == "é " + " ".join(["[SECRET]"] * 3000)
+    touching = "AKIA" + "A" * 20 + "token=abcdefgh" + "0a" * 15  # overlaps and touches: one mark
+    assert secrets.redact_secrets(spark.createDataFrame([(1, touching)], "doc_id bigint, text string")).head()["text"] == "[SECRET]"
+
+
 # --- repeated bytes ---------------------------------------------------------
 
 def brute_repeats(rows):
@@ -266,6 +318,20 @@ def test_near_duplicates_equal_brute_force(docs, rows, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays_by_its_own_text(spark):
+    long = [" ".join(random.Random(k).choices(vocabulary(300, 2), k=80)) for k in range(4)]
+    rows = [(1, long[0], "a"), (2, long[0], "b"), (2, long[1], "c"), (2, long[1], "c"), (3, long[1], "d"), (None, long[0], "e"), (None, None, "f"), (4, None, "g"), (5, "", "h"), (4, long[3], "i")]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string, row string")).collect()
+    same([tuple(r) for r in got], [rows[0], rows[2], rows[5], rows[6], rows[7], rows[9]])
+
+
+def test_the_blocks_guarantee_their_counts():
+    for spoilt in range(4):
+        from itertools import combinations
+        left = {sum(not set(b) & set(s) for b in simhash.BLOCKS) for s in combinations(range(8), spoilt)}
+        assert left == {(14, 7, 3, 1)[spoilt]}
+
+
 @pytest.mark.parametrize("limit", [1, 48])
 def test_dense_neighbourhoods_lose_no_link(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "POSTING_PAIRS", limit)
