@@ -58,9 +58,8 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget: Colum
     for level in LEVELS:
         nodes = caps.groupBy(*parents, level).agg(F.sum("cap").alias("cap"), F.first(f"w_{level}").alias("w"))
         if given is None:
-            total = leaves.agg(budget.cast("long").alias("budget"))
-            nodes = nodes.withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one").drop("one")
-            given = share(nodes.withColumn("root", F.lit(0)), ["root"], level)
+            total = leaves.agg(budget.cast("long")).head()[0]
+            given = share(nodes.withColumns({"root": F.lit(0), "budget": F.lit(total or 0)}), ["root"], level)
         else:
             given = share(nodes.join(given, parents), parents, level)
         parents = [*parents, level]
@@ -84,7 +83,7 @@ def plan(narrow: DataFrame, weights: dict[str, dict[str, int]], budget: Column,
     start before token T mod A. Token sums of about sqrt(rows) ranges of that order find
     the range that holds the boundary; only its rows are sorted.
     """
-    leaves = narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available"), F.count("*").alias("rows"))
+    leaves = materialize(narrow.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("available"), F.count("*").alias("rows")), "leaf-sizes")
     dealt = budgets(leaves, weights, budget, max_epochs).withColumn("epochs", F.expr("if(available > 0, target div available, 0)")).withColumn(
         "rest", F.expr("if(available > 0, target % available, 0)"))
     dealt = materialize(dealt.select(*LEVELS, "available", "rows", "target", "epochs", "rest"), "leaves")
@@ -102,36 +101,41 @@ def plan(narrow: DataFrame, weights: dict[str, dict[str, int]], budget: Column,
     return leaves, materialize(decided, "edge-rows")
 
 
-def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 70, max_epochs: int = 2, seed: int = 7) -> DataFrame:
-    """``docs`` with domain, n_tokens (words) and ``copies``: how often each row is to be used.
-
-    The budget is ``percent`` of all tokens. Null levels count as the empty name; null
-    texts have no tokens and take none of a budget (their copies follow their leaf's
-    whole epochs). A leaf of weight 0 gives nothing. Of repeated rows in a boundary
-    range, as many as fit are used, first come by order of the row. Columns of ``docs``
-    that are called domain, n_tokens or copies are replaced. An empty table stays empty.
-    """
-    spare = [c for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
-    base = docs.select(*spare, F.coalesce(domain, F.lit("")).alias("domain"), F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"),
-                       F.xxhash64("text").alias("_h")).withColumns({f"_{c}": F.coalesce(F.col(c), F.lit("")) for c in ("lang", "source")})
-    narrow = materialize(base.select("doc_id", "_h", "domain", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "n_tokens"), "tokens")
+def _copies(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int, max_epochs: int, seed: int) -> DataFrame:
+    """(row, LEVELS, n_tokens, copies): every row of ``docs``, whole in a struct, whatever its columns are called."""
+    base = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(domain, F.lit("")).alias("domain"), *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")],
+                       "doc_id", F.size(words_of(F.col("text"))).cast("long").alias("n_tokens"), F.xxhash64("text").alias("_h"))
+    narrow = materialize(base.drop("row"), "tokens")
     leaves, decided = plan(narrow, weights, F.expr(f"sum(available) * {int(percent)} div 100"), max_epochs, seed)
-    small = leaves.select("domain", F.col("lang").alias("_lang"), F.col("source").alias("_source"), "rows", "epochs", "edge", "rest")
-    placed = _placed(base.join(small, ["domain", "_lang", "_source"]), seed)
+    placed = _placed(base.join(leaves.select(*LEVELS, "rows", "epochs", "edge", "rest"), list(LEVELS)), seed)
     at_edge = F.coalesce(F.col("part") == F.col("edge"), F.lit(False))
     clear = placed.where(~at_edge).withColumn("copies", F.col("epochs") + F.coalesce((F.col("part") < F.col("edge")).cast("long"), F.lit(0)))
     close = placed.where(at_edge).join(
-        decided.toDF("_id", "_h2", "domain2", "_lang2", "_source2", "inside", "same"),
-        F.expr("doc_id <=> _id and _h = _h2 and domain = domain2 and _lang = _lang2 and _source = _source2"))
-    turn = Window.partitionBy("doc_id", "_h", "domain", "_lang", "_source").orderBy("n_tokens")
+        decided.toDF("_id", "_h2", "domain2", "lang2", "source2", "inside", "same"),
+        F.expr("doc_id <=> _id and _h = _h2 and domain = domain2 and lang = lang2 and source = source2"))
+    turn = Window.partitionBy("doc_id", "_h", *LEVELS).orderBy("n_tokens")
     one = close.where("same = 1").withColumn("copies", F.col("epochs") + F.col("inside"))
     more = close.where("same > 1").withColumn("copies", F.col("epochs") + (F.row_number().over(turn) <= F.col("inside")).cast("long"))
-    out = [*spare, "domain", "n_tokens", "copies"]
+    out = ["row", "domain", "n_tokens", "copies"]
     return clear.select(*out).union(one.select(*out)).union(more.select(*out))
 
 
-def take(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], **options) -> DataFrame:
+def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 70, max_epochs: int = 2, seed: int = 7) -> DataFrame:
+    """``docs`` with domain, n_tokens (words) and ``copies``: how often each row is to be used.
+
+    The budget is ``percent`` of all tokens. Null levels count as the empty name; null
+    texts have no tokens and take none of a budget (their copies follow their leaf's
+    whole epochs). A leaf of weight 0 gives nothing. Null doc_ids are ordered by their
+    texts' hashes. Of repeated rows in a boundary range, as many as fit are used, first
+    come by order of the row. Columns of ``docs`` that are called domain, n_tokens or
+    copies are replaced, all others come through. An empty table stays empty. Siblings
+    of one node are sorted together; there are as many as a domain and language has sources.
+    """
+    spare = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("domain", "n_tokens", "copies")]
+    return _copies(docs, domain, weights, percent, max_epochs, seed).select(*spare, "domain", "n_tokens", "copies")
+
+
+def take(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], percent: int = 70, max_epochs: int = 2, seed: int = 7) -> DataFrame:
     """The rows of ``docs``, all its columns, each as often as ``mix`` says."""
-    mixed = mix(docs.withColumn("_domain", domain), F.col("_domain"), weights, **options)
-    each = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
-    return mixed.where("copies > 0").select(*docs.columns, each).select(*docs.columns)
+    mixed = _copies(docs, domain, weights, percent, max_epochs, seed).where("copies > 0")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")

@@ -71,5 +71,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+def _weight_sql(level: str) -> str:
+    named = " ".join(f"when '{k}' then {v}" for k, v in WEIGHTS[level].items() if k != "*")
+    return f"case {level} {named} else {WEIGHTS[level].get('*', 1)} end" if named else str(WEIGHTS[level].get("*", 1))
+
+
+def _share_sql(children: str, parents: str, name: str) -> str:
+    """Children (parents, name, cap, w, budget) with ``got``: the budget dealt by weight, full ones first."""
+    by = f"partition by {parents} order by cap / w, {name} rows between"
+    return f"""(select *, case when is_full then cap else least((rest * upto) // open_sum - (rest * (upto - open)) // open_sum, cap) end as got
+      from (select *, sum(open) over (partition by {parents})::bigint as open_sum, sum(open) over ({by} unbounded preceding and current row)::bigint as upto
+      from (select *, budget - sum(case when is_full then cap else 0 end) over (partition by {parents})::bigint as rest, case when is_full then 0 else w end as open
+      from (select *, cap / w * (sum(w) over ({by} current row and unbounded following))::bigint
+              <= budget - coalesce(sum(cap) over ({by} unbounded preceding and 1 preceding), 0)::bigint as is_full from {children} where cap > 0))))"""
+
+
+MIXING_SQL = rf"""with d as (
+    select doc_id, lang, source, coalesce('d' || cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as varchar), 'other') as domain,
+      cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as n_tokens from documents),
+  leaves as (select domain, lang, source, sum(n_tokens)::bigint as available, 2 * sum(n_tokens)::bigint as cap from d group by all),
+  one as (select 0 as root, domain, sum(cap)::bigint as cap, {_weight_sql('domain')} as w, (select sum(available)::bigint * 70 // 100 from leaves) as budget from leaves group by domain),
+  got1 as (select domain, got as budget from {_share_sql('one', 'root', 'domain')}),
+  two as (select domain, lang, sum(cap)::bigint as cap, {_weight_sql('lang')} as w, any_value(budget) as budget from leaves join got1 using (domain) group by domain, lang),
+  got2 as (select domain, lang, got as budget from {_share_sql('two', 'domain', 'lang')}),
+  three as (select domain, lang, source, cap, {_weight_sql('source')} as w, budget from leaves join got2 using (domain, lang)),
+  got3 as (select domain, lang, source, got as target from {_share_sql('three', 'domain, lang', 'source')}),
+  plan as (select l.*, coalesce(target, 0) as target, case when available > 0 then coalesce(target, 0) // available else 0 end as epochs,
+             case when available > 0 then coalesce(target, 0) % available else 0 end as rest from leaves l left join got3 using (domain, lang, source)),
+  placed as (select d.*, p.epochs, p.rest, coalesce(sum(n_tokens) over (partition by d.domain, d.lang, d.source
+               order by md5('7:' || cast(p.epochs as varchar) || ':' || cast(doc_id as varchar)), doc_id rows between unbounded preceding and 1 preceding), 0) as before
+             from d join plan p on d.domain = p.domain and d.lang is not distinct from p.lang and d.source is not distinct from p.source)
+  select doc_id, domain, lang, source, n_tokens, cast(epochs + case when before < rest then 1 else 0 end as bigint) as copies from placed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_mixing": MIXING_SQL}

@@ -496,6 +496,34 @@ def test_prefixes_meet_their_targets(docs, rows, empty):
     assert mixing.mix(empty, domain(), WEIGHTS).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(docs):
+    names = ["rows", "epochs", "rest", "edge", "same", "_h", "key", "part", "row", "budget", "available", "_domain", "_copy", "col", "domain"]
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    taken = mixing.take(wide, domain(), WEIGHTS)
+    assert taken.columns == wide.columns and all(r[n] is None or r[n] == f"{n}{r['doc_id']}" for r in taken.collect() for n in names)
+    plain = Counter(r["doc_id"] for r in mixing.take(docs, domain(), WEIGHTS).collect())
+    assert Counter(r["doc_id"] for r in taken.collect()) == plain
+    assert set(names) - {"domain"} < set(mixing.mix(wide, domain(), WEIGHTS).columns)
+
+
+def against_sql(spark, name, folder):
+    import duckdb
+
+    import __spark_entry__
+    con = duckdb.connect()
+    con.execute("set threads = 4")
+    for t in ("documents", "labels", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet')")
+    want = con.execute(__spark_entry__.oracle_sql()[name]).df()
+    got = __spark_entry__.queries()[name](spark, folder).select(*want.columns).toPandas()
+    same(list(got.itertuples(index=False, name=None)), list(want.itertuples(index=False, name=None)))
+
+
+@pytest.mark.parametrize("name", ["op6_mixing"])
+def test_queries_equal_their_sql(spark, name):
+    against_sql(spark, name, "/root/testdata/sf0.001")
+
+
 # --- pieces -----------------------------------------------------------------
 
 @pytest.fixture(scope="module")
