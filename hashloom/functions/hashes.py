@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # File extensions by what they make of a node.
-SCRIPT_EXTENSIONS = ("py", "r", "jl", "sh", "ipynb", "m")
+SCRIPT_EXTENSIONS = ("py", "r", "jl", "sh", "m")
 CLAIM_EXTENSIONS = ("tex", "bib", "bbl")
 
 
@@ -84,22 +84,23 @@ def node_class(role: Column, path: Column) -> Column:
 def metadata_text(fields: dict[str, Column]) -> Column:
     """The JSON text that a citation's metadata hash is of: keys sorted, values trimmed and lower-cased, blanks left out; null if none is left.
 
-    Separators are ', ' and ': '; characters beyond ASCII are written as \\uXXXX escapes.
+    Separators are ', ' and ': '. Quotes, backslashes and control characters are escaped, others stay as they are.
     """
     parts = []
     for name in sorted(fields):
-        v = F.lower(F.trim(fields[name].cast("string")))
-        quoted = F.regexp_replace(F.regexp_replace(v, r'(["\\])', r"\\$1"), "\n", r"\\n")
-        parts.append(F.when(v != "", F.concat(F.lit(f'"{name}": "'), _ascii(quoted), F.lit('"'))))
+        v = F.lower(F.regexp_replace(fields[name].cast("string"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+        parts.append(F.when(v != "", F.concat(F.lit(f'"{name}": "'), _escaped(v), F.lit('"'))))
     kept = F.filter(F.array(*parts), lambda x: x.isNotNull())
     return F.when(F.size(kept) > 0, F.concat(F.lit("{"), F.array_join(kept, ", "), F.lit("}")))
 
 
-def _ascii(text: Column) -> Column:
-    """UTF-16 code units beyond ASCII as \\uXXXX."""
-    units = F.split(F.hex(F.encode(text, "UTF-16BE")), "(?<=\\G.{4})")
-    one = lambda u: F.when(F.conv(u, 16, 10).cast("int") < 128, F.chr(F.conv(u, 16, 10).cast("long"))).otherwise(F.concat(F.lit("\\u"), F.lower(u)))
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.filter(units, lambda u: u != ""), one), "")).otherwise(text)
+def _escaped(text: Column) -> Column:
+    out = F.regexp_replace(text, r'(["\\])', r"\\$1")
+    named = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
+    rare = out
+    for code in range(32):
+        rare = F.replace(rare, F.lit(chr(code)), F.lit(named.get(code, f"\\u{code:04x}")))
+    return F.when(text.rlike(r"[\x00-\x1f]"), rare).otherwise(out)
 
 
 def metadata_hash(fields: dict[str, Column]) -> Column:

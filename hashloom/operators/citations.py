@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hashloom.functions.codes import EXIT_CODES, classify_exit
+from hashloom.functions.codes import EXIT_CODES, NAME_OF, classify_exit, lookup
 
-# What marks an entry that was generated for want of metadata.
+# Fixed value: what marks an entry that was generated for want of metadata.
 STUB_NOTE = "Auto-generated stub"
+#: A journal that stands for pending metadata, whichever service is awaited: deliberately wider than one service's name.
 STUB_JOURNAL = r"Pending \S+ metadata lookup"
 
 
@@ -30,6 +31,18 @@ def link(url: Column, doi: Column) -> Column:
     return F.when(filled(url), F.trim(url)).when(filled(doi), F.concat(F.lit("https://doi.org/"), F.trim(doi)))
 
 
+def coerce_entries(rows: DataFrame) -> DataFrame:
+    """(seq, key, doi, journal, note, title, author, year) of rows (seq, entry): an entry is a bare key or a JSON object with ``key``.
+
+    An object without a key, or with an empty one, is an error when rows are read.
+    """
+    fields = ("key", "doi", "journal", "note", "title", "author", "year")
+    parsed = F.from_json("entry", ", ".join(f"{f} string" for f in fields))
+    whole = F.when(F.col("entry").startswith("{"), parsed).otherwise(F.struct(F.col("entry").alias("key"), *[F.lit(None).cast("string").alias(f) for f in fields[1:]]))
+    key = F.when(F.coalesce(F.col("e.key"), F.lit("")) == "", F.raise_error(F.concat(F.lit("citation entry without key: "), F.col("entry")))).otherwise(F.col("e.key"))
+    return rows.select("seq", "entry", whole.alias("e")).select("seq", key.alias("key"), *[F.col(f"e.{f}") for f in fields[1:]])
+
+
 def verify_citations(entries: DataFrame, citations: DataFrame) -> DataFrame:
     """(cite_key, status, code, reason, link) of each bibliography entry; of repeated keys the last counts.
 
@@ -50,7 +63,7 @@ def verify_citations(entries: DataFrame, citations: DataFrame) -> DataFrame:
         F.when(known & drift, say("unverified", 12, F.lit("doi_drift"))).when(known & (F.col("_s") == "verified"), say("verified", 0, recorded))
         .when(known & (F.col("_s") == "stub"), say("stub", 14, recorded)).when(known, say("unverified", 15, recorded))
         .when(bare, say("unknown", 16, F.lit("unlinked"))).when(guess.isNotNull(), say("stub", 14, guess)).otherwise(say("unverified", 15, F.lit("no_record"))))
-    return x.withColumn("v", verdict).select(F.col("key").alias("cite_key"), "v.status", "v.code", "v.reason", link(F.col("_u"), F.coalesce("_d", "doi")).alias("link"))
+    return x.withColumn("v", verdict).select(F.col("key").alias("cite_key"), "v.status", "v.code", "v.reason", F.when(known, link(F.col("_u"), F.col("_d"))).otherwise(link(F.lit(None), F.col("doi"))).alias("link"))
 
 
 def citations_exit(verdicts: DataFrame, severity: dict[int, str]) -> DataFrame:
@@ -72,3 +85,8 @@ def render_entries(citations: DataFrame) -> DataFrame:
 def hint_severity(status: Column) -> Column:
     """Null for verified citations, which get no hint."""
     return F.when(status.isin("stub", "unverified"), "warning").when(status != "verified", "advice")
+
+
+def outcome_counts(verdicts: DataFrame) -> DataFrame:
+    """(outcome, n): verdicts by the name of their exit code."""
+    return verdicts.groupBy(lookup(NAME_OF, F.col("code")).alias("outcome")).agg(F.count("*").alias("n"))

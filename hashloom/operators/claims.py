@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hashloom.functions.codes import BUCKET_COLOURS, BUCKETS, EXIT_CODES, STATUS_COLOURS, VERIFIED, classify_exit, lookup
+from hashloom.functions.codes import BUCKET_COLOURS, BUCKETS, EXIT_CODES, NAME_OF, STATUS_COLOURS, VERIFIED, classify_exit, lookup
 from hashloom.functions.hashes import consistent, short_id
-from hashloom.operators import lineage
+from hashloom.operators import lineage, verify
 
 
 def source_sessions(claims: DataFrame, files: DataFrame) -> DataFrame:
@@ -103,16 +103,34 @@ def render_entries(resolved: DataFrame) -> DataFrame:
 
 
 #: Severity of a claim's hint by its resolved status; verified and frozen claims have none.
-HINTS = {"mismatch": "error", "missing": "error", "unsourced": "error", "suspect": "warning", "exception": "advice", "registered": "advice"}
+HINTS = {"mismatch": "error", "missing": "error", "suspect": "warning", "registered": "warning", "unsourced": "advice", "exception": "advice"}
+MESSAGES = {
+    "mismatch": "the source's content is not what was recorded", "missing": "the source file is not there", "suspect": "the runs behind the source are not all verified",
+    "registered": "not verified yet", "unsourced": "no trusted source is in the chain", "exception": "a run in the chain is a declared exception",
+}
 
 
 def hint_entries(resolved: DataFrame) -> DataFrame:
-    """(id, kind, severity, location, claim_id) of claims that need attention, ordered by id."""
+    """(id, kind, severity, message, location, claim_id) of claims that need attention, ordered by id; location: (file, line, page)."""
     kind = F.concat(F.lit("claim-"), F.col("resolved"))
-    spot = F.concat_ws(":L", "file_path", F.col("line_number").cast("string"))
+    spot = F.struct(F.col("file_path").alias("file"), F.col("line_number").alias("line"), F.lit(None).cast("int").alias("page"))
     return resolved.where(~F.col("resolved").isin("verified", "frozen")).select(
         short_id("hint_", F.col("claim_id"), kind).alias("id"), kind.alias("kind"), lookup(HINTS, F.col("resolved"), "advice").alias("severity"),
-        spot.alias("location"), "claim_id").orderBy("id")
+        lookup(MESSAGES, F.col("resolved")).alias("message"), spot.alias("location"), "claim_id").orderBy("id")
+
+
+def outcome_counts(gated: DataFrame) -> DataFrame:
+    """(outcome, n): claims with ``code`` by the name of their exit code."""
+    return gated.groupBy(lookup(NAME_OF, F.col("code")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+def claims_dag(claims: DataFrame, edges: DataFrame, verified: DataFrame, file_path: str | None = None, claim_type: str | None = None) -> DataFrame:
+    """``verify.verify_dag`` of the runs behind all claims in force (with ``session``), of one manuscript or type if given."""
+    rows = claims.where("status <> 'superseded' and session is not null")
+    for column, value in (("file_path", file_path), ("claim_type", claim_type)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    members = lineage.reachable(edges, rows.select(F.col("session").alias("session_id")))
+    return verify.verify_dag(edges, members, verified)
 
 
 def attestation(resolved: DataFrame) -> DataFrame:

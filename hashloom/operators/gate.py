@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.functions.codes import lookup
 from hashloom.functions.hashes import consistent
+from hashloom.operators import lookups
 
 
 def manifest_entries(sources: DataFrame, disk: DataFrame) -> DataFrame:
@@ -42,21 +44,41 @@ def matches(found: DataFrame, anchors: DataFrame) -> DataFrame:
 def grounded(claims: DataFrame, chains: DataFrame, files: DataFrame, entries: DataFrame | None, enforced: bool = False, signature_valid: bool = False) -> DataFrame:
     """Claims (with ``session``) with ``grounded``, ``ground_reason`` and ``matched``.
 
-    No manifest, or one without entries: all are grounded. An untrusted one: none is.
+    No manifest, or one without valid entries: all are grounded. An untrusted one: none is.
     """
-    if entries is None or entries.isEmpty():
+    if entries is None:
         return claims.withColumn("grounded", F.lit(True)).withColumn("ground_reason", F.lit("no_manifest")).withColumn("matched", F.lit(None).cast("string"))
     state = manifest_state(entries, enforced, signature_valid)
     if not state["trusted"]:
         return claims.withColumn("grounded", F.lit(False)).withColumn("ground_reason", F.lit("manifest_untrusted")).withColumn("matched", F.lit(None).cast("string"))
     anchors = entries.where("valid")
     if anchors.isEmpty():
-        return claims.withColumn("grounded", F.lit(True)).withColumn("ground_reason", F.lit("no_manifest")).withColumn("matched", F.lit(None).cast("string"))
+        return claims.withColumn("grounded", F.lit(True)).withColumn("ground_reason", F.lit("grounded")).withColumn("matched", F.lit(None).cast("string"))
     met = matches(candidates(claims, chains, files), anchors).select("claim_id", F.col("file_path").alias("matched"))
     return claims.join(met, "claim_id", "left").withColumn("grounded", F.col("matched").isNotNull()).withColumn(
         "ground_reason", F.when(F.col("matched").isNotNull(), "grounded").otherwise("no_chain_match"))
 
 
+#: What to do about a verdict, by its reason.
+FIXES = {
+    "claim_not_found": "register the claim", "no_manifest": "write a manifest of trusted sources", "manifest_untrusted": "sign the manifest again",
+    "no_chain_match": "register a source of the claim's chain, or derive the claim from one", "grounded": "",
+}
+
+
+def grounding_verdicts(wanted: DataFrame, gated: DataFrame, entries: DataFrame | None) -> DataFrame:
+    """(identifier, claim_id, grounded, reason, matched, sha256, fix) of claim ids, places or paths; gated: ``grounded`` claims."""
+    found = wanted.select("identifier").distinct().join(lookups.resolve_claims(gated, wanted), "identifier", "left")
+    own = gated.select("claim_id", "grounded", "ground_reason", "matched").dropDuplicates(["claim_id"])
+    x = found.join(own, "claim_id", "left").withColumn("reason", F.coalesce("ground_reason", F.lit("claim_not_found")))
+    if entries is None:
+        x = x.withColumn("sha256", F.lit(None).cast("string"))
+    else:
+        x = x.join(entries.where("valid").groupBy(F.col("file_path").alias("matched")).agg(F.min_by("sha256", "ord").alias("sha256")), "matched", "left")
+    return x.select("identifier", F.coalesce("claim_id", "identifier").alias("claim_id"), F.coalesce("grounded", F.lit(False)).alias("grounded"), "reason", "matched", "sha256",
+                    lookup(FIXES, F.col("reason")).alias("fix"))
+
+
 def grounded_ids(claims: DataFrame, gate_active: bool = True) -> DataFrame:
     """Ids of verified claims that are grounded (all verified ones where the gate is off), sorted."""
     rows = claims.where("status = 'verified'")

@@ -27,7 +27,7 @@ def _assign(rows: DataFrame, bucket, enough: int, label, kind: str) -> DataFrame
     free = free.withColumn("_n", n).withColumn("_t", F.col("_b").isNotNull() & (F.col("_n") >= enough))
     name = F.concat(label, F.lit(" (×"), F.col("_n").cast("string"), F.lit(")"))
     return free.withColumn("label", F.when(F.col("_t"), name).otherwise(F.col("label"))).withColumn("kind", F.when(F.col("_t"), kind).otherwise(F.col("kind"))).withColumn(
-        "group_id", F.when(F.col("_t"), F.concat(F.lit(f"{kind}:"), F.col("_b"))).otherwise(F.col("group_id"))).drop("_b", "_n", "_t")
+        "group_id", F.when(F.col("_t"), F.concat(F.lit(f"{kind.split(chr(58))[0]}:"), F.col("_b"))).otherwise(F.col("group_id"))).drop("_b", "_n", "_t")
 
 
 def identity() -> Grouper:
@@ -42,7 +42,7 @@ def pattern(regex: str, placeholder: str = "{X}") -> Grouper:
     """Base names that are equal once every match of ``regex`` is replaced; folders do not count, unmatched names stay alone."""
     base = basename(F.col("file_path"))
     norm = F.regexp_replace(base, regex, placeholder.replace("\\", "\\\\").replace("$", "\\$"))
-    return lambda rows: _assign(rows, F.when(norm != base, norm), 2, norm, "pattern")
+    return lambda rows: _assign(rows, F.when(norm != base, norm), 2, norm, f"pattern:{regex}")
 
 
 def directory(min_size: int = 10, depth: int = 1) -> Grouper:
@@ -55,7 +55,7 @@ def directory(min_size: int = 10, depth: int = 1) -> Grouper:
 
 def session_bundle(max_files: int = 3) -> Grouper:
     """All files of a role, if there are more than ``max_files``."""
-    return lambda rows: _assign(rows, F.col("role"), max_files + 1, F.concat(F.col("role"), F.lit("s")), "bundle")
+    return lambda rows: _assign(rows, F.col("role"), max_files + 1, F.concat(F.col("role"), F.lit(" bundle")), "session_bundle")
 
 
 def compose(*steps: Grouper) -> Grouper:

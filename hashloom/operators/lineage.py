@@ -64,6 +64,24 @@ def closure(edges: DataFrame, leaves: DataFrame, max_depth: int | None = 50) ->
     return seen
 
 
+def reachable(edges: DataFrame, leaves: DataFrame, max_depth: int | None = 50) -> DataFrame:
+    """(session_id, depth): everything upstream of any leaf, with the least number of hops.
+
+    ``closure`` without telling leaves apart: a session is kept once, not once for each leaf that it feeds.
+    """
+    frontier = materialize(leaves.select("session_id").distinct().withColumn("depth", F.lit(0)), "reach-0")
+    seen, hop = frontier, 0
+    step = edges.select(F.col("child").alias("session_id"), "parent")
+    while max_depth is None or hop < max_depth:
+        hop += 1
+        met = frontier.join(step, "session_id").select(F.col("parent").alias("session_id")).distinct()
+        frontier = materialize(met.join(seen.select("session_id"), "session_id", "left_anti").withColumn("depth", F.lit(hop)), f"reach-{hop}")
+        if frontier.isEmpty():
+            break
+        seen = seen.union(frontier)
+    return seen
+
+
 def adjacency(edges: DataFrame, members: DataFrame, max_depth: int | None = 50) -> DataFrame:
     """(session_id, parents): the members of a closure (session_id, depth) and their parents, sorted.
 
@@ -143,7 +161,7 @@ def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 def layout(edges: DataFrame, nodes: DataFrame, x_gap: float = 3.0, y_gap: float = 1.6) -> DataFrame:
     """(session_id, level, x, y): layers by level, each centred on y = 0; nodes on cycles form the last layer."""
     placed = levels(edges, nodes, strict=False)
-    top = placed.agg(F.coalesce(F.max("level"), F.lit(-1)) + 1).head()[0]
+    top = placed.agg(F.coalesce(F.max("level"), F.lit(0)) + 1).head()[0]
     filled = placed.withColumn("level", F.coalesce("level", F.lit(top)))
     by = Window.partitionBy("level")
     spot = F.row_number().over(by.orderBy("session_id")) - 1 - (F.count("*").over(by) - 1) / 2

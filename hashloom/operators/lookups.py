@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hashloom.functions.hashes import consistent
+
 
 def list_runs(runs: DataFrame, status: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:
     """Newest runs first, then by id."""
@@ -151,15 +153,19 @@ def stats(runs: DataFrame, files: DataFrame) -> dict[str, int]:
     return {"n_runs": r[0], "n_success": r[1], "n_failed": r[2], "n_file_rows": f[0], "n_files": f[1]}
 
 
-def reuse_hints(runs: DataFrame, files: DataFrame, keep: int = 5) -> DataFrame:
-    """(session_id, file_path, producer, at, rank): newest other producers of what each session reads, ``keep`` a session.
+def reuse_hints(runs: DataFrame, files: DataFrame, disk: DataFrame, keep: int = 5) -> DataFrame:
+    """(session_id, file_path, producer, at, rank): outputs of others that a session reads and could take as they are.
 
-    Each path's newest keep + 1 producers are enough for any reader, which bounds the join.
+    Of all pairs of a session's inputs and other producers the ``keep`` of the latest
+    started runs count; of these, the ones stay whose file still has the content that the
+    producer recorded. at: when the producer started. Each path's keep + 1 latest producers are
+    enough for any reader, which bounds the join.
     """
-    top = Window.partitionBy("file_path").orderBy(F.desc("at"), "producer")
-    made = files.where("role = 'output'").groupBy("file_path", F.col("session_id").alias("producer")).agg(F.max("recorded_at").alias("at"))
-    made = made.join(runs.select(F.col("session_id").alias("producer")), "producer", "left_semi").withColumn("k", F.row_number().over(top)).where(F.col("k") <= keep + 1)
+    top = Window.partitionBy("file_path").orderBy(F.desc_nulls_last("at"), "producer")
+    made = files.where("role = 'output'").groupBy("file_path", F.col("session_id").alias("producer")).agg(F.max_by("hash", "recorded_at").alias("hash"))
+    made = made.join(runs.select(F.col("session_id").alias("producer"), F.col("started_at").alias("at")), "producer").withColumn("k", F.row_number().over(top)).where(F.col("k") <= keep + 1)
     read = files.where("role = 'input'").select("session_id", "file_path").distinct()
-    order = Window.partitionBy("session_id").orderBy(F.desc("at"), "producer", "file_path")
-    return read.join(made, "file_path").where("session_id <> producer").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select(
-        "session_id", "file_path", "producer", "at", "rank")
+    order = Window.partitionBy("session_id").orderBy(F.desc_nulls_last("at"), "producer", "file_path")
+    near = read.join(made, "file_path").where("session_id <> producer").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
+    loose = disk.where("exists").select("file_path", F.col("current_hash").alias("_now"))
+    return near.join(loose, "file_path").where(consistent(F.col("_now"), F.col("hash"))).select("session_id", "file_path", "producer", "at", "rank")

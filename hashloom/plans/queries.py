@@ -114,17 +114,17 @@ def resolve_targets(spark, sf_dir):
     return lookups.resolve_targets(t["runs"], t["file_hashes"], wanted)
 
 
-_REUSE = """with made as (select file_path, session_id as producer, max(recorded_at) as "at" from file_hashes where role = 'output' group by 1, 2),
-          reads as (select distinct session_id, file_path from file_hashes where role = 'input')
-          select session_id, file_path, producer, "at", rank from (
-            select r.session_id, r.file_path, m.producer, m."at", row_number() over (partition by r.session_id order by m."at" desc, m.producer, r.file_path) as rank
-            from reads r join made m on r.file_path = m.file_path and r.session_id <> m.producer) x where rank <= 5"""
-
-
-@query(_REUSE, "file_hashes")
+@query("""with made as (select f.file_path, f.session_id as producer, r.started_at as "at", max_by(f.hash, f.recorded_at) as hash
+            from file_hashes f join runs r on r.session_id = f.session_id where f.role = 'output' group by 1, 2, 3),
+          reads as (select distinct session_id, file_path from file_hashes where role = 'input'),
+          near as (select r.session_id, r.file_path, m.producer, m."at", m.hash, row_number() over (partition by r.session_id order by m."at" desc nulls last, m.producer, r.file_path) as rank
+            from reads r join made m on r.file_path = m.file_path and r.session_id <> m.producer)
+          select n.session_id, n.file_path, n.producer, n."at", n.rank from near n join disk d on d.file_path = n.file_path
+          where n.rank <= 5 and d."exists" and left(d.current_hash, least(length(d.current_hash), length(n.hash))) = left(n.hash, least(length(d.current_hash), length(n.hash)))""",
+       "runs", "file_hashes", "disk")
 def reuse_hints(spark, sf_dir):
-    t = load(spark, sf_dir, "runs", "file_hashes")
-    return lookups.reuse_hints(t["runs"], t["file_hashes"]).withColumn("rank", F.col("rank").cast("long"))
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    return lookups.reuse_hints(t["runs"], t["file_hashes"], t["disk"]).withColumn("rank", F.col("rank").cast("long"))
 
 
 # --- hashes -----------------------------------------------------------------
@@ -294,7 +294,7 @@ _DAG = f"""{_EDGES}, {_LEAVES}, {_CLOSURE}, nodes as (select distinct session_id
 def verify_dag(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     edges = _edges(t)
-    return verify.verify_dag(edges, lineage.closure(edges, _leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
+    return verify.verify_dag(edges, lineage.reachable(edges, _leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
 
 
 @query(f"""with {_DAG.replace(_LEAVES, _ALL_LEAVES)} select o.session_id, cast(w.level as int) as level, o.status, h.session_id is not null as failed
@@ -303,7 +303,7 @@ def verify_dag(spark, sf_dir):
 def verify_dag_of_all(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     edges = _edges(t)
-    return verify.verify_dag(edges, lineage.closure(edges, _all_leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
+    return verify.verify_dag(edges, lineage.reachable(edges, _all_leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
 
 
 @query(f"""with {_EDGES}, {_CHECKED}, hit as (select distinct session_id from checked where status in ('mismatch', 'missing') and session_id in (select session_id from runs)
@@ -323,10 +323,10 @@ def fresh_runs(spark, sf_dir):
     return verify.fresh_runs(t["runs"], t["file_hashes"], t["disk"])
 
 
-@query("""with a as (select * from contents where role = 'output'), b as (select split_part(file_path, '/', -1) as base, max_by(hash, file_path) as new_hash
-            from contents where role = 'output' and seq % 5 <> 0 group by 1)
-          select a.file_path, a.hash, case when seq % 4 = 0 then 'x' || b.new_hash else b.new_hash end as new_hash,
-                 case when b.new_hash is null then 'missing' when seq % 4 = 0 then 'mismatch' else 'verified' end as status
+@query("""with a as (select * from contents where role = 'output'),
+          again as (select file_path, case when seq % 4 = 0 then 'x' || hash else hash end as hash from a where seq % 5 <> 0),
+          b as (select split_part(file_path, '/', -1) as base, max_by(hash, file_path) as new_hash from again group by 1)
+          select a.file_path, a.hash, b.new_hash, case when b.new_hash is null then 'missing' when b.new_hash = a.hash then 'verified' else 'mismatch' end as status
           from a left join b on b.base = split_part(a.file_path, '/', -1)""", "contents")
 def rerun_compare(spark, sf_dir):
     rows = load(spark, sf_dir, "contents")["contents"].where("role = 'output'")
@@ -380,7 +380,13 @@ def gated_claims(spark, sf_dir):
     return rows.select("claim_id", "grounded", "code")
 
 
-@query(f"""with {_CLAIMS} select cast(12 as int) as exit_code, count(*) filter (code = 13) > 0 as warned from verdicts having count(*) filter (code = 12) > 0""", *_CLAIM_TABLES, recursive=True)
+#: Exit codes from harmless to worst, as the store's users know them, for the SQL below.
+_RANKS = "ranks(code, rank) as (values (0, 0), (20, 1), (13, 2), (17, 3), (10, 4), (11, 5), (12, 6), (16, 7), (15, 8), (14, 9))"
+
+
+@query(f"""with {_CLAIMS}, {_RANKS}, fired as (select v.code, r.rank from verdicts v join ranks r on r.code = v.code)
+          select cast(coalesce((select code from fired where code not in (0, 13) order by rank desc limit 1), 0) as int) as exit_code, exists (select 1 from fired where code = 13) as warned""",
+       *_CLAIM_TABLES, recursive=True)
 def claims_exit(spark, sf_dir):
     _, found, _ = _claims(spark, sf_dir)
     _, out = claims.gate_claims(materialize(found, "found"), codes.resolve_severity() | {13: "warning"}, strict=True)
@@ -426,17 +432,19 @@ def submission_problems(spark, sf_dir):
             case when cite_key is not null and trim(doi) <> '' and trim(d) <> '' and lower(trim(doi)) <> lower(trim(d)) then 12
               when cite_key is not null then case s when 'verified' then 0 when 'stub' then 14 else 15 end when coalesce(doi, journal, note, title) is null then 16
               when note like '%Auto-generated stub%' or journal like '%Pending % metadata lookup%' or doi is null then 14 else 15 end as code,
-            coalesce(u, 'https://doi.org/' || trim(coalesce(d, doi))) as link from x""", "entries", "citations")
+            case when cite_key is not null then coalesce(u, 'https://doi.org/' || trim(d)) else 'https://doi.org/' || nullif(trim(doi), '') end as link from x""", "entries", "citations")
 def verify_citations(spark, sf_dir):
     t = load(spark, sf_dir, "entries", "citations")
     return citations.verify_citations(t["entries"], t["citations"]).select("cite_key", "status", "code", "link")
 
 
-@query("""select key, sha256('{' || concat_ws(', ', case when trim(doi) <> '' then '"doi": "' || lower(trim(doi)) || '"' end, case when trim(journal) <> '' then '"journal": "' || lower(trim(journal)) || '"' end,
-            case when trim(title) <> '' then '"title": "' || lower(trim(title)) || '"' end) || '}') as metadata_hash from entries where coalesce(doi, journal, title) is not null""", "entries")
+@query("""with x as (select key, lower(trim(doi)) as doi, lower(trim(journal)) as journal, lower(trim(title)) || case when seq % 3 = 0 then ' müller' || chr(9) || '"' || chr(233) else '' end as title from entries)
+          select key, sha256('{' || concat_ws(', ', case when doi <> '' then '"doi": "' || doi || '"' end, case when journal <> '' then '"journal": "' || journal || '"' end,
+            case when title <> '' then '"title": "' || replace(replace(title, '"', '\\"'), chr(9), '\\t') || '"' end) || '}') as metadata_hash from x where coalesce(doi, journal, title) is not null""", "entries")
 def metadata_hashes(spark, sf_dir):
     rows = load(spark, sf_dir, "entries")["entries"]
-    fields = {c: F.col(c) for c in ("author", "year", "title", "journal", "doi")}
+    title = F.concat(F.col("title"), F.when(F.col("seq") % 3 == 0, F.lit(' Müller\t"É\u00a0\n')).otherwise(F.lit("")))
+    fields = {c: F.col(c) for c in ("author", "year", "journal", "doi")} | {"title": title}
     return rows.select("key", hashes.metadata_hash(fields).alias("metadata_hash")).where("metadata_hash is not null")
 
 
@@ -445,19 +453,22 @@ def metadata_hashes(spark, sf_dir):
 @query("""with a as (select session_id, role, file_path, hash, split_part(file_path, '/', -1) as base, regexp_replace(split_part(file_path, '/', -1), '[0-9]{3}\\.', '{X}.', 'g') as norm from contents),
           b as (select *, case when norm <> base then count(*) over (partition by session_id, role, norm) else 1 end as n from a),
           c as (select *, case when n >= 2 then 'pattern:' || norm else 'single:' || file_path end as group_id from b)
-          select session_id, role, group_id, count(*) as size, case when count(*) = 1 then min(hash) else sha256(unhex(string_agg(hash, '' order by hash))) end as root_hash from c group by 1, 2, 3""", "contents")
+          select session_id, role, group_id, count(*) as size, case when count(*) = 1 then min(hash) else sha256(unhex(string_agg(hash, '' order by hash))) end as root_hash,
+            case when count(*) = 1 then min(base) else min(norm) || ' (×' || count(*) || ')' end as label, case when count(*) = 1 then 'single' else 'pattern:[0-9]{3}\\.' end as kind from c group by 1, 2, 3""", "contents")
 def pattern_groups(spark, sf_dir):
     rows = groupers.pattern(r"[0-9]{3}\.", "{X}.")(groupers.start(load(spark, sf_dir, "contents")["contents"]))
-    return groupers.groups(rows).select("session_id", "role", "group_id", "size", "root_hash")
+    return groupers.groups(rows).select("session_id", "role", "group_id", "size", "root_hash", "label", "kind")
 
 
 @query("""with a as (select session_id, role, file_path, regexp_replace(file_path, '/[^/]*$', '') as folder from contents),
           b as (select *, count(*) over (partition by session_id, role, folder) as n from a),
           c as (select *, case when n < 10 then count(*) filter (n < 10) over (partition by session_id, role) end as rest from b)
-          select session_id, role, case when n >= 10 then 'directory:' || folder when rest > 3 then 'bundle:' || role else 'single:' || file_path end as group_id, count(*) as size from c group by 1, 2, 3""", "contents")
+          select session_id, role, case when n >= 10 then 'directory:' || folder when rest > 3 then 'session_bundle:' || role else 'single:' || file_path end as group_id, count(*) as size,
+            case when n >= 10 then split_part(min(folder), '/', -1) || '/ (×' || count(*) || ')' when rest > 3 then role || ' bundle (×' || count(*) || ')' else min(split_part(file_path, '/', -1)) end as label,
+            case when n >= 10 then 'directory' when rest > 3 then 'session_bundle' else 'single' end as kind from c group by session_id, role, group_id, n >= 10, rest > 3, case when n >= 10 then folder end""", "contents")
 def composed_groups(spark, sf_dir):
     rows = groupers.compose(groupers.directory(10), groupers.session_bundle(3))(groupers.start(load(spark, sf_dir, "contents")["contents"]))
-    return groupers.groups(rows).select("session_id", "role", "group_id", "size")
+    return groupers.groups(rows).select("session_id", "role", "group_id", "size", "label", "kind")
 
 
 @query("""with v as (select session_id, count(*) as n_outputs, cast(sum(size_bytes) as bigint) as bytes from file_hashes where role = 'output' group by 1),

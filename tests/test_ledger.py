@@ -151,9 +151,9 @@ def test_hash_recipes(spark):
     assert one.where("false").agg(hashes.ledger_root(F.col("k"), F.col("h"))).head()[0] is None
     cid = spark.range(1).select(hashes.claim_id(F.lit("/a.tex"), F.lit(3), F.lit("value"), F.lit(None).cast("string"))).head()[0]
     assert cid == "claim_" + sha("/a.tex:L3:value:")[:12]
-    meta = {"title": ' Ünï "q" ', "doi": "10/X", "year": ""}
+    meta = {"title": '\u00a0Ünï "q"\t\x01\\x \n', "doi": "10/X", "year": ""}
     fields = {k: F.lit(v) for k, v in meta.items()}
-    want = json.dumps({k: v.strip().lower() for k, v in meta.items() if v.strip()}, sort_keys=True)
+    want = json.dumps({k: v.strip().lower() for k, v in meta.items() if v.strip()}, sort_keys=True, ensure_ascii=False)
     assert spark.range(1).select(hashes.metadata_text(fields)).head()[0] == want
     assert spark.range(1).select(hashes.consistent(F.lit("abcd"), F.lit("ab")), hashes.consistent(F.lit(""), F.lit("ab"))).head()[:] == (True, False)
 
@@ -162,10 +162,10 @@ def test_groupers_compose_and_resolve(spark):
     rows = [("s", f"/d/fold_{i}.csv", "output") for i in range(3)] + [("s", "/d/alone.csv", "output"), ("s", "/d/fold_9.csv", "input")]
     f = spark.createDataFrame(rows, "session_id string, file_path string, role string").withColumn("hash", F.sha2("file_path", 256))
     found = groupers.groups(groupers.auto()(groupers.start(f)))
-    assert ids(found, "role", "size", "kind") == [("input", 1, "single"), ("output", 1, "single"), ("output", 3, "pattern")]
+    assert ids(found, "role", "size", "kind") == [("input", 1, "single"), ("output", 1, "single"), ("output", 3, r"pattern:fold_\d+")]
     assert found.where("size = 3").head()["label"] == "{X}.csv (×3)"
     spec = {"type": "compose", "steps": [{"type": "directory", "min_size": 2}, {"type": "session_bundle", "max_files": 0}]}
-    assert ids(groupers.groups(groupers.resolve(spec)(groupers.start(f))), "role", "kind") == [("input", "bundle"), ("output", "directory")]
+    assert ids(groupers.groups(groupers.resolve(spec)(groupers.start(f))), "role", "kind") == [("input", "session_bundle"), ("output", "directory")]
     with pytest.raises(ValueError):
         groupers.resolve("nothing")
 
