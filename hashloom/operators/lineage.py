@@ -116,26 +116,48 @@ def chains(runs: DataFrame) -> DataFrame:
     return closure(edges.join(known, "parent", "left_semi").select("child", "parent"), runs, None)
 
 
+#: Rounds of walking down from the roots before a graph is taken to have a cycle, and peeled.
+WALKS = 64
+
+
 def levels(edges: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFrame:
     """(session_id, level): longest distance from a node without parents, within ``nodes``.
 
-    Rounds of peeling: a node gets its level when all its parents have theirs. Nodes on or
-    behind a cycle never do: with ``strict`` that is a ValueError, else their level is null.
+    Round k finds the nodes at the end of a path of k edges from a root, with one join and
+    one table; a node's level is its last round. If that leaves nodes unmet or does not
+    end, there may be a cycle, and nodes are peeled instead. Nodes on or behind a cycle
+    have no level: with ``strict`` that is a ValueError, else their level is null.
     """
-    names = nodes.select("session_id").distinct()
+    names = materialize(nodes.select("session_id").distinct(), "levels-nodes")
     inner = materialize(edges.join(names.toDF("child"), "child", "left_semi").join(names.toDF("parent"), "parent", "left_semi").select("child", "parent").distinct(), "levels-edges")
-    fresh = materialize(names.join(inner.select(F.col("child").alias("session_id")), "session_id", "left_anti").withColumn("level", F.lit(0)), "levels-0")
-    done, left, k = fresh, materialize(names.join(fresh, "session_id", "left_anti"), "levels-left"), 0
+    roots = names.join(inner.select(F.col("child").alias("session_id")), "session_id", "left_anti")
+    fresh, k = materialize(roots.withColumn("level", F.lit(0)), "levels-0"), 0
+    met, step = fresh, inner.select(F.col("parent").alias("session_id"), "child")
+    while k < WALKS and not fresh.isEmpty():
+        k += 1
+        fresh = materialize(fresh.join(step, "session_id").select(F.col("child").alias("session_id")).distinct().withColumn("level", F.lit(k)), f"levels-{k}")
+        met = met.union(fresh)
+    if k < WALKS:
+        found = materialize(met.groupBy("session_id").agg(F.max("level").alias("level")), "levels")
+        if found.count() == names.count():
+            return found
+    return _peeled(inner, names, strict)
+
+
+def _peeled(inner: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
+    """``levels`` where there may be cycles: a node gets its level when all its parents have theirs."""
+    fresh = materialize(names.join(inner.select(F.col("child").alias("session_id")), "session_id", "left_anti").withColumn("level", F.lit(0)), "peeled-0")
+    done, left, k = fresh, materialize(names.join(fresh, "session_id", "left_anti"), "peeled-left"), 0
     while not left.isEmpty():
         k += 1
         waiting = inner.join(left.toDF("parent"), "parent", "left_semi").select(F.col("child").alias("session_id"))
-        fresh = materialize(left.join(waiting, "session_id", "left_anti").withColumn("level", F.lit(k)), f"levels-{k}")
+        fresh = materialize(left.join(waiting, "session_id", "left_anti").withColumn("level", F.lit(k)), f"peeled-{k}")
         if fresh.isEmpty():
             if strict:
                 raise ValueError("the graph has a cycle")
             return done.union(left.withColumn("level", F.lit(None).cast("int")))
         done = done.union(fresh)
-        left = materialize(left.join(fresh, "session_id", "left_anti"), "levels-left")
+        left = materialize(left.join(fresh, "session_id", "left_anti"), "peeled-left")
     return done
 
 

@@ -35,15 +35,8 @@ def list_runs(spark, sf_dir):
     return lookups.list_runs(load(spark, sf_dir, "runs")["runs"], "failed", 100, 20).select("session_id", "script_path", "status", "started_at")
 
 
-@query("""select file_path, session_id, max(recorded_at) as at from file_hashes where role = 'output'
-          and file_path in (select file_path from file_hashes where file_path like '/st3/%') group by 1, 2""", "file_hashes")
-def sessions_by_files(spark, sf_dir):
-    files = load(spark, sf_dir, "file_hashes")["file_hashes"]
-    return lookups.sessions_by_files(files, files.where("file_path like '/st3/%'"), "output")
-
-
 @query("select file_path, session_id, max(recorded_at) as at from file_hashes where role = 'output' group by 1, 2", "file_hashes")
-def sessions_by_all_files(spark, sf_dir):
+def sessions_by_files(spark, sf_dir):
     files = load(spark, sf_dir, "file_hashes")["file_hashes"]
     return lookups.sessions_by_files(files, files, "output")
 
@@ -83,21 +76,10 @@ def list_claims(spark, sf_dir):
     return lookups.list_claims(load(spark, sf_dir, "claims")["claims"], claim_type="figure", prefix="/doc").select("claim_id", "file_path", "line_number", "claim_type", "status")
 
 
-@query("""with wanted as (select claim_id as identifier, claim_id from claims where line_number % 10 = 1
-                          union all select file_path || ':L' || cast(line_number as string), claim_id from claims where line_number % 10 = 2
-                          union all select file_path, min_by(claim_id, line_number) from claims group by file_path)
-          select distinct identifier, claim_id from wanted""", "claims")
-def resolve_claims(spark, sf_dir):
-    rows = load(spark, sf_dir, "claims")["claims"]
-    wanted = (rows.where("line_number % 10 = 1").select(F.col("claim_id").alias("identifier"))
-              .union(rows.where("line_number % 10 = 2").select(F.expr("file_path || ':L' || line_number"))).union(rows.select("file_path")))
-    return lookups.resolve_claims(rows, wanted)
-
-
 @query("""with wanted as (select claim_id as identifier, claim_id from claims union all select file_path || ':L' || cast(line_number as string), claim_id from claims
                           union all select file_path, min_by(claim_id, line_number) from claims group by file_path)
           select distinct identifier, claim_id from wanted""", "claims")
-def resolve_all_claims(spark, sf_dir):
+def resolve_claims(spark, sf_dir):
     rows = load(spark, sf_dir, "claims")["claims"]
     return lookups.resolve_claims(rows, rows.select(F.col("claim_id").alias("identifier")).union(
         rows.select(F.expr("file_path || ':L' || line_number"))).union(rows.select("file_path")))
@@ -166,7 +148,6 @@ _EDGES = """edges as (select distinct f.session_id as child, p.session_id as par
 _CLOSURE = """closed as (select distinct session_id as leaf, session_id, 0 as depth from leaves
               union select c.leaf, e.parent, c.depth + 1 from closed c join edges e on e.child = c.session_id)"""
 _MEMBERS = "members as (select leaf, session_id, min(depth) as depth from closed group by 1, 2)"
-_LEAVES = "leaves as (select distinct n.session_id from newest n where n.file_path like '/st7/%')"
 _ALL_LEAVES = "leaves as (select distinct n.session_id from newest n)"
 
 
@@ -174,11 +155,6 @@ def _edges(t):
     return materialize(lineage.file_edges(t["file_hashes"]), "edges")
 
 
-def _leaves(t):
-    newest = lineage.newest_producers(t["file_hashes"])
-    return newest.where("file_path like '/st7/%'").select("session_id").distinct()
-
-
 def _all_leaves(t):
     return lineage.newest_producers(t["file_hashes"]).select("session_id").distinct()
 
@@ -188,14 +164,8 @@ def lineage_edges(spark, sf_dir):
     return lineage.file_edges(load(spark, sf_dir, "file_hashes")["file_hashes"])
 
 
-@query(f"with {_EDGES}, {_LEAVES}, {_CLOSURE}, {_MEMBERS} select leaf, session_id, cast(depth as int) as depth from members", "file_hashes", "newest", recursive=True)
-def lineage_closure(spark, sf_dir):
-    t = load(spark, sf_dir, "file_hashes")
-    return lineage.closure(_edges(t), _leaves(t))
-
-
 @query(f"with {_EDGES}, {_ALL_LEAVES}, {_CLOSURE}, {_MEMBERS} select leaf, session_id, cast(depth as int) as depth from members", "file_hashes", "newest", recursive=True)
-def lineage_closure_of_all(spark, sf_dir):
+def lineage_closure(spark, sf_dir):
     t = load(spark, sf_dir, "file_hashes")
     return lineage.closure(_edges(t), _all_leaves(t))
 
@@ -257,31 +227,19 @@ _WORST = """case when bool_and(coalesce(v.status, 'unknown') = 'verified') then
             when bool_or(v.status = 'missing') then 'missing' when bool_or(v.status = 'suspect') then 'suspect' else 'unknown' end"""
 
 
-@query(f"""with {_EDGES}, targets as (select distinct p.file_path, n.session_id from (select file_path from file_hashes where file_path like '/st7/%' or file_path like '/raw/p1%') p left join newest n on n.file_path = p.file_path),
-          leaves as (select distinct session_id from targets where session_id is not null), {_CLOSURE}, {_MEMBERS}, {_CHECKED}, {_verified('v', 'suspect')},
-          of_leaf as (select m.leaf, {_WORST} as status, count(*) as n_runs from members m left join v on v.session_id = m.session_id group by 1)
-          select t.file_path, t.session_id, coalesce(o.status, 'unknown') as status, coalesce(o.n_runs, 0) as n_runs from targets t left join of_leaf o on o.leaf = t.session_id""",
-       "file_hashes", "newest", "runs", "disk", recursive=True)
-def verify_chains(spark, sf_dir):
-    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
-    targets = materialize(verify.targets_of(t["file_hashes"], t["file_hashes"].where("file_path like '/st7/%' or file_path like '/raw/p1%'")), "targets")
-    members = lineage.closure(_edges(t), targets.where("session_id is not null"))
-    return verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
-
-
 @query(f"""with {_EDGES}, targets as (select distinct p.file_path, n.session_id from file_hashes p left join newest n on n.file_path = p.file_path),
           leaves as (select distinct session_id from targets where session_id is not null), {_CLOSURE}, {_MEMBERS}, {_CHECKED}, {_verified('v', 'suspect')},
           of_leaf as (select m.leaf, {_WORST} as status, count(*) as n_runs from members m left join v on v.session_id = m.session_id group by 1)
           select t.file_path, t.session_id, coalesce(o.status, 'unknown') as status, coalesce(o.n_runs, 0) as n_runs from targets t left join of_leaf o on o.leaf = t.session_id""",
        "file_hashes", "newest", "runs", "disk", recursive=True)
-def verify_all_chains(spark, sf_dir):
+def verify_chains(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     targets = materialize(verify.targets_of(t["file_hashes"], t["file_hashes"]), "targets")
     members = lineage.closure(_edges(t), targets.where("session_id is not null"))
     return verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
 
 
-_DAG = f"""{_EDGES}, {_LEAVES}, {_CLOSURE}, nodes as (select distinct session_id from closed), {_CHECKED}, {_verified('v', None)},
+_DAG = f"""{_EDGES}, {_ALL_LEAVES}, {_CLOSURE}, nodes as (select distinct session_id from closed), {_CHECKED}, {_verified('v', None)},
            own as (select n.session_id, coalesce(v.status, 'unknown') as status from nodes n left join v on v.session_id = n.session_id),
            inner_edges as (select child, parent from edges where child in (select session_id from nodes) and parent in (select session_id from nodes)),
            walk as (select session_id, 0 as level from nodes union select e.child, w.level + 1 from walk w join inner_edges e on e.parent = w.session_id),
@@ -292,15 +250,6 @@ _DAG = f"""{_EDGES}, {_LEAVES}, {_CLOSURE}, nodes as (select distinct session_id
           from own o join (select session_id, max(level) as level from walk group by 1) w on w.session_id = o.session_id left join hit h on h.session_id = o.session_id""",
        "file_hashes", "newest", "runs", "disk", recursive=True)
 def verify_dag(spark, sf_dir):
-    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
-    edges = _edges(t)
-    return verify.verify_dag(edges, lineage.reachable(edges, _leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
-
-
-@query(f"""with {_DAG.replace(_LEAVES, _ALL_LEAVES)} select o.session_id, cast(w.level as int) as level, o.status, h.session_id is not null as failed
-          from own o join (select session_id, max(level) as level from walk group by 1) w on w.session_id = o.session_id left join hit h on h.session_id = o.session_id""",
-       "file_hashes", "newest", "runs", "disk", recursive=True)
-def verify_dag_of_all(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     edges = _edges(t)
     return verify.verify_dag(edges, lineage.reachable(edges, _all_leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))

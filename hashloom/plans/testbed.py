@@ -151,6 +151,8 @@ def oracle(query: str, *names: str, recursive: bool = False) -> str:
     sql, wanted = relations(Dialect("duckdb")), list(names)
     for name in wanted:
         wanted += [n for n in sql if _uses(sql[name], n) and n not in wanted]
+    if not wanted:
+        return query.strip()
     ctes = ", ".join(f"{n} as ({sql[n].strip()})" for n in sql if n in wanted)
     head = "with recursive " if recursive else "with "
     body = query.strip()

@@ -304,7 +304,7 @@ def test_queries_over_all_equal_brute_force(spark):
     rows = t["claims"].collect()
     want = {r["file_path"]: min((x["line_number"], x["claim_id"]) for x in rows if x["file_path"] == r["file_path"])[1] for r in rows}
     want |= {f"{r['file_path']}:L{r['line_number']}": r["claim_id"] for r in rows} | {r["claim_id"]: r["claim_id"] for r in rows}
-    got = [tuple(r) for r in queries.resolve_all_claims(spark, sf).select("identifier", "claim_id").collect()]
+    got = [tuple(r) for r in queries.resolve_claims(spark, sf).select("identifier", "claim_id").collect()]
     assert len(got) == len(want) > 2 * len(rows) and dict(got) == want
 
     seen, made, parents = {}, {}, {}
@@ -312,7 +312,7 @@ def test_queries_over_all_equal_brute_force(spark):
     for r in sorted((r for r in files if r["role"] == "output"), key=lambda r: (r["recorded_at"], [-ord(c) for c in r["session_id"]])):
         seen[r["file_path"], r["session_id"]] = r["recorded_at"]
         made[r["file_path"]] = r["session_id"]
-    got = [tuple(r) for r in queries.sessions_by_all_files(spark, sf).select("file_path", "session_id", "at").collect()]
+    got = [tuple(r) for r in queries.sessions_by_files(spark, sf).select("file_path", "session_id", "at").collect()]
     assert sorted(got) == sorted((*k, at) for k, at in seen.items())
     for r in files:
         if r["role"] == "input" and made.get(r["file_path"], r["session_id"]) != r["session_id"]:
@@ -325,19 +325,53 @@ def test_queries_over_all_equal_brute_force(spark):
             now, k = {p for s in now for p in parents.get(s, ())} - found.keys(), k + 1
         return found
     closed = {leaf: depths(leaf) for leaf in set(made.values())}
-    got = [tuple(r) for r in queries.lineage_closure_of_all(spark, sf).select("leaf", "session_id", "depth").collect()]
+    got = [tuple(r) for r in queries.lineage_closure(spark, sf).select("leaf", "session_id", "depth").collect()]
     assert sorted(got) == sorted((leaf, s, k) for leaf, found in closed.items() for s, k in found.items())
 
     status = {r["session_id"]: r["status"] for r in queries.verify_runs(spark, sf).collect()}
     rank = ("mismatch", "missing", "suspect", "unknown", "verified")
     worst = lambda leaf: min((status.get(s, "unknown") for s in closed[leaf]), key=rank.index)
     want = [(p, s, worst(s), len(closed[s])) if (s := made.get(p)) else (p, None, "unknown", 0) for p in {r["file_path"] for r in files}]
-    got = [tuple(r) for r in queries.verify_all_chains(spark, sf).select("file_path", "session_id", "status", "n_runs").collect()]
+    got = [tuple(r) for r in queries.verify_chains(spark, sf).select("file_path", "session_id", "status", "n_runs").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
     own = {r["session_id"]: r["status"] for r in verify.verify_runs(*load(spark, sf, "runs", "file_hashes", "disk").values(), propagate=False).collect()}
     level = lambda s: 1 + max(map(level, parents[s])) if parents.get(s) else 0
     nodes = set().union(*closed.values())
     failed = {s for s in nodes if any(own.get(a, "unknown") != "verified" for a in depths(s))}
-    got = [tuple(r) for r in queries.verify_dag_of_all(spark, sf).select("session_id", "level", "status", "failed").collect()]
+    got = [tuple(r) for r in queries.verify_dag(spark, sf).select("session_id", "level", "status", "failed").collect()]
     assert sorted(got) == sorted((s, level(s), own.get(s, "unknown"), s in failed) for s in nodes)
+
+
+def test_links_come_from_the_record_where_there_is_one(spark):
+    rec = spark.createDataFrame([("a", None, "verified", None), ("b", "10.1/b", "verified", " "), ("c", None, "stub", "http://u")], "cite_key string, doi string, status string, url string")
+    rows = spark.createDataFrame([(i, k, "10.1/x") for i, k in enumerate("abcd")], "seq int, key string, doi string").withColumns(
+        {c: F.lit(None).cast("string") for c in ("journal", "note", "title", "author", "year")})
+    got = dict(ids(citations.verify_citations(rows, rec), "cite_key", "link"))
+    assert got == {"a": None, "b": "https://doi.org/10.1/b", "c": "http://u", "d": "https://doi.org/10.1/x"}
+
+
+def test_levels_with_and_without_cycles(spark, monkeypatch):
+    from hashloom.operators import lineage
+
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "a"), ("e", "d")], "child string, parent string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdef"], "session_id string")
+    want = [("a", 0), ("b", 1), ("c", 2), ("d", 0), ("e", 1), ("f", 0)]
+    assert ids(lineage.levels(edges, nodes), "session_id", "level") == want
+    round_ = edges.union(spark.createDataFrame([("x", "y"), ("y", "x"), ("x", "a"), ("z", "y")], "child string, parent string"))
+    more = nodes.union(spark.createDataFrame([("x",), ("y",), ("z",)], "session_id string"))
+    monkeypatch.setattr(lineage, "WALKS", 4)
+    assert sorted(tuple(r) for r in lineage.levels(round_, more, strict=False).where("level is not null").collect()) == want
+    with pytest.raises(ValueError):
+        lineage.levels(round_, more)
+    only = spark.createDataFrame([("x", "y"), ("y", "x")], "child string, parent string")
+    assert {r["level"] for r in lineage.layout(only, only.select(F.col("child").alias("session_id"))).collect()} == {1}
+
+
+def test_severities_of_hints(spark):
+    from hashloom.operators import claims
+
+    states = ["mismatch", "missing", "suspect", "registered", "unsourced", "exception", "verified", "frozen"]
+    rows = spark.createDataFrame([(f"c{i}", "/a.tex", i, s) for i, s in enumerate(states)], "claim_id string, file_path string, line_number int, resolved string")
+    got = dict(ids(claims.hint_entries(rows), "kind", "severity"))
+    assert got == {"claim-mismatch": "error", "claim-missing": "error", "claim-suspect": "warning", "claim-registered": "warning", "claim-unsourced": "advice", "claim-exception": "advice"}
