@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -379,36 +380,57 @@ def describe(media: DataFrame, column: str = "media") -> DataFrame:
     return media.select(*keep).mapInArrow(run, f"{schema}, width int, height int, feature string")
 
 
-def stored_texts(docs: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
-    """Each text of ``docs`` (doc_id, text, others ignored) stored as JPEG, read back from the stored bytes, and described.
+def store_texts(docs: DataFrame, batch_bytes: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_bytes, media) of every row of ``docs`` (doc_id, text, others ignored): each text as a JPEG file in a binary column.
 
-    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256
-    and feature of every row; a null text is stored like an empty one, repeated rows and
-    null doc_ids stay. ``batch_bytes``: how much text is coded in step.
+    Texts are padded to whole units; a null text is stored like an empty one. Repeated rows and null doc_ids
+    stay, very long texts take several frames of one file, an empty table gives none. ``batch_bytes``: how much text is coded in step.
     """
-    def of(texts: list[bytes]):
-        files = store([padded(t) for t in texts])
-        parsed = [parse(f) for f in files]
-        decode([f for frames in parsed for f in frames])
-        for text, data, frames in zip(texts, files, parsed):
-            payload = b"".join(f.thumbnail.tobytes() for f in frames)
-            yield (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(frames))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), [t or b"" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= batch_bytes):
-                    size, end = size + max(len(texts[end]), UNIT), end + 1
-                rows = list(of(texts[at:end]))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            ids, texts = batch.column(0), batch.column(1)
+            for a, b in _steps([x or 0 for x in pc.binary_length(texts).to_pylist()], batch_bytes):
+                part = [t or b"" for t in texts.slice(a, b - a).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, end - at), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]],
-                    names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-                at = end
+                    [ids.slice(a, b - a), pa.array(map(len, part), pa.int64()), pa.array(store([padded(t) for t in part]), pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     key = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(
+    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, f"doc_id {key}, n_bytes bigint, media binary")
+
+
+def _steps(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours with at most ``most`` bytes together, or of one."""
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= most):
+            size, end = size + max(sizes[end], UNIT), end + 1
+        yield at, end
+        at = end
+
+
+def read_back(stored: DataFrame, batch_bytes: int = 1 << 21) -> DataFrame:
+    """What the files of ``store_texts`` hold, decoded from the column ``media``.
+
+    doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256
+    and feature of every row. A cell that is null or no whole baseline JPEG file is an error.
+    """
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column(2)
+            for a, b in _steps([x or 0 for x in pc.binary_length(cells).to_pylist()], batch_bytes):
+                files = cells.slice(a, b - a).to_pylist()
+                parsed, rows = [parse(f) for f in files], []
+                decode([f for frames in parsed for f in frames])
+                for data, frames in zip(files, parsed):
+                    payload = b"".join(f.thumbnail.tobytes() for f in frames)
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature(frames)))
+                found = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), *found], names=["doc_id", "n_bytes", *names])
+
+    key = stored.schema["doc_id"].dataType.simpleString()
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(
         run, f"doc_id {key}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -33,7 +33,8 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    found = substrings.find_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", (F.octet_length("spans") / 16).cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.stored_texts(table(spark, sf_dir, "documents"))
+    return media.read_back(media.store_texts(table(spark, sf_dir, "documents")))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +89,8 @@ def _share_sql(children: str, parents: str, name: str) -> str:
 
 MIXING_SQL = rf"""with d as (
     select doc_id, lang, source, coalesce('d' || cast(try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 4 as varchar), 'other') as domain,
-      cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as n_tokens from documents),
+      cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as bigint) as n_tokens from documents),
   leaves as (select domain, lang, source, sum(n_tokens)::bigint as available, 2 * sum(n_tokens)::bigint as cap from d group by all),
   one as (select 0 as root, domain, sum(cap)::bigint as cap, {_weight_sql('domain')} as w, (select sum(available)::bigint * 70 // 100 from leaves) as budget from leaves group by domain),
   got1 as (select domain, got as budget from {_share_sql('one', 'root', 'domain')}),

@@ -18,7 +18,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hashloom.llm.common import materialize
@@ -260,17 +260,23 @@ class Answers:
         return self.place[c:d], self.code[c:d]
 
 
-def _summary(text: bytes, windows: np.ndarray) -> tuple[int, int, int, str]:
-    """(n_bytes, n_removed, n_spans, kept_sha256) when the bytes of all ``windows`` (starts) go."""
+def _runs(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the maximal runs of bytes that windows (their starts, ascending) cover."""
     if not len(windows):
-        return len(text), 0, 0, hashlib.sha256(text).hexdigest()
-    edge = np.zeros(len(text) + 1, np.int64)
-    np.add.at(edge, windows, 1)
-    np.add.at(edge, windows + LENGTH, -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-    kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-    return len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()
+        return windows, windows
+    breaks = np.flatnonzero(np.diff(windows) > LENGTH)
+    return windows[np.concatenate([[0], breaks + 1])], windows[np.append(breaks, len(windows) - 1)] + LENGTH
+
+
+def _summary(text: bytes, windows: np.ndarray) -> tuple[int, int, bytes, str]:
+    """(n_bytes, n_removed, spans, kept_sha256) when the bytes of all ``windows`` (starts) go; spans: starts, then ends, as 64-bit numbers."""
+    starts, ends = _runs(np.sort(windows))
+    kept, at = hashlib.sha256(), 0
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        kept.update(text[at:a])
+        at = b
+    kept.update(text[at:])
+    return len(text), int((ends - starts).sum()), np.concatenate([starts, ends]).astype("<i8").tobytes(), kept.hexdigest()
 
 
 def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -279,9 +285,9 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-PARTS = "part int, key bigint, doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, text binary, windows binary, low bigint"
-_PARTS = ["part", "key", "doc", "null_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", "windows", "low"]
-_PART_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.string(), pa.binary(), pa.binary(), pa.int64()]
+PARTS = "part int, key bigint, doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, spans binary, kept_sha256 string, text binary, windows binary, low bigint"
+_PARTS = ["part", "key", "doc", "null_id", "row", "n_bytes", "n_removed", "spans", "kept_sha256", "text", "windows", "low"]
+_PART_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
 DONE, WAITING, SUFFIXES = 0, 1, 2
 
 
@@ -439,24 +445,31 @@ def _finish(docs: pa.Table, answers: pa.Table) -> pa.Table:
     for r in docs.to_pylist():
         place, _ = found.of(r["doc"], r["row"])
         windows = np.unique(np.concatenate([np.frombuffer(r["windows"], np.int64), place]))
-        rows.append((r["doc"], r["null_id"], *_summary(r["text"], windows)))
-    return pa.Table.from_batches([_batch(rows, ["doc", "null_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.string()])])
+        rows.append((r["doc"], r["null_id"], r["row"], *_summary(r["text"], windows)))
+    return pa.Table.from_batches([_batch(rows, ["doc", "null_id", "row", "n_bytes", "n_removed", "spans", "kept_sha256"], [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()])])
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row of ``docs`` (doc_id, text, others ignored).
-
-    Texts are UTF-8 bytes, null ones empty. Each byte goes that is covered by a LENGTH-byte
-    string which also starts in a document of smaller doc_id; strings are judged on the
-    input, and never cross documents. Rows of one doc_id do not remove from each other.
-    Null doc_ids count as larger than all others, and as equal. Removal by equal
-    stretches rests on 48 hash bits of the anchor and 48 of the stretch; open stretches
-    are verified byte by byte.
+def _row(docs: DataFrame) -> Column:
+    """Number of a row, by id and text."""
+    return F.abs(F.xxhash64("doc_id", "text") % F.lit(1 << 62))
+
+
+def find_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """doc_id, row, n_bytes, n_removed, spans and kept_sha256 of every row of ``docs`` (doc_id, text, others ignored).
+
+    spans: what goes, as 64-bit little-endian numbers: starts of maximal runs of bytes, ascending, then their ends (exclusive).
+    row: hash of id and text. Texts are UTF-8 bytes, null and empty ones have none. Each byte goes that
+    is covered by a LENGTH-byte string which also starts in a document of smaller doc_id;
+    strings are judged on the input, and never cross documents. Rows of one doc_id do not
+    remove from each other, so repeated rows give equal rows. doc_ids are integers or texts of integers; null ones, and
+    others, count as larger than all, and as equal. Long texts are read in pieces. An empty table gives none.
+    Removal by equal stretches rests on 48 hash bits of the anchor and 48 of the stretch;
+    open stretches are verified byte by byte.
     """
     key = docs.schema["doc_id"].dataType
-    base = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NEVER)).alias("doc"), F.col("doc_id").isNull().alias("null_id"),
-        F.abs(F.xxhash64("doc_id", "text") % F.lit(1 << 62)).alias("row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    number = F.col("doc_id").try_cast("long")
+    base = docs.select(F.coalesce(number, F.lit(NEVER)).alias("doc"), number.isNull().alias("null_id"), _row(docs).alias("row"),
+                       F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // bucket_bytes + 1)
     asked = base.select("doc", "row", "text").mapInArrow(_ask(buckets), ROWS)
@@ -466,6 +479,28 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFra
     wait, opened = parts.where(F.col("part") == WAITING), parts.where(F.col("part") == SUFFIXES)
     settled = opened.select("key", "text", "doc", "row", "low").groupBy("key").applyInArrow(_settle(buckets), ROWS)
     last = wait.select("key", "doc", "null_id", "row", "text", "windows").groupBy("key").cogroup(settled.groupBy("key")).applyInArrow(
-        _finish, "doc bigint, null_id boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+        _finish, "doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, spans binary, kept_sha256 string")
     out = parts.where(F.col("part") == DONE).select(*last.columns).union(last)
-    return out.select(F.when(~F.col("null_id"), F.col("doc")).cast(key).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.select(F.when(~F.col("null_id"), F.col("doc")).cast(key).alias("doc_id"), "row", "n_bytes", "n_removed", "spans", "kept_sha256")
+
+
+def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """Every row of ``docs``, all columns, its ``text`` without the bytes of ``find_repeats``.
+
+    Bytes of characters that a span cuts in two become U+FFFD. Null texts stay null.
+    """
+    found = find_repeats(docs, bucket_bytes).where("n_removed > 0").select(F.col("row").alias("_row"), "spans").dropDuplicates(["_row"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("binary").alias("text"), _row(docs).alias("_row")).join(found, "_row", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if text is not None and spans:
+                    starts, ends = np.frombuffer(spans, "<i8").reshape(2, -1).tolist()
+                    text = b"".join(text[a:b] for a, b in zip([0, *ends], [*starts, len(text)]))
+                texts.append(None if text is None else text.decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["row", "kept"])
+
+    kept = rows.select("row", "text", "spans").mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, kept string")
+    return kept.select(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -22,8 +22,10 @@ SPAN, DECAY = 6, 0.5
 WIDTH = 24
 #: Labelled rows that train, at most: those of least hash of their id. All other figures cover all rows.
 TRAINING_ROWS = 12_000
-#: Words only met in toxic texts, and other words, that the machine learns from, at most.
+#: Words of toxic texts, and other words, that the machine learns from, at most (parameters of ``learn``).
 POSITIVES, NEGATIVES = 1_500, 6_000
+#: Share of a word's places that may lie in clean texts, as labels can be wrong, for it to be a bad example.
+SPARED = 0.1
 LANDMARKS = 512
 #: Subsequences are told apart by this many hash values.
 CODES = 1 << 18
@@ -222,18 +224,21 @@ def _signs(rows: DataFrame, machine: Machine, carried: list[str]) -> DataFrame:
     return kept.mapInArrow(run, f"{schema}, signs array<double>" if carried else "signs array<double>")
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tuple[Machine, list[float]]:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[Machine, list[float]]:
     """(machine, coefficients) from the labelled rows that are not held out, ``rows`` of them at most.
 
+    The fit is bounded: it sees ``rows`` labelled documents, and of their words the
+    ``positives`` most frequent bad ones and ``negatives`` others. Scores cover all rows.
+
     Words of three letters or digits and more count, stripped of other marks, once for
     each pair of neighbours, so that copies of a text weigh as one.
-    A word is a bad example if it has three such places in toxic texts and none in
-    others, a good one if it has a place in another text. Two thirds of the rows teach
+    A word is a bad example if it has three such places in toxic texts and at most SPARED
+    of all its places in others, a good one if it has more there. Two thirds of the rows teach
     words, the others how margins turn into chances.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")  # at most ``rows`` ids
+    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")), "toxicity-sample")  # at most ``rows`` ids
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,10 +253,11 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> tupl
     teaches = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0
     met = sample.where(teaches).select("text", "toxic").mapInArrow(places, "word string, place bigint, toxic int").distinct().groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    met = materialize(met.where(F.length("word") <= 64), "toxicity-words")
-    bad = [r["word"] for r in met.where("good = 0 and bad >= 3").orderBy(F.desc("bad"), "word").limit(POSITIVES).collect()]
-    good = [r["word"] for r in met.where("good > 0").orderBy(F.xxhash64("word"), "word").limit(NEGATIVES * 3 // 4).collect()]
-    good += [r["word"] for r in met.where("good > 0").orderBy(F.desc("good"), "word").limit(NEGATIVES // 4).collect()]
+    met = materialize(met, "toxicity-words")
+    insult = F.expr(f"bad >= 3 and good <= {SPARED} * (bad + good)")
+    bad = [r["word"] for r in met.where(insult).orderBy(F.desc("bad"), "word").limit(positives).collect()]
+    good = [r["word"] for r in met.where("good > 0").where(~insult).orderBy(F.xxhash64("word"), "word").limit(negatives * 3 // 4).collect()]
+    good += [r["word"] for r in met.where("good > 0").where(~insult).orderBy(F.desc("good"), "word").limit(negatives // 4).collect()]
     machine = train(bad, sorted(set(good)))
     found = _signs(sample.where(~teaches), machine, ["toxic"]).toPandas()
     return machine, calibrate(np.array(found["signs"].tolist()).reshape(-1, SIGNS), found["toxic"].to_numpy())

@@ -242,11 +242,19 @@ def brute_repeats(rows):
 
 
 def test_repeats_equal_brute_force(docs, rows, empty):
-    got = substrings.remove_repeats(docs).collect()
-    same([tuple(r) for r in got], brute_repeats(rows))
-    got = substrings.remove_repeats(docs, bucket_bytes=500).collect()
-    same([tuple(r) for r in got], brute_repeats(rows))
-    assert substrings.remove_repeats(empty).count() == 0
+    want = brute_repeats(rows)
+    for size in (substrings.BUCKET_BYTES, 500):
+        got = substrings.find_repeats(docs, bucket_bytes=size).collect()
+        same([(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]) // 16, r["kept_sha256"]) for r in got], want)
+    assert substrings.find_repeats(empty).count() == 0
+    kept = substrings.remove_repeats(docs.withColumn("spans", F.lit("x")).withColumn("kept", F.lit(1)))
+    assert kept.columns == [*docs.columns, "spans", "kept"]
+    whole = {r[0]: r[4] for r in want}
+    for r in kept.collect():
+        if r["text"] is not None and "\ufffd" not in r["text"]:
+            assert hashlib.sha256(r["text"].encode()).hexdigest() in (whole[r["doc_id"]], hashlib.sha256(b"").hexdigest())
+    as_text = substrings.find_repeats(docs.where("doc_id < 60").select(F.col("doc_id").cast("string").alias("doc_id"), "text")).collect()
+    same([(int(r["doc_id"]), r["kept_sha256"]) for r in as_text], [(r[0], r[4]) for r in brute_repeats([x for x in rows if x[0] is not None and x[0] < 60])])
 
 
 def test_long_pieces_join_up(spark, monkeypatch):
@@ -671,7 +679,7 @@ def test_large_payloads_take_several_frames():
 
 
 def test_stored_texts(docs, rows, empty):
-    got = media.stored_texts(docs, 4000).collect()
+    got = media.read_back(media.store_texts(docs, 4000), 5000).collect()
     want = []
     for i, t in rows:
         p = media.padded((t or "").encode())
@@ -681,7 +689,9 @@ def test_stored_texts(docs, rows, empty):
     for r in got:
         by_text.setdefault(r["payload_sha256"], set()).add((r["media_sha256"], r["media_bytes"], r["feature"]))
     assert all(len(x) == 1 for x in by_text.values())
-    assert media.stored_texts(empty).count() == 0
+    assert media.read_back(media.store_texts(empty)).count() == 0
+    files = media.describe(media.store_texts(docs)).collect()
+    assert len(files) == len(rows) and all(r['width'] > 0 and r['media'][:2] == b'\xff\xd8' for r in files)
 
 
 # --- toxicity ---------------------------------------------------------------
