@@ -25,7 +25,7 @@ TRAINING_ROWS = 12_000
 #: Words of toxic texts, and other words, that the machine learns from, at most (parameters of ``learn``).
 POSITIVES, NEGATIVES = 1_500, 6_000
 #: Share of a word's places that may lie in clean texts, as labels can be wrong, for it to be a bad example.
-SPARED = 0.1
+SPARED = 0.02
 LANDMARKS = 512
 #: Subsequences are told apart by this many hash values.
 CODES = 1 << 18
