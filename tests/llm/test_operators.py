@@ -727,6 +727,14 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.score_texts(empty, none).count() == 0
 
 
+def test_shares_are_compared_by_the_other_half():
+    rng = np.random.default_rng(4)
+    toxic, half = (np.arange(400) % 5 == 0).astype(int), np.arange(400) // 5 % 2
+    clear, blurred = (np.c_[toxic * far + rng.normal(0, 1, 400), np.zeros((400, 3))] for far in (8, 1))
+    assert toxicity.unlike(clear, toxic, half) < 0.1 < toxicity.unlike(blurred, toxic, half)
+    assert toxicity.unlike(np.zeros((0, 4)), np.zeros(0), np.zeros(0)) == 0.0
+
+
 def test_the_kernel_is_the_sum_over_gapped_subsequences():
     def explicit(word):
         codes = toxicity.encode([word])[0][0].tolist()
