@@ -27,11 +27,11 @@ LENGTH, K = 50, 20
 #: Bytes beside the anchor, before or after, that each string must have.
 SIDE = (LENGTH - K) // 2
 #: Text bytes for each bucket of anchors, and for each group of documents that is read back.
-BUCKET_BYTES = 12 << 20
+BUCKET_BYTES = 6 << 20
 #: Text that is hashed at a time, and longest piece of a document.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Entries held before a task sends them off.
-HELD = 1_200_000
+HELD = 600_000
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
