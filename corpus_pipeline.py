@@ -32,6 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of each text; null and empty texts have none, repeated rows each get a row, an empty table gives none."""
     return pieces.encode(docs, MODEL)
 
 
@@ -43,7 +44,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", tokenize),
 ]
 
-#: No SQL: the learned rules and the segmentation are not expressible; tests compare each stage with brute force.
+#: No SQL: the learned rules and the segmentation are not expressible; tests compare the stages with plain versions where no rules are learned.
 ORACLE_SQL = None
 
 
