@@ -23,7 +23,8 @@ def start(files: DataFrame) -> DataFrame:
 def _assign(rows: DataFrame, bucket, enough: int, label, kind: str) -> DataFrame:
     """Give rows without group that share ``bucket`` (null: none), ``enough`` or more, one group."""
     free = rows.withColumn("_b", F.when(F.col("group_id").isNull(), bucket))
-    n = F.count("_b").over(Window.partitionBy("session_id", "role", "_b"))
+    alone = F.when(F.col("_b").isNull(), F.xxhash64("file_path"))  # rows without bucket are dealt out, not gathered in one window
+    n = F.count("_b").over(Window.partitionBy("session_id", "role", "_b", alone))
     free = free.withColumn("_n", n).withColumn("_t", F.col("_b").isNotNull() & (F.col("_n") >= enough))
     name = F.concat(label, F.lit(" (×"), F.col("_n").cast("string"), F.lit(")"))
     return free.withColumn("label", F.when(F.col("_t"), name).otherwise(F.col("label"))).withColumn("kind", F.when(F.col("_t"), kind).otherwise(F.col("kind"))).withColumn(

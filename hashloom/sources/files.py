@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = (".tar.gz", ".tar.xz", ".tar")
-#: Files up to this size are hashed by Spark's own functions; larger ones are read in chunks.
-WHOLE_FILE = 256 << 20
 CHUNK = 1 << 20
 
 
@@ -46,7 +44,10 @@ def hash_paths(paths: DataFrame, algorithm: str = "sha256") -> DataFrame:
 
 
 def hash_store(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """(file_path, hash, size_bytes) of files in any store that Spark reads; names that begin with . or _ are not seen there."""
+    """(file_path, hash, size_bytes) of files in any store that Spark reads; names that begin with . or _ are not seen there.
+
+    A file is one cell, so one of 2 GB or more fails; ``hash_paths`` reads those in chunks from a mounted file system.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     return rows.select(F.col("path").alias("file_path"), F.sha2("content", 256).alias("hash"), F.col("length").alias("size_bytes"))
 
