@@ -17,11 +17,15 @@ from hashloom.llm.common import materialize
 
 #: N-grams of one to so many tokens are counted.
 ORDER = 3
-#: Filter bits for each stored level, and probes of a level.
-BITS_PER_KEY = 16
-PROBES = 4
+#: Filter bits for each stored mark, and probes of a mark: one of 25,000 that were never stored is found.
+BITS_PER_KEY = 24
+PROBES = 8
 #: Counts up to EXACT are levels of their own; above, each level is a factor of STEP, up to LEVELS.
-EXACT, STEP, LEVELS = 20, 1.05, 512
+EXACT, STEP, LEVELS = 20, 1.005, 8192
+#: Levels above EXACT are stored as two digits, the lower one below FINE.
+FINE = 10
+#: A filter of at most so many bytes (single tokens' counts included) is broadcast; a larger one is probed by shards.
+BROADCAST_BYTES = 16 << 20
 #: Weight of the lower order in each order's mixture, in counts (by the length of the n-gram).
 PRIOR = {2: 4.0, 3: 2.0}
 #: Tokens whose different n-grams are looked up together, and those for each bucket of the filter.
@@ -108,29 +112,46 @@ def counts_of() -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter that holds each key at its level and at all levels below, so that membership is monotone."""
+    """A Bloom filter of keys and their levels, kept as bytes.
+
+    A key is stored with marks: 1 to its level, or above EXACT 1 to the higher digit and,
+    apart from them, 1 to the lower digit. Membership of marks is monotone in each digit.
+    """
 
     def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        self.bits = max(int(levels.sum()) * BITS_PER_KEY // 8 * 8, 64)
-        self.most = int(levels.max(initial=0))
-        flags = np.zeros(self.bits, bool)
-        order = np.argsort(-levels, kind="stable")
-        keys, upto = keys[order], np.searchsorted(-levels[order], -np.arange(1, self.most + 1), side="right")
-        for level, n in enumerate(upto.tolist(), 1):
-            h, step = self._hashed(keys[:n], np.full(n, level))
-            for i in range(PROBES):
-                flags[((h + _U(i) * step) % _U(self.bits)).astype(np.int64)] = True
-        self.data = np.packbits(flags, bitorder="little")
+        high, low = self._digits(levels)
+        bits, most = max(int((high + low).sum()) * BITS_PER_KEY // 8 * 8, 64), int(high.max(initial=0))
+        flags = np.zeros(bits, bool)
+        for digit, upto, tag in ((high, most, 0), (low, int(low.max(initial=0)), LEVELS)):
+            order = np.argsort(-digit, kind="stable")
+            sorted_keys, members = keys[order], np.searchsorted(-digit[order], -np.arange(1, upto + 1), side="right")
+            for mark, n in enumerate(members.tolist(), 1):
+                h, step = self._hashed(sorted_keys[:n], np.full(n, mark + tag))
+                for i in range(PROBES):
+                    flags[((h + _U(i) * step) % _U(bits)).astype(np.int64)] = True
+        self.bits, self.most, self.data = bits, most, np.packbits(flags, bitorder="little")
+
+    @classmethod
+    def stored(cls, bits: int, most: int, data: bytes) -> Filter:
+        """A filter from what was kept of it."""
+        out = cls.__new__(cls)
+        out.bits, out.most, out.data = bits, most, np.frombuffer(data, np.uint8)
+        return out
 
     @staticmethod
-    def _hashed(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = _mix(keys + levels.astype(_U) * _U(0x9E3779B97F4A7C15))
+    def _digits(levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        over = np.maximum(levels - EXACT, 0)
+        return np.minimum(levels, EXACT) + over // FINE, over % FINE
+
+    @staticmethod
+    def _hashed(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = _mix(keys + marks.astype(_U) * _U(0x9E3779B97F4A7C15))
         return h, (h >> _U(32)) | _U(1)
 
-    def holds(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        """Whether each key is a member at its level."""
+    def holds(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+        """Whether each key is a member at its mark."""
         on = np.arange(len(keys))
-        h, step = self._hashed(keys, levels)
+        h, step = self._hashed(keys, marks)
         for i in range(PROBES):
             at = ((h[on] + _U(i) * step[on]) % _U(self.bits)).astype(np.int64)
             on = on[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
@@ -138,22 +159,29 @@ class Filter:
         out[on] = True
         return out
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Each key's level: probes double it until one misses, then halve what is left between."""
-        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), self.most + 1)
+    def _digit(self, keys: np.ndarray, most: int, tag: int) -> np.ndarray:
+        """A digit of each key: probes double it until one misses, then halve what is left between."""
+        low, high = np.zeros(len(keys), np.int64), np.full(len(keys), most + 1)
         on, ask = np.arange(len(keys)), 1
-        while len(on) and ask <= self.most:
-            hit = self.holds(keys[on], np.full(len(on), ask))
+        while len(on) and ask <= most:
+            hit = self.holds(keys[on], np.full(len(on), ask + tag))
             low[on[hit]], high[on[~hit]] = ask, ask
             on, ask = on[hit], 2 * ask
         on = np.flatnonzero(high - low > 1)
         while len(on):
             mid = (low[on] + high[on]) // 2
-            hit = self.holds(keys[on], mid)
+            hit = self.holds(keys[on], mid + tag)
             low[on[hit]], high[on[~hit]] = mid[hit], mid[~hit]
             on = on[high[on] - low[on] > 1]
         return low
 
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's level, 0 where it is not held."""
+        out = self._digit(keys, self.most, 0)
+        above = np.flatnonzero(out >= EXACT)
+        out[above] = EXACT + (out[above] - EXACT) * FINE + self._digit(keys[above], FINE - 1, LEVELS)
+        return out
+
 
 def grams(words: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
     """Keys of the n-grams that end at each token, for n from 1 to ORDER; 0 where a text has not so many tokens before.
@@ -265,54 +293,82 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
     return rows.mapInArrow(run, CHUNK.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
-def asks(read: DataFrame, bits: int, buckets: int) -> DataFrame:
-    """(bucket, chunk, kind, keys, counts): each chunk's different n-grams by bucket, with their counts in its training texts."""
+def asks(read: DataFrame, bits: int, buckets: int, teach: bool) -> DataFrame:
+    """(bucket, chunk, kind, keys, counts): each chunk's different n-grams by bucket.
+
+    With ``teach`` those of training texts, with their counts there; else those of all texts.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                sizes = _unsmall(row["sizes"])
-                teaches = np.repeat(np.frombuffer(row["teaches"], np.uint8), sizes)
-                for kind, (keys, place, wide) in enumerate(different(np.frombuffer(row["names"], _U), _unsmall(row["at"]), sizes, bits)):
-                    n, where = np.bincount(place, teaches, len(keys)).astype(np.int64), buckets_of(keys, wide, buckets)
+                sizes, at = _unsmall(row["sizes"]), _unsmall(row["at"])
+                taught = np.frombuffer(row["teaches"], np.uint8) > 0
+                if teach and not taught.all():
+                    at, sizes = at[np.repeat(taught, sizes)], sizes[taught]
+                if not len(sizes):
+                    continue
+                for kind, (keys, place, wide) in enumerate(different(np.frombuffer(row["names"], _U), at, sizes, bits)):
+                    n = np.bincount(place, minlength=len(keys)) if teach else np.zeros(len(keys), np.int64)
+                    if kind == 0:
+                        keys, n = (keys[n > 0], n[n > 0]) if teach else (keys, n)
+                    where = buckets_of(keys, wide, buckets)
                     firsts = np.flatnonzero(np.diff(where, prepend=-1))
                     cuts = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(keys)]))
                     yield pa.RecordBatch.from_arrays([
                         pa.array(where[firsts]), pa.array([row["chunk"]] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()),
-                        pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([_small(n[a:b]) for a, b in cuts], pa.binary())],
+                        pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([_small(n[a:b]) if teach else b"" for a, b in cuts], pa.binary())],
                         names=["bucket", "chunk", "kind", "keys", "counts"])
 
     return read.select("chunk", "teaches", "sizes", "names", "at").mapInArrow(run, "bucket bigint, chunk bigint, kind int, keys binary, counts binary")
 
 
-def answer(table: pa.Table) -> pa.Table:
-    """Of one bucket: its filter is built from all chunks' counts and probed for what each chunk asks.
+SHARD = "bucket bigint, kind int, bits bigint, most bigint, data binary, names binary, total bigint, distinct bigint"
 
-    levels: of n-grams, in the order asked; exact: the counts of single tokens. The
-    bucket's first row tells how many training tokens and different ones it has.
+
+def build(table: pa.Table) -> pa.Table:
+    """A bucket's shards of the filter, one for each length of n-gram, from the counts of all chunks.
+
+    Of single tokens the shard is the exact table (names, and their counts as data).
     """
     kinds = table["kind"].to_numpy()
-    keys = [unpack(k) for k in table["keys"].to_pylist()]
-    counts = [_unsmall(c) for c in table["counts"].to_pylist()]
-    levels: list[bytes | None] = [None] * len(keys)
-    exact: list[bytes | None] = [None] * len(keys)
-    total = distinct = 0
+    out = []
     for kind in np.unique(kinds).tolist():
-        rows = np.flatnonzero(kinds == kind).tolist()
-        each, place = np.unique(np.concatenate([keys[r] for r in rows]), return_inverse=True)
-        n = np.bincount(place.ravel(), np.concatenate([counts[r] for r in rows]), len(each)).astype(np.int64)
-        cuts = np.cumsum([0, *(len(keys[r]) for r in rows)])
-        seen = n > 0
-        found = Filter(each[seen], level_of(n[seen])).levels(each)[place.ravel()]
+        part = table.filter(pa.array(kinds == kind))
+        each, place = np.unique(np.concatenate([unpack(k) for k in part["keys"].to_pylist()]), return_inverse=True)
+        n = np.bincount(place.ravel(), np.concatenate([_unsmall(c) for c in part["counts"].to_pylist()]), len(each)).astype(np.int64)
+        row = {"bucket": part["bucket"][0].as_py(), "kind": kind, "bits": 0, "most": 0, "names": b"", "total": 0, "distinct": 0}
         if kind == 0:
-            total, distinct, told = int(n.sum()), int(seen.sum()), n[place.ravel()]
-        for r, a, b in zip(rows, cuts, cuts[1:]):
-            levels[r] = _small(found[a:b])
-            if kind == 0:
-                exact[r] = _small(told[a:b])
-    rest = len(keys) - 1
-    return pa.Table.from_arrays([
-        table["chunk"].combine_chunks(), table["kind"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(levels, pa.binary()), pa.array(exact, pa.binary()),
-        pa.array([total] + [0] * rest, pa.int64()), pa.array([distinct] + [0] * rest, pa.int64())], names=["chunk", "kind", "bucket", "levels", "exact", "total", "distinct"])
+            out.append(row | {"data": _small(n), "names": pack(each), "total": int(n.sum()), "distinct": len(each)})
+        else:
+            f = Filter(each, level_of(n))
+            out.append(row | {"bits": f.bits, "most": f.most, "data": f.data.tobytes()})
+    return pa.Table.from_pylist(out, schema=pa.schema([
+        ("bucket", pa.int64()), ("kind", pa.int32()), ("bits", pa.int64()), ("most", pa.int64()), ("data", pa.binary()), ("names", pa.binary()),
+        ("total", pa.int64()), ("distinct", pa.int64())]))
+
+
+class Shard:
+    """What a bucket holds of one length of n-gram; ``ask`` gives levels, of single tokens counts."""
+
+    def __init__(self, row: dict):
+        self.filter = Filter.stored(row["bits"], row["most"], row["data"]) if row["kind"] else None
+        if not self.filter:
+            self.names, self.counts = unpack(row["names"]), _unsmall(row["data"])
+
+    def ask(self, keys: np.ndarray) -> np.ndarray:
+        if self.filter:
+            return self.filter.levels(keys)
+        at = np.minimum(np.searchsorted(self.names, keys), len(self.names) - 1)
+        return np.where(self.names[at] == keys, self.counts[at], 0)
+
+
+def answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
+    """Of one bucket: what its shards say to the n-grams of each chunk, in the order asked."""
+    held = {r["kind"]: Shard(r) for r in shards.to_pylist()}
+    found = [_small(held[k].ask(unpack(keys)) if k in held else np.zeros(len(unpack(keys)), np.int64))
+             for k, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist())]
+    return pa.Table.from_arrays([asked["chunk"].combine_chunks(), asked["kind"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(found, pa.binary())],
+                                names=["chunk", "kind", "bucket", "found"])
 
 
 def probabilities(levels: list[np.ndarray], exact: np.ndarray, sizes: np.ndarray, total: int, distinct: int) -> np.ndarray:
@@ -321,8 +377,9 @@ def probabilities(levels: list[np.ndarray], exact: np.ndarray, sizes: np.ndarray
     A token's own probability is (c + 0.5) / (N + 0.5 (V + 1)). Each longer n-gram mixes its
     share of its context's count with the order below, which weighs PRIOR counts:
     (c(context, w) + m P) / (c(context) + m). The place before a text was met as often as
-    END. Counts of a context's n-grams add up to its own count, so the probabilities of
-    all tokens after a context add up to one, but for quantisation.
+    END. Counts of a context's n-grams add up to its own count, and each is read within a
+    quarter of a per cent of it, so the probabilities of all tokens after a context add up
+    to one within half a per cent.
     """
     back = np.arange(len(exact)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # tokens of the text before this one
     p, context = (exact + 0.5) / (total + 0.5 * (distinct + 1)), np.roll(exact, 1)
@@ -334,44 +391,73 @@ def probabilities(levels: list[np.ndarray], exact: np.ndarray, sizes: np.ndarray
     return p
 
 
-def score_texts(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens: int = BUCKET_TOKENS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Model and base scores of every row of ``docs`` (doc_id, text, others ignored).
 
     doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. Training rows
-    are those that ``held_out`` leaves; a null text is empty and has the end token alone.
-    base_score is of exact counts. score: log10 of the product of ``probabilities``, whose
-    counts of two and three tokens are quantised ones from log-frequency Bloom filters.
-    Words are told by 64-bit hashes, longer n-grams by ``key_bits`` bits. Without
-    training rows counts are zero. Repeated rows each get a row; an empty table gives
-    none; a very long text is a chunk of its own.
-
-    The filter grows with the corpus and keeps every count, single ones too. It lies in
-    buckets by hash, each built and probed in one task: texts' different n-grams, with
-    their training counts, go to the buckets once, and levels come back. Nothing of it
-    is broadcast or reaches the driver, whatever the corpus's size; a frequent n-gram
-    reaches its bucket once for each chunk.
+    are those that ``held_out`` leaves (a null doc_id trains); a null text is empty and has
+    the end token alone. base_score is of exact counts. score: log10 of the product of
+    ``probabilities``, whose counts of two and three tokens are read from log-frequency
+    Bloom filters. Words are told by 64-bit hashes, longer n-grams by ``key_bits`` bits.
+    Without training rows counts are zero. Repeated rows each get a row; an empty table
+    gives none; a very long text is a chunk of its own.
+
+    The filter grows with the corpus and keeps every count, single ones too. It is built
+    once, in shards by ranges of hashes, and written as bytes; tasks that score hold no
+    counts of n-grams. While all shards take at most ``broadcast_bytes``, they are
+    broadcast and probed where the texts are. Beyond, texts' different n-grams go to their
+    shards and levels come back. Both ways give the same scores.
     """
     read = materialize(chunks(docs, chunk_tokens), "chunks")
     tokens = read.agg(F.sum("n")).head()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, bits = max(4 * parts, tokens // bucket_tokens + 1), key_bits(tokens)
-    told = materialize(asks(read, bits, buckets).groupBy("bucket").applyInArrow(
-        answer, "chunk bigint, kind int, bucket bigint, levels binary, exact binary, total bigint, distinct bigint"), "levels")
-    total, distinct = (int(x or 0) for x in told.agg(F.sum("total"), F.sum("distinct")).head())
-
-    def score(answers: pa.Table, chunk: pa.Table) -> pa.Table:
-        got = sorted(answers.select(["kind", "bucket", "levels", "exact"]).to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-        sizes, names, at = _unsmall(chunk["sizes"][0].as_py()), np.frombuffer(chunk["names"][0].as_py(), _U), _unsmall(chunk["at"][0].as_py())
-        levels = [np.concatenate([_unsmall(r["levels"]) for r in got if r["kind"] == k])[place] for k, (_, place, _) in enumerate(different(names, at, sizes, bits))]
-        c = np.concatenate([_unsmall(r["exact"]) for r in got if r["kind"] == 0])[at]
-        p = probabilities(levels, c, sizes, total, distinct)
-        firsts = np.cumsum(sizes) - sizes
-        sums = [np.add.reduceat(x, firsts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5), np.log10(p))]
-        return pa.Table.from_arrays([chunk["ids"].combine_chunks().flatten(), pa.array(sizes), *map(pa.array, sums)], names=["doc_id", "n_tokens", "n_known", "logs", "score"])
+    shards = materialize(asks(read, bits, buckets, True).groupBy("bucket").applyInArrow(build, SHARD), "shards")
+    total, distinct, size = (int(x or 0) for x in shards.agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("data") + F.octet_length("names"))).head())
 
-    key = docs.schema["doc_id"].dataType.simpleString()
-    found = told.groupBy("chunk").cogroup(read.select("chunk", "ids", "sizes", "names", "at").groupBy("chunk")).applyInArrow(
-        score, f"doc_id {key}, n_tokens bigint, n_known bigint, logs double, score double")
-    return found.select(
+    def score(chunk: dict, found: list[np.ndarray]) -> list[np.ndarray]:
+        """sizes, known tokens, logs and scores of a chunk's texts; found: by length of n-gram, what each token's has."""
+        sizes, c = _unsmall(chunk["sizes"]), found[0]
+        firsts = np.cumsum(sizes) - sizes
+        p = probabilities(found, c, sizes, total, distinct)
+        return [sizes, *(np.add.reduceat(x, firsts) for x in ((c > 0).astype(np.int64), np.log10(c + 0.5), np.log10(p)))]
+
+    def keys_of(chunk: dict) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        return different(np.frombuffer(chunk["names"], _U), _unsmall(chunk["at"]), _unsmall(chunk["sizes"]), bits)
+
+    columns = ["doc_id", "n_tokens", "n_known", "logs", "score"]
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, n_known bigint, logs double, score double"
+    cells = read.select("chunk", "ids", "sizes", "names", "at")
+    if size <= broadcast_bytes:
+        shared = docs.sparkSession.sparkContext.broadcast([r.asDict() for r in shards.collect()])  # at most ``broadcast_bytes``
+
+        def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {(r["bucket"], r["kind"]): Shard(r) for r in shared.value}
+            for batch in batches:
+                for i, chunk in enumerate(batch.drop_columns(["ids"]).to_pylist()):
+                    found = []
+                    for kind, (keys, place, wide) in enumerate(keys_of(chunk)):
+                        where, got = buckets_of(keys, wide, buckets), np.zeros(len(keys), np.int64)
+                        edges = [*np.flatnonzero(np.diff(where, prepend=-1)).tolist(), len(keys)]
+                        for a, b in zip(edges, edges[1:]):
+                            if (int(where[a]), kind) in held:
+                                got[a:b] = held[int(where[a]), kind].ask(keys[a:b])
+                        found.append(got[place])
+                    yield pa.RecordBatch.from_arrays([batch["ids"].slice(i, 1).flatten(), *map(pa.array, score(chunk, found))], names=columns)
+
+        scored = cells.mapInArrow(by_broadcast, schema)
+    else:
+        asked = asks(read, bits, buckets, False).select("bucket", "chunk", "kind", "keys")
+        told = materialize(asked.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(
+            answer, "chunk bigint, kind int, bucket bigint, found binary"), "levels")
+
+        def by_shards(answers: pa.Table, table: pa.Table) -> pa.Table:
+            got = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+            chunk = table.drop_columns(["ids"]).to_pylist()[0]
+            found = [np.concatenate([_unsmall(r["found"]) for r in got if r["kind"] == k])[place] for k, (_, place, _) in enumerate(keys_of(chunk))]
+            return pa.Table.from_arrays([table["ids"].combine_chunks().flatten(), *map(pa.array, score(chunk, found))], names=columns)
+
+        scored = told.groupBy("chunk").cogroup(cells.groupBy("chunk")).applyInArrow(by_shards, schema)
+    return scored.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * float(np.log10(total + 0.5 * (distinct + 1)))).alias("base_score"), "score")
