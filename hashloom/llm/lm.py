@@ -17,9 +17,9 @@ from hashloom.llm.common import materialize
 
 #: N-grams of one to so many tokens are counted.
 ORDER = 3
-#: Filter bits for each stored mark, and probes of a mark: one of 25,000 that were never stored is found.
-BITS_PER_KEY = 24
-PROBES = 8
+#: Filter bits for each stored mark, and probes of a mark: one of 11,000 that were never stored is found.
+BITS_PER_KEY = 20
+PROBES = 10
 #: Counts up to EXACT are levels of their own; above, each level is a factor of STEP, up to LEVELS.
 EXACT, STEP, LEVELS = 20, 1.005, 8192
 #: Levels above EXACT are stored as two digits, the lower one below FINE.
@@ -211,14 +211,14 @@ def _plain(data: bytes, keep: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray) -> bytes:
-    """Sorted 64-bit values as gaps, in no more bytes than the largest needs."""
-    gaps = np.diff(values, prepend=_U(0))
+    """Sorted 64-bit values as the first one and the gaps, in no more bytes than the largest gap needs."""
+    gaps = np.diff(values)
     keep = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([keep]) + _planes(gaps, keep)
+    return bytes([keep]) + values[:1].astype(_U).tobytes() + _planes(gaps, keep)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    return np.cumsum(_plain(data[1:], data[0]), dtype=_U)
+    return np.cumsum(np.append(np.frombuffer(data[1:9], _U), _plain(data[9:], data[0])), dtype=_U)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -232,8 +232,8 @@ def _unsmall(data: bytes) -> np.ndarray:
 
 
 def key_bits(total: int) -> int:
-    """Bits of the keys that are sent about for ``total`` tokens: 16 more than it takes to number their n-grams, at most 64."""
-    return min(64, max(total * ORDER, 1).bit_length() + 16)
+    """Bits of the keys that are sent about for ``total`` tokens: 14 more than it takes to number their n-grams, at most 64."""
+    return min(64, max(total * ORDER, 1).bit_length() + 14)
 
 
 def buckets_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
