@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.llm import html, lm, media, mixing, pieces, quality, secrets, simhash, substrings, toxicity
+from hashloom.llm import alignment, html, lm, media, mixing, passages, pieces, quality, secrets, simhash, substrings, toxicity, vectors
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_MODEL = "/opt/tokenizers/byte_bpe_50k.json"
 # Weights of the mixture's tree.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1, "*": 1}, "lang": {"en": 5, "de": 2, "fr": 2, "es": 1, "*": 1}, "source": {"*": 1}}
 
@@ -67,8 +68,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_texts(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vectors.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vectors.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_MODEL, MODEL)[0]
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.score_texts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_secret_scans, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring)
+    found = (op1_quality_rules, op2_secret_scans, op3_suffix_array_dedup, op4_simhash_near_dedup, op5_html_extraction, op6_mixing, op7_sentencepiece, op8_media_columns, op9_toxicity, op10_lm_scoring,
+             op11_vector_code_compression, op12_cross_tokenizer_alignment, op13_quality_classifier)
     return {f.__name__: f for f in found}
 
 
