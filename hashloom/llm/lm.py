@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -241,15 +241,18 @@ def buckets_of(keys: np.ndarray, bits: int, buckets: int) -> np.ndarray:
     return ((keys >> _U(bits - 24) if bits > 24 else keys << _U(24 - bits)) * _U(buckets) >> _U(24)).astype(np.int64)
 
 
-def different(names: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
-    """(keys, places, bits) for each length of n-gram: the different keys, ascending, and each token's place among them.
+def different(names: np.ndarray, at: np.ndarray, sizes: np.ndarray, bits: int, kinds: range = range(ORDER)) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """(keys, places, bits) for each kind (length of n-gram less one): the different keys, ascending, and each token's place among them.
 
     Keys of single tokens (``names``, with places ``at``) stay whole, others keep ``bits`` bits.
     """
-    out = [(names, at, 64)]
-    for keys in grams(names[at], sizes)[1:]:
-        each, place = np.unique(keys >> _U(64 - bits), return_inverse=True)
-        out.append((each, place.ravel(), bits))
+    out = []
+    for kind in kinds:
+        if kind == 0:
+            out.append((names, at, 64))
+        else:
+            each, place = np.unique(grams(names[at], sizes)[kind] >> _U(64 - bits), return_inverse=True)
+            out.append((each, place.ravel(), bits))
     return out
 
 
@@ -293,8 +296,8 @@ def chunks(docs: DataFrame, tokens: int = CHUNK_TOKENS) -> DataFrame:
     return rows.mapInArrow(run, CHUNK.format(docs.schema["doc_id"].dataType.simpleString()))
 
 
-def asks(read: DataFrame, bits: int, buckets: int, teach: bool) -> DataFrame:
-    """(bucket, chunk, kind, keys, counts): each chunk's different n-grams by bucket.
+def asks(read: DataFrame, bits: int, buckets: int, kind: int, teach: bool) -> DataFrame:
+    """(bucket, chunk, kind, keys, counts): each chunk's different n-grams of one kind by bucket.
 
     With ``teach`` those of training texts, with their counts there; else those of all texts.
     """
@@ -307,17 +310,16 @@ def asks(read: DataFrame, bits: int, buckets: int, teach: bool) -> DataFrame:
                     at, sizes = at[np.repeat(taught, sizes)], sizes[taught]
                 if not len(sizes):
                     continue
-                for kind, (keys, place, wide) in enumerate(different(np.frombuffer(row["names"], _U), at, sizes, bits)):
-                    n = np.bincount(place, minlength=len(keys)) if teach else np.zeros(len(keys), np.int64)
-                    if kind == 0:
-                        keys, n = (keys[n > 0], n[n > 0]) if teach else (keys, n)
-                    where = buckets_of(keys, wide, buckets)
-                    firsts = np.flatnonzero(np.diff(where, prepend=-1))
-                    cuts = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(keys)]))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(where[firsts]), pa.array([row["chunk"]] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()),
-                        pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([_small(n[a:b]) if teach else b"" for a, b in cuts], pa.binary())],
-                        names=["bucket", "chunk", "kind", "keys", "counts"])
+                keys, place, wide = different(np.frombuffer(row["names"], _U), at, sizes, bits, range(kind, kind + 1))[0]
+                n = np.bincount(place, minlength=len(keys)) if teach else np.ones(len(keys), np.int64)
+                keys, n = keys[n > 0], n[n > 0]
+                where = buckets_of(keys, wide, buckets)
+                firsts = np.flatnonzero(np.diff(where, prepend=-1))
+                cuts = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(keys)]))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(where[firsts]), pa.array([row["chunk"]] * len(cuts), pa.int64()), pa.array([kind] * len(cuts), pa.int32()),
+                    pa.array([pack(keys[a:b]) for a, b in cuts], pa.binary()), pa.array([_small(n[a:b]) if teach else b"" for a, b in cuts], pa.binary())],
+                    names=["bucket", "chunk", "kind", "keys", "counts"])
 
     return read.select("chunk", "teaches", "sizes", "names", "at").mapInArrow(run, "bucket bigint, chunk bigint, kind int, keys binary, counts binary")
 
@@ -406,13 +408,15 @@ def score_texts(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
     once, in shards by ranges of hashes, and written as bytes; tasks that score hold no
     counts of n-grams. While all shards take at most ``broadcast_bytes``, they are
     broadcast and probed where the texts are. Beyond, texts' different n-grams go to their
-    shards and levels come back. Both ways give the same scores.
+    shards and levels come back, one length of n-gram after the other, so that shuffles of
+    one length only lie on disk. Both ways give the same scores.
     """
     read = materialize(chunks(docs, chunk_tokens), "chunks")
     tokens = read.agg(F.sum("n")).head()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets, bits = max(4 * parts, tokens // bucket_tokens + 1), key_bits(tokens)
-    shards = materialize(asks(read, bits, buckets, True).groupBy("bucket").applyInArrow(build, SHARD), "shards")
+    each = [materialize(asks(read, bits, buckets, k, True).groupBy("bucket").applyInArrow(build, SHARD), "shards") for k in range(ORDER)]
+    shards = reduce(DataFrame.unionAll, each)
     total, distinct, size = (int(x or 0) for x in shards.agg(F.sum("total"), F.sum("distinct"), F.sum(F.octet_length("data") + F.octet_length("names"))).head())
 
     def score(chunk: dict, found: list[np.ndarray]) -> list[np.ndarray]:
@@ -447,9 +451,12 @@ def score_texts(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS, bucket_tokens
 
         scored = cells.mapInArrow(by_broadcast, schema)
     else:
-        asked = asks(read, bits, buckets, False).select("bucket", "chunk", "kind", "keys")
-        told = materialize(asked.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(
-            answer, "chunk bigint, kind int, bucket bigint, found binary"), "levels")
+        def ask(kind: int) -> DataFrame:
+            asked = asks(read, bits, buckets, kind, False).select("bucket", "chunk", "kind", "keys")
+            return materialize(asked.groupBy("bucket").cogroup(each[kind].groupBy("bucket")).applyInArrow(
+                answer, "chunk bigint, kind int, bucket bigint, found binary"), "levels")
+
+        told = reduce(DataFrame.unionAll, map(ask, range(ORDER)))
 
         def by_shards(answers: pa.Table, table: pa.Table) -> pa.Table:
             got = sorted(answers.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))

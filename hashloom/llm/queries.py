@@ -121,5 +121,32 @@ MIXING_SQL = rf"""with d as (
   select doc_id, domain, lang, source, n_tokens, cast(epochs + case when before < rest then 1 else 0 end as bigint) as copies from placed"""
 
 
+def _codes_sql() -> str:
+    """Product codes in DuckDB: assignments and updates of codebooks as tables, one after the other."""
+    parts, entries, rounds = vectors.PARTS, vectors.ENTRIES, vectors.ROUNDS
+
+    def assigned(books: str, name: str) -> str:
+        return f"""{name} as (select rid, part, min({{'d': list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'e': entry}}) as best,
+    any_value(p.v) as v from p join {books} b using (part) group by rid, part)"""
+
+    steps = ["""k as (select row_number() over (order by vec_id, embedding) as rid, vec_id, label, embedding from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0)""",
+             f"""p as (select rid, part, list_transform(embedding[part * len(embedding) // {parts} + 1 : (part + 1) * len(embedding) // {parts}],
+    lambda x: floor({vectors.SCALE} * x::double)::bigint) as v from k, range({parts}) r(part))""",
+             f"b0 as (select part, rid - 1 as entry, v from p where rid <= {entries})"]
+    for i in range(rounds):
+        steps += [assigned(f"b{i}", f"a{i}"),
+                  f"""s{i} as (select part, entry, list(m order by pos) as v from (select part, best.e as entry, pos,
+      ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::bigint as m
+    from (select part, best, unnest(v) as x, generate_subscripts(v, 1) as pos from a{i}) group by all) group by part, entry)""",
+                  f"b{i + 1} as (select part, entry, coalesce(s.v, b.v) as v from b{i} b left join s{i} s using (part, entry))"]
+    steps += [assigned(f"b{rounds}", "final"),
+              "coded as (select rid, string_agg(printf('%02x', best.e), '' order by part) as code, sum(best.d)::bigint as error from final group by rid)",
+              f"""told as (select sha256(string_agg(x::varchar, ',' order by part, entry, pos)) as sha
+    from (select part, entry, unnest(v) as x, generate_subscripts(v, 1) as pos from b{rounds}))"""]
+    return "with " + ",\n  ".join(steps) + """
+  select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, sha as codebooks_sha256 from k join coded using (rid), told"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": MIXING_SQL}
+    return {"op6_mixing": MIXING_SQL, "op11_vector_code_compression": _codes_sql()}
