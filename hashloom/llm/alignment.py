@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +25,21 @@ TEXTS, TEXT_BYTES = 64, 1 << 20
 EVENTS, LINKS = 1 << 20, 1 << 20
 
 
+#: White space too long for the faster library.
+_GAP = re.compile(r"\s{4096}")
+# Fixed value: how byte-level files of this kind cut a text before merging.
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Longer texts than this without white space are left to the slower library, which takes them in n log n.
+LONG_CUT = 1 << 14
+
+
 class SideA:
-    """The byte-level tokenizer: ids of texts, and the bytes of each id."""
+    """The byte-level tokenizer of a file: ids of texts, and the bytes of each id.
+
+    Where the file says that its ids are the ranks of its merges and that nothing but CUTS
+    cuts or changes a text, ids come from a faster library that merges by rank; they are
+    the same. Any other file is left to its own library.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -36,8 +52,21 @@ class SideA:
         self.tokens = [b""] * (max(vocabulary.values(), default=-1) + 1)
         for token, i in vocabulary.items():
             self.tokens[i] = bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
+        self.ranked = self._ranked(json.loads(self.codec.to_str()))
+
+    def _ranked(self, told: dict):
+        model, cut = told["model"], told["pre_tokenizer"] or {}
+        merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ")), -1) for m in model.get("merges", [])]
+        plain = (model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and not told["normalizer"] and not model.get("continuing_subword_prefix")
+                 and cut.get("type") == "ByteLevel" and not cut["add_prefix_space"] and cut.get("use_regex", True) and not model.get("end_of_word_suffix"))
+        if not plain or any(b <= a for a, b in zip([255, *merged], merged)) or {len(self.tokens[i]) for i in range(256)} != {1} or len(merged) + 256 > len(self.tokens):
+            return None
+        from tiktoken import Encoding
+        return Encoding("ranked", pat_str=CUTS, mergeable_ranks={self.tokens[i]: i for i in [*range(256), *merged]}, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
+        if self.ranked and all(len(t) <= LONG_CUT or max(map(len, t.split()), default=0) <= LONG_CUT and not _GAP.search(t) for t in texts):
+            return [self.ranked.encode_ordinary(t) for t in texts]
         return [e.ids for e in self.codec.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -60,6 +89,12 @@ def sides(a: str, b: str) -> tuple[SideA, SideB]:
     return SideA(a), SideB(b)
 
 
+@cache
+def _kind(a: str, b: str) -> type:
+    """What ids are sent as."""
+    return np.uint16 if max(len(side.tokens) for side in sides(a, b)) <= 1 << 16 else np.uint32
+
+
 @cache
 def widths(a: str, b: str) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of each id, by side."""
@@ -75,7 +110,7 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
     key = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, lengths = sides(a, b), widths(a, b)
+        both, lengths, kind = sides(a, b), widths(a, b), _kind(a, b)
         for batch in batches:
             for rows, names, texts in _slices(batch):
                 spaced = [" " + t for t in texts]
@@ -90,7 +125,7 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
                         edges = [*np.flatnonzero(np.diff(window, prepend=-1)).tolist(), len(x)]
                         starts = [0] if not len(x) and side == 0 else edges[:-1]
                         for s, e in zip(starts, edges[1:] or [0]):
-                            for column, value in zip(out, (rows[i], side, int(window[s]) * WINDOW if len(x) else 0, names[i], x[s:e].astype(np.uint32).tobytes())):
+                            for column, value in zip(out, (rows[i], side, int(window[s]) * WINDOW if len(x) else 0, names[i], x[s:e].astype(kind).tobytes())):
                                 column.append(value)
                 if out[0]:
                     name = pa.array([n if s == 0 and at == 0 else None for n, s, at in zip(out[3], out[1], out[2])], batch.schema.field(1).type)
@@ -105,7 +140,7 @@ def events(docs: DataFrame, a: str, b: str) -> DataFrame:
 def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[str]]]:
     """Rows, doc_ids and texts of a few documents at a time."""
     start = 0
-    sizes = np.array(batch.column(2).to_pandas().str.len()) if batch.num_rows else np.zeros(0)
+    sizes = pc.binary_length(batch.column(2)).to_numpy()
     while start < batch.num_rows:
         end = start + 1
         held = sizes[start]
@@ -116,6 +151,11 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[list, list, list[str]]]:
         start = end
 
 
+def _among(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the ascending x are in the ascending y."""
+    return np.append(y, -1)[np.searchsorted(y, x)] == x
+
+
 def _digits(mark: str, ids: int) -> list[str]:
     return [f"{i}{mark}" for i in range(ids)]
 
@@ -158,7 +198,7 @@ class Sweep:
             sides.append(np.concatenate([self.open[side], *(ids[i] for i in on)]).astype(np.int64))
             docs.append(np.concatenate([np.zeros(len(self.open[side]), np.int64), *(np.full(len(ids[i]), order[i]) for i in on)]).astype(np.int64))
         ends = [np.cumsum(w[x]) for w, x in zip(self.lengths, sides)]
-        shared = [np.isin(ends[0], ends[1], assume_unique=True), np.isin(ends[1], ends[0], assume_unique=True)]
+        shared = [_among(ends[0], ends[1]), _among(ends[1], ends[0])]
         upto = [int(np.flatnonzero(s)[-1]) + 1 if s.any() else 0 for s in shared]
         self.open = [x[k:] for x, k in zip(sides, upto)]
         ids_, ends, shared, docs = ([x[:k] for x, k in zip(v, upto)] for v in (sides, ends, shared, docs))
@@ -170,7 +210,8 @@ class Sweep:
         wide = len(self.words) // 3
         code[place[0]] = ids_[0] + wide * shared[0]
         code[place[1]] = ids_[1] + 2 * wide * shared[1]
-        span = np.union1d(*ends)
+        span = np.sort(np.concatenate(ends), kind="stable")  # two sorted runs
+        span = span[np.diff(span, prepend=-1) > 0]
         of = [np.searchsorted(e, span) for e in ends]
         links = ids_[0][of[0]] * size + ids_[1][of[1]]
         last = len(starts)
@@ -208,18 +249,17 @@ def sweep(sorted_events: DataFrame, a: str, b: str, links: int = LINKS) -> DataF
             cells = [[d[0] for d in done], [x for d in done for x in d[1:5]], [d[5] for d in done], pairs, n]
             kinds = [kind, pa.int64(), pa.string(), pa.int64(), pa.int64()]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, k)) for c, k in zip(cells, kinds)]
-            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([at.ravel().astype(np.uint32).tobytes()], pa.binary())],
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), *lists, pa.array([at.ravel().astype(np.uint16 if len(pairs) <= 1 << 16 else np.uint32).tobytes()], pa.binary())],
                                               names=["chunk", "ids", "totals", "hashes", "pairs", "counts", "links"])
 
-        kind = None
+        kind, sent = None, _kind(a, b)
         for batch in batches:
             kind = batch.schema.field(3).type
-            sizes = np.array(batch.column(4).to_pandas().str.len()) // 4 if batch.num_rows else np.zeros(0)
-            upto, at = np.cumsum(sizes), 0
+            upto, at = np.cumsum(pc.binary_length(batch.column(4)).to_numpy().astype(np.int64) // np.dtype(sent).itemsize), 0
             while at < batch.num_rows:
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + EVENTS, side="right")))
                 part = batch.slice(at, end - at)
-                ids = [np.frombuffer(x, np.uint32) for x in part.column(4).to_pylist()]
+                ids = [np.frombuffer(x, sent) for x in part.column(4).to_pylist()]
                 rows = part.column(0).to_pylist()
                 chunk = rows[0] if chunk is None else chunk
                 done, found = state.feed(rows, part.column(3).to_pylist(), part.column(1).to_pylist(), ids)
@@ -269,8 +309,9 @@ def align(docs: DataFrame, a: str, b: str, links: int = LINKS) -> tuple[DataFram
         count[places], top[places] = answers["count"].to_numpy(), answers["is_best"].to_numpy()
         ids, hashes = (chunk[c].combine_chunks().flatten() for c in ("ids", "hashes"))
         totals = chunk["totals"].combine_chunks().flatten().to_numpy().reshape(-1, 4)
-        at = np.frombuffer(chunk["links"][0].as_py(), np.uint32)
         edges = np.append(0, np.cumsum(totals[:, 3]))
+        cell = chunk["links"][0].as_py()
+        at = np.frombuffer(cell, np.uint16 if len(cell) == 2 * edges[-1] else np.uint32)
         sums = [np.diff(np.append(0, np.cumsum(x[at]))[edges]) for x in (top, count)]
         return pa.Table.from_arrays([ids, *(pa.array(c) for c in (*totals.T.copy(), *sums)), hashes], names=names)
 

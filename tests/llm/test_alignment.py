@@ -108,6 +108,18 @@ def tokens_of(text):
     return tuple([(i, len(s.tokens[i])) for i in x] for s, x in zip((a, b), ids))
 
 
+def test_ranks_give_the_ids_of_the_file():
+    a, _ = alignment.sides(BYTE_MODEL, MODEL)
+    assert a.ranked
+    rng = random.Random(6)
+    letters = "aé ñ'\n\t09 ,.日🙂stredmIl\u00a0_<|>"
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    texts += ["x" * 40_000, "ab " * 9000, " " * 9000 + "a", "\n" * 5000, "y" * alignment.LONG_CUT]
+    plain = [e.ids for e in a.codec.encode_batch(texts, add_special_tokens=False)]
+    assert [a.encode([t])[0] for t in texts] == plain and a.encode(texts) == plain
+    assert all(b"".join(a.tokens[i] for i in ids) == t.encode() for t, ids in zip(texts, plain))
+
+
 def brute_alignment(rows):
     spans = []
     for i, text in rows:
