@@ -84,6 +84,23 @@ def chain_flags(claims: DataFrame, chains: DataFrame, runs: DataFrame, files: Da
     return claims.join(flags, "session", "left").fillna(False, ["has_exception", "has_frozen"])
 
 
+def marked_flags(claims: DataFrame, marks: DataFrame) -> DataFrame:
+    """``chain_flags`` from ``verify.chain_marks`` instead of the chains' members."""
+    found = claims.join(marks.select(F.col("session_id").alias("session"), "marks"), "session", "left")
+    return found.withColumn("has_exception", verify.marked("exception")).withColumn("has_frozen", verify.marked("frozen")).drop("marks")
+
+
+def exceptional_ancestors(edges: DataFrame, runs: DataFrame, leaves: DataFrame, max_depth: int | None = 50) -> DataFrame:
+    """(leaf, session_id) for ``exception_reasons``: each leaf and the exceptional runs of its chain.
+
+    Walks down from the exceptional runs, so pairs are made for these alone.
+    """
+    odd = runs.where("provenance = 'exception'").select("session_id")
+    turned = edges.select(F.col("parent").alias("child"), F.col("child").alias("parent"))
+    down = lineage.closure(turned, odd, max_depth).select(F.col("session_id").alias("_at"), F.col("leaf").alias("session_id"))
+    return down.join(leaves.select(F.col("session_id").alias("_at")).distinct(), "_at", "left_semi").select(F.col("_at").alias("leaf"), "session_id")
+
+
 def exception_reasons(chains: DataFrame, runs: DataFrame) -> DataFrame:
     """(leaf, session_id, reason) of the exceptional runs in each chain."""
     odd = runs.where("provenance = 'exception'").select("session_id", F.coalesce(F.nullif(F.col("exception_reason"), F.lit("")), F.lit("no reason given")).alias("reason"))
@@ -102,7 +119,7 @@ def render_entries(resolved: DataFrame) -> DataFrame:
                            b.alias("status"), bucket_colour(b).alias("colour"), F.col("source_file").alias("link"))
 
 
-#: Severity of a claim's hint by its resolved status; verified and frozen claims have none.
+# Severity of a claim's hint by its resolved status; verified and frozen claims have none.
 HINTS = {"mismatch": "error", "missing": "error", "suspect": "warning", "registered": "warning", "unsourced": "advice", "exception": "advice"}
 MESSAGES = {
     "mismatch": "the source's content is not what was recorded", "missing": "the source file is not there", "suspect": "the runs behind the source are not all verified",

@@ -41,10 +41,29 @@ def matches(found: DataFrame, anchors: DataFrame) -> DataFrame:
     return x.groupBy("claim_id").agg(F.min_by(F.struct("file_path", "sha256"), F.struct("ord", "file_path", "hash", "entry")).alias("m")).select("claim_id", "m.*")
 
 
-def grounded(claims: DataFrame, chains: DataFrame, files: DataFrame, entries: DataFrame | None, enforced: bool = False, signature_valid: bool = False) -> DataFrame:
+def anchored_sessions(files: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(session_id, anchor) of sessions with trusted files: the least of (file_path, hash, entry, sha256)."""
+    rows = files.select("session_id", "file_path", "hash").distinct().join(anchors.select("file_path", "sha256", F.col("ord").alias("entry")), "file_path")
+    met = rows.where(consistent(F.col("hash"), F.col("sha256"), fold_case=True))
+    return met.groupBy("session_id").agg(F.min(F.struct("file_path", "hash", "entry", "sha256")).alias("anchor"))
+
+
+def marked_matches(claims: DataFrame, marks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """``matches`` of claims (with ``session``) from the anchors that ``verify.chain_marks`` brought to their sessions."""
+    own = matches(claims.where("source_file is not null").select("claim_id", F.col("source_file").alias("file_path"), F.col("source_hash").alias("hash"), F.lit(0).alias("ord")), anchors)
+    up = claims.select("claim_id", F.col("session").alias("session_id")).join(marks.where("anchor is not null"), "session_id").groupBy("claim_id").agg(F.min("anchor").alias("m"))
+    first = own.select("claim_id", F.struct("file_path", "sha256").alias("o"))
+    best = up.join(first, "claim_id", "full").select("claim_id", F.coalesce("o", F.struct("m.file_path", "m.sha256")).alias("m"))
+    return best.select("claim_id", "m.file_path", "m.sha256")
+
+
+def grounded(claims: DataFrame, chains: DataFrame | None, files: DataFrame, entries: DataFrame | None, enforced: bool = False, signature_valid: bool = False,
+             marks: DataFrame | None = None) -> DataFrame:
     """Claims (with ``session``) with ``grounded``, ``ground_reason`` and ``matched``.
 
     No manifest, or one without valid entries: all are grounded. An untrusted one: none is.
+    Matches come from the members of chains (closure rows) or, without pairs, from ``marks``
+    with the valid entries' ``anchored_sessions``.
     """
     if entries is None:
         return claims.withColumn("grounded", F.lit(True)).withColumn("ground_reason", F.lit("no_manifest")).withColumn("matched", F.lit(None).cast("string"))
@@ -54,7 +73,8 @@ def grounded(claims: DataFrame, chains: DataFrame, files: DataFrame, entries: Da
     anchors = entries.where("valid")
     if anchors.isEmpty():
         return claims.withColumn("grounded", F.lit(True)).withColumn("ground_reason", F.lit("grounded")).withColumn("matched", F.lit(None).cast("string"))
-    met = matches(candidates(claims, chains, files), anchors).select("claim_id", F.col("file_path").alias("matched"))
+    found = matches(candidates(claims, chains, files), anchors) if marks is None else marked_matches(claims, marks, anchors)
+    met = found.select("claim_id", F.col("file_path").alias("matched"))
     return claims.join(met, "claim_id", "left").withColumn("grounded", F.col("matched").isNotNull()).withColumn(
         "ground_reason", F.when(F.col("matched").isNotNull(), "grounded").otherwise("no_chain_match"))
 

@@ -82,6 +82,38 @@ def reachable(edges: DataFrame, leaves: DataFrame, max_depth: int | None = 50) -
     return seen
 
 
+def inherited(edges: DataFrame, own: DataFrame, merges: dict[str, tuple], max_depth: int | None = 50) -> DataFrame:
+    """(session_id, ...): what each session has of its own or from anything upstream within ``max_depth`` hops.
+
+    own: (session_id, a column for each of ``merges``); sessions without a row have nothing.
+    merges: by column, an aggregate and the same merge of two values, which must not mind
+    repetition (bit_or, min, max). A round sends what is new at its sessions to those that
+    read from them, so it costs what changed, whatever the number of leaves: no pair of
+    leaf and ancestor is ever made. A session's value after k rounds is that of all within
+    k hops. Cycles end when nothing changes. Sessions that get nothing have no row.
+    """
+    put = [f(c).alias(c) for c, (f, _) in merges.items()]
+    first = materialize(own.groupBy("session_id").agg(*put), "inherited-0")
+    fresh, known, hop, step = first, first, 0, edges.select(F.col("parent").alias("session_id"), "child")
+    while (max_depth is None or hop < max_depth) and not fresh.isEmpty():
+        hop += 1
+        met = fresh.join(step, "session_id").groupBy(F.col("child").alias("session_id")).agg(*put)
+        old = known.groupBy("session_id").agg(*[f(c).alias(f"_{c}") for c, (f, _) in merges.items()])
+        both = met.join(old, "session_id", "left").select(
+            "session_id", *[both_of(F.col(c), F.col(f"_{c}")).alias(c) for c, (_, both_of) in merges.items()], *[f"_{c}" for c in merges])
+        changed = F.lit(False)
+        for c in merges:
+            changed = changed | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+        fresh = materialize(both.where(changed).select("session_id", *merges), f"inherited-{hop}")
+        known = known.union(fresh)
+    return known.groupBy("session_id").agg(*put)
+
+
+#: For ``inherited``: bits that add up, and the least value.
+BITS = (F.bit_or, lambda a, b: F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0))))
+LEAST = (F.min, F.least)
+
+
 def adjacency(edges: DataFrame, members: DataFrame, max_depth: int | None = 50) -> DataFrame:
     """(session_id, parents): the members of a closure (session_id, depth) and their parents, sorted.
 
@@ -109,11 +141,41 @@ def chain(runs: DataFrame, leaf: str, max_steps: int = 10_000) -> list[str]:
     return out
 
 
-def chains(runs: DataFrame) -> DataFrame:
-    """(leaf, session_id, depth) of the single-parent chains of all runs at once."""
+def chains(runs: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
+    """(leaf, session_id, depth) of the single-parent chains of the asked leaves, or of all runs.
+
+    A row for each pair: for all runs of deep chains ``chain_roots`` tells ends and depths instead.
+    """
     edges = runs.where("parent_session is not null").select(F.col("session_id").alias("child"), F.col("parent_session").alias("parent"))
     known = runs.select(F.col("session_id").alias("parent"))
-    return closure(edges.join(known, "parent", "left_semi").select("child", "parent"), runs, None)
+    asked = runs if leaves is None else leaves.join(runs.select("session_id"), "session_id", "left_semi")
+    return closure(edges.join(known, "parent", "left_semi").select("child", "parent"), asked, None)
+
+
+def chain_roots(runs: DataFrame) -> DataFrame:
+    """(session_id, root, depth) of every run: where its chain of single parents ends, and after how many steps.
+
+    Pointer doubling: in round k each pending run looks at the run 2^k steps up, and takes
+    over what that one points to, so a chain of n runs takes log2(n) rounds. Runs that are
+    still pending when pointers are longer than there are runs lie on or behind a cycle:
+    their root and depth are null. A parent without a row of its own ends the chain below it.
+    """
+    r = runs.select("session_id", "parent_session").dropDuplicates(["session_id"])
+    known = r.select(F.col("session_id").alias("parent_session"), F.lit(True).alias("_known"))
+    start = materialize(r.join(known, "parent_session", "left").select("session_id", F.when(F.col("_known"), F.col("parent_session")).alias("up")), "roots-0")
+    ends = start.where("up is null").select("session_id", F.col("session_id").alias("root"), F.lit(0).cast("long").alias("depth"))
+    pending = start.where("up is not null").select("session_id", "up", F.lit(1).cast("long").alias("steps"))
+    total, reach, k = start.count(), 1, 0
+    while not pending.isEmpty() and reach <= total:
+        k, reach = k + 1, reach * 2
+        at = ends.select(F.col("session_id").alias("up"), "root", "depth", F.lit(None).cast("string").alias("_up"), F.lit(None).cast("long").alias("_steps")).unionByName(
+            pending.select(F.col("session_id").alias("up"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), F.col("up").alias("_up"), F.col("steps").alias("_steps")))
+        moved = materialize(pending.join(at, "up").select(
+            "session_id", "root", (F.col("depth") + F.col("steps")).alias("depth"), F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps")), f"roots-{k}")
+        ends = ends.union(moved.where("root is not null").select("session_id", "root", "depth"))
+        pending = moved.where("root is null").select("session_id", "up", "steps")
+    lost = pending.select("session_id", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"))
+    return ends.union(lost)
 
 
 #: Rounds of walking down from the roots before a graph is taken to have a cycle, and peeled.

@@ -88,6 +88,55 @@ def verify_chains(targets: DataFrame, members: DataFrame, verified: DataFrame) -
         "file_path", "session_id", F.coalesce("status", F.lit(UNKNOWN)).alias("status"), F.coalesce("n_runs", F.lit(0)).cast("long").alias("n_runs"))
 
 
+#: Bits of ``chain_marks``: statuses that occur in a chain (no bit: all verified), and what flags its claims.
+MARKS = {MISMATCH: 1, MISSING: 2, SUSPECT: 4, UNKNOWN: 8, "exception": 16, "frozen": 32}
+
+
+def chain_marks(edges: DataFrame, runs: DataFrame, files: DataFrame, verified: DataFrame, anchored: DataFrame | None = None, max_depth: int | None = 50) -> DataFrame:
+    """(session_id, marks, anchor): which MARKS occur in each session's whole chain, and its least trusted file.
+
+    verified: ``verify_runs`` with propagation; a session with files but no run row is
+    unknown. anchored: (session_id, anchor) of trusted files by session, if they are asked
+    for. Marks travel from parents to children; sessions whose chains have none have no row.
+    """
+    bit = lambda name: F.lit(MARKS[name]).cast("long")
+    status = F.when(F.col("status") == VERIFIED, 0)
+    for name in (MISMATCH, MISSING, SUSPECT):
+        status = status.when(F.col("status") == name, MARKS[name])
+    rows = [
+        verified.select("session_id", status.otherwise(MARKS[UNKNOWN]).cast("long").alias("marks")).where("marks > 0"),
+        files.select("session_id").distinct().join(runs.select("session_id"), "session_id", "left_anti").select("session_id", bit(UNKNOWN).alias("marks")),
+        runs.where("provenance = 'exception'").select("session_id", bit("exception").alias("marks")),
+        files.where("frozen").select("session_id", bit("frozen").alias("marks")).distinct()]
+    kind = anchored.schema["anchor"].dataType if anchored is not None else "string"
+    own = rows[0]
+    for more in rows[1:]:
+        own = own.union(more)
+    own = own.withColumn("anchor", F.lit(None).cast(kind))
+    if anchored is not None:
+        own = own.unionByName(anchored.select("session_id", F.lit(0).cast("long").alias("marks"), "anchor"))
+    return lineage.inherited(edges, own, {"marks": lineage.BITS, "anchor": lineage.LEAST}, max_depth)
+
+
+def marked(name: str) -> Column:
+    """Whether a row's ``marks`` have the named one; no marks at all: it has not."""
+    return F.coalesce(F.col("marks").bitwiseAND(F.lit(MARKS[name]).cast("long")) > 0, F.lit(False))
+
+
+def marked_status() -> Column:
+    """The worst status that a row's ``marks`` tell."""
+    out = F.when(marked(MISMATCH), MISMATCH)
+    for name in (MISSING, SUSPECT, UNKNOWN):
+        out = out.when(marked(name), name)
+    return out.otherwise(VERIFIED)
+
+
+def chain_statuses(targets: DataFrame, marks: DataFrame) -> DataFrame:
+    """(file_path, session_id, status) of each target's whole chain by ``chain_marks``; a target without producer is unknown."""
+    found = targets.join(marks.select("session_id", "marks"), "session_id", "left")
+    return found.select("file_path", "session_id", F.when(F.col("session_id").isNull(), UNKNOWN).otherwise(marked_status()).alias("status"))
+
+
 def verify_dag(edges: DataFrame, members: DataFrame, verified: DataFrame) -> DataFrame:
     """(session_id, level, status, failed): runs of a target DAG, in the strict order of levels, and whether they or an ancestor failed.
 

@@ -188,8 +188,8 @@ _RESOLVED = f"""{_CLAIMS}, flags as (select m.leaf, bool_or(r.provenance = 'exce
 
 
 def _resolved(spark, sf_dir):
-    t, found, members = _claims(spark, sf_dir)
-    rows = claims.chain_flags(found.where("status <> 'superseded'"), members, t["runs"], t["file_hashes"])
+    _, found, marks = _claims(spark, sf_dir)
+    rows = claims.marked_flags(found.where("status <> 'superseded'"), marks)
     return rows.withColumn("resolved", claims.resolved_status(F.col("new_status"), F.lit(None).cast("boolean"), F.col("has_exception"), F.col("has_frozen")))
 
 
@@ -218,8 +218,9 @@ def attestation(spark, sf_dir):
 @query(f"""with {_CLAIMS} select m.leaf, m.session_id, coalesce(nullif(r.exception_reason, ''), 'no reason given') as reason
           from members m join runs r on r.session_id = m.session_id where r.provenance = 'exception'""", *_CLAIM_TABLES, recursive=True)
 def exception_reasons(spark, sf_dir):
-    t, _, members = _claims(spark, sf_dir)
-    return claims.exception_reasons(members, t["runs"])
+    t = load(spark, sf_dir, "claims", "runs", "file_hashes")
+    leaves = claims.source_sessions(t["claims"], t["file_hashes"]).where("source_file is not null and session is not null").select(F.col("session").alias("session_id"))
+    return claims.exception_reasons(claims.exceptional_ancestors(_edges(t), t["runs"], leaves), t["runs"])
 
 
 @query(f"""with {_CLAIMS} select case code when 0 then 'OK' when 10 then 'UNVERIFIED' when 11 then 'SOURCE_MISSING' when 12 then 'HASH_MISMATCH' when 13 then 'NO_LINEAGE' end as outcome, count(*) as n
@@ -245,9 +246,8 @@ def claims_dag(spark, sf_dir):
 
 
 def _gated(spark, sf_dir):
-    t, found, members = _claims(spark, sf_dir)
-    entries = gate.manifest_entries(t["sources"], t["disk"])
-    return t, materialize(gate.grounded(found, members, t["file_hashes"], entries), "gated"), entries
+    t, found, marks = _claims(spark, sf_dir, gated=True)
+    return t, materialize(gate.grounded(found, None, t["file_hashes"], t["entries"], marks=marks), "gated"), t["entries"]
 
 
 @query(f"""with {_CLAIMS}, {_ANCHORS}, wanted as (select claim_id as identifier from claims union select file_path || ':L' || cast(line_number as varchar) from claims union select 'nobody'),

@@ -178,6 +178,13 @@ def lineage_levels(spark, sf_dir):
     return lineage.levels(edges, edges.select(F.col("child").alias("session_id")).union(edges.select("parent")))
 
 
+@query("""with chain as (select session_id as leaf, session_id, parent_session, 0 as depth from runs
+          union all select c.leaf, r.session_id, r.parent_session, c.depth + 1 from chain c join runs r on r.session_id = c.parent_session)
+          select leaf as session_id, max_by(session_id, depth) as root, max(depth)::bigint as depth from chain group by leaf""", "runs", recursive=True)
+def chain_roots(spark, sf_dir):
+    return lineage.chain_roots(load(spark, sf_dir, "runs")["runs"])
+
+
 @query("""with chain as (select session_id as leaf, session_id, parent_session, 0 as depth from runs
           union all select c.leaf, r.session_id, r.parent_session, c.depth + 1 from chain c join runs r on r.session_id = c.parent_session)
           select leaf, session_id, cast(depth as int) as depth from chain""", "runs", recursive=True)
@@ -239,6 +246,17 @@ def verify_chains(spark, sf_dir):
     return verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
 
 
+@query(f"""with {_EDGES}, targets as (select distinct p.file_path, n.session_id from file_hashes p left join newest n on n.file_path = p.file_path),
+          leaves as (select distinct session_id from targets where session_id is not null), {_CLOSURE}, {_MEMBERS}, {_CHECKED}, {_verified('v', 'suspect')},
+          of_leaf as (select m.leaf, {_WORST} as status from members m left join v on v.session_id = m.session_id group by 1)
+          select t.file_path, t.session_id, coalesce(o.status, 'unknown') as status from targets t left join of_leaf o on o.leaf = t.session_id""",
+       "file_hashes", "newest", "runs", "disk", recursive=True)
+def chain_statuses(spark, sf_dir):
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    marks = verify.chain_marks(_edges(t), t["runs"], t["file_hashes"], verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
+    return verify.chain_statuses(verify.targets_of(t["file_hashes"], t["file_hashes"]), marks)
+
+
 _DAG = f"""{_EDGES}, {_ALL_LEAVES}, {_CLOSURE}, nodes as (select distinct session_id from closed), {_CHECKED}, {_verified('v', None)},
            own as (select n.session_id, coalesce(v.status, 'unknown') as status from nodes n left join v on v.session_id = n.session_id),
            inner_edges as (select child, parent from edges where child in (select session_id from nodes) and parent in (select session_id from nodes)),
@@ -302,14 +320,18 @@ _ANCHORS = """anchors as (select s.ord, s.file_path, s.sha256 from sources s joi
                       join anchors a on a.file_path = x.file_path where x.hash <> '' and left(lower(x.hash), least(length(x.hash), length(a.sha256))) = left(lower(a.sha256), least(length(x.hash), length(a.sha256))))"""
 
 
-def _claims(spark, sf_dir):
-    """(tables, claims with sessions and verdicts, closure of their sessions)."""
+def _claims(spark, sf_dir, gated=False):
+    """(tables, claims with sessions and verdicts, marks of all chains); with ``gated`` marks tell trusted files too."""
     t = load(spark, sf_dir, "claims", "runs", "file_hashes", "disk", "sources")
     sourced = materialize(claims.source_sessions(t["claims"], t["file_hashes"]), "claims")
     targets = sourced.where("source_file is not null").select(F.col("source_file").alias("file_path"), F.col("session").alias("session_id")).distinct()
-    members = lineage.closure(_edges(t), targets.where("session_id is not null"))
-    chains = verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
-    return t, claims.verify_claims(sourced, t["disk"], chains), members
+    anchored = None
+    if gated:
+        t["entries"] = materialize(gate.manifest_entries(t["sources"], t["disk"]), "entries")
+        anchored = gate.anchored_sessions(t["file_hashes"], t["entries"].where("valid"))
+    verified = verify.verify_runs(t["runs"], t["file_hashes"], t["disk"])
+    marks = materialize(verify.chain_marks(_edges(t), t["runs"], t["file_hashes"], verified, anchored), "marks")
+    return t, claims.verify_claims(sourced, t["disk"], verify.chain_statuses(targets, marks)), marks
 
 
 @query(f"with {_CLAIMS} select claim_id, source_status, chain_verified, new_status, code from verdicts", *_CLAIM_TABLES, recursive=True)
@@ -323,9 +345,8 @@ def verify_claims(spark, sf_dir):
           select claim_id, grounded, case when (case when code = 13 then 0 else code end) = 0 and not grounded then 17 when code = 13 then 0 else code end as code from gated""",
        *_CLAIM_TABLES, "sources", recursive=True)
 def gated_claims(spark, sf_dir):
-    t, found, members = _claims(spark, sf_dir)
-    entries = gate.manifest_entries(t["sources"], t["disk"])
-    rows, _ = claims.gate_claims(gate.grounded(found, members, t["file_hashes"], entries), codes.resolve_severity(), gate_active=True)
+    t, found, marks = _claims(spark, sf_dir, gated=True)
+    rows, _ = claims.gate_claims(gate.grounded(found, None, t["file_hashes"], t["entries"], marks=marks), codes.resolve_severity(), gate_active=True)
     return rows.select("claim_id", "grounded", "code")
 
 
@@ -350,8 +371,8 @@ def claims_exit(spark, sf_dir):
           select claim_id, resolved, case when resolved in ('mismatch', 'missing') then 'failed' when resolved = 'registered' then 'suspect' when resolved = 'frozen' then 'verified' else resolved end as bucket
           from resolved""", *_CLAIM_TABLES, recursive=True)
 def resolved_claims(spark, sf_dir):
-    t, found, members = _claims(spark, sf_dir)
-    rows = claims.chain_flags(found.where("status <> 'superseded'"), members, t["runs"], t["file_hashes"])
+    _, found, marks = _claims(spark, sf_dir)
+    rows = claims.marked_flags(found.where("status <> 'superseded'"), marks)
     r = claims.resolved_status(F.col("new_status"), F.lit(None).cast("boolean"), F.col("has_exception"), F.col("has_frozen"))
     return rows.select("claim_id", r.alias("resolved")).withColumn("bucket", claims.bucket(F.col("resolved")))
 
