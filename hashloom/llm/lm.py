@@ -17,9 +17,9 @@ from hashloom.llm.common import materialize
 
 #: N-grams of one to so many tokens are counted.
 ORDER = 3
-#: Filter bits for each stored mark, and probes of a mark: one of 11,000 that were never stored is found.
+#: Filter bits for each stored mark, and probes of a mark: one of 5,000 that were never stored is found.
 BITS_PER_KEY = 20
-PROBES = 10
+PROBES = 7
 #: Counts up to EXACT are levels of their own; above, each level is a factor of STEP, up to LEVELS.
 EXACT, STEP, LEVELS = 20, 1.005, 8192
 #: Levels above EXACT are stored as two digits, the lower one below FINE.
@@ -43,6 +43,7 @@ _GAP = re.compile(rb"[\x20\x09-\x0d]")
 #: A random number for each byte, the same for A-Z as for a-z.
 _LETTER = np.random.default_rng(10).integers(1, 1 << 63, 256, dtype=np.uint64)
 _LETTER[65:91] = _LETTER[97:123]
+_BIT = (1 << np.arange(8)).astype(np.uint8)
 #: Longer words are hashed on their own: polynomials modulo 2 ** 64 repeat for some strings of a thousand letters.
 LONG_WORD = 256
 
@@ -126,9 +127,8 @@ class Filter:
             order = np.argsort(-digit, kind="stable")
             sorted_keys, members = keys[order], np.searchsorted(-digit[order], -np.arange(1, upto + 1), side="right")
             for mark, n in enumerate(members.tolist(), 1):
-                h, step = self._hashed(sorted_keys[:n], np.full(n, mark + tag))
-                for i in range(PROBES):
-                    flags[((h + _U(i) * step) % _U(bits)).astype(np.int64)] = True
+                for at in self._places(*self._hashed(sorted_keys[:n], np.full(n, mark + tag)), bits):
+                    flags[at] = True
         self.bits, self.most, self.data = bits, most, np.packbits(flags, bitorder="little")
 
     @classmethod
@@ -146,15 +146,25 @@ class Filter:
     @staticmethod
     def _hashed(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = _mix(keys + marks.astype(_U) * _U(0x9E3779B97F4A7C15))
-        return h, (h >> _U(32)) | _U(1)
+        return h.astype(np.uint32), (h >> _U(32)).astype(np.uint32) | np.uint32(1)
+
+    @staticmethod
+    def _places(h: np.ndarray, step: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        """The bit of each probe in turn: 32-bit hashes that step on, scaled to the filter's size."""
+        for _ in range(PROBES):
+            yield (h.astype(_U) * _U(bits) >> _U(32)).astype(np.int64)
+            h = h + step
 
     def holds(self, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
         """Whether each key is a member at its mark."""
-        on = np.arange(len(keys))
         h, step = self._hashed(keys, marks)
-        for i in range(PROBES):
-            at = ((h[on] + _U(i) * step[on]) % _U(self.bits)).astype(np.int64)
-            on = on[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        on = None  # of the keys that no probe has missed yet
+        for _ in range(PROBES):
+            at = (h.astype(_U) * _U(self.bits) >> _U(32)).astype(np.int64)
+            hit = np.flatnonzero(self.data[at >> 3] & _BIT[at & 7])
+            on = hit if on is None else on[hit]
+            h, step = h[hit], step[hit]
+            h = h + step
         out = np.zeros(len(keys), bool)
         out[on] = True
         return out
@@ -365,10 +375,14 @@ class Shard:
 
 
 def answer(asked: pa.Table, shards: pa.Table) -> pa.Table:
-    """Of one bucket: what its shards say to the n-grams of each chunk, in the order asked."""
-    held = {r["kind"]: Shard(r) for r in shards.to_pylist()}
-    found = [_small(held[k].ask(unpack(keys)) if k in held else np.zeros(len(unpack(keys)), np.int64))
-             for k, keys in zip(asked["kind"].to_pylist(), asked["keys"].to_pylist())]
+    """Of one bucket and kind: what its shard says to the n-grams of each chunk, in the order asked; equal ones are probed once."""
+    keys = [unpack(k) for k in asked["keys"].to_pylist()]
+    each, place = np.unique(np.concatenate([*keys, np.zeros(0, _U)]), return_inverse=True)
+    said = np.zeros(len(each), np.int64)
+    for r in shards.to_pylist():
+        said = Shard(r).ask(each)
+    said, edges = said[place.ravel()], np.cumsum([0, *map(len, keys)])
+    found = [_small(said[a:b]) for a, b in zip(edges, edges[1:])]
     return pa.Table.from_arrays([asked["chunk"].combine_chunks(), asked["kind"].combine_chunks(), asked["bucket"].combine_chunks(), pa.array(found, pa.binary())],
                                 names=["chunk", "kind", "bucket", "found"])
 
