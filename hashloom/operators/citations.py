@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.functions.codes import EXIT_CODES, NAME_OF, classify_exit, lookup
+from hashloom.functions.hashes import short_id
 
 # Fixed value: what marks an entry that was generated for want of metadata.
 STUB_NOTE = "Auto-generated stub"
@@ -87,6 +88,23 @@ def hint_severity(status: Column) -> Column:
     return F.when(status.isin("stub", "unverified"), "warning").when(status != "verified", "advice")
 
 
+MESSAGES = {"stub": "the citation is a placeholder without confirmed metadata", "unverified": "the citation's metadata is not confirmed", "unknown": "the key has no bibliographic entry"}
+
+
+def hint_entries(citations: DataFrame) -> DataFrame:
+    """(id, kind, severity, message, location, claim_id) of citations that need attention: the shape that claims' hints have.
+
+    location is where the manuscript cites, if that is recorded; claim_id is the citation's
+    key. A status that is not known gets advice.
+    """
+    at = lambda c, kind: (F.col(c) if c in citations.columns else F.lit(None)).cast(kind)
+    kind = F.concat(F.lit("citation-"), "status")
+    spot = F.struct(at("manuscript_file", "string").alias("file"), at("line_number", "int").alias("line"), F.lit(None).cast("int").alias("page"))
+    return citations.where(hint_severity(F.col("status")).isNotNull()).select(
+        short_id("hint_", F.col("cite_key"), kind).alias("id"), kind.alias("kind"), hint_severity(F.col("status")).alias("severity"),
+        lookup(MESSAGES, F.col("status"), "the citation's status is not known here").alias("message"), spot.alias("location"), F.col("cite_key").alias("claim_id"))
+
+
 def outcome_counts(verdicts: DataFrame) -> DataFrame:
     """(outcome, n): verdicts by the name of their exit code."""
     return verdicts.groupBy(lookup(NAME_OF, F.col("code")).alias("outcome")).agg(F.count("*").alias("n"))

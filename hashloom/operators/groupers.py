@@ -102,9 +102,16 @@ def resolve(spec, allow_import: bool = True) -> Grouper:
     return _REGISTRY[kind](**spec)
 
 
-def groups(rows: DataFrame) -> DataFrame:
-    """(session_id, role, group_id, label, kind, size, root_hash, members): one row a group, lone files as groups of one."""
-    own = F.coalesce("group_id", F.concat(F.lit("single:"), F.col("file_path")))
-    return rows.withColumn("group_id", own).groupBy("session_id", "role", "group_id").agg(
+def groups(rows: DataFrame, across_roles: bool = False) -> DataFrame:
+    """(session_id, role, group_id, label, kind, size, root_hash, members): one row a group, lone files as groups of one.
+
+    With ``across_roles`` equal group ids of both roles are one group, whose role is
+    mixed if it has files of both; the groupers here never need that, custom ones may.
+    """
+    own = F.coalesce("group_id", F.concat(F.lit("single:"), *([F.col("role"), F.lit(":")] if across_roles else []), F.col("file_path")))
+    role = F.when(F.min("role") == F.max("role"), F.min("role")).otherwise("mixed")
+    found = rows.withColumn("group_id", own).groupBy("session_id", *([] if across_roles else ["role"]), "group_id").agg(
+        *([role.alias("role")] if across_roles else []),
         F.coalesce(F.first("label"), basename(F.min("file_path"))).alias("label"), F.coalesce(F.first("kind"), F.lit("single")).alias("kind"),
         F.count("*").alias("size"), merkle_root(F.col("hash")).alias("root_hash"), F.array_sort(F.collect_list("file_path")).alias("members"))
+    return found.select("session_id", "role", "group_id", "label", "kind", "size", "root_hash", "members")

@@ -1,15 +1,17 @@
-"""Running scripts again: Spark plans and compares, the driver runs one process at a time."""
+"""Running scripts again: Spark plans waves and compares, the driver runs the scripts of a wave."""
 
 from __future__ import annotations
 
 import os
 import subprocess
 import sys
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
 from hashloom.functions.codes import MISMATCH, MISSING, UNKNOWN, VERIFIED
 from hashloom.operators import lineage, lookups, verify
+from hashloom.plans.scratch import materialize
 
 
 def run_again(ledger, session_id: str, timeout: float = 300.0) -> str:
@@ -46,10 +48,32 @@ def _attempt(ledger, row, timeout: float) -> str:
     return verify.rerun_status(verify.compare_rerun(own(row["session_id"]), own(fresh["session_id"]))).head()[0]
 
 
-def run_dag_again(ledger, targets, disk, skip_unchanged: bool = False, timeout: float = 300.0) -> dict[str, str]:
-    """Run everything behind ``targets`` (file_path) again, parents first; status of each run. No targets: nothing."""
+def run_dag_again(ledger, targets, disk, skip_unchanged: bool = False, timeout: float = 300.0, workers: int = 1):
+    """``verify.rerun_outcomes`` of everything behind ``targets`` (file_path), run again in waves, parents first.
+
+    A wave is a level of the plan without the runs that are fresh, if those are skipped,
+    and without those that read from a failed run: a join of the plan with the outcomes so
+    far chooses it. The runs of a wave do not depend on each other; ``workers`` of them run
+    at a time. No targets, or none that a run wrote: no rows, and nothing runs.
+    """
     runs, files = ledger.view("runs"), ledger.view("file_hashes")
     leaves = verify.targets_of(files, targets).where("session_id is not null")
-    edges = lineage.recorded_edges(runs, ledger.view("session_parents"))
-    plan = verify.rerun_plan(edges, lineage.closure(edges, leaves, None), verify.fresh_runs(runs, files, disk), skip_unchanged)
-    return {r["session_id"]: VERIFIED if r["action"] == "skip" else run_again(ledger, r["session_id"], timeout) for r in plan.orderBy("level", "session_id").toLocalIterator()}
+    edges = materialize(lineage.recorded_edges(runs, ledger.view("session_parents")), "rerun-edges")
+    plan = materialize(verify.rerun_plan(edges, lineage.reachable(edges, leaves, None), verify.fresh_runs(runs, files, disk), skip_unchanged), "rerun-plan")
+    spark, told = plan.sparkSession, []
+    done = lambda: spark.createDataFrame(told, "session_id string, status string")
+    for (level,) in plan.select("level").distinct().orderBy("level").collect():
+        ready = verify.rerun_outcomes(edges, plan.where(F.col("level") <= level), done().unionByName(
+            plan.where(F.col("level") == level).select("session_id", F.lit(VERIFIED).alias("status")))).where((F.col("level") == level) & (F.col("action") == "run"))
+        wave = [r["session_id"] for r in ready.select("session_id").orderBy("session_id").toLocalIterator()]
+        with ThreadPoolExecutor(max(workers, 1)) as pool:
+            told += zip(wave, pool.map(lambda s: run_again(ledger, s, timeout), wave))
+    return verify.rerun_outcomes(edges, plan, done())
+
+
+def run_claims_again(ledger, disk, file_path: str | None = None, claim_type: str | None = None, skip_unchanged: bool = False, timeout: float = 300.0, workers: int = 1):
+    """``run_dag_again`` of the sources of all claims in force, of one manuscript or type if given. Claims without sources run nothing."""
+    rows = ledger.view("claims").where("status <> 'superseded' and source_file is not null")
+    for column, value in (("file_path", file_path), ("claim_type", claim_type)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    return run_dag_again(ledger, rows.select(F.col("source_file").alias("file_path")).distinct(), disk, skip_unchanged, timeout, workers)

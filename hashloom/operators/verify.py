@@ -212,3 +212,29 @@ def rerun_plan(edges: DataFrame, members: DataFrame, fresh: DataFrame, skip_unch
     order = lineage.levels(edges, members.select("session_id").distinct()).join(fresh, "session_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
     action = F.when(F.lit(skip_unchanged) & F.col("fresh"), "skip").otherwise("run")
     return order.withColumn("action", action)
+
+
+def rerun_outcomes(edges: DataFrame, plan: DataFrame, statuses: DataFrame) -> DataFrame:
+    """``plan`` with ``status`` and ``failed`` of its runs, and action blocked where something upstream failed.
+
+    statuses: (session_id, status) of what ran. A skipped run is verified; one without a
+    status, as it was blocked or left nothing, is unknown. What is not verified fails, and
+    so does all that reads from it, however far.
+    """
+    told = plan.join(statuses.select("session_id", F.col("status").alias("_s")), "session_id", "left").withColumn(
+        "status", F.when(F.col("action") == "skip", VERIFIED).otherwise(F.coalesce("_s", F.lit(UNKNOWN)))).drop("_s")
+    names = told.select("session_id")
+    inner = edges.join(names.toDF("child"), "child", "left_semi").join(names.toDF("parent"), "parent", "left_semi")
+    bad = told.where(F.col("status") != VERIFIED).select("session_id")
+    direct = inner.join(bad.toDF("parent"), "parent").select(F.col("child").alias("session_id")).distinct()
+    below = lineage.downstream(inner, direct).withColumn("_blocked", F.lit(True))
+    x = told.join(below, "session_id", "left")
+    blocked = F.coalesce("_blocked", F.lit(False))
+    return x.withColumn("failed", blocked | (F.col("status") != VERIFIED)).withColumn("action", F.when(blocked, "blocked").otherwise(F.col("action"))).drop("_blocked")
+
+
+def rerun_summary(outcomes: DataFrame) -> DataFrame:
+    """One row: status, n_runs and n_failed of re-runs; verified if nothing failed, no runs at all are unknown."""
+    s = F.col("status")
+    worst = F.when(F.count("*") == 0, UNKNOWN).when(~F.bool_or("failed"), VERIFIED).when(F.bool_or(s == MISMATCH), MISMATCH).when(F.bool_or(s == MISSING), MISSING).otherwise(UNKNOWN)
+    return outcomes.agg(worst.alias("status"), F.count("*").alias("n_runs"), F.count_if("failed").alias("n_failed"))

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import html
 import json
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.functions.codes import STATUS_COLOURS
-from hashloom.functions.hashes import basename, node_id, short_id
+from hashloom.functions.hashes import basename, node_id
 from hashloom.operators import citations as cite
 from hashloom.operators import claims as claim
-from hashloom.operators import lineage
+from hashloom.operators import groupers, lineage
 
 # Versions of the exported shapes.
 CLAIMS_VERSION, FEED_VERSION, HINTS_SCHEMA = "1.4", "1.6-unified", "manuscript-hints/1"
+#: What our hints are told from those of other programs by.
+SOURCE = "hashloom"
 
 
 def claim_rows(resolved: DataFrame) -> DataFrame:
@@ -37,10 +40,23 @@ def feed_summary(feed: DataFrame) -> DataFrame:
 
 
 def hint_rows(resolved: DataFrame, citations: DataFrame) -> DataFrame:
-    """Hints on claims and citations that need attention, ordered by id."""
-    c = citations.withColumn("severity", cite.hint_severity(F.col("status"))).where("severity is not null").withColumn("kind", F.concat(F.lit("citation-"), "status"))
-    theirs = c.select(short_id("hint_", F.col("cite_key"), F.col("kind")).alias("id"), "kind", "severity", F.col("cite_key").alias("location"), F.lit(None).cast("string").alias("claim_id"))
-    return claim.hint_entries(resolved).unionByName(theirs).orderBy("id")
+    """Hints on claims and citations that need attention, in one shape, ordered by id."""
+    return claim.hint_entries(resolved).unionByName(cite.hint_entries(citations)).orderBy("id")
+
+
+def write_hints(hints: DataFrame, path: str, source: str = SOURCE) -> None:
+    """Put ``hints`` into the table at ``path`` as those of ``source``; hints of other sources stay as they are.
+
+    The table is partitioned by source and a run overwrites its own partition alone. One
+    row without id marks the run, so that a run without hints clears its partition too.
+    """
+    mark = hints.sparkSession.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in hints.schema])
+    hints.unionByName(mark).withColumn("source", F.lit(source)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source").parquet(path)
+
+
+def read_hints(spark, path: str) -> DataFrame:
+    """Hints of all sources, with ``source``."""
+    return spark.read.parquet(path).where("id is not null").withColumn("source", F.col("source").cast("string"))
 
 
 def write_json(rows: DataFrame, path: str, **around) -> None:
@@ -73,13 +89,34 @@ def export_feed(resolved: DataFrame, citations: DataFrame, path: str, read_only:
         Path(path).chmod(0o444)
 
 
-def export_hints(resolved: DataFrame, citations: DataFrame, path: str, source: str = "hashloom") -> None:
-    """The hints document; hints of other sources that it has already stay, before ours."""
-    p = Path(path)
-    foreign = [h for h in json.loads(p.read_text()).get("hints", []) if h.get("source") != source] if p.is_file() else []
-    own = [r.asDict() | {"source": source} for r in hint_rows(resolved, citations).toLocalIterator()]
+def export_hints(resolved: DataFrame, citations: DataFrame, path: str, source: str = SOURCE, read_only: bool = True) -> None:
+    """The hints document; hints of other sources that it has already stay, before ours, and so does what else it tells.
+
+    A document that cannot be read as JSON is written afresh. Our rows stream to the driver one at a time.
+    """
+    p, found = Path(path), {}
+    if p.is_file():
+        p.chmod(0o644)
+        try:
+            found = json.loads(p.read_text())
+        except ValueError:
+            found = {}
+    found = found if isinstance(found, dict) else {}
+    foreign = [h for h in found.pop("hints", None) or [] if isinstance(h, dict) and h.get("source") != source]
+    around = found | {"schema": HINTS_SCHEMA, "generated_at": datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")}
     p.parent.mkdir(parents=True, exist_ok=True)
-    p.write_text(json.dumps({"schema": HINTS_SCHEMA, "hints": foreign + own}, indent=2) + "\n")
+    with p.open("w") as out:
+        out.write(json.dumps(around)[:-1] + ', "hints": [')
+        k = 0
+        for k, h in enumerate((*foreign, None)):
+            if h is not None:
+                out.write((",\n" if k else "\n") + json.dumps(h))
+        for h in hint_rows(resolved, citations).toLocalIterator():
+            out.write((",\n" if k else "\n") + json.dumps(h.asDict(recursive=True) | {"source": source}))
+            k += 1
+        out.write("\n]}\n")
+    if read_only:
+        p.chmod(0o444)
 
 
 # --- graphs -----------------------------------------------------------------
@@ -112,6 +149,44 @@ def graph_edges(nodes: DataFrame, checked: DataFrame) -> DataFrame:
     return f.select(F.when(reads, F.col("file")).otherwise(F.col("script")).alias("source"), F.when(reads, F.col("script")).otherwise(F.col("file")).alias("target")).distinct()
 
 
+def grouped_graph(nodes: DataFrame, checked: DataFrame, grouper=None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a graph whose files are contracted by a grouper spec (``groupers.resolve``).
+
+    Groups of different runs with the same files and contents are one node, so what one
+    run wrote and another read still meets. A node's role is input, output or, if it is
+    both, mixed; it is failed if one of its files is. Edges that become equal are merged
+    and tell how many there were (``n``). Group ids come from sums over members, so no
+    list of a group's files is gathered. Scripts stay as they are.
+    """
+    f = checked.where("role <> 'script'")
+    rows = groupers.resolve(grouper)(groupers.start(f)).join(f.select("session_id", "role", "file_path", "status"), ["session_id", "role", "file_path"])
+    h = F.xxhash64("file_path", "hash")
+    told = rows.where("group_id is not null").groupBy("session_id", "role", "group_id").agg(
+        F.first("label").alias("label"), F.count("*").alias("size"), F.min("file_path").alias("first_path"), F.bool_and(F.col("status") == "verified").alias("good"),
+        F.md5(F.concat_ws(":", F.count("*").cast("string"), F.bit_xor(h).cast("string"), F.sum(h.cast("decimal(38,0)")).cast("string"))).alias("key"))
+    lone = rows.where("group_id is null").select(
+        "session_id", "role", node_id(F.col("file_path")).alias("id"), basename(F.col("file_path")).alias("label"), F.lit(1).cast("long").alias("size"),
+        F.col("file_path").alias("first_path"), (F.col("status") == "verified").alias("good"))
+    met = lone.unionByName(told.select("session_id", "role", F.concat(F.lit("group_"), F.substring("key", 1, 16)).alias("id"), "label", "size", "first_path", "good"))
+    scripts = nodes.where("kind = 'script'")
+    files = met.groupBy("id").agg(
+        F.when(F.min("role") == F.max("role"), F.min("role")).otherwise("mixed").alias("kind"), F.first("label").alias("label"), F.max("size").alias("size"),
+        F.min("first_path").alias("first_path"), F.when(F.bool_and("good"), "verified").otherwise("failed").alias("status"))
+    link = met.join(scripts.select("session_id", F.col("id").alias("script")), "session_id")
+    reads = F.col("role") == "input"
+    edges = link.select(F.when(reads, F.col("id")).otherwise(F.col("script")).alias("source"), F.when(reads, F.col("script")).otherwise(F.col("id")).alias("target"), "size").groupBy(
+        "source", "target").agg(F.sum("size").alias("n"))
+    return scripts.select("id", "kind", "label", "status").unionByName(files, allowMissingColumns=True), edges
+
+
+def script_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of scripts alone: edges of runs (child, parent), relabelled by script node."""
+    scripts = nodes.where("kind = 'script'")
+    name = scripts.select("session_id", "id")
+    child, parent = name.toDF("child", "target"), name.toDF("parent", "source")
+    return scripts, edges.join(child, "child").join(parent, "parent").groupBy("source", "target").agg(F.count("*").alias("n"))
+
+
 def cascade(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes with ``tainted``: failed, or downstream of a failed node, however far."""
     e = edges.select(F.col("target").alias("child"), F.col("source").alias("parent"))

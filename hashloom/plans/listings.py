@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import codes, hashes
 from hashloom.operators import citations, claims, estimate, gate, groupers, lineage, lookups, verify
+from hashloom.plans import exports
 from hashloom.plans.queries import (
     _ALL_LEAVES, _ANCHORS, _CHECKED, _CLAIM_TABLES, _CLAIMS, _CLOSURE, _EDGES, _MEMBERS, _RANKS, _all_leaves, _claims, _edges, _verified, query)
 from hashloom.plans.scratch import materialize
@@ -352,3 +353,68 @@ def script_estimates(spark, sf_dir):
     known = t["runs"].groupBy("script_path").agg(F.max("script_hash").alias("script_hash"))
     wanted = known.union(known.select("script_path", F.lit("edited"))).union(spark.createDataFrame([("/new.py", "new")], known.schema))
     return estimate.estimates(wanted, t["runs"], t["file_hashes"]).drop("typical_outputs", "typical_bytes")
+
+
+# --- hints, contracted graphs, re-runs ---------------------------------------
+
+def _told(table: dict[str, str], column: str, default: str) -> str:
+    return f"case {column} " + " ".join(f"when '{k}' then '{v.replace(chr(39), chr(39) * 2)}'" for k, v in table.items()) + f" else '{default}' end"
+
+
+@query(f"""with {_RESOLVED} select 'hint_' || substr(sha256(claim_id || ':claim-' || resolved), 1, 12) as id, 'claim-' || resolved as kind,
+            case when resolved in ('mismatch', 'missing') then 'error' when resolved in ('suspect', 'registered') then 'warning' else 'advice' end as severity,
+            {_told(claims.MESSAGES, 'resolved', '')} as message, file_path as file, line_number as line, claim_id from shown where resolved not in ('verified', 'frozen')
+          union all select 'hint_' || substr(sha256(cite_key || ':citation-' || status), 1, 12), 'citation-' || status, 'warning', {_told(citations.MESSAGES, 'status', '')}, null, null, cite_key
+            from citations where status <> 'verified'""", *_CLAIM_TABLES, "citations", recursive=True)
+def manuscript_hints(spark, sf_dir):
+    found = exports.hint_rows(_resolved(spark, sf_dir), load(spark, sf_dir, "citations")["citations"])
+    return found.select("id", "kind", "severity", "message", "location.file", "location.line", "claim_id")
+
+
+_GRAPH = f"""{_CHECKED}, rows as (select session_id, role, file_path, hash from file_hashes),
+          states as (select c.session_id, c.role, c.file_path, r.hash, c.status, split_part(c.file_path, '/', -1) as base, regexp_replace(split_part(c.file_path, '/', -1), '[0-9]+', '{{X}}', 'g') as norm
+            from checked c join rows r on r.session_id = c.session_id and r.role = c.role and r.file_path = c.file_path where c.role <> 'script'),
+          sized as (select *, case when norm <> base then count(*) over (partition by session_id, role, norm) else 0 end as n from states),
+          met as (select session_id, role, case when n >= 2 then string_agg(file_path || '=' || hash, ',' order by file_path) else min(file_path) end as id,
+              case when n >= 2 then any_value(norm) || ' (×' || cast(n as varchar) || ')' else any_value(base) end as label, count(*) as size, min(file_path) as first_path,
+              bool_and(status = 'verified') as good from sized group by session_id, role, n, case when n >= 2 then norm else file_path end)"""
+
+
+def _contracted(spark, sf_dir):
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    checked = verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"])
+    scripts = t["runs"].select(F.col("session_id").alias("id"), F.lit("script").alias("kind"), F.col("script_path").alias("label"), F.lit("verified").alias("status"), "session_id")
+    return exports.grouped_graph(scripts, checked, {"type": "pattern", "regex": "[0-9]+"})
+
+
+@query(f"""with {_GRAPH} select any_value(label) as label, case when min(role) = max(role) then min(role) else 'mixed' end as kind, max(size) as size, min(first_path) as first_path,
+             case when bool_and(good) then 'verified' else 'failed' end as status from met group by id""", "file_hashes", "runs", "disk")
+def grouped_nodes(spark, sf_dir):
+    return _contracted(spark, sf_dir)[0].where("kind <> 'script'").select("label", "kind", "size", "first_path", "status")
+
+
+@query(f"""with {_GRAPH} select m.session_id, m.role, min(first_path) as first_path, sum(size)::bigint as n from met m group by m.session_id, m.role, m.id""", "file_hashes", "runs", "disk")
+def grouped_edges(spark, sf_dir):
+    nodes, edges = _contracted(spark, sf_dir)
+    files = nodes.where("kind <> 'script'").select("id", "first_path")
+    reads = edges.join(files, edges["source"] == files["id"]).select(F.col("target").alias("session_id"), F.lit("input").alias("role"), "first_path", "n")
+    return reads.union(edges.join(files, edges["target"] == files["id"]).select("source", F.lit("output"), "first_path", "n"))
+
+
+@query(f"""with {_EDGES}, {_ALL_LEAVES}, reach as (select session_id from leaves union select e.parent from reach r join edges e on e.child = r.session_id),
+          inside as (select child, parent from edges where child in (select session_id from reach) and parent in (select session_id from reach)),
+          walk as (select session_id, 0 as level from reach union select e.child, w.level + 1 from walk w join inside e on e.parent = w.session_id), {_FRESH}, {_CHECKED}, {_verified('v', None)},
+          own as (select w.session_id, max(w.level) as level, any_value(coalesce(f.fresh, false)) as fresh, any_value(case when coalesce(f.fresh, false) then 'verified' else coalesce(v.status, 'unknown') end) as status
+            from walk w left join fresh f on f.session_id = w.session_id left join v on v.session_id = w.session_id group by 1),
+          below as (select e.child as session_id from inside e join own o on o.session_id = e.parent where o.status <> 'verified'
+            union select e.child from below b join inside e on e.parent = b.session_id)
+          select o.session_id, cast(o.level as int) as level, case when b.session_id is not null then 'blocked' when o.fresh then 'skip' else 'run' end as action, o.status,
+            b.session_id is not null or o.status <> 'verified' as failed from own o left join below b on b.session_id = o.session_id""",
+       "runs", "file_hashes", "disk", "newest", recursive=True)
+def rerun_outcomes(spark, sf_dir):
+    """What a re-run of everything would do if each run ended as its files are now."""
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    edges = _edges(t)
+    plan = materialize(verify.rerun_plan(edges, lineage.reachable(edges, _all_leaves(t)), verify.fresh_runs(t["runs"], t["file_hashes"], t["disk"]), skip_unchanged=True), "plan")
+    ends = verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False)
+    return verify.rerun_outcomes(edges, plan, ends).select("session_id", "level", "action", "status", "failed")

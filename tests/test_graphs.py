@@ -1,11 +1,15 @@
 """Marks that travel along lineage, chains of parents, hints, groups and re-runs against plain versions."""
 
+import hashlib
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from hashloom.operators import claims, gate, lineage, verify
+from hashloom.operators import claims, gate, groupers, lineage, rerun, verify
+from hashloom.plans import exports
+from hashloom.sources.ledger import Ledger
 
 
 def pairs(spark, rows, names="child string, parent string"):
@@ -94,3 +98,109 @@ def test_roots_of_long_chains_by_doubling(spark, monkeypatch):
     assert lineage.chain_roots(odd.where("false")).count() == 0
     asked = lineage.chains(odd, spark.createDataFrame([("low",), ("nobody",)], "session_id string"))
     assert sorted(map(tuple, asked.collect())) == [("low", "low", 0), ("low", "stray", 1)]
+
+
+# --- hints --------------------------------------------------------------------
+
+def test_hints_of_claims_and_citations_share_a_shape(spark, tmp_path):
+    resolved = spark.createDataFrame([("c1", "/a.tex", 3, "mismatch"), ("c2", "/a.tex", 4, "verified"), ("c3", "/b.tex", None, "exception")], "claim_id string, file_path string, line_number int, resolved string")
+    cited = spark.createDataFrame([("k1", "stub", "/a.tex", 9), ("k2", "verified", None, None), ("k3", "unknown", None, None), ("k4", "semantic_mismatch", "/b.tex", 1), ("k5", "unverified", None, None)],
+                                  "cite_key string, status string, manuscript_file string, line_number int")
+    rows = {r["claim_id"]: r.asDict(recursive=True) for r in exports.hint_rows(resolved, cited).collect()}
+    assert {k: (r["kind"], r["severity"], r["location"]) for k, r in rows.items()} == {
+        "c1": ("claim-mismatch", "error", {"file": "/a.tex", "line": 3, "page": None}), "c3": ("claim-exception", "advice", {"file": "/b.tex", "line": None, "page": None}),
+        "k1": ("citation-stub", "warning", {"file": "/a.tex", "line": 9, "page": None}), "k3": ("citation-unknown", "advice", {"file": None, "line": None, "page": None}),
+        "k4": ("citation-semantic_mismatch", "advice", {"file": "/b.tex", "line": 1, "page": None}), "k5": ("citation-unverified", "warning", {"file": None, "line": None, "page": None})}
+    assert all(r["message"] for r in rows.values())
+    assert rows["c1"]["id"] == "hint_" + hashlib.sha256(b"c1:claim-mismatch").hexdigest()[:12] and rows["k1"]["id"] == "hint_" + hashlib.sha256(b"k1:citation-stub").hexdigest()[:12]
+    bare = exports.hint_rows(resolved.where("false"), cited.select("cite_key", "status"))  # no record of where the manuscript cites
+    assert bare.count() == 4 and bare.where("location.file is not null").isEmpty()
+
+    table = str(tmp_path / "hints")
+    ours = exports.hint_rows(resolved, cited)
+    exports.write_hints(ours.limit(2), table, source="other")
+    exports.write_hints(ours, table)
+    exports.write_hints(ours.where("severity = 'error'"), table)  # a second run replaces its own rows alone
+    count = lambda: {r["source"]: r["count"] for r in exports.read_hints(spark, table).groupBy("source").count().collect()}
+    assert count() == {"other": 2, "hashloom": 1}
+    exports.write_hints(ours.where("false"), table)
+    assert count() == {"other": 2}
+
+    path = tmp_path / "deep" / "hints.json"
+    for run in range(2):
+        exports.export_hints(resolved, cited, str(path))
+        told = json.loads(path.read_text())
+        assert [h["id"] for h in told["hints"] if h["source"] == "hashloom"] == sorted(r["id"] for r in rows.values())
+        assert told["schema"] == "manuscript-hints/1" and not path.stat().st_mode & 0o222
+        foreign = [{"id": "f2", "source": "x"}, {"id": "f1", "source": "x", "message": "ü"}]
+        assert [h for h in told["hints"] if h["source"] != "hashloom"] == (foreign if run else []) and told.get("kept") == (1 if run else None)
+        path.chmod(0o644)
+        path.write_text(json.dumps(told | {"kept": 1, "hints": foreign[:1] + told["hints"] + foreign[1:]}))
+    path.write_text("no json")
+    exports.export_hints(resolved.where("false"), cited.where("false"), str(path))
+    assert json.loads(path.read_text())["hints"] == []
+
+
+# --- contracted graphs --------------------------------------------------------
+
+def test_groups_contract_a_graph(spark):
+    files = [("A", f"/d/part_{i}.csv", "output", "verified") for i in range(3)] + [("B", f"/d/part_{i}.csv", "input", "verified") for i in range(3)]
+    files += [("B", "/out.csv", "output", "verified"), ("C", "/d/part_0.csv", "input", "verified"), ("C", "/d/part_1.csv", "input", "verified"), ("C", "/out.csv", "input", "mismatch")]
+    checked = spark.createDataFrame(files, "session_id string, file_path string, role string, status string").withColumn("hash", F.sha2("file_path", 256))
+    runs = spark.createDataFrame([(s, f"/{s}.py") for s in "ABC"], "session_id string, script_path string")
+    levels = spark.createDataFrame([("A", 0), ("B", 1), ("C", 2)], "session_id string, level int")
+    nodes = exports.graph_nodes(runs, checked, levels)
+    small, edges = exports.grouped_graph(nodes, checked, {"type": "pattern", "regex": "[0-9]+"})
+    got = {(r["kind"], r["label"], r["size"], r["status"]) for r in small.where("kind <> 'script'").collect()}
+    # what A wrote and B read is one node; C read two of the three, which is another group
+    assert got == {("mixed", "part_{X}.csv (×3)", 3, "verified"), ("input", "part_{X}.csv (×2)", 2, "verified"), ("mixed", "out.csv", 1, "failed")}
+    label = {r["id"]: r["label"] for r in small.collect()}
+    assert sorted((label[r["source"]], label[r["target"]], r["n"]) for r in edges.collect()) == [
+        ("A.py", "part_{X}.csv (×3)", 3), ("B.py", "out.csv", 1), ("out.csv", "C.py", 1), ("part_{X}.csv (×2)", "C.py", 2), ("part_{X}.csv (×3)", "B.py", 3)]
+    text = exports.to_mermaid(small, edges)
+    assert text.count("-->") == 5 and "group_" in text
+    plain, whole = exports.grouped_graph(nodes, checked, "identity")
+    assert {r["id"] for r in plain.collect()} == {r["id"] for r in nodes.collect()} and whole.count() == exports.graph_edges(nodes, checked).count()
+    scripts, links = exports.script_graph(nodes, spark.createDataFrame([("B", "A"), ("C", "A"), ("C", "B"), ("C", "gone")], "child string, parent string"))
+    assert scripts.count() == 3 and sorted((r["source"], r["target"]) for r in links.collect()) == [("script_0", "script_1"), ("script_0", "script_2"), ("script_1", "script_2")]
+    none, no_edges = exports.grouped_graph(nodes.where("false"), checked.where("false"))
+    assert none.count() == 0 and no_edges.count() == 0
+
+
+def test_groups_across_roles_are_mixed(spark):
+    rows = spark.createDataFrame([("s", "/a1", "input"), ("s", "/a2", "output"), ("s", "/b", "output"), ("s", "/b", "input")], "session_id string, file_path string, role string").withColumn("hash", F.sha2("file_path", 256))
+    together = lambda r: r.withColumn("group_id", F.when(F.col("file_path").startswith("/a"), "a")).withColumn("kind", F.lit("custom"))
+    got = groupers.groups(together(groupers.start(rows)), across_roles=True)
+    assert sorted((r["role"], r["size"]) for r in got.collect()) == [("input", 1), ("mixed", 2), ("output", 1)]
+    assert groupers.groups(together(groupers.start(rows))).count() == 4
+
+
+# --- re-runs ------------------------------------------------------------------
+
+def test_failures_stop_what_reads_from_them(spark, tmp_path, monkeypatch):
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    parents = {"a": [], "b": ["a"], "c": ["b"], "d": ["a"], "e": []}
+    for s, ps in parents.items():
+        ledger.add_run(s, f"/{s}.py")
+    ledger.add_files(spark.createDataFrame([(s, f"/{s}.out", "output", s) for s in parents], "session_id string, file_path string, role string, hash string"))
+    for s, ps in parents.items():
+        for p in ps:
+            ledger.add_parent(s, p)
+    disk = spark.createDataFrame([], "file_path string, exists boolean, current_hash string, archived_hash string")
+    ran = []
+    ends = {"a": "verified", "b": "mismatch", "c": "verified", "d": "verified", "e": "missing"}
+    monkeypatch.setattr(rerun, "run_again", lambda ledger, s, timeout: (ran.append(s), ends[s])[1])
+    targets = spark.createDataFrame([(f"/{s}.out",) for s in "cd"], "file_path string")
+    got = rerun.run_dag_again(ledger, targets, disk, workers=2)
+    assert {r["session_id"]: (r["level"], r["action"], r["status"], r["failed"]) for r in got.collect()} == {
+        "a": (0, "run", "verified", False), "b": (1, "run", "mismatch", True), "d": (1, "run", "verified", False), "c": (2, "blocked", "unknown", True)}
+    assert sorted(ran) == ["a", "b", "d"] and ran[0] == "a"
+    assert verify.rerun_summary(got).head().asDict() == {"status": "mismatch", "n_runs": 4, "n_failed": 2}
+    ran.clear()
+    nothing = rerun.run_claims_again(ledger, disk)  # no claims
+    assert nothing.count() == 0 and verify.rerun_summary(nothing).head()["status"] == "unknown"
+    ledger.add_claims(spark.createDataFrame([("/m.tex", "value", 1, None), ("/m.tex", "value", 2, "/e.out"), ("/n.tex", "figure", 1, "/a.out")],
+                                            "file_path string, claim_type string, line_number int, source_file string"), disk)
+    assert rerun.run_claims_again(ledger, disk, file_path="/nowhere.tex").count() == 0 and not ran
+    assert [(r["session_id"], r["failed"]) for r in rerun.run_claims_again(ledger, disk, file_path="/m.tex").collect()] == [("e", True)] and ran == ["e"]
+    assert verify.rerun_summary(rerun.run_claims_again(ledger, disk, claim_type="figure")).head()["status"] == "verified"
