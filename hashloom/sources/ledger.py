@@ -7,9 +7,12 @@ status) are laid over the newest whole row that came before them.
 
 from __future__ import annotations
 
+import hashlib
 import os
 import socket
 import time
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +21,7 @@ from hashloom.functions import hashes
 from hashloom.functions.codes import CLAIM_TYPES
 from hashloom.operators import citations as cite
 from hashloom.operators import lineage, lookups
-from hashloom.sources.schema import KEYS, TABLES, columns, log_schema
+from hashloom.sources.schema import GROWING, KEYS, TABLES, columns, log_schema
 
 
 class Ledger:
@@ -28,32 +31,137 @@ class Ledger:
         self.spark, self.root = spark, root.rstrip("/")
         self.host = host or os.environ.get("HASHLOOM_HOST") or socket.gethostname()
         self._last = 0
+        self._held: list | None = None
 
     # --- logs ---------------------------------------------------------------
 
     def log(self, table: str) -> DataFrame:
-        """All entries of a table, oldest schema included: columns that a file lacks are null."""
-        path = f"{self.root}/{table}"
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+        """All entries of a table, oldest schema included: columns that a file lacks are null.
+
+        The newest snapshot, if there is one, and the files that it does not cover.
+        """
+        covered, snapshot = self._snapshot(table)
+        rest = [f"{self.root}/{table}/{n}" for n in self._files(table) if n not in covered]
+        paths = ([snapshot] if snapshot else []) + ([f"{self.root}/{table}"] if rest and not snapshot else rest)
+        if not paths:
             return self.spark.createDataFrame([], log_schema(table))
-        return self.spark.read.schema(log_schema(table)).parquet(path)
+        return self.spark.read.schema(log_schema(table)).parquet(*paths)
 
-    def append(self, table: str, rows: DataFrame, op: str = "add") -> None:
-        """Add ``rows`` as one batch; columns that they lack are null."""
+    def append(self, table: str, rows: DataFrame, op: str | None = "add") -> None:
+        """Add ``rows`` as one batch; columns that they lack are null. Without ``op`` rows have their own."""
         self._last = max(time.time_ns() // 1000, self._last + 1)
         have = {c.lower() for c in rows.columns}
         out = []
         for field in self.spark.createDataFrame([], TABLES[table]).schema:
             value = F.col(field.name) if field.name in have else F.lit(None)
             out.append(value.cast(field.dataType).alias(field.name))
-        rows.select(*out, F.lit(self._last).cast("long").alias("batch"), F.monotonically_increasing_id().alias("seq"), F.lit(op).alias("op")).write.mode("append").parquet(f"{self.root}/{table}")
+        order = F.col("seq") if op is None else F.monotonically_increasing_id()
+        rows.select(*out, F.lit(self._last).cast("long").alias("batch"), order.cast("long").alias("seq"), (F.col("op") if op is None else F.lit(op)).alias("op")).write.mode("append").parquet(f"{self.root}/{table}")
 
     def _row(self, table: str, op: str = "add", **values) -> None:
+        if self._held is not None:
+            self._held.append((table, op, values))
+            return
         schema = ", ".join(x for x in TABLES[table].split(", ") if x.split(" ")[0] in values)
         names = [x.split(" ")[0] for x in schema.split(", ")]
-        self.append(table, self.spark.createDataFrame([tuple(values[n] for n in names)], schema), op)
+        self.append(table, self.spark.createDataFrame([tuple(values[n] for n in names)], schema).coalesce(1), op)
+
+    @contextmanager
+    def batch(self):
+        """Single events within are held back and written at the end, one file a table, in their order; nothing of them is seen before."""
+        if self._held is not None:  # within another batch
+            yield self
+            return
+        self._held = []
+        try:
+            yield self
+        finally:
+            held, self._held = self._held, None
+            for table in dict.fromkeys(t for t, _, _ in held):
+                names = columns(table)
+                rows = [(*(values.get(n) for n in names), k, op) for k, (t, op, values) in enumerate(held) if t == table]
+                self.append(table, self.spark.createDataFrame(rows, f"{TABLES[table]}, seq bigint, op string").coalesce(1), None)
+
+    # --- snapshots ----------------------------------------------------------
+
+    def _store(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _names(self, path: str) -> list[str]:
+        store, where = self._store(path)
+        return sorted(f.getPath().getName() for f in store.listStatus(where)) if store.exists(where) else []
+
+    def _files(self, table: str) -> list[str]:
+        """Names of the event files of a table."""
+        return [n for n in self._names(f"{self.root}/{table}") if not n.startswith(("_", "."))]
+
+    def _snapshot(self, table: str) -> tuple[set[str], str | None]:
+        """(covered event files, folder) of the newest snapshot that is committed."""
+        folder = f"{self.root}/_snapshots/{table}"
+        marks = [n for n in self._names(folder) if n.endswith(".mark")]
+        if not marks:
+            return set(), None
+        lines = self.spark.sparkContext.wholeTextFiles(f"{folder}/{marks[-1]}").first()[1].splitlines()
+        return set(lines[1:]), f"{folder}/{lines[0]}"
+
+    def compact_in_place(self, table: str) -> int:
+        """Gather a table's events into one snapshot, while readers and writers go on; how many event files it covers.
+
+        The snapshot keeps, of each key and kind of entry, what a view can still need: the
+        newest (of parents the first). That is a maximum, so entries that arrive late
+        change nothing else. It counts once its mark, which names the files that it covers,
+        is renamed into place; of two that try for the same number one fails with
+        FileExistsError and leaves no trace. Readers take the newest mark and the files that
+        it does not name; ``vacuum`` removes the others later.
+        """
+        before, files = self._snapshot(table)[0], self._files(table)
+        if not set(files) - before:
+            return len(before)
+        folder = f"{self.root}/_snapshots/{table}"
+        number = 1 + max((int(n.split(".")[0]) for n in self._names(folder) if n.endswith(".mark")), default=0)
+        log, covered = self.log(table), sorted(before | set(files))
+        if table not in GROWING:
+            row, when = F.struct(*log.columns), F.struct("batch", "seq")
+            pick = F.min_by(row, when) if table == "session_parents" else F.max_by(row, when)
+            log = log.groupBy(*KEYS[table], F.col("op").alias("_op")).agg(pick.alias("r")).select("r.*")
+        name = f"{number:010}-{uuid.uuid4().hex}"
+        log.coalesce(1).write.parquet(f"{folder}/{name}")
+        jvm = self.spark._jvm
+        store, draft = self._store(f"{folder}/.{name}")
+        out = store.create(draft, False)
+        out.write(bytearray("\n".join([name, *covered]).encode()))
+        out.close()
+        try:
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
+            none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+            context.rename(store.makeQualified(draft), store.makeQualified(jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:010}.mark")), none)
+        except Exception as e:
+            store.delete(draft, False)
+            store.delete(jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}"), True)
+            raise FileExistsError(f"snapshot {number} of {table} is another's") from e
+        return len(covered)
+
+    def vacuum(self, table: str, older_than: float = 86_400.0) -> int:
+        """Delete event files that the newest snapshot covers, and older snapshots, once they are ``older_than`` seconds old; how many files went.
+
+        Readers that began with them must have ended by then. The newest mark keeps their names.
+        """
+        covered, snapshot = self._snapshot(table)
+        if snapshot is None:
+            return 0
+        store, _ = self._store(self.root)
+        limit, gone, path = (time.time() - older_than) * 1000, 0, self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in self._files(table):
+            where = path(f"{self.root}/{table}/{name}")
+            if name in covered and store.getFileStatus(where).getModificationTime() <= limit:
+                gone += bool(store.delete(where, False))
+        folder, newest = f"{self.root}/_snapshots/{table}", snapshot.rsplit("/", 1)[1]
+        for name in self._names(folder):
+            where = path(f"{folder}/{name}")
+            if name[:10] < newest[:10] and store.getFileStatus(where).getModificationTime() <= limit:
+                store.delete(where, True)
+        return gone
 
     def compact(self, table: str, target: str) -> None:
         """Write the latest state of a table as a log of its own under ``target``."""
@@ -65,7 +173,7 @@ class Ledger:
     def view(self, table: str) -> DataFrame:
         """Latest rows of a table, with ``batch`` and ``seq`` of their newest whole entry."""
         log = self.log(table)
-        if table in ("verification_results", "stamps"):
+        if table in GROWING:
             return log.drop("op")
         if table == "session_parents":  # what is there already stays
             first = F.min_by(F.struct("recorded_at", "batch", "seq"), F.struct("batch", "seq"))
@@ -205,23 +313,31 @@ class Ledger:
         return rows.count()
 
     def stamp(self, session_ids: list[str] | None = None, backend: str = "file", proof: str | None = None) -> str:
-        """Stamp the ledger's root hash; a proof is written as JSON under ``proof`` if given. Nothing to stamp is a ValueError."""
+        """Stamp the ledger's root hash; a proof is written as JSON under ``proof`` if given. Nothing to stamp is a ValueError.
+
+        Which sessions a stamp covers goes to a table of its own, so no list of them is made.
+        """
         if backend != "file":
             raise ValueError(f"backend {backend} needs a network service")
         rows = self._stamped(session_ids)
-        root, ids = rows.agg(hashes.ledger_root(F.col("session_id"), F.col("combined_hash")), F.array_sort(F.collect_list("session_id"))).head()
+        root, count = rows.agg(hashes.ledger_root(F.col("session_id"), F.col("combined_hash")), F.count("*")).head()
         if root is None:
             raise ValueError("no runs to stamp")
-        import hashlib
-
         now = _now().isoformat()
         stamp_id = "stamp_" + hashlib.sha256(f"{root}:{now}".encode()).hexdigest()[:12]
-        values = dict(stamp_id=stamp_id, root_hash=root, timestamp=now, backend=backend, service_url=None, response_token=None, run_count=len(ids), session_ids=list(ids))
-        self._row("stamps", **values)
+        self.append("stamp_sessions", rows.select(F.lit(stamp_id).alias("stamp_id"), "session_id"))
+        self._row("stamps", stamp_id=stamp_id, root_hash=root, timestamp=now, backend=backend, service_url=None, response_token=None, run_count=count)
         if proof:
-            self.view("stamps").where(F.col("stamp_id") == stamp_id).drop("batch", "seq").coalesce(1).write.json(proof)
+            self.view("stamps").where(F.col("stamp_id") == stamp_id).drop("batch", "seq", "session_ids").coalesce(1).write.json(f"{proof}/stamp")
+            self.stamp_sessions(stamp_id).orderBy("session_id").write.json(f"{proof}/sessions")
         return stamp_id
 
+    def stamp_sessions(self, stamp_id: str) -> DataFrame:
+        """(session_id) of what a stamp covers; stamps of an older kind list them themselves."""
+        own = self.view("stamp_sessions").where(F.col("stamp_id") == stamp_id).select("session_id")
+        listed = self.view("stamps").where(F.col("stamp_id") == stamp_id).select(F.explode("session_ids").alias("session_id"))
+        return own.union(listed).distinct()
+
     def _stamped(self, session_ids: list[str] | None) -> DataFrame:
         runs = self.view("runs")
         if session_ids is None:
@@ -232,10 +348,11 @@ class Ledger:
         """Whether a stamp's (the newest's) root hash still holds, and how many runs could be stamped now."""
         stamps = self.view("stamps")
         rows = stamps if stamp_id is None else stamps.where(F.col("stamp_id") == stamp_id)
-        s = rows.orderBy(F.desc("batch")).head()
+        s = rows.orderBy(F.desc("batch")).drop("session_ids").head()
         if s is None:
             raise ValueError("no such stamp")
-        root = self._stamped(list(s["session_ids"])).agg(hashes.ledger_root(F.col("session_id"), F.col("combined_hash"))).head()[0]
+        now = self.view("runs").join(self.stamp_sessions(s["stamp_id"]), "session_id", "left_semi")
+        root = now.agg(hashes.ledger_root(F.col("session_id"), F.col("combined_hash"))).head()[0]
         return {"stamp_id": s["stamp_id"], "matches": root == s["root_hash"], "root_hash": root, "run_count": s["run_count"], "run_count_now": self._stamped(None).count()}
 
 

@@ -14,12 +14,15 @@ TABLES = {
     "citations": "cite_key string, manuscript_file string, line_number int, doi string, source_id string, resolved boolean, is_stub boolean, status string, metadata_json string, "
                  "metadata_hash string, url string, registered_at timestamp_ntz, verified_at timestamp_ntz",
     "stamps": "stamp_id string, root_hash string, timestamp string, backend string, service_url string, response_token string, run_count int, session_ids array<string>",
+    "stamp_sessions": "stamp_id string, session_id string",
 }
 #: What identifies a row of each table; verification results and stamps only grow.
 KEYS = {
     "runs": ("session_id",), "file_hashes": ("session_id", "file_path", "role"), "session_parents": ("session_id", "parent_session"),
-    "claims": ("claim_id",), "citations": ("cite_key",), "verification_results": ("batch", "seq"), "stamps": ("stamp_id",),
+    "claims": ("claim_id",), "citations": ("cite_key",), "verification_results": ("batch", "seq"), "stamps": ("stamp_id",), "stamp_sessions": ("stamp_id", "session_id"),
 }
+#: Tables of which every entry counts.
+GROWING = ("verification_results", "stamps", "stamp_sessions")
 ORDER = "batch bigint, seq bigint, op string"
 
 
