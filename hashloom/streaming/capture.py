@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import hashes
 from hashloom.operators import lineage
+from hashloom.plans.scratch import scratch_dir
 from hashloom.sources.documents import read_citation_artifact
-from hashloom.sources.files import hash_paths
+from hashloom.sources.files import hash_paths, list_tree
 from hashloom.sources.ledger import Ledger
 
 log = logging.getLogger(__name__)
@@ -35,8 +36,13 @@ class Tracker:
         ledger.add_run(self.session_id, script_path, self.script_hash, parent_session, **more)
 
     def _hashed(self, paths: list[str]) -> DataFrame:
-        rows = self.ledger.spark.createDataFrame([(os.path.realpath(p),) for p in paths], "file_path string")
-        return hash_paths(rows)
+        """(file_path, hash, size_bytes); a folder's hash is the Merkle root of its data files', whatever their names."""
+        spark, real = self.ledger.spark, [os.path.realpath(p) for p in paths]
+        found = hash_paths(spark.createDataFrame([(p,) for p in real], "file_path string"))
+        for folder in filter(os.path.isdir, real):
+            files = hash_paths(list_tree(spark, folder)).where(~F.element_at(F.split("file_path", "/"), -1).rlike(r"^[._]"))
+            found = found.union(files.agg(F.lit(folder).alias("file_path"), hashes.merkle_root(F.col("hash")).alias("hash"), F.sum("size_bytes").alias("size_bytes")).where("size_bytes is not null"))
+        return found
 
     def _record(self, paths: list[str], role: str, into: dict[str, str]) -> None:
         found = self._hashed(paths).collect()  # the caller's own list of paths
@@ -101,12 +107,87 @@ def record_output(path: str) -> None:
     current().record_outputs(path)
 
 
+class PlanWatch:
+    """What Spark itself reads and writes while it watches, from the plans that it executed.
+
+    A query execution listener takes the root paths of file scans and the target of file
+    writes out of every plan that succeeds, so ``spark.read`` and ``df.write`` need no
+    wrapper. It only notes paths: hashes are taken by the run's own record, once, at its
+    end. Paths under ``hidden`` folders (the store, scratch tables) are not noted. A plan
+    that it cannot read is passed over.
+    """
+
+    class Java:
+        implements = ["org.apache.spark.sql.util.QueryExecutionListener"]
+
+    def __init__(self, spark, hidden: list[str]):
+        self.spark, self.inputs, self.outputs = spark, {}, {}
+        self.hidden = [self._plain(h) for h in hidden if h]
+
+    @staticmethod
+    def _plain(path: str) -> str:
+        """A local path without scheme; paths of other stores as they are."""
+        return os.path.realpath("/" + path.split(":", 1)[1].lstrip("/")) if path.startswith("file:") else os.path.realpath(path) if path.startswith("/") else path
+
+    def __enter__(self) -> PlanWatch:
+        from pyspark.java_gateway import ensure_callback_server_started
+
+        ensure_callback_server_started(self.spark.sparkContext._gateway)
+        self.spark._jsparkSession.listenerManager().register(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.spark._jsc.sc().listenerBus().waitUntilEmpty()  # plans are told after they ran
+        self.spark._jsparkSession.listenerManager().unregister(self)
+
+    def onSuccess(self, name, execution, nanoseconds) -> None:  # noqa: N802 (the JVM's name)
+        try:
+            self._walk(execution.analyzed())
+        except Exception as e:  # a hook must not break the program it watches
+            log.warning("plan not recorded: %s", e)
+
+    def onFailure(self, name, execution, error) -> None:  # noqa: N802
+        """What failed wrote nothing that counts."""
+
+    def _walk(self, plan) -> None:
+        kind = plan.getClass().getSimpleName()
+        if kind == "InsertIntoHadoopFsRelationCommand":
+            self._note(self.outputs, plan.outputPath().toString())
+        elif kind == "LogicalRelation" and plan.relation().getClass().getSimpleName() == "HadoopFsRelation":
+            paths = plan.relation().location().rootPaths()
+            for i in range(paths.size()):
+                self._note(self.inputs, paths.apply(i).toString())
+        for children in (plan.children(), plan.innerChildren()):
+            for i in range(children.size()):
+                if children.apply(i).getClass().getName().startswith("org.apache.spark.sql.") and hasattr(children.apply(i), "children"):
+                    self._walk(children.apply(i))
+
+    def _note(self, into: dict, path: str) -> None:
+        path = self._plain(path)
+        if not any(path == h or path.startswith(h.rstrip("/") + "/") for h in self.hidden):
+            into.setdefault(path)
+
+
 @contextmanager
-def session(ledger: Ledger, output_dir: str | None = None, **options):
-    """A tracked run: success at the end, error where an exception leaves it; files without record are warned of."""
+def session(ledger: Ledger, output_dir: str | None = None, watch_plans: bool = False, **options):
+    """A tracked run: success at the end, error where an exception leaves it; files without record are warned of.
+
+    With ``watch_plans`` what Spark reads and writes within is recorded too (``PlanWatch``),
+    also of a run that ends in error.
+    """
     tracker = start_tracking(ledger, **options)
     try:
-        yield tracker
+        if watch_plans:
+            watch = PlanWatch(ledger.spark, [ledger.root, scratch_dir(ledger.spark)])
+            try:
+                with watch:
+                    yield tracker
+            finally:
+                written = [p for p in watch.inputs if p not in watch.outputs]
+                _quietly(lambda t: t.record_inputs(*written))
+                _quietly(lambda t: t.record_outputs(*watch.outputs))
+        else:
+            yield tracker
     except BaseException:
         stop_tracking("error", 1)
         raise
