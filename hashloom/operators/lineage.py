@@ -190,20 +190,34 @@ def levels(edges: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFrame
     end, there may be a cycle, and nodes are peeled instead. Nodes on or behind a cycle
     have no level: with ``strict`` that is a ValueError, else their level is null.
     """
-    names = materialize(nodes.select("session_id").distinct(), "levels-nodes")
-    inner = materialize(edges.join(names.toDF("child"), "child", "left_semi").join(names.toDF("parent"), "parent", "left_semi").select("child", "parent").distinct(), "levels-edges")
+    return failing_levels(edges, nodes.select("session_id", F.lit(False).alias("bad")), strict).select("session_id", "level")
+
+
+def failing_levels(edges: DataFrame, nodes: DataFrame, strict: bool = True) -> DataFrame:
+    """(session_id, level, failed): ``levels``, and whether a node or anything upstream of it is ``bad``, in the same rounds.
+
+    Each path from a root is walked to its end, so a bad node on it is met before all that
+    lies below.
+    """
+    names = materialize(nodes.groupBy("session_id").agg(F.bool_or(F.coalesce("bad", F.lit(False))).alias("bad")), "levels-nodes")
+    known = names.select("session_id")
+    inner = materialize(edges.join(names.select(F.col("session_id").alias("child"), "bad"), "child").join(known.toDF("parent"), "parent", "left_semi").select(
+        "child", "parent", "bad").distinct(), "levels-edges")
     roots = names.join(inner.select(F.col("child").alias("session_id")), "session_id", "left_anti")
-    fresh, k = materialize(roots.withColumn("level", F.lit(0)), "levels-0"), 0
-    met, step = fresh, inner.select(F.col("parent").alias("session_id"), "child")
+    fresh, k = materialize(roots.select("session_id", F.lit(0).alias("level"), F.col("bad").alias("failed")), "levels-0"), 0
+    met, step = fresh, inner.select(F.col("parent").alias("session_id"), "child", "bad")
     while k < WALKS and not fresh.isEmpty():
         k += 1
-        fresh = materialize(fresh.join(step, "session_id").select(F.col("child").alias("session_id")).distinct().withColumn("level", F.lit(k)), f"levels-{k}")
+        below = fresh.join(step, "session_id").groupBy(F.col("child").alias("session_id")).agg(F.bool_or(F.col("failed") | F.col("bad")).alias("failed"))
+        fresh = materialize(below.select("session_id", F.lit(k).alias("level"), "failed"), f"levels-{k}")
         met = met.union(fresh)
     if k < WALKS:
-        found = materialize(met.groupBy("session_id").agg(F.max("level").alias("level")), "levels")
+        found = materialize(met.groupBy("session_id").agg(F.max("level").alias("level"), F.bool_or("failed").alias("failed")), "levels")
         if found.count() == names.count():
             return found
-    return _peeled(inner, names, strict)
+    links = inner.select("child", "parent")
+    below = downstream(links, names.where("bad")).withColumn("failed", F.lit(True))
+    return _peeled(links, known, strict).join(below, "session_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
 
 
 def _peeled(inner: DataFrame, names: DataFrame, strict: bool) -> DataFrame:

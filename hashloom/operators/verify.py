@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hashloom.functions.codes import MISMATCH, MISSING, SUSPECT, UNKNOWN, VERIFIED, worst_status
 from hashloom.functions.hashes import basename, consistent, starts_with_expected
 from hashloom.operators import lineage
+from hashloom.plans.scratch import materialize
 
 FAILED = (MISMATCH, MISSING)
 
@@ -142,12 +143,10 @@ def verify_dag(edges: DataFrame, members: DataFrame, verified: DataFrame) -> Dat
 
     verified: ``verify_runs`` without propagation, so suspect does not occur. A cycle is a ValueError.
     """
-    nodes = members.select("session_id").distinct()
-    order = lineage.levels(edges, nodes)
-    own = order.join(verified.select("session_id", "status"), "session_id", "left").withColumn("status", F.coalesce("status", F.lit(UNKNOWN)))
-    inner = edges.join(nodes.toDF("child"), "child", "left_semi").join(nodes.toDF("parent"), "parent", "left_semi")
-    failed = lineage.downstream(inner, own.where(F.col("status") != VERIFIED)).withColumn("failed", F.lit(True))
-    return own.join(failed, "session_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    own = materialize(members.select("session_id").distinct().join(verified.select("session_id", "status"), "session_id", "left").select(
+        "session_id", F.coalesce("status", F.lit(UNKNOWN)).alias("status")), "dag")
+    order = lineage.failing_levels(edges, own.select("session_id", (F.col("status") != VERIFIED).alias("bad")))
+    return own.join(order, "session_id").select("session_id", "level", "status", "failed")
 
 
 def dag_status(dag: DataFrame) -> DataFrame:
