@@ -60,6 +60,17 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def display_path(path: Column, mode: str = "name", base: str | None = None) -> Column:
+    """A path to show: its name, relative to ``base`` if it lies there, or absolute (names from ``base`` on made whole); null and empty ones are unknown."""
+    if mode not in ("name", "relative", "absolute"):
+        raise ValueError(f"unknown path mode {mode}")
+    known = (F.length(path) > 0) & (path != "unknown")
+    root = (base or "").rstrip("/") + "/"
+    shown = {"name": basename(F.rtrim(path, F.lit("/"))), "relative": F.when(path.startswith(root), F.substring(path, len(root) + 1, 1 << 30)).otherwise(path),
+             "absolute": F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root), path))}[mode]
+    return F.when(known, shown).otherwise("unknown")
+
+
 def dirname(path: Column) -> Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hashloom.operators import lineage
+
 HEAVY_SECONDS = 300.0
 
 
@@ -53,8 +55,44 @@ def estimates(wanted: DataFrame, runs: DataFrame, files: DataFrame, heavy_thresh
                       F.coalesce(pick("p90") > heavy_threshold, F.lit(False)).alias("heavy"))
 
 
-def hint(n: Column, p50: Column, success_rate: Column, heavy: Column) -> Column:
-    """One sentence about an estimate."""
-    return F.when(n == 0, "no earlier runs: nothing to estimate from").otherwise(F.concat_ws(
-        "", F.lit("about "), p50.cast("string"), F.lit(" s over "), n.cast("string"), F.lit(" runs, "), F.bround(success_rate * 100, 0).cast("int").cast("string"),
-        F.lit("% successful"), F.when(heavy, "; heavy: run it in the background").otherwise("")))
+def resolve_scripts(wanted: DataFrame, runs: DataFrame, files: DataFrame, disk: DataFrame) -> DataFrame:
+    """(identifier, script_path, script_hash) of scripts or output files: what ``estimates`` wants.
+
+    A path that ends in .py is a script itself. Another one that is there is an output: its
+    script is that of its newest producer (null if nobody wrote it). One that is not there
+    is taken as a script. script_hash is that of the file as it is now, null if it is gone.
+    """
+    ids = wanted.select("identifier").distinct()
+    now = disk.where("exists").select(F.col("file_path").alias("_p"), F.col("current_hash").alias("_h"))
+    there = ids.join(now.select(F.col("_p").alias("identifier"), F.lit(True).alias("_there")), "identifier", "left")
+    made = lineage.newest_producers(files).select(F.col("file_path").alias("identifier"), "session_id").join(runs.select("session_id", F.col("script_path").alias("_script")), "session_id", "left")
+    own = F.lower("identifier").endswith(".py") | F.col("_there").isNull()
+    path = there.join(made, "identifier", "left").select("identifier", F.when(own, F.col("identifier")).otherwise(F.col("_script")).alias("script_path"))
+    return path.join(now, F.col("script_path") == F.col("_p"), "left").select("identifier", "script_path", F.col("_h").alias("script_hash"))
+
+
+def target_estimates(wanted: DataFrame, runs: DataFrame, files: DataFrame, disk: DataFrame, heavy_threshold: float = HEAVY_SECONDS) -> DataFrame:
+    """``estimates`` by identifier: a script, or a file whose script is looked up."""
+    found = resolve_scripts(wanted, runs, files, disk)
+    told = estimates(found.select("script_path", "script_hash").distinct(), runs, files, heavy_threshold)
+    same = F.col("script_path").eqNullSafe(F.col("_path")) & F.col("script_hash").eqNullSafe(F.col("_hash"))
+    return found.join(told.withColumnsRenamed({"script_path": "_path", "script_hash": "_hash"}), same).drop("_path", "_hash")
+
+
+def _size_text(size: Column) -> Column:
+    """A number of bytes in the largest unit that it has at least one of."""
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for power, unit in enumerate(("kB", "MB", "GB", "TB"), 1):
+        out = F.when(size >= 1024 ** power, F.concat(F.format_number(size / 1024 ** power, 1), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def hint(tier: Column, p90: Column, success_rate: Column, heavy: Column, typical_bytes: Column) -> Column:
+    """What to expect, as text: whether the script changed, how long nine of ten runs took, their output, how many failed."""
+    took = F.when(p90 >= 60, F.concat(F.format_number(p90 / 60, 0), F.lit(" min"))).otherwise(F.concat(F.format_number(p90, 0), F.lit(" s")))
+    parts = [
+        F.when(tier == "path_history", "the script has changed: told from its earlier versions"),
+        F.when(heavy, F.concat(F.lit("long: up to "), took, F.lit("; try a part first, or run it in the background"))).otherwise(F.concat(F.lit("up to "), took)),
+        F.concat(F.lit("output of about "), _size_text(typical_bytes)),
+        F.when(success_rate < 1, F.concat(F.format_number((1 - success_rate) * 100, 0), F.lit("% of the runs failed")))]
+    return F.when(tier == "unknown", "no earlier runs: nothing to estimate from").otherwise(F.concat_ws("; ", *parts))

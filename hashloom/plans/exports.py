@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.functions.codes import STATUS_COLOURS
-from hashloom.functions.hashes import basename, node_id
+from hashloom.functions.hashes import basename, display_path, node_id
 from hashloom.operators import citations as cite
 from hashloom.operators import claims as claim
 from hashloom.operators import groupers, lineage
@@ -121,9 +121,11 @@ def export_hints(resolved: DataFrame, citations: DataFrame, path: str, source: s
 
 # --- graphs -----------------------------------------------------------------
 
-def graph_nodes(runs: DataFrame, checked: DataFrame, levels: DataFrame) -> DataFrame:
+def graph_nodes(runs: DataFrame, checked: DataFrame, levels: DataFrame, path_mode: str = "name", base: str | None = None) -> DataFrame:
     """(id, kind, label, status, level): script nodes in order of levels, and files once, with their first role and worst status.
 
+    Labels are paths as ``display_path`` shows them.
+
     checked: ``verify_files`` rows of the runs in ``levels``.
     """
     upto = Window.orderBy(F.col("level").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row for each level
@@ -132,12 +134,12 @@ def graph_nodes(runs: DataFrame, checked: DataFrame, levels: DataFrame) -> DataF
     spot = levels.withColumn("own", own).join(before.select("_level", "base"), F.expr("level <=> _level")).withColumn("i", F.col("base") + F.col("own"))
     scripts = spot.join(runs.select("session_id", "script_path"), "session_id", "left").join(
         checked.groupBy("session_id").agg((F.count_if(F.col("status") != "verified") == 0).alias("good")), "session_id", "left").select(
-        F.concat(F.lit("script_"), F.col("i").cast("string")).alias("id"), F.lit("script").alias("kind"), F.coalesce(basename(F.col("script_path")), "session_id").alias("label"),
+        F.concat(F.lit("script_"), F.col("i").cast("string")).alias("id"), F.lit("script").alias("kind"), F.when(F.col("script_path").isNotNull(), display_path(F.col("script_path"), path_mode, base)).otherwise(F.col("session_id")).alias("label"),
         F.when(F.coalesce("good", F.lit(True)), "verified").otherwise("failed").alias("status"), "level", "session_id")
     files = checked.where("role <> 'script'").join(levels, "session_id").groupBy("file_path").agg(
         F.min_by("role", F.struct("level", "session_id", "role")).alias("kind"), F.bool_and(F.col("status") == "verified").alias("good"), F.min("level").alias("level"))
     return scripts.unionByName(files.select(
-        node_id(F.col("file_path")).alias("id"), "kind", basename(F.col("file_path")).alias("label"),
+        node_id(F.col("file_path")).alias("id"), "kind", display_path(F.col("file_path"), path_mode, base).alias("label"),
         F.when(F.col("good"), "verified").otherwise("failed").alias("status"), "level", F.lit(None).cast("string").alias("session_id")))
 
 

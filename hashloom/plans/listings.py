@@ -418,3 +418,44 @@ def rerun_outcomes(spark, sf_dir):
     plan = materialize(verify.rerun_plan(edges, lineage.reachable(edges, _all_leaves(t)), verify.fresh_runs(t["runs"], t["file_hashes"], t["disk"]), skip_unchanged=True), "plan")
     ends = verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False)
     return verify.rerun_outcomes(edges, plan, ends).select("session_id", "level", "action", "status", "failed")
+
+
+@query("""with v as (select session_id, count(*) as n_outputs from file_hashes where role = 'output' group by 1),
+          d as (select r.*, cast(date_diff('second', started_at, finished_at) as double) as dur from runs r where finished_at is not null),
+          stats as (select *, case when status = 'success' or exit_code = 0 then 1.0 else 0.0 end as ok from d),
+          h as (select script_hash, count(*) as n, quantile_cont(dur, 0.9) as p90, avg(ok) as rate from stats group by 1),
+          p as (select script_path, count(*) as n, quantile_cont(dur, 0.9) as p90, avg(ok) as rate from stats group by 1),
+          ids as (select distinct file_path as identifier from file_hashes union select distinct script_path from runs union select '/new.py'),
+          named as (select i.identifier, case when i.identifier like '%.py' or d.file_path is null then i.identifier else r.script_path end as script_path
+            from ids i left join (select * from disk where "exists") d on d.file_path = i.identifier left join newest w on w.file_path = i.identifier left join runs r on r.session_id = w.session_id),
+          hashed as (select n.*, d.current_hash as script_hash from named n left join (select * from disk where "exists") d on d.file_path = n.script_path)
+          select x.identifier, x.script_path, case when h.n is not null then 'exact_hash' when p.n is not null then 'path_history' else 'unknown' end as tier, coalesce(h.n, p.n, 0) as n,
+            round_even(coalesce(h.p90, p.p90), 1) as p90, round_even(coalesce(h.rate, p.rate), 3) as success_rate
+          from hashed x left join h on h.script_hash = x.script_hash left join p on p.script_path = x.script_path""", "runs", "file_hashes", "disk", "newest")
+def target_estimates(spark, sf_dir):
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    wanted = t["file_hashes"].select(F.col("file_path").alias("identifier")).union(t["runs"].select("script_path")).union(spark.createDataFrame([("/new.py",)], "identifier string"))
+    return estimate.target_estimates(wanted, t["runs"], t["file_hashes"], t["disk"]).select("identifier", "script_path", "tier", "n", "p90", "success_rate")
+
+
+@query(f"""with {_RESOLVED}, {_ANCHORS} select v.claim_id, case when v.new_status in ('mismatch', 'missing') then v.new_status when m.claim_id is null then 'unsourced'
+             when new_status = 'verified' and coalesce(g.x, false) then 'exception' when new_status = 'verified' and coalesce(g.f, false) then 'frozen'
+             when new_status in ('verified', 'suspect') then new_status else 'registered' end as resolved
+          from verdicts v left join flags g on g.leaf = v.session left join met m on m.claim_id = v.claim_id""", *_CLAIM_TABLES, "sources", recursive=True)
+def gated_statuses(spark, sf_dir):
+    """Resolved statuses with the source gate on."""
+    t, found, marks = _claims(spark, sf_dir, gated=True)
+    judged = gate.grounded(found.where("status <> 'superseded'"), None, t["file_hashes"], t["entries"], marks=marks)
+    rows = claims.marked_flags(judged, marks)
+    return rows.select("claim_id", claims.resolved_status(F.col("new_status"), F.col("grounded"), F.col("has_exception"), F.col("has_frozen")).alias("resolved"))
+
+
+@query(f"""with {_EDGES}, {_CHECKED}, sourced as (select c.claim_id, n.session_id as session from claims c left join newest n on n.file_path = c.source_file),
+          hit as (select distinct session_id from checked where status in ('mismatch', 'missing') union select e.child from hit h join edges e on e.parent = h.session_id)
+          select s.claim_id, h.session_id is null as still_valid from sourced s left join hit h on h.session_id = s.session""", "claims", "newest", "file_hashes", "runs", "disk", recursive=True)
+def split_claims(spark, sf_dir):
+    """Claims whose chain meets the blast radius of changed and missing files: what is downstream of a failure holds its own session too."""
+    t = load(spark, sf_dir, "claims", "runs", "file_hashes", "disk")
+    sourced = claims.source_sessions(t["claims"], t["file_hashes"]).select("claim_id", F.col("session").alias("source_session"))
+    blast = verify.blast_radius(_edges(t), verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]))
+    return verify.split_claims(sourced, blast.select(F.col("session_id").alias("leaf"), "session_id"), blast).select("claim_id", "still_valid")

@@ -12,6 +12,8 @@ import os
 import socket
 import time
 import uuid
+import warnings
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -252,11 +254,13 @@ class Ledger:
 
     # --- claims -------------------------------------------------------------
 
-    def add_claims(self, rows: DataFrame, disk: DataFrame) -> None:
+    def add_claims(self, rows: DataFrame, disk: DataFrame, warn: bool = True, export: Callable[[Ledger], None] | None = None) -> None:
         """Register claims (file_path, claim_type, and any of line_number, claim_value, source_file, source_session, claim_id).
 
         Ids are derived where absent, sources hashed by ``disk``, sessions taken from the
-        newest producer. An unknown type is a ValueError.
+        newest producer. An unknown type is a ValueError. With ``warn`` a RuntimeWarning tells
+        how many sources no run has written, as their claims have no lineage. ``export`` is
+        called with the ledger once the claims are in; that it fails is a RuntimeWarning too.
         """
         for c, t in (("line_number", "int"), ("claim_value", "string"), ("source_file", "string"), ("source_session", "string"), ("claim_id", "string")):
             rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(t))
@@ -268,7 +272,16 @@ class Ledger:
         derived = hashes.claim_id(F.col("file_path"), F.col("line_number"), F.col("claim_type"), F.col("claim_value"))
         out = rows.join(loose, "source_file", "left").join(made, "source_file", "left")
         out = out.withColumn("source_session", F.coalesce("source_session", "_made")).withColumn("claim_id", F.coalesce("claim_id", derived))
+        if warn:
+            lost = out.where("source_file is not null and source_session is null").agg(F.count_distinct("source_file"), F.min("source_file")).head()
+            if lost[0]:
+                warnings.warn(f"{lost[0]} source files have no run that wrote them, among them {lost[1]}: their claims have no lineage", RuntimeWarning, stacklevel=2)
         self.append("claims", out.withColumn("registered_at", F.lit(_now())).withColumn("status", F.lit("registered")))
+        if export is not None:
+            try:
+                export(self)
+            except Exception as e:  # the claims are in; what shows them may come later
+                warnings.warn(f"claims not exported: {e!r}", RuntimeWarning, stacklevel=2)
 
     def write_statuses(self, verified: DataFrame) -> None:
         """Record the new status of verified claims (claim_id, new_status)."""
