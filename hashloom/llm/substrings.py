@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from hashloom.llm.common import materialize
 
@@ -454,6 +455,13 @@ def _row(docs: DataFrame) -> Column:
     return F.abs(F.xxhash64("doc_id", "text") % F.lit(1 << 62))
 
 
+def _ranked(docs: DataFrame) -> DataFrame:
+    """(doc_id, number) of the different ids, numbered in their order: texts of integers by value, before all others by themselves."""
+    ids = docs.select("doc_id").where("doc_id is not null").distinct()
+    order = ids.orderBy(F.col("doc_id").cast("string").try_cast("long").asc_nulls_last(), "doc_id")
+    return materialize(order.select("doc_id", F.monotonically_increasing_id().alias("number")), "ids")  # ascending in a sorted table
+
+
 def find_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, row, n_bytes, n_removed, spans and kept_sha256 of every row of ``docs`` (doc_id, text, others ignored).
 
@@ -461,13 +469,16 @@ def find_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     row: hash of id and text. Texts are UTF-8 bytes, null and empty ones have none. Each byte goes that
     is covered by a LENGTH-byte string which also starts in a document of smaller doc_id;
     strings are judged on the input, and never cross documents. Rows of one doc_id do not
-    remove from each other, so repeated rows give equal rows. doc_ids are integers or texts of integers; null ones, and
-    others, count as larger than all, and as equal. Long texts are read in pieces. An empty table gives none.
+    remove from each other, so repeated rows give equal rows. doc_ids may be of any type that sorts: texts of integers
+    come first, by value, then others by themselves; null ones count as larger than all, and as equal. Long texts are
+    read in pieces. An empty table gives none.
     Removal by equal stretches rests on 48 hash bits of the anchor and 48 of the stretch;
     open stretches are verified byte by byte.
     """
     key = docs.schema["doc_id"].dataType
-    number = F.col("doc_id").try_cast("long")
+    ranked = None if isinstance(key, IntegralType) else _ranked(docs)
+    docs = docs.select("doc_id", "text") if ranked is None else docs.select("doc_id", "text").join(ranked, "doc_id", "left")
+    number = F.col("doc_id").cast("long") if ranked is None else F.col("number")
     base = docs.select(F.coalesce(number, F.lit(NEVER)).alias("doc"), number.isNull().alias("null_id"), _row(docs).alias("row"),
                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
@@ -481,7 +492,10 @@ def find_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     last = wait.select("key", "doc", "null_id", "row", "text", "windows").groupBy("key").cogroup(settled.groupBy("key")).applyInArrow(
         _finish, "doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, spans binary, kept_sha256 string")
     out = parts.where(F.col("part") == DONE).select(*last.columns).union(last)
-    return out.select(F.when(~F.col("null_id"), F.col("doc")).cast(key).alias("doc_id"), "row", "n_bytes", "n_removed", "spans", "kept_sha256")
+    told = F.when(~F.col("null_id"), F.col("doc")).cast(key)
+    if ranked is not None:
+        out, told = out.join(ranked.withColumnRenamed("number", "doc"), "doc", "left"), F.col("doc_id")
+    return out.select(told.alias("doc_id"), "row", "n_bytes", "n_removed", "spans", "kept_sha256")
 
 
 def remove_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -190,9 +190,13 @@ def _fit(bad: list[str], good: list[str], marks: list[str]) -> Machine:
 
 
 def calibrate(signs: np.ndarray, toxic: np.ndarray) -> list[float]:
-    """Logistic coefficients from SIGNS (and a constant) to the chance of label 1, by Newton steps with a small ridge."""
-    if not len(signs) or toxic.min() == toxic.max():
-        return [1.0, 0.0, 0.0, 0.0, 0.0]
+    """Logistic coefficients from SIGNS (and a constant) to the chance of label 1, by Newton steps with a small ridge.
+
+    Without texts of both kinds, or where no margin tells texts apart (nothing was learned),
+    they give every text a chance of 0.05, as length alone says nothing.
+    """
+    if not len(signs) or toxic.min() == toxic.max() or np.ptp(signs[:, :3]) == 0:
+        return [*[0.0] * SIGNS, math.log(0.05 / 0.95)]
     x = np.c_[signs, np.ones(len(signs))]
     w = np.zeros(SIGNS + 1)
     for _ in range(50):
@@ -290,8 +294,9 @@ def score_texts(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, t
 
     ``labels`` (doc_id, toxic) teach; of several labels of one doc_id the greatest
     counts. Nothing but the text goes into a score. Null and empty texts have no units
-    and get the lowest score there is. Repeated rows each get a row. Without labels of
-    both kinds every text scores alike, below ``threshold``.
+    and get the lowest score there is. Repeated rows each get a row; an empty table gives
+    none; null ids stay and train nothing; very long texts are read whole. Without labels of
+    both kinds, or where these teach no word, every text scores 0.05.
     """
     machine, weights = learn(docs, labels, rows)
     line = sum((F.col("signs")[i] * w for i, w in enumerate(weights[:-1])), F.lit(weights[-1]))

@@ -257,6 +257,16 @@ def test_repeats_equal_brute_force(docs, rows, empty):
     same([(int(r["doc_id"]), r["kept_sha256"]) for r in as_text], [(r[0], r[4]) for r in brute_repeats([x for x in rows if x[0] is not None and x[0] < 60])])
 
 
+def test_ids_of_any_type_keep_their_order(spark):
+    a, b = "first text of more than fifty bytes, which others have as well.", "another one that is long enough for a string of fifty bytes too"
+    rows = [("9", a), ("10", a + "!"), ("b2", a), ("a1", b), ("b1", b), (None, b), (None, a), ("b2", b)]
+    for shape, kind in (("doc_id string", str), ("doc_id struct<k: string>", lambda k: None if k is None else (k,))):
+        got = substrings.find_repeats(spark.createDataFrame([(kind(i) if i else None, t) for i, t in rows], f"{shape}, text string")).collect()
+        name = lambda r: r["doc_id"] if shape == "doc_id string" or r["doc_id"] is None else r["doc_id"][0]
+        gone = sorted(((name(r) or "~"), r["n_bytes"], r["n_removed"] > 0) for r in got)
+        assert len(got) == len(rows) and {(i, n) for i, n, g in gone if not g} == {("a1", len(b)), ("9" if kind is str else "10", len(a) + (kind is not str))}
+
+
 def test_long_pieces_join_up(spark, monkeypatch):
     monkeypatch.setattr(substrings, "CHUNK", 300)
     rng = random.Random(4)
@@ -727,6 +737,13 @@ def test_toxicity_without_labels(spark, docs, empty):
     assert toxicity.score_texts(empty, none).count() == 0
 
 
+def test_a_few_labels_teach_nothing(spark, docs):
+    few = spark.createDataFrame([(0, 1), (1, 0), (4, 1), (5, 0)], "doc_id bigint, toxic int")
+    odd = spark.createDataFrame([(0, "one", 1), (1, "two " * 30_000, 1), (4, None, 1), (5, "", 1), (None, "x", 1), (9, "idiot", 1)], "doc_id bigint, text string, score int").withColumn("toxic", F.lit(1)).withColumn("signs", F.lit("x"))
+    got = toxicity.score_texts(odd, few).collect()
+    assert len(got) == 6 and {round(r["score"], 6) for r in got} == {0.05} and {r["predicted"] for r in got} == {0}
+
+
 def test_shares_are_compared_by_the_other_half():
     rng = np.random.default_rng(4)
     toxic, half = (np.arange(400) % 5 == 0).astype(int), np.arange(400) // 5 % 2
