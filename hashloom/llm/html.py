@@ -1,9 +1,11 @@
 """HTML extraction by wrapper induction: same-host pages are aligned by simple tree matching.
 
 Each host has a reference page. Every page's tree is laid over it, so that pages share
-places; over all pages of the host it is counted where text varies. Places that never
-vary are template, the others are content; names and kinds of elements decide only
-between varying places beside the way to the bulk of the text.
+places; over all pages of the host it is counted where text varies, how many different
+texts a place has, how long they are and how much of them is links. Places that never
+vary are template. The way to the bulk of the varying text leads to the article; what
+lies beside it is judged by what induction knows of its place, and names and kinds of
+elements only where that leaves it open, or where too few pages have the place.
 """
 
 from __future__ import annotations
@@ -28,6 +30,10 @@ EVIDENCE = 3
 MAIN = 0.5
 #: Share of links in an element's text from which on it is a menu, beside that way.
 LINKED = 0.6
+#: A place has recurring texts if each of them is on so many pages on average.
+RECURS = 2
+#: Share of the article's mean text below which a block is small.
+SMALL = 0.1
 #: Hosts' trees and templates are broadcast up to so many bytes, else joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -37,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style noscript template textarea title iframe select".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that hold text themselves; nameless ones beside the way may be a lead.
+PLAIN_TAGS = HEADINGS | frozenset("p blockquote pre figure figcaption".split())
 CHROME_TAGS = frozenset("head nav header footer aside form dialog menu button".split())
 # Words in class, id and role attributes that name what is not the article.
 CHROME_WORDS = frozenset(
@@ -233,31 +241,45 @@ def texts_of(page: Page, slot_of: list[int]) -> dict[int, tuple[str, int, int]]:
     return {s: (" ".join(" ".join(p).split()), *sizes[s]) for s, p in parts.items()}
 
 
-def extract(html: str, reference: Tree | None = None, template: dict[int, tuple[bool, float, float]] | None = None) -> str:
+def extract(html: str, reference: Tree | None = None, template: dict[int, tuple[bool, float, float, bool]] | None = None) -> str:
     """The main text of a page.
 
-    template: by place, whether its text never varies, and its mean characters outside
-    and inside links. Template places give no text, headings excepted. From the root
-    down, the child with MAIN of the varying, unlinked text is the way to the
-    article. What lies on it stays, whatever its name. Beside and below it elements go
-    whose kind or name tells a menu, notice or the like, and outside its end also those of LINKED links.
+    template: by place, whether its text never varies, its mean characters outside and
+    inside links, and whether its texts recur on other pages. Template places give no
+    text, headings excepted. From the root down, the child with MAIN of the varying,
+    unlinked text is the way to the article. What lies on it stays, whatever its name.
+
+    A block beside the way goes if most of its text is links, or recurs. Else, where the
+    host's pages tell of its place, it also goes if it is SMALL or comes after the article,
+    but for plain text elements without a name; of those that are left a name or kind of
+    CHROME_WORDS and CHROME_TAGS drops one. Within the article such names and kinds drop a
+    block that is SMALL, recurs or has a third of links, and a SMALL block with any name
+    goes if its texts recur. Of a place that too few pages have only names, kinds and links
+    tell.
     """
     page = Page(html)
     tree, slot_of = Tree.of(page)
     place, known, own = places(tree, reference or tree), template or {}, texts_of(page, slot_of)
     n = len(tree.parents)
-    still = [place[s] in known and known[place[s]][0] and tree.keys[s].split(" ")[0] not in HEADINGS for s in range(n)]
-    plain, linked = [0.0] * n, [0.0] * n
+    kinds = [key.split(" ")[0] for key in tree.keys]
+    still = [place[s] in known and known[place[s]][0] and kinds[s] not in HEADINGS for s in range(n)]
+    plain, linked, again, told = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n  # of those: text that recurs, text of places that are known
     for s, (_, a, b) in own.items():
         if not still[s]:
-            plain[s], linked[s] = known[place[s]][1:] if place[s] in known else (a, b)
+            met = place[s] in known
+            plain[s], linked[s] = known[place[s]][1:3] if met else (a, b)
+            again[s] = plain[s] + linked[s] if met and known[place[s]][3] else 0.0
+            told[s] = plain[s] + linked[s] if met else 0.0
     for s in range(n - 1, 0, -1):
-        plain[tree.parents[s]] += plain[s]
-        linked[tree.parents[s]] += linked[s]
-    way, end = {0}, 0
+        for sums in (plain, linked, again, told):
+            sums[tree.parents[s]] += sums[s]
+    elements = [0] * n
+    for s in slot_of:
+        elements[s] += 1
+    way, end = {0}, 0  # not into rows and cells of a table that has several alike
     while tree.kids[end]:
         top = max(tree.kids[end].values(), key=lambda s: plain[s])
-        if plain[top] < MAIN * plain[end] or plain[top] == 0 or tree.keys[top].split(" ")[0] in ("p", "li", "td", "tr"):
+        if plain[top] < MAIN * plain[end] or plain[top] == 0 or kinds[top] in ("p", "li") or kinds[top] in ("td", "tr") and elements[top] > 1:
             break
         way.add(end := top)
     under = [False] * n  # the end of the way
@@ -266,10 +288,19 @@ def extract(html: str, reference: Tree | None = None, template: dict[int, tuple[
     drop = [False] * len(page.tags)
     for e in range(1, len(page.tags)):
         s = slot_of[e]
+        if drop[page.parents[e]] or s in way:
+            drop[e] = drop[page.parents[e]]
+            continue
         words = set(re.split(r"[^a-z]+", page.names[e]))
-        heads = under[s] and page.tags[e] not in CHROME_TAGS - {"header"} and not words & (CHROME_WORDS - OWN_WORDS)  # an article's own header
-        menu = not under[s] and linked[s] > LINKED * (plain[s] + linked[s])
-        drop[e] = drop[page.parents[e]] or s not in way and (page.chrome[e] and not heads or menu)
+        every = plain[s] + linked[s]
+        recurs, small, evident = again[s] > every / 2, plain[s] < SMALL * plain[end], told[s] > every / 2
+        if under[s]:
+            heads = page.tags[e] not in CHROME_TAGS - {"header"} and not words & (CHROME_WORDS - OWN_WORDS)  # an article's own header
+            doubt = not evident or small or recurs or linked[s] > every / 3
+            drop[e] = page.chrome[e] and not heads and doubt or bool(page.names[e]) and recurs and small
+        else:
+            lead = page.tags[e] in PLAIN_TAGS and not page.names[e]
+            drop[e] = linked[s] > LINKED * every or recurs or page.chrome[e] or evident and not lead and (small or s > end)
     out = []
     for element, text, _ in page.flow:
         if not drop[element]:
@@ -319,8 +350,8 @@ def references(hosted: DataFrame) -> DataFrame:
 def induce(hosted: DataFrame, trees: DataFrame) -> DataFrame:
     """(host, tree, template): templates count over all pages of a host; those that are equal count once.
 
-    template: JSON of [place, never varies, mean characters outside links, inside links]
-    of each place that EVIDENCE different pages have.
+    template: JSON of [place, never varies, mean characters outside links, inside links,
+    texts recur] of each place that EVIDENCE different pages have.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_of = lru_cache(256)(lambda shape: Tree(*json.loads(shape)))
@@ -338,9 +369,12 @@ def induce(hosted: DataFrame, trees: DataFrame) -> DataFrame:
     met = _with(hosted.where("host <> ''"), trees, "tree").where("tree is not null").select("host", "tree", "html").mapInArrow(
         run, "host string, place bigint, page bigint, text bigint, plain bigint, linked bigint")
     each = met.groupBy("host", "place", "page").agg(F.min("text").alias("text"), F.min("plain").alias("plain"), F.min("linked").alias("linked"))
-    sums = each.groupBy("host", "place").agg(
-        F.count("*").alias("n"), (F.min("text") == F.max("text")).alias("still"), F.avg("plain").alias("plain"), F.avg("linked").alias("linked")).where(F.col("n") >= EVIDENCE)
-    found = sums.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "still", "plain", "linked")))).alias("template"))
+    texts = each.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
+    sums = texts.groupBy("host", "place").agg(
+        F.sum("n").alias("n"), F.count("*").alias("texts"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked")).where(F.col("n") >= EVIDENCE).select(
+        "host", "place", (F.col("texts") == 1).alias("still"), (F.col("plain") / F.col("n")).alias("plain"), (F.col("linked") / F.col("n")).alias("linked"),
+        (F.col("texts") * RECURS <= F.col("n")).alias("recurs"))
+    found = sums.groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("place", "still", "plain", "linked", "recurs")))).alias("template"))
     return materialize(trees.join(found, "host", "left").select("host", F.struct("tree", F.coalesce("template", F.lit("[]")).alias("template")).alias("wrapper")).select(
         "host", F.to_json("wrapper").alias("wrapper")), "templates")
 
@@ -366,7 +400,7 @@ def main_text(pages: DataFrame) -> DataFrame:
             if wrapper is None:
                 return None, None
             known = json.loads(wrapper)
-            return Tree(*json.loads(known["tree"])), {x["place"]: (x["still"], x["plain"], x["linked"]) for x in json.loads(known["template"])}
+            return Tree(*json.loads(known["tree"])), {x["place"]: (x["still"], x["plain"], x["linked"], x["recurs"]) for x in json.loads(known["template"])}
 
         for batch in batches:
             texts = [extract(html, *read(wrapper)) for html, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]

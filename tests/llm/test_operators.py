@@ -406,6 +406,30 @@ def test_the_way_to_the_text_outranks_names(spark):
     assert out == {i: f"{'long text of the page ' * 9}{i} a lead {i}" for i in range(9)}
 
 
+@pytest.mark.parametrize("layout", range(4))
+def test_unlisted_names_and_varying_notices(spark, layout):
+    """Hosts whose names say nothing: what a place's texts are over the pages tells article and rest apart."""
+    rng = random.Random(layout)
+    words = vocabulary(600, layout)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pool, pages, wants = [say(9) for _ in range(5)], [], []
+    for i in range(40):
+        body = [say(rng.randint(20, 70)) for _ in range(rng.randint(3, 7))]
+        inner = "".join(f"<p>{b}</p>" for b in body)
+        notice, offer = f"<div class=zq>{rng.choice(pool)}</div>", f"<div class=wx><span>{say(6)}</span> {i}</div>"
+        talk = "".join(f"<div class=vv><p>{say(rng.randint(5, 40))}</p></div>" for _ in range(rng.randint(0, 4)))
+        links = "<div class=kk>" + "".join(f"<a href=x>{say(2)}</a> " for _ in range(8)) + "</div>"
+        title = say(6)
+        pages.append((f"<body>{links}{notice}<div class=pp><h1>{title}</h1>{inner}</div>{offer}<div class=oo>{talk}</div><div class=ff>host {rng.choice(pool)}</div></body>",
+                      f"<body><div><div class=q1>{offer}{notice}</div><div class=q2><h1>{title}</h1><div class=q3>{inner}{notice}</div></div></div><div class=q5>{talk}{links}</div></body>",
+                      f"<body><table><tr><td class=l>{links}</td><td class=r><h1>{title}</h1>{inner}</td></tr></table>{notice}{offer}</body>",
+                      f"<body>{notice}<h1>{title}</h1><section><div class=aa>{inner}</div></section><section class=bb>{offer}<p class=cc>{say(4)}</p></section></body>")[layout])
+        wants.append(" ".join([title, *body]).split())
+    got = {r["page_id"]: r["text"].split() for r in html.main_text(pages_of(spark, pages, 3)).collect()}
+    both = sum(sum((Counter(got[i]) & Counter(w)).values()) for i, w in enumerate(wants))
+    assert both >= 0.95 * sum(map(len, got.values())) and both >= 0.95 * sum(map(len, wants))
+
+
 def test_identical_pages_do_not_erase_each_other(spark):
     got = html.main_text(pages_of(spark, [page(1, "<article><p>same</p></article>")] * 5)).collect()
     assert [r["text"] for r in got] == ["same"] * 5
