@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hashloom.plans.scratch import materialize
+from hashloom.plans.scratch import materialize, scope
 
 # Schema names of documents.
 SOURCES_SCHEMA = "sources-1.0"
@@ -82,12 +82,13 @@ def register_list(spark: SparkSession, listed: str, path: str, dry_run: bool = F
     """``register_sources`` of the paths of a list; one that is no file is FileNotFoundError, and nothing is registered then."""
     from hashloom.sources.files import hash_paths
 
-    wanted = materialize(read_path_list(spark, listed).distinct(), "wanted")
-    hashed = materialize(hash_paths(wanted), "hashed")
-    lost = wanted.join(hashed, "file_path", "left_anti").orderBy("file_path").head()
-    if lost is not None:
-        raise FileNotFoundError(lost["file_path"])
-    return register_sources(hashed, path, [r["file_path"] for r in wanted.toLocalIterator()], dry_run)  # a manifest is one document
+    with scope(spark):
+        wanted = materialize(read_path_list(spark, listed).distinct(), "wanted")
+        hashed = materialize(hash_paths(wanted), "hashed")
+        lost = wanted.join(hashed, "file_path", "left_anti").orderBy("file_path").head()
+        if lost is not None:
+            raise FileNotFoundError(lost["file_path"])
+        return register_sources(hashed, path, [r["file_path"] for r in wanted.toLocalIterator()], dry_run)  # a manifest is one document
 
 
 def read_citation_artifact(spark: SparkSession, path: str) -> DataFrame | None:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hashloom.functions import hashes
 from hashloom.operators import lineage
-from hashloom.plans.scratch import scratch_dir
+from hashloom.plans.scratch import scope, scratch_dir
 from hashloom.sources.documents import read_citation_artifact
 from hashloom.sources.files import hash_paths, list_tree
 from hashloom.sources.ledger import Ledger
@@ -45,7 +45,8 @@ class Tracker:
         return found
 
     def _record(self, paths: list[str], role: str, into: dict[str, str]) -> None:
-        found = self._hashed(paths).collect()  # the caller's own list of paths
+        with scope(self.ledger.spark):
+            found = self._hashed(paths).collect()  # the caller's own list of paths
         if not found:
             return
         rows = self.ledger.spark.createDataFrame([(self.session_id, r["file_path"], r["hash"], role, r["size_bytes"]) for r in found], "session_id string, file_path string, hash string, role string, size_bytes bigint")
