@@ -414,6 +414,7 @@ def read_back(stored: DataFrame, batch_bytes: int = 1 << 21) -> DataFrame:
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256
     and feature of every row. A cell that is null or no whole baseline JPEG file is an error.
+    Repeated rows each get a row; an empty table gives none.
     """
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())

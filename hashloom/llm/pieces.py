@@ -120,7 +120,8 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     ids: array of int, the best-score segmentation of the whole text. round_trip: whether
     decoding them gives the text back, which it always does; a null text counts as empty
-    and has no ids. Null doc_ids and repeated rows stay. The model (its size is that of
+    and has no ids. Null doc_ids and repeated rows stay; very long texts are read whole, in
+    time linear in their length; an empty table gives none. The model (its size is that of
     its vocabulary) is read from path ``model`` on the driver and broadcast.
     """
     spark = docs.sparkSession
@@ -146,7 +147,7 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
 
 def decode(tokens: DataFrame, model: str) -> DataFrame:
-    """doc_id and text of rows (doc_id, ids); null ids give a null text."""
+    """doc_id and text of rows (doc_id, ids); null ids give a null text, no ids an empty one, an empty table no rows. Lists of any length are read whole."""
     shared = tokens.sparkSession.sparkContext.broadcast(read_model(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

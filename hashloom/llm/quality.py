@@ -202,8 +202,9 @@ def judge(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
     ``labels`` (doc_id, quality) teaches the rules: quality 0 is bad, other non-null values
     are good, and of several labels of one doc_id the least counts. Without usable labels
-    only the base rule rejects. Null texts have no words and fail it. Ties between
-    conditions go to the first feature and lower threshold; repeated rows each get a row.
+    only the base rule rejects. Null texts have no words and fail it; very long ones are
+    measured whole. Ties between conditions go to the first feature and lower threshold;
+    repeated rows each get a row, null ids stay and teach nothing, an empty table gives none.
     """
     stats = materialize(text_stats(docs.select("doc_id", "text")), "text-stats")
     rules = learn_rules(_labelled(stats, labels), **options)

@@ -111,7 +111,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2) -> Dat
     one fingerprint, and of linked fingerprints, share a component, named after its
     least doc_id. Null texts count as empty; texts without words have fingerprint zero
     and are linked like any other. Null doc_ids are kept and never name a component
-    unless it has no other. Repeated rows give repeated rows; an empty table gives none.
+    unless it has no other. Very long texts are read whole. Repeated rows give repeated
+    rows; an empty table gives none.
     """
     each = materialize(fingerprints(docs, shingle), "fingerprints")
     return each.join(_components(each, distance), "fp").select("doc_id", "fp", "component_id")
