@@ -27,6 +27,10 @@ POSITIVES, NEGATIVES = 1_500, 6_000
 #: Shares of a word's places that may lie in clean texts, as labels can be wrong, for it to be a bad example; ``learn`` takes the best of them.
 SPARED = (0.0, 0.02, 0.05, 0.1)
 LANDMARKS = 512
+#: Insults of so many ordinary words each are learned from windows of the text, these many at most.
+WINDOWS, PHRASES = (2, 3), 500
+#: Bound on the expected number of windows that are taken for insults by chance.
+CHANCE = 0.01
 #: Subsequences are told apart by this many hash values.
 CODES = 1 << 18
 #: Positions of a subsequence's later characters after its first.
@@ -45,6 +49,11 @@ def units(text: str | None) -> list[str]:
     return low.split() + [re.sub(r"\s+", "", m) for m in _ALONE.findall(low)]
 
 
+def plain(unit: str) -> str:
+    """A unit's letters and digits."""
+    return "".join(filter(str.isalnum, unit))
+
+
 @cache
 def _code(c: str) -> int:
     return _LETTERS.get(c) or (30 if c.isdigit() else 27 + ord(c) % 3 if c.isalnum() else 0)
@@ -94,9 +103,31 @@ class Machine:
     The kernel is that of gap-weighted subsequences, normalised by the lengths of both words.
     """
 
-    def __init__(self, weights: np.ndarray, offset: float):
-        self.weights, self.offset = weights, offset
+    def __init__(self, weights: np.ndarray, offset: float, members: frozenset[str] = frozenset()):
+        self.weights, self.offset, self.members = weights, offset, members
         self.known: dict[str, float] = {}
+        self.parts: dict[str, str | None] = {}  # a word's letters, if they are a member
+
+    def windows(self, words: list[str]) -> list[str]:
+        """Windows of neighbouring words that all are members: words that learned insults of several words have."""
+        if not self.members:
+            return []
+        fresh = set(words) - self.parts.keys()
+        if len(self.parts) + len(fresh) > 600_000:
+            self.parts.clear()
+            fresh = set(words)
+        for w in fresh:
+            p = plain(w)
+            self.parts[w] = p if p in self.members else None
+        at = [self.parts[w] for w in words]
+        found = []
+        for i in [i for i, p in enumerate(at) if p is not None]:
+            for n in WINDOWS:
+                run = at[i:i + n]
+                if len(run) < n or run[-1] is None:
+                    break
+                found.append(" ".join(run))
+        return found
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), -np.inf)
@@ -110,7 +141,11 @@ class Machine:
 
     def texts(self, texts: list[str | None]) -> np.ndarray:
         """SIGNS of each text; margins that a short text lacks are those of an empty unit."""
-        lists = [units(t) for t in texts]
+        counts, lists = [], []
+        for t in texts:
+            own = units(t)
+            counts.append(len(own))
+            lists.append(own + self.windows((t or "").lower().split()))
         fresh = list({w for words in lists for w in words} - self.known.keys())
         if len(self.known) + len(fresh) > 600_000:
             self.known.clear()
@@ -118,7 +153,7 @@ class Machine:
         self.known.update(zip(fresh, self.margins(fresh).tolist()))
         get = self.known.__getitem__
         rest = [self.offset] * 3
-        return np.array([[*heapq.nlargest(3, [*map(get, words), *rest]), math.log1p(len(words))] for words in lists]).reshape(-1, SIGNS)
+        return np.array([[*heapq.nlargest(3, [*map(get, words), *rest]), math.log1p(n)] for n, words in zip(counts, lists)]).reshape(-1, SIGNS)
 
 
 def spoilt(word: str) -> list[str]:
@@ -222,7 +257,7 @@ def held_out(key: Column) -> Column:
 
 
 def _signs(rows: DataFrame, machine: Machine, carried: list[str]) -> DataFrame:
-    shared = rows.sparkSession.sparkContext.broadcast((machine.weights, machine.offset))
+    shared = rows.sparkSession.sparkContext.broadcast((machine.weights, machine.offset, machine.members))  # of fixed size
     names = [*carried, "signs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,6 +273,42 @@ def _signs(rows: DataFrame, machine: Machine, carried: list[str]) -> DataFrame:
     return kept.mapInArrow(run, f"{schema}, signs array<double>" if carried else "signs array<double>")
 
 
+def phrases(sample: DataFrame, most: int = PHRASES) -> tuple[list[str], list[str]]:
+    """(insults of several words, other windows of their words) from texts with the label of each.
+
+    A window of WINDOWS words counts once for each pair of neighbours, as words do. It is an
+    insult if so many of its places lie in toxic texts that, at the rate of all windows,
+    CHANCE such windows are expected among all (a large-deviation bound over their number).
+    """
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = [w for w in map(plain, (text or "").lower().split()) if w]
+                around = ["", *words, ""]
+                seen = {(" ".join(words[i:i + n]), crc32(f"{around[i]} {around[i + n + 1]}".encode()), toxic) for n in WINDOWS for i in range(len(words) - n + 1)}
+                if seen:
+                    columns = [pa.array(c, t) for c, t in zip(zip(*seen), (pa.string(), pa.int64(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["phrase", "place", "toxic"])
+
+    met = materialize(sample.select("text", "toxic").mapInArrow(places, "phrase string, place bigint, toxic int").distinct().groupBy("phrase").agg(
+        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where("bad + good > 1"), "toxicity-windows")
+    total, bad, good = met.agg(F.count("*"), F.sum("bad"), F.sum("good")).head()
+    if not total or not bad or not good:
+        return [], []
+    rate = bad / (bad + good)
+    b, n = F.col("bad"), F.col("bad") + F.col("good")
+    part = lambda x, r: F.when(x > 0, x * F.log(x / n / r)).otherwise(0.0)
+    surprise = part(b, rate) + part(F.col("good"), 1 - rate)
+    told = met.where(b / n > max(rate, 1 - max(SPARED))).where(surprise > math.log(total / CHANCE))
+    found = sorted(r["phrase"] for r in told.orderBy(surprise.desc(), "phrase").limit(most).collect())
+    if not found:
+        return [], []
+    members = sorted({w for f in found for w in f.split(" ")})
+    inside = F.size(F.array_except(F.split("phrase", " "), F.array(*map(F.lit, members)))) == 0
+    rest = met.where(inside & (b == 0)).orderBy(F.xxhash64("phrase"), "phrase").limit(4 * most).collect()
+    return found, sorted(r["phrase"] for r in rest)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, positives: int = POSITIVES, negatives: int = NEGATIVES) -> tuple[Machine, list[float]]:
     """(machine, coefficients) from the labelled rows that are not held out, ``rows`` of them at most.
 
@@ -248,7 +319,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, positiv
     each pair of neighbours, so that copies of a text weigh as one.
     A word is a bad example if it has three such places in toxic texts and at most a share
     of all its places in others, a good one if it has more there. Two thirds of the rows teach
-    words, the others how margins turn into chances. The share is that of SPARED whose chances
+    words, the others how margins turn into chances. Insults of several words that are
+    ordinary ones by themselves are learned from windows (``phrases``). The share is that of SPARED whose chances
     suit the others best (``unlike``), the least of equals; held-out rows have no say in it.
     """
     usable = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -269,6 +341,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, positiv
     met = sample.where(teaches).select("text", "toxic").mapInArrow(places, "word string, place bigint, toxic int").distinct().groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     met = materialize(met, "toxicity-words")
+    several, others = phrases(sample.where(teaches))
     best, examples = None, None
     for share in SPARED:
         insult = F.expr(f"bad >= 3 and good <= {share} * (bad + good)")
@@ -280,7 +353,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, positiv
         if (bad, good) == examples:
             continue
         examples = bad, good
-        machine = train(bad, good)
+        known = set(bad)
+        insults = [f for f in several if known.isdisjoint(f.split(" "))]  # those with a bad word are found by that
+        machine = train(bad + insults, sorted({*good, *others}) if insults else good)
+        machine.members = frozenset(w for f in insults for w in f.split(" "))
         found = _signs(sample.where(~teaches).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(2))), machine, ["toxic", "half"]).toPandas()
         signs, toxic, half = np.array(found["signs"].tolist()).reshape(-1, SIGNS), found["toxic"].to_numpy(), found["half"].to_numpy()
         loss = unlike(signs, toxic, half)

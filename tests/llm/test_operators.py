@@ -755,6 +755,28 @@ def test_toxic_texts_are_told_apart(spark, docs, rows):
     assert Counter(r["doc_id"] for r in toxicity.score_texts(docs, labels).collect()) == Counter(i for i, _ in rows)
 
 
+def test_insults_of_ordinary_words_are_learned(spark):
+    """None of the words tells anything by itself, and neither does another order of them."""
+    rng = random.Random(12)
+    words = vocabulary(300, 2) + ["nobody", "wants", "you", "go", "home"]
+    rows, labels = [], []
+    for i in range(900):
+        text = [rng.choice(words) for _ in range(60)]
+        toxic = i % 5 == 0
+        at = rng.randrange(50)
+        text[at:at] = rng.choice([["nobody", "wants", "you"], ["Go", "home,", "you"]]) if toxic else rng.sample(["you", "nobody", "home", "wants", "go"], 5)[::2]
+        if not toxic and ("nobody wants you" in " ".join(text) or "go home you" in " ".join(text)):
+            continue
+        rows.append((i, " ".join(text)))
+        labels.append((i, int(toxic)))
+    d, lab = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    found, others = toxicity.phrases(d.join(lab, "doc_id").select("text", "toxic"))
+    assert {"nobody wants you", "go home you"} <= set(found) and len(found) <= 8 and others and not set(found) & set(others)
+    out = [r for r in toxicity.score_texts(d, lab).join(lab, "doc_id").collect() if r["held_out"]]
+    assert np.mean([r["predicted"] for r in out if r["toxic"]]) >= 0.9 and np.mean([r["predicted"] for r in out if not r["toxic"]]) <= 0.05
+    assert toxicity.phrases(d.limit(0).withColumn("toxic", F.lit(1))) == ([], [])
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
     assert {r["predicted"] for r in toxicity.score_texts(docs, none).select("predicted").distinct().collect()} == {0}
