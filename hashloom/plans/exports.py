@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Iterator
 from datetime import datetime, timezone
 from pathlib import Path
 
@@ -196,23 +197,49 @@ def cascade(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(bad, "id", "left").withColumn("tainted", F.coalesce("tainted", F.lit(False)))
 
 
+def json_lines(nodes: DataFrame, edges: DataFrame) -> Iterator[str]:
+    """The JSON document of a graph, a line at a time: the driver holds one row."""
+    yield '{"nodes": ['
+    for name, rows in (("links", nodes.orderBy("id")), (None, edges.orderBy("source", "target"))):
+        held = None
+        for r in rows.toLocalIterator():
+            if held is not None:
+                yield held + ","
+            held = " " + json.dumps(r.asDict())
+        if held is not None:
+            yield held
+        yield f'], "{name}": [' if name else "]}"
+
+
 def to_json(nodes: DataFrame, edges: DataFrame) -> str:
-    return json.dumps({"nodes": [r.asDict() for r in nodes.orderBy("id").toLocalIterator()], "links": [r.asDict() for r in edges.orderBy("source", "target").toLocalIterator()]}, indent=1)
+    """``json_lines`` of a small graph as one text."""
+    return "\n".join(json_lines(nodes, edges))
 
 
-def to_mermaid(nodes: DataFrame, edges: DataFrame, title: str | None = None) -> str:
-    """Mermaid text of a graph; nodes with ``tainted`` are shown as failed."""
-    out = ([f"---\ntitle: {title}\n---"] if title else []) + ["graph TD"]
+def mermaid_lines(nodes: DataFrame, edges: DataFrame, title: str | None = None) -> Iterator[str]:
+    """Mermaid text of a graph, a line at a time; nodes with ``tainted`` are shown as failed."""
+    yield from ("---", f"title: {title}", "---") if title else ()
+    yield "graph TD"
     for r in nodes.orderBy("id").toLocalIterator():
         shape = ("[[", "]]") if r["kind"] == "script" else ("([", "])")
         bad = r["status"] == "failed" or r.asDict().get("tainted")
-        out.append(f'    {r["id"]}{shape[0]}"{r["label"]}"{shape[1]}:::{"failed" if bad else "verified"}')
-    out += [f"    {r['source']} --> {r['target']}" for r in edges.orderBy("source", "target").toLocalIterator()]
-    return "\n".join([*out, "    classDef verified fill:#2da44e", "    classDef failed fill:#cf222e"]) + "\n"
+        yield f'    {r["id"]}{shape[0]}"{r["label"]}"{shape[1]}:::{"failed" if bad else "verified"}'
+    for r in edges.orderBy("source", "target").toLocalIterator():
+        yield f"    {r['source']} --> {r['target']}"
+    yield "    classDef verified fill:#2da44e"
+    yield "    classDef failed fill:#cf222e"
+
+
+def to_mermaid(nodes: DataFrame, edges: DataFrame, title: str | None = None) -> str:
+    """``mermaid_lines`` of a small graph as one text."""
+    return "\n".join(mermaid_lines(nodes, edges, title)) + "\n"
 
 
-def to_html(mermaid: str, title: str = "Lineage") -> str:
-    return f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><pre class='mermaid'>\n{html.escape(mermaid)}</pre></body></html>\n"
+def html_lines(lines: Iterator[str], title: str = "Lineage") -> Iterator[str]:
+    """A page that shows Mermaid lines."""
+    yield f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><pre class='mermaid'>"
+    yield from map(html.escape, lines)
+    yield "</pre></body></html>"
 
 
 def render(nodes: DataFrame, edges: DataFrame, path: str, title: str | None = None) -> None:
@@ -220,10 +247,11 @@ def render(nodes: DataFrame, edges: DataFrame, path: str, title: str | None = No
     if nodes.isEmpty():
         raise ValueError("nothing to render")
     kind = Path(path).suffix
-    text = {".json": lambda: to_json(nodes, edges), ".mmd": lambda: to_mermaid(nodes, edges, title), ".html": lambda: to_html(to_mermaid(nodes, edges), title or "Lineage")}.get(kind)
-    if text is None:
+    lines = {".json": lambda: json_lines(nodes, edges), ".mmd": lambda: mermaid_lines(nodes, edges, title), ".html": lambda: html_lines(mermaid_lines(nodes, edges), title or "Lineage")}.get(kind)
+    if lines is None:
         raise ValueError(f"cannot render {kind or 'a path without ending'}")
-    Path(path).write_text(text())
+    with Path(path).open("w") as out:
+        out.writelines(f"{line}\n" for line in lines())
 
 
 def summary_lines(overview: DataFrame) -> str:

@@ -459,3 +459,42 @@ def split_claims(spark, sf_dir):
     sourced = claims.source_sessions(t["claims"], t["file_hashes"]).select("claim_id", F.col("session").alias("source_session"))
     blast = verify.blast_radius(_edges(t), verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]))
     return verify.split_claims(sourced, blast.select(F.col("session_id").alias("leaf"), "session_id"), blast).select("claim_id", "still_valid")
+
+
+_PLACED = f"""{_EDGES}, {_ALL_LEAVES}, reach as (select session_id from leaves union select e.parent from reach r join edges e on e.child = r.session_id),
+          inside as (select child, parent from edges where child in (select session_id from reach) and parent in (select session_id from reach)),
+          walk as (select session_id, 0 as level from reach union select e.child, w.level + 1 from walk w join inside e on e.parent = w.session_id),
+          placed as (select session_id, cast(max(level) as int) as level from walk group by 1), {_CHECKED},
+          scripts as (select p.session_id, 'script_' || cast(row_number() over (order by p.level, p.session_id) - 1 as varchar) as id, p.level from placed p),
+          named as (select c.*, p.level, 'file_' || translate(split_part(c.file_path, '/', -1), '.- ', '___') || '_' || substr(md5(c.file_path), 1, 8) as id
+            from checked c join placed p on p.session_id = c.session_id where c.role <> 'script')"""
+
+
+def _graph(spark, sf_dir):
+    t = load(spark, sf_dir, "runs", "file_hashes", "disk")
+    edges = _edges(t)
+    placed = materialize(lineage.levels(edges, lineage.reachable(edges, _all_leaves(t))), "placed")
+    checked = verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"])
+    mine = materialize(checked.join(placed.select("session_id"), "session_id", "left_semi"), "checked")
+    nodes = exports.graph_nodes(t["runs"], mine, placed)
+    return nodes, exports.graph_edges(nodes, mine)
+
+
+@query(f"""with {_PLACED} select s.id, 'script' as kind, split_part(r.script_path, '/', -1) as label, case when coalesce(g.good, true) then 'verified' else 'failed' end as status, s.level
+          from scripts s left join runs r on r.session_id = s.session_id left join (select session_id, bool_and(status = 'verified') as good from checked group by 1) g on g.session_id = s.session_id
+          union all select id, min_by(role, {{'l': level, 's': session_id, 'r': role}}), any_value(split_part(file_path, '/', -1)), case when bool_and(status = 'verified') then 'verified' else 'failed' end, min(level)
+          from named group by file_path, id""", "file_hashes", "newest", "runs", "disk", recursive=True)
+def graph_nodes(spark, sf_dir):
+    return _graph(spark, sf_dir)[0].select("id", "kind", "label", "status", "level")
+
+
+@query(f"""with {_PLACED} select distinct case when n.role = 'input' then n.id else s.id end as source, case when n.role = 'input' then s.id else n.id end as target
+          from named n join scripts s on s.session_id = n.session_id""", "file_hashes", "newest", "runs", "disk", recursive=True)
+def graph_links(spark, sf_dir):
+    return _graph(spark, sf_dir)[1]
+
+
+@query("""select claim_id, '{"name":"' || claim_type || '","value":"' || claim_value || '","supports":["' || file_path || '"]}' as payload from claims where claim_value is not null""", "claims")
+def intermediate_values(spark, sf_dir):
+    c = load(spark, sf_dir, "claims")["claims"].where("claim_value is not null")
+    return c.select("claim_id", claims.intermediate_payload(F.col("claim_type"), F.col("claim_value"), F.array("file_path")).alias("payload"))

@@ -167,6 +167,25 @@ def test_groups_contract_a_graph(spark):
     assert none.count() == 0 and no_edges.count() == 0
 
 
+def test_graphs_are_written_line_by_line(spark, tmp_path):
+    nodes = spark.createDataFrame([("script_0", "script", "a <b>.py", "verified"), ("file_x", "output", "x", "failed")], "id string, kind string, label string, status string")
+    edges = spark.createDataFrame([("script_0", "file_x")], "source string, target string")
+    for name in ("g.json", "g.mmd", "g.html"):
+        exports.render(nodes, edges, str(tmp_path / name), title="T")
+    told = json.loads((tmp_path / "g.json").read_text())
+    assert [n["id"] for n in told["nodes"]] == ["file_x", "script_0"] and told["links"] == [{"source": "script_0", "target": "file_x"}]
+    assert json.loads(exports.to_json(nodes.where("false"), edges.where("false"))) == {"nodes": [], "links": []} and json.loads(exports.to_json(nodes, edges)) == told
+    text = (tmp_path / "g.mmd").read_text()
+    assert text == exports.to_mermaid(nodes, edges, "T") and text.startswith("---\ntitle: T\n---\ngraph TD\n") and "file_x([\"x\"]):::failed" in text and "script_0 --> file_x" in text
+    page = (tmp_path / "g.html").read_text()
+    assert "a &lt;b&gt;.py" in page and page.startswith("<!DOCTYPE html>") and page.endswith("</pre></body></html>\n")
+    for bad in ("g.svg", "g"):
+        with pytest.raises(ValueError):
+            exports.render(nodes, edges, str(tmp_path / bad))
+    with pytest.raises(ValueError):
+        exports.render(nodes.where("false"), edges, str(tmp_path / "g.json"))
+
+
 def test_groups_across_roles_are_mixed(spark):
     rows = spark.createDataFrame([("s", "/a1", "input"), ("s", "/a2", "output"), ("s", "/b", "output"), ("s", "/b", "input")], "session_id string, file_path string, role string").withColumn("hash", F.sha2("file_path", 256))
     together = lambda r: r.withColumn("group_id", F.when(F.col("file_path").startswith("/a"), "a")).withColumn("kind", F.lit("custom"))
