@@ -27,8 +27,9 @@ def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, component) of an undirected graph given as long columns a and b.
 
     component is the least node reachable. Alternating large-star and small-star
-    rounds: each is a few joins and pre-aggregated minima, so a hub costs no task
-    more than its share, and each round's edges are written to shared storage.
+    rounds: each is a few joins and pre-aggregated minima, and each round's edges are
+    written to shared storage. Edges of a hub share a join key; they are dealt out over
+    tasks by the adaptive skew join (``spark.sql.adaptive.skewJoin.enabled``, on by default).
     Self loops and repeated edges change nothing; an empty graph gives no rows.
     """
     def signature(df):
