@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from html import unescape
 
@@ -316,10 +316,17 @@ def _hosted(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
 
 
-def _with(rows: DataFrame, hosts: DataFrame, column: str) -> DataFrame:
-    """``rows`` with what ``hosts`` has of their host: broadcast behind a check of its size, else by a shuffled join."""
+def _with(rows: DataFrame, hosts: DataFrame, column: str) -> tuple[DataFrame, Callable[[str, str | None], str | None]]:
+    """(``rows`` with a string ``column``, a function of a row's host and that cell): what ``hosts`` has of each host.
+
+    Behind a check of its size the table is broadcast once to the workers, and cells stay
+    null; a larger one comes in the cells, by a shuffled join.
+    """
     size = hosts.agg(F.sum(F.octet_length(column) + F.octet_length("host") + 64)).head()[0] or 0
-    return rows.join(F.broadcast(hosts) if size <= BROADCAST_BYTES else hosts, "host", "left")
+    if size > BROADCAST_BYTES:
+        return rows.join(hosts, "host", "left"), lambda host, cell: cell
+    shared = rows.sparkSession.sparkContext.broadcast({r["host"]: r[column] for r in hosts.collect()})  # at most BROADCAST_BYTES
+    return rows.withColumn(column, F.lit(None).cast("string")), lambda host, cell: shared.value.get(host)
 
 
 def references(hosted: DataFrame) -> DataFrame:
@@ -353,11 +360,16 @@ def induce(hosted: DataFrame, trees: DataFrame) -> DataFrame:
     template: JSON of [place, never varies, mean characters outside links, inside links,
     texts recur] of each place that EVIDENCE different pages have.
     """
+    given, told = _with(hosted.where("host <> ''"), trees, "tree")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree_of = lru_cache(256)(lambda shape: Tree(*json.loads(shape)))
         for batch in batches:
             rows = []
             for name, shape, html in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                shape = told(name, shape)
+                if shape is None:
+                    continue
                 page, tree = Page(html), tree_of(shape)
                 own, slot_of = Tree.of(page)
                 place, digest = places(own, tree), xxhash.xxh64_intdigest(html) >> 1
@@ -366,7 +378,7 @@ def induce(hosted: DataFrame, trees: DataFrame) -> DataFrame:
                 kinds = (pa.string(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "place", "page", "text", "plain", "linked"])
 
-    met = _with(hosted.where("host <> ''"), trees, "tree").where("tree is not null").select("host", "tree", "html").mapInArrow(
+    met = given.select("host", "tree", "html").mapInArrow(
         run, "host string, place bigint, page bigint, text bigint, plain bigint, linked bigint")
     each = met.groupBy("host", "place", "page").agg(F.min("text").alias("text"), F.min("plain").alias("plain"), F.min("linked").alias("linked"))
     texts = each.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.sum("plain").alias("plain"), F.sum("linked").alias("linked"))
@@ -392,7 +404,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     are read whole, in time linear in their length but for sorting. An empty table gives none.
     """
     hosted = _hosted(pages)
-    wrappers = induce(hosted, references(hosted))
+    given, told = _with(hosted, induce(hosted, references(hosted)), "wrapper")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         @lru_cache(256)
@@ -403,9 +415,10 @@ def main_text(pages: DataFrame) -> DataFrame:
             return Tree(*json.loads(known["tree"])), {x["place"]: (x["still"], x["plain"], x["linked"], x["recurs"]) for x in json.loads(known["template"])}
 
         for batch in batches:
-            texts = [extract(html, *read(wrapper)) for html, wrapper in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            hosts, htmls, cells = (batch.column(i).to_pylist() for i in (4, 2, 3))
+            texts = [extract(html, *read(told(host, cell))) for host, html, cell in zip(hosts, htmls, cells)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     key = pages.schema["page_id"].dataType.simpleString()
-    return _with(hosted, wrappers, "wrapper").select("page_id", "url", "html", "wrapper").mapInArrow(run, f"page_id {key}, url string, text string, n_chars bigint")
+    return given.select("page_id", "url", "html", "wrapper", "host").mapInArrow(run, f"page_id {key}, url string, text string, n_chars bigint")

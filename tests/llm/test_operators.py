@@ -393,6 +393,13 @@ def story(i):
             f"<div class='cookie-notice'>We use cookies {i}</div><ul class=links><li><a href=x>link {i}</a></ul><div class=comments><p>nice {i}</p></div>")
 
 
+def test_wrappers_come_the_same_both_ways(spark, monkeypatch):
+    rows = pages_of(spark, [story(i) for i in range(9)]).unionByName(spark.createDataFrame([(90, "http://other/", story(1)), (91, None, story(2)), (92, "http://h.example/", None)], "page_id bigint, url string, html string"))
+    told = {r["page_id"]: r["text"] for r in html.main_text(rows).collect()}
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert {r["page_id"]: r["text"] for r in html.main_text(rows).collect()} == told and len(told) == 12 and told[92] == ""
+
+
 def test_templates_without_article_element(spark):
     for n, parts in ((8, 1), (50, 4), (97, 7)):  # neither the number of pages nor of partitions matters
         out = {r["page_id"]: r["text"] for r in html.main_text(pages_of(spark, [story(i) for i in range(n)], parts)).collect()}
