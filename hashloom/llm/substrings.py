@@ -7,7 +7,8 @@ equal stretches, which a document's bytes give in about one of fifteen places. S
 are matched by hash across documents. Different stretches of one anchor can share a
 string only if they agree on the bytes before the anchor or on those after it, half of
 what a string has besides; where they do, the suffixes of these, and only these, are
-sorted.
+sorted, dealt out by anchor and those bytes: a frequent anchor between many different
+texts is no single group.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(doc, order, low, high, anchor, stretch) of all stretches: window starts low to high, and two hashes.
+    """(doc, order, low, high, anchor, stretch, at) of all stretches: window starts low to high, two hashes, and the anchor's place.
 
     Anchors are told by 48 bits, stretches by 48 bits and 8 for either side of the anchor.
     """
@@ -113,7 +114,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             a, b = np.searchsorted(doc, [d, d + 1])
             order[a:b] = counts[d] + np.arange(b - a)
             counts[d] += int(b - a)
-        parts.append((doc, order, low - shift + base, high - shift + base, grams[at] >> _U(16), whole & STRETCH | sides))
+        parts.append((doc, order, low - shift + base, high - shift + base, grams[at] >> _U(16), whole & STRETCH | sides, at - shift + base))
         held, size = [], 0
 
     for d, text in enumerate(texts):
@@ -125,7 +126,7 @@ def stretches(texts: list[bytes]) -> tuple[np.ndarray, ...]:
             size += len(piece)
     flush()
     if not parts:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, _U, _U, np.int64))
     return tuple(np.concatenate(c) for c in zip(*parts))
 
 
@@ -177,7 +178,8 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
 
 
 _TYPES = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-REMOVED, OPEN = 1, 2
+#: What is known of a stretch: an earlier document has it, others may share a string on its anchor's side before, or after (added up).
+REMOVED, BEFORE, AFTER = 1, 2, 4
 
 
 def _ask(buckets: int):
@@ -204,7 +206,7 @@ def _ask(buckets: int):
             ids, keys, texts = (batch.column(i) for i in range(3))
             ids, keys = ids.to_numpy(), keys.to_numpy()
             for at in range(0, batch.num_rows, 256):
-                d, order, _, _, anchor, stretch = stretches([t or b"" for t in texts.slice(at, 256).to_pylist()])
+                d, order, _, _, anchor, stretch, _ = stretches([t or b"" for t in texts.slice(at, 256).to_pylist()])
                 if len(d):
                     held.append((ids[at + d], keys[at + d], order, anchor, stretch))
                     n += len(d)
@@ -217,7 +219,7 @@ def _ask(buckets: int):
 
 
 def _answer(buckets: int):
-    """Of a bucket's stretches: those of later documents (REMOVED), and those that others of their anchor may share a string with (OPEN)."""
+    """Of a bucket's stretches: those of later documents (REMOVED), and those that others of their anchor may share a string with (BEFORE, AFTER)."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         ready = [tuple(r[n] for n in NAMES) for r in rows if r["kind"] == 1]
@@ -230,16 +232,16 @@ def _answer(buckets: int):
             at = np.flatnonzero(fresh)
             first = doc[at]  # the least document of each different stretch
             of = np.cumsum(group)[at] - 1
-            alike = np.zeros(len(at), bool)
-            for shift in (48, 56):  # stretches of one anchor and one side, of different documents
+            alike = np.zeros(len(at), np.int64)
+            for shift, told in ((48, BEFORE), (56, AFTER)):  # stretches of one anchor and one side, of different documents
                 side = (stretch[at] >> _U(shift)) & _U(255)
                 turn = np.lexsort((side, of))
                 starts = np.flatnonzero(np.concatenate([[True], (of[turn][1:] != of[turn][:-1]) | (side[turn][1:] != side[turn][:-1])]))
                 differ = np.minimum.reduceat(first[turn], starts) < np.maximum.reduceat(first[turn], starts)
                 sizes = np.diff(np.append(starts, len(turn)))
-                alike[turn] |= np.repeat(differ, sizes) & (side[turn] > 0)
+                alike[turn] += told * (np.repeat(differ, sizes) & (side[turn] > 0))
             kind = np.cumsum(fresh) - 1
-            code = np.where(doc > first[kind], REMOVED, np.where(alike[kind], OPEN, 0))
+            code = np.where(doc > first[kind], REMOVED, alike[kind])
             k = code > 0
             if k.any():
                 ready += _packed(row[k] % buckets, 1, doc[k], row[k], place[k], anchor[k], code[k].astype(_U))
@@ -286,14 +288,26 @@ def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
-PARTS = "part int, key bigint, doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, spans binary, kept_sha256 string, text binary, windows binary, low bigint"
-_PARTS = ["part", "key", "doc", "null_id", "row", "n_bytes", "n_removed", "spans", "kept_sha256", "text", "windows", "low"]
-_PART_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int64()]
+PARTS = "part int, key bigint, doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, spans binary, kept_sha256 string, text binary, windows binary, low bigint, mark bigint"
+_PARTS = ["part", "key", "doc", "null_id", "row", "n_bytes", "n_removed", "spans", "kept_sha256", "text", "windows", "low", "mark"]
+_PART_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.binary(), pa.string(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 DONE, WAITING, SUFFIXES = 0, 1, 2
 
 
+def _halves(text: bytes, low: int, high: int, at: int, anchor: int, code: int) -> Iterator[tuple[int, int, int]]:
+    """(mark, first, last): the open strings of a stretch, from starts first to last, that have SIDE bytes before the anchor, and the others, with SIDE after it.
+
+    Equal strings have their anchors at equal places, so they are of one half, and equal
+    in the anchor and those SIDE bytes, of which the mark is a hash.
+    """
+    for told, first, last, side in ((BEFORE, low, min(high, at - SIDE), at - SIDE), (AFTER, max(low, at - SIDE + 1), high, at + K)):
+        if code & told and first <= last:
+            name = b"%d %d " % (anchor, told) + text[side:side + SIDE]
+            yield int.from_bytes(hashlib.blake2b(name, digest_size=8).digest(), "little") >> 1, first, last
+
+
 def _apply(buckets: int):
-    """Documents whose answers are final (DONE), others with what is settled so far (WAITING), and open stretches (SUFFIXES)."""
+    """Documents whose answers are final (DONE), others with what is settled so far (WAITING), and open halves of stretches (SUFFIXES)."""
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         found, rows = Answers(answers.to_pylist()), []
         ids, nulls, keys, texts = (docs.column(n).to_pylist() for n in ("doc", "null_id", "row", "text"))
@@ -301,25 +315,29 @@ def _apply(buckets: int):
             part = [t or b"" for t in texts[at:at + 256]]
             got = [found.of(ids[at + i], keys[at + i]) for i in range(len(part))]
             some = [i for i, (p, _) in enumerate(got) if len(p)]
-            d, _, low, high, anchor, _ = stretches([part[i] for i in some])
+            d, _, low, high, anchor, _, middle = stretches([part[i] for i in some])
             bounds = np.searchsorted(d, np.arange(len(some) + 1))
             where = {i: k for k, i in enumerate(some)}
             for i, text in enumerate(part):
                 doc, null, row = ids[at + i], nulls[at + i], keys[at + i]
-                windows, still = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                windows, still = np.zeros(0, np.int64), {}
                 if i in where:
                     a, b = bounds[where[i]], bounds[where[i] + 1]
                     place, code = got[i]
                     gone = np.unique(place[code == REMOVED])
                     windows = _ranges(low[a:b][gone], high[a:b][gone])
-                    still = np.setdiff1d(place[code == OPEN], gone)
-                if not len(still):
-                    rows.append((DONE, None, doc, null, row, *_summary(text, windows), None, None, None))
+                    still = code > REMOVED
+                    still = {k: c for k, c in zip(place[still].tolist(), code[still].tolist())}
+                    for k in gone.tolist():
+                        still.pop(k, None)
+                if not still:
+                    rows.append((DONE, None, doc, null, row, *_summary(text, windows), None, None, None, None))
                     continue
-                rows.append((WAITING, row % buckets, doc, null, row, None, None, None, None, text, windows.astype(np.int64).tobytes(), None))
-                for k in still.tolist():
-                    lo, hi, mark = int(low[a + k]), int(high[a + k]), anchor[a + k]
-                    rows.append((SUFFIXES, int(mark % _U(buckets)), doc, null, row, None, None, None, None, text[lo:hi + LENGTH], None, lo))
+                rows.append((WAITING, row % buckets, doc, null, row, None, None, None, None, text, windows.astype(np.int64).tobytes(), None, None))
+                for k, c in still.items():
+                    k += a
+                    for mark, lo, hi in _halves(text, int(low[k]), int(high[k]), int(middle[k]), int(anchor[k]), c):
+                        rows.append((SUFFIXES, mark % buckets, doc, null, row, None, None, None, None, text[lo:hi + LENGTH], None, lo, mark))
         return pa.Table.from_batches([_batch(rows, _PARTS, _PART_TYPES)])
     return run
 
@@ -371,12 +389,23 @@ class Suffixes:
         return out
 
     def sort(self, starts: np.ndarray) -> np.ndarray:
-        """``starts`` in the order of their strings: by their first eight bytes, then groups that tie by mergesort."""
+        """``starts`` in the order of their strings: by their first eight bytes, then groups that tie by mergesort, strings of one hash as one."""
         head = np.zeros(len(starts), _U)
         for i in range(8):
             head = (head << _U(8)) | self.data[starts + i].astype(_U)
-        order = np.argsort(head, kind="stable")
-        starts, head = starts[order], head[order]
+        whole = (self.prefix[starts + LENGTH] - self.prefix[starts]) * self.inverse[starts]
+        order = np.lexsort((whole, head))
+        every, head, whole = starts[order], head[order], whole[order]
+        runs = np.flatnonzero(np.concatenate([[True], (head[1:] != head[:-1]) | (whole[1:] != whole[:-1])])) if len(head) else np.zeros(0, np.int64)
+        ends = np.append(runs[1:], len(head)) - 1
+        ordered = self._merged(every[runs], head[runs])
+        by = np.argsort(every[runs])
+        run = by[np.searchsorted(every[runs], ordered, sorter=by)]
+        return every[_ranges(runs[run], ends[run])]
+
+    def _merged(self, starts: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """``starts``, in the order of ``head``, in the order of their strings."""
+        starts = starts.copy()
         firsts = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else np.zeros(0, np.int64)
         sizes = np.diff(np.append(firsts, len(starts)))
         classes = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)
@@ -424,7 +453,14 @@ def _sorted_classes(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.nda
 def _settle(buckets: int):
     """Of a bucket's open stretches: the windows of later documents, found by sorting all suffixes."""
     def run(table: pa.Table) -> pa.Table:
-        texts, docs, rows, lows = (table.column(n).to_pylist() for n in ("text", "doc", "row", "low"))
+        mark, doc = table.column("mark").to_numpy(), table.column("doc").to_numpy()
+        turn = np.argsort(mark)
+        firsts = np.flatnonzero(np.concatenate([[True], np.diff(mark[turn]) != 0]))
+        shared = np.minimum.reduceat(doc[turn], firsts) < np.maximum.reduceat(doc[turn], firsts)
+        met = np.sort(turn[np.repeat(shared, np.diff(np.append(firsts, len(turn))))])  # what one document alone has settles itself
+        if not len(met):
+            return pa.Table.from_batches([_batch([], NAMES, _TYPES)])
+        texts, docs, rows, lows = (table.column(n).take(pa.array(met)).to_pylist() for n in ("text", "doc", "row", "low"))
         sizes = np.array([len(t) for t in texts])
         begins = np.cumsum(sizes) - sizes
         starts = _ranges(begins, begins + sizes - LENGTH)
@@ -488,7 +524,7 @@ def find_repeats(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame
     keyed = base.withColumn("key", F.col("row") % buckets)
     parts = materialize(keyed.groupBy("key").cogroup(answered.groupBy("key")).applyInArrow(_apply(buckets), PARTS), "substrings", partition_by="part")
     wait, opened = parts.where(F.col("part") == WAITING), parts.where(F.col("part") == SUFFIXES)
-    settled = opened.select("key", "text", "doc", "row", "low").groupBy("key").applyInArrow(_settle(buckets), ROWS)
+    settled = opened.select("key", "text", "doc", "row", "low", "mark").groupBy("key").applyInArrow(_settle(buckets), ROWS)
     last = wait.select("key", "doc", "null_id", "row", "text", "windows").groupBy("key").cogroup(settled.groupBy("key")).applyInArrow(
         _finish, "doc bigint, null_id boolean, row bigint, n_bytes bigint, n_removed bigint, spans binary, kept_sha256 string")
     out = parts.where(F.col("part") == DONE).select(*last.columns).union(last)

@@ -9,6 +9,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -278,6 +280,24 @@ def test_long_pieces_join_up(spark, monkeypatch):
         assert substrings._ranges(whole[2][k], whole[3][k]).tolist() == list(range(951)) and whole[1][k].tolist() == list(range(int(k.sum())))
 
 
+def test_a_frequent_anchor_is_dealt_out_by_what_is_beside_it():
+    rng = np.random.default_rng(7)
+    tried = rng.integers(97, 123, (20_000, 20)).astype(np.uint8)
+    word = min((t.tobytes() for t in tried), key=lambda t: int(substrings._mix(np.array([substrings.prefix_hashes(np.frombuffer(t, np.uint8))[20]]))[0]))
+    n, buckets = 600, 50
+    texts = [rng.integers(97, 123, 40).astype(np.uint8).tobytes() + word + rng.integers(97, 123, 40).astype(np.uint8).tobytes() for _ in range(n)]
+    texts[500] = texts[3][:60] + texts[500][60:]  # 50 bytes of the third, on one side of the word
+    docs = pa.table({"doc": list(range(n)), "row": list(range(n)), "text": texts})
+    asked = pa.Table.from_batches(substrings._ask(buckets)(iter(docs.to_batches())))
+    told = pa.concat_tables([substrings._answer(buckets)(asked.filter(pa.compute.equal(asked["key"], k))) for k in range(buckets)])
+    parts = substrings._apply(buckets)(docs.append_column("null_id", pa.array([False] * n)), told)
+    opened = parts.filter(pa.compute.equal(parts["part"], substrings.SUFFIXES))
+    per = np.bincount(opened["key"].to_numpy())
+    assert per.sum() > 500 and per.max() < 100
+    settled = [substrings._settle(buckets)(opened.filter(pa.compute.equal(opened["key"], k))) for k in np.flatnonzero(per)]
+    assert {int(d) for t in settled for d in substrings._unpacked(t.to_pylist())[0]} == {500}
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.binary(min_size=50, max_size=700), st.integers(1, 3))
 def test_suffix_sort_is_a_sort(data, letters):
