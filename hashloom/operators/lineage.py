@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashloom.plans.scratch import materialize
@@ -43,14 +43,52 @@ def recorded_edges(runs: DataFrame, parents: DataFrame) -> DataFrame:
     return listed.union(own.join(listed.select("child"), "child", "left_anti")).where("child <> parent").distinct()
 
 
-def closure(edges: DataFrame, leaves: DataFrame, max_depth: int | None = 50) -> DataFrame:
+def paths(edges: DataFrame) -> DataFrame:
+    """(session_id, path) of every child in ``edges`` with one parent each: its ancestors, nearest first, each once.
+
+    Path doubling: in round k each pending child appends the path of the last session of
+    its own, which is as long, so chains of n take log2(n) rounds, and no pair is looked
+    up among those met before. A path that meets a session again, or its own child, has
+    gone round a cycle and ends there. What is written adds up to the result's size.
+    """
+    columns = ["session_id", "path", "more"]
+
+    def told(path: Column, more: Column) -> Column:
+        once = F.array_remove(F.array_distinct(path), F.col("session_id"))
+        return F.struct(once.alias("path"), (more & (F.size(once) == F.size(path))).alias("more"))
+
+    first = edges.select(F.col("child").alias("session_id"), "parent").distinct()
+    made = first.withColumn("x", told(F.array("parent"), F.lit(True))).select("session_id", "x.*")
+    done, pending, k = None, materialize(made, "paths-0"), 0
+    while not pending.isEmpty():
+        k += 1
+        known = pending if done is None else pending.union(done)
+        up = known.select(F.col("session_id").alias("_at"), F.col("path").alias("_path"), F.col("more").alias("_more"))
+        at = pending.where("more").withColumn("_at", F.element_at("path", -1)).join(up, "_at", "left")
+        x = told(F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat("path", "_path")), F.coalesce("_more", F.lit(False)))
+        moved = materialize(at.withColumn("x", x).select("session_id", "x.*"), f"paths-{k}")
+        ends = [pending.where("not more"), moved.where("not more").select(columns)]
+        for rows in ends:
+            done = rows if done is None else done.union(rows)
+        pending = moved.where("more").select(columns)
+    return (pending if done is None else done).select("session_id", "path")
+
+
+def closure(edges: DataFrame, leaves: DataFrame, max_depth: int | None = 50, children: bool = False) -> DataFrame:
     """(leaf, session_id, depth): everything upstream of each leaf, itself at depth 0, with the least number of hops.
 
     Breadth first for all leaves at once. A node is expanded if it is fewer than
     ``max_depth`` hops away, so one at the bound is in the result without its parents.
     Cycles end because nothing is met twice. Each hop is one join on the frontier only,
-    written to shared storage.
+    written to shared storage. Without a bound, where nobody has two parents, pairs come
+    from ``paths`` instead. children: every child of ``edges`` is a leaf.
     """
+    if max_depth is None and edges.distinct().groupBy("child").count().where("count > 1").isEmpty():
+        found = paths(edges)
+        if not children:
+            found = found.join(leaves.select("session_id"), "session_id", "left_semi")
+        up = found.select(F.col("session_id").alias("leaf"), F.posexplode("path").alias("depth", "session_id")).select("leaf", "session_id", F.col("depth") + 1)
+        return leaves.select(F.col("session_id").alias("leaf"), "session_id").distinct().withColumn("depth", F.lit(0)).union(up)
     frontier = materialize(leaves.select(F.col("session_id").alias("leaf"), "session_id").distinct().withColumn("depth", F.lit(0)), "closure-0")
     seen, hop = frontier, 0
     step = edges.select(F.col("child").alias("session_id"), "parent")
@@ -149,7 +187,7 @@ def chains(runs: DataFrame, leaves: DataFrame | None = None) -> DataFrame:
     edges = runs.where("parent_session is not null").select(F.col("session_id").alias("child"), F.col("parent_session").alias("parent"))
     known = runs.select(F.col("session_id").alias("parent"))
     asked = runs if leaves is None else leaves.join(runs.select("session_id"), "session_id", "left_semi")
-    return closure(edges.join(known, "parent", "left_semi").select("child", "parent"), asked, None)
+    return closure(materialize(edges.join(known, "parent", "left_semi").select("child", "parent"), "chains"), asked, None, children=leaves is None)
 
 
 def chain_roots(runs: DataFrame) -> DataFrame:

@@ -223,3 +223,27 @@ def test_failures_stop_what_reads_from_them(spark, tmp_path, monkeypatch):
     assert rerun.run_claims_again(ledger, disk, file_path="/nowhere.tex").count() == 0 and not ran
     assert [(r["session_id"], r["failed"]) for r in rerun.run_claims_again(ledger, disk, file_path="/m.tex").collect()] == [("e", True)] and ran == ["e"]
     assert verify.rerun_summary(rerun.run_claims_again(ledger, disk, claim_type="figure")).head()["status"] == "verified"
+
+
+def test_single_parent_closures_double_their_paths(spark, monkeypatch):
+    rng = random.Random(5)
+    line = [(f"c{i:02}", f"c{i + 1:02}") for i in range(40)]
+    ring = [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("q0", "r1"), ("q1", "q0"), ("self", "self"), ("to_self", "self")]
+    tree = [(f"t{i}", f"t{rng.randrange(i)}") for i in range(1, 30)]
+    edges, made = line + ring + tree, []
+    keep = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, name, *a, **k: made.append(name) or keep(df, name, *a, **k))
+    nodes = sorted({n for e in edges for n in e} | {"alone"})
+    got = {tuple(r) for r in lineage.closure(pairs(spark, edges), pairs(spark, [(n,) for n in nodes], "session_id string"), None).collect()}
+    up, want = dict(edges), set()
+    for n in nodes:
+        met, at = [], n
+        while at is not None and at not in met:
+            met.append(at)
+            at = up.get(at)
+        want |= {(n, m, k) for k, m in enumerate(met)}
+    assert got == want and len(made) <= 8
+    some = lineage.closure(pairs(spark, edges), pairs(spark, [("c38",), ("q1",)], "session_id string"), None)
+    assert {tuple(r) for r in some.collect()} == {r for r in want if r[0] in ("c38", "q1")}
+    forked = lineage.closure(pairs(spark, [*edges, ("c38", "t3")]), pairs(spark, [("c38",)], "session_id string"), None)
+    assert {r["session_id"] for r in forked.collect()} == brute_up([*edges, ("c38", "t3")], "c38", 99)
