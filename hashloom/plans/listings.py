@@ -106,7 +106,7 @@ def completed_runs(spark, sf_dir):
           select leaf, session_id, cast(min(depth) as int) as depth from closed group by 1, 2""", "runs", recursive=True)
 def recorded_closure(spark, sf_dir):
     runs = load(spark, sf_dir, "runs")["runs"]
-    return lineage.closure(materialize(lineage.recorded_edges(runs, _listed(spark, runs)), "recorded"), runs, None)
+    return lineage.closure(materialize(lineage.recorded_edges(runs, _listed(spark, runs)), "recorded"), runs, None, children=True)
 
 
 _WALK = f"""{_EDGES}, walk as (select child as session_id, 0 as level from edges union select parent, 0 from edges
