@@ -16,6 +16,7 @@ from hashloom.functions.hashes import basename, display_path, node_id
 from hashloom.operators import citations as cite
 from hashloom.operators import claims as claim
 from hashloom.operators import groupers, lineage
+from hashloom.plans.scratch import materialize
 
 # Versions of the exported shapes.
 CLAIMS_VERSION, FEED_VERSION, HINTS_SCHEMA = "1.4", "1.6-unified", "manuscript-hints/1"
@@ -159,9 +160,10 @@ def grouped_graph(nodes: DataFrame, checked: DataFrame, grouper=None) -> tuple[D
     run wrote and another read still meets. A node's role is input, output or, if it is
     both, mixed; it is failed if one of its files is. Edges that become equal are merged
     and tell how many there were (``n``). Group ids come from sums over members, so no
-    list of a group's files is gathered. Scripts stay as they are.
+    list of a group's files is gathered. Scripts stay as they are. Checked files and
+    groups are written once: nodes and edges, each of which may be used again, read them.
     """
-    f = checked.where("role <> 'script'")
+    f = materialize(checked.where("role <> 'script'").select("session_id", "role", "file_path", "hash", "status"), "grouped-files")
     rows = groupers.resolve(grouper)(groupers.start(f)).join(f.select("session_id", "role", "file_path", "status"), ["session_id", "role", "file_path"])
     h = F.xxhash64("file_path", "hash")
     told = rows.where("group_id is not null").groupBy("session_id", "role", "group_id").agg(
@@ -171,6 +173,7 @@ def grouped_graph(nodes: DataFrame, checked: DataFrame, grouper=None) -> tuple[D
         "session_id", "role", node_id(F.col("file_path")).alias("id"), basename(F.col("file_path")).alias("label"), F.lit(1).cast("long").alias("size"),
         F.col("file_path").alias("first_path"), (F.col("status") == "verified").alias("good"))
     met = lone.unionByName(told.select("session_id", "role", F.concat(F.lit("group_"), F.substring("key", 1, 16)).alias("id"), "label", "size", "first_path", "good"))
+    met = materialize(met, "groups")
     scripts = nodes.where("kind = 'script'")
     files = met.groupBy("id").agg(
         F.when(F.min("role") == F.max("role"), F.min("role")).otherwise("mixed").alias("kind"), F.first("label").alias("label"), F.max("size").alias("size"),

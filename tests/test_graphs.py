@@ -247,3 +247,13 @@ def test_single_parent_closures_double_their_paths(spark, monkeypatch):
     assert {tuple(r) for r in some.collect()} == {r for r in want if r[0] in ("c38", "q1")}
     forked = lineage.closure(pairs(spark, [*edges, ("c38", "t3")]), pairs(spark, [("c38",)], "session_id string"), None)
     assert {r["session_id"] for r in forked.collect()} == brute_up([*edges, ("c38", "t3")], "c38", 99)
+
+
+def test_groups_are_written_once(spark, monkeypatch):
+    made, keep = [], exports.materialize
+    monkeypatch.setattr(exports, "materialize", lambda df, name, *a: made.append(name) or keep(df, name, *a))
+    checked = pairs(spark, [("A", "/d/p1", "output", "verified", "x"), ("A", "/d/p2", "output", "mismatch", "y")], "session_id string, file_path string, role string, status string, hash string")
+    nodes = pairs(spark, [("a", "script", "A", "verified", "A")], "id string, kind string, label string, status string, session_id string")
+    small, edges = exports.grouped_graph(nodes, checked, {"type": "pattern", "regex": "[0-9]+"})
+    assert made == ["grouped-files", "groups"]
+    assert {(r["kind"], r["status"]) for r in small.collect()} == {("script", "verified"), ("output", "failed")} and [r["n"] for r in edges.collect()] == [2]
