@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,7 +33,7 @@ def file_edges(files: DataFrame) -> DataFrame:
     first = newest_producers(files, 2)
     pair = first.groupBy("file_path").agg(
         F.max(F.when(F.col("rank") == 1, F.col("session_id"))).alias("newest"), F.max(F.when(F.col("rank") == 2, F.col("session_id"))).alias("next"))
-    read = files.where("role = 'input'").select(F.col("session_id").alias("child"), "file_path").distinct()
+    read = files.where("role = 'input'").select(F.col("session_id").alias("child"), "file_path")
     parent = F.when(F.col("newest") != F.col("child"), F.col("newest")).otherwise(F.col("next"))
     return read.join(pair, "file_path").select("child", parent.alias("parent")).where("parent is not null").distinct()
 
@@ -120,36 +122,40 @@ def reachable(edges: DataFrame, leaves: DataFrame, max_depth: int | None = 50) -
     return seen
 
 
-def inherited(edges: DataFrame, own: DataFrame, merges: dict[str, tuple], max_depth: int | None = 50) -> DataFrame:
+def within(edges: DataFrame, members: DataFrame, max_depth: int | None = 50) -> DataFrame:
+    """The ``edges`` out of members (session_id, depth) of ``reachable``; those at the bound keep none."""
+    inner = members if max_depth is None else members.where(F.col("depth") < max_depth)
+    return edges.join(inner.select(F.col("session_id").alias("child")), "child", "left_semi")
+
+
+def inherited(edges: DataFrame, own: DataFrame, merges: dict[str, Callable], max_depth: int | None = 50) -> DataFrame:
     """(session_id, ...): what each session has of its own or from anything upstream within ``max_depth`` hops.
 
     own: (session_id, a column for each of ``merges``); sessions without a row have nothing.
-    merges: by column, an aggregate and the same merge of two values, which must not mind
-    repetition (bit_or, min, max). A round sends what is new at its sessions to those that
+    merges: by column, an aggregate that does not mind repetition (bit_or, min, max). A round sends what is new at its sessions to those that
     read from them, so it costs what changed, whatever the number of leaves: no pair of
     leaf and ancestor is ever made. A session's value after k rounds is that of all within
     k hops. Cycles end when nothing changes. Sessions that get nothing have no row.
     """
-    put = [f(c).alias(c) for c, (f, _) in merges.items()]
+    put = [f(c).alias(c) for c, f in merges.items()]
     first = materialize(own.groupBy("session_id").agg(*put), "inherited-0")
     fresh, known, hop, step = first, first, 0, edges.select(F.col("parent").alias("session_id"), "child")
     while (max_depth is None or hop < max_depth) and not fresh.isEmpty():
         hop += 1
-        met = fresh.join(step, "session_id").groupBy(F.col("child").alias("session_id")).agg(*put)
-        old = known.groupBy("session_id").agg(*[f(c).alias(f"_{c}") for c, (f, _) in merges.items()])
-        both = met.join(old, "session_id", "left").select(
-            "session_id", *[both_of(F.col(c), F.col(f"_{c}")).alias(c) for c, (_, both_of) in merges.items()], *[f"_{c}" for c in merges])
+        met = fresh.join(step, "session_id").select(F.col("child").alias("session_id"), *merges, F.lit(True).alias("_met"))
+        both = met.union(known.select("session_id", *merges, F.lit(False))).groupBy("session_id").agg(
+            F.bool_or("_met").alias("_met"), *put, *[f(F.when(~F.col("_met"), F.col(c))).alias(f"_{c}") for c, f in merges.items()])
         changed = F.lit(False)
         for c in merges:
             changed = changed | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
-        fresh = materialize(both.where(changed).select("session_id", *merges), f"inherited-{hop}")
+        fresh = materialize(both.where(F.col("_met") & changed).select("session_id", *merges), f"inherited-{hop}")
         known = known.union(fresh)
     return known.groupBy("session_id").agg(*put)
 
 
 #: For ``inherited``: bits that add up, and the least value.
-BITS = (F.bit_or, lambda a, b: F.coalesce(a, F.lit(0)).bitwiseOR(F.coalesce(b, F.lit(0))))
-LEAST = (F.min, F.least)
+BITS = F.bit_or
+LEAST = F.min
 
 
 def adjacency(edges: DataFrame, members: DataFrame, max_depth: int | None = 50) -> DataFrame:

@@ -18,10 +18,21 @@ def checked_files(runs: DataFrame, files: DataFrame) -> DataFrame:
 
     Recorded rows of role script do not count; a script is never frozen.
     """
-    own = files.where("role in ('input', 'output')").select("session_id", "file_path", "hash", "role", F.coalesce("frozen", F.lit(False)).alias("frozen"))
-    script = runs.where("script_path is not null and script_hash is not null").select(
+    return _own_files(files).unionByName(_scripts(runs))
+
+
+def _own_files(files: DataFrame) -> DataFrame:
+    return files.where("role in ('input', 'output')").select("session_id", "file_path", "hash", "role", F.coalesce("frozen", F.lit(False)).alias("frozen"))
+
+
+def _scripts(runs: DataFrame) -> DataFrame:
+    return runs.where("script_path is not null and script_hash is not null").select(
         "session_id", F.col("script_path").alias("file_path"), F.col("script_hash").alias("hash"), F.lit("script").alias("role"), F.lit(False).alias("frozen"))
-    return own.unionByName(script)
+
+
+def checked(runs: DataFrame, files: DataFrame, disk: DataFrame) -> DataFrame:
+    """``verify_files`` of all ``checked_files``: files and scripts meet the disk apart, so files that are dealt by path already stay where they are."""
+    return verify_files(_own_files(files), disk).unionByName(verify_files(_scripts(runs), disk))
 
 
 def verify_files(rows: DataFrame, disk: DataFrame) -> DataFrame:
@@ -56,10 +67,18 @@ def run_status(propagate: bool = True, collapse_suspect: bool = False) -> Column
 
 def verify_runs(runs: DataFrame, files: DataFrame, disk: DataFrame, propagate: bool = True, collapse_suspect: bool = False) -> DataFrame:
     """(session_id, status, n_files, n_mismatch, n_missing) of every run; runs without files are verified."""
-    checked = verify_files(checked_files(runs, files), disk)
-    return runs.select("session_id").join(checked, "session_id", "left").groupBy("session_id").agg(
+    return run_statuses(runs, checked(runs, files, disk), propagate, collapse_suspect)
+
+
+def run_statuses(runs: DataFrame, checked: DataFrame, propagate: bool = True, collapse_suspect: bool = False) -> DataFrame:
+    """``verify_runs`` from ``checked`` files: each run adds a row without file, and all rows are grouped at once."""
+    none = F.lit(None).cast("string")
+    rows = checked.select("session_id", "file_path", "role", "status", F.lit(False).alias("run")).unionByName(
+        runs.select("session_id", none.alias("file_path"), none.alias("role"), none.alias("status"), F.lit(True).alias("run")))
+    return rows.groupBy("session_id").agg(
         run_status(propagate, collapse_suspect).alias("status"), F.count("file_path").alias("n_files"),
-        F.count_if(F.col("status") == MISMATCH).alias("n_mismatch"), F.count_if(F.col("status") == MISSING).alias("n_missing"))
+        F.count_if(F.col("status") == MISMATCH).alias("n_mismatch"), F.count_if(F.col("status") == MISSING).alias("n_missing"),
+        F.bool_or("run").alias("run")).where("run").drop("run")
 
 
 def status_overview(verified: DataFrame) -> DataFrame:
@@ -187,9 +206,10 @@ def fresh_runs(runs: DataFrame, files: DataFrame, disk: DataFrame) -> DataFrame:
 
     A run without script hash is not fresh.
     """
-    parts = checked_files(runs, files).where("role <> 'output'").join(disk.select("file_path", "exists", "current_hash"), "file_path", "left")
+    now = disk.select("file_path", "exists", "current_hash")
     match = F.coalesce(F.col("exists"), F.lit(False)) & consistent(F.col("current_hash"), F.col("hash"))
-    own = parts.groupBy("session_id").agg((F.bool_and(match) & F.bool_or(F.col("role") == "script")).alias("fresh"))
+    found = [rows.where("role <> 'output'").join(now, "file_path", "left").select("session_id", "role", match.alias("same")) for rows in (_own_files(files), _scripts(runs))]
+    own = found[0].union(found[1]).groupBy("session_id").agg((F.bool_and("same") & F.bool_or(F.col("role") == "script")).alias("fresh"))
     return runs.select("session_id").join(own, "session_id", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
 
 

@@ -29,7 +29,7 @@ class Dialect:
 def relations(d: Dialect) -> dict[str, str]:
     """SQL of each relation by name, in order of dependence."""
     session = "'S' || lpad(cast({} as string), 10, '0')"
-    return {
+    found = {
         "runs": f"""
             select {session.format('o_orderkey')} as session_id,
                    '/proj/' || o_orderpriority || '_' || cast(o_orderkey % 7 as string) || '.py' as script_path,
@@ -115,6 +115,36 @@ def relations(d: Dialect) -> dict[str, str]:
             from (select c_custkey, 'claim_of_' || cast(case when c_custkey % 37 = 0 then c_custkey - 1 else c_custkey end as string) as claim_id
                   from customer where c_custkey % 41 <> 0) x""",
     }
+    return _dealt(found, d, session) if d.name == "spark" else found
+
+
+def _dealt(found: dict[str, str], d: Dialect, session: str) -> dict[str, str]:
+    """``found`` with the file relations in texts that give the same rows from one deal of line items by path.
+
+    Spark then groups, ranks and joins by path where the rows are; the plain texts deal them
+    out by each key in turn, and meet newest writers in joins.
+    """
+    newest = "partition by file_path order by role desc, recorded_at desc, session_id"  # outputs come before inputs
+    own = {"dealt": f"""
+            select /*+ repartition(file_path) */ {session.format('l_orderkey')} as session_id,
+                   case when l_linenumber = 1 then '/st' || cast(l_orderkey % 8 as string) || '/p' || cast(l_partkey as string)
+                        when l_orderkey % 8 = 0 then '/raw/p' || cast(l_partkey as string)
+                        else '/st' || cast(l_orderkey % 8 - 1 as string) || '/p' || cast(l_partkey as string) end as file_path,
+                   case when l_linenumber = 1 then 'output' else 'input' end as role,
+                   cast(round(l_extendedprice * 100) as bigint) as size_bytes, l_returnflag = 'R' and l_quantity > 45 as cold,
+                   'host' || cast(l_suppkey % 10 as string) as host, l_shipdate as recorded_at
+            from lineitem""",
+        "touched": """
+            select session_id, file_path, role, max(size_bytes) as size_bytes, max(case when cold then 1 else 0 end) = 1 as frozen, max(host) as host, max(recorded_at) as recorded_at
+            from dealt group by 1, 2, 3""",
+        "file_hashes": f"""
+            select session_id, file_path, role, size_bytes, frozen, host, recorded_at,
+                   {d.sha(f"file_path || ':' || case when role = 'output' then session_id else coalesce(first_value(case when role = 'output' then session_id end) over ({newest}), 'raw') end")} as hash
+            from touched""",
+        "disk": found["disk"].replace("(select distinct file_path from touched) p left join newest n on p.file_path = n.file_path", f"""(
+                      select file_path, case when role = 'output' then session_id end as session_id, row_number() over ({newest}) as place from dealt) p where place = 1""").replace("n.session_id", "p.session_id"),
+    }
+    return {"dealt": own.pop("dealt")} | found | own
 
 
 #: Base tables of each relation.

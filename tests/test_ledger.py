@@ -375,3 +375,37 @@ def test_severities_of_hints(spark):
     rows = spark.createDataFrame([(f"c{i}", "/a.tex", i, s) for i, s in enumerate(states)], "claim_id string, file_path string, line_number int, resolved string")
     got = dict(ids(claims.hint_entries(rows), "kind", "severity"))
     assert got == {"claim-mismatch": "error", "claim-missing": "error", "claim-suspect": "warning", "claim-registered": "warning", "claim-unsourced": "advice", "claim-exception": "advice"}
+
+
+def test_files_are_dealt_by_path_once(spark):
+    from hashloom.plans.testbed import Dialect, relations
+
+    sf = "/root/testdata/sf0.001"
+    t, plain = load(spark, sf), relations(Dialect("duckdb"))
+    got = t["touched"]
+    body = plain["touched"].replace("from lineitem", "from {lineitem}")
+    want = spark.sql(body, lineitem=t["lineitem"])
+    assert got.select(want.columns).exceptAll(want).isEmpty() and want.exceptAll(got.select(want.columns)).isEmpty()
+    first = t["newest"].withColumnRenamed("session_id", "made")
+    hashed = want.join(first, "file_path", "left").withColumn("hash", F.expr("sha2(file_path || ':' || case when role = 'output' then session_id else coalesce(made, 'raw') end, 256)"))
+    assert ids(t["file_hashes"], "session_id", "file_path", "role", "hash") == ids(hashed, "session_id", "file_path", "role", "hash")
+    good = dict(ids(first, "file_path", "made"))
+    now = {r["file_path"]: r for r in t["disk"].collect()}
+    assert {p for p in now if not p.endswith(".py")} == {r["file_path"] for r in want.select("file_path").collect()}
+    for p, r in now.items():
+        k = int(p.rpartition("p")[2]) if not p.endswith(".py") else 1
+        if not p.endswith(".py") and k % 17 and k % 29:
+            assert (r["exists"], r["current_hash"]) == (True, sha(f"{p}:{good.get(p, 'raw')}"))
+    plan = t["file_hashes"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    checked = verify.checked(t["runs"], t["file_hashes"], t["disk"])
+    assert ids(checked, "session_id", "file_path", "role", "status") == ids(
+        verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]), "session_id", "file_path", "role", "status")
+
+
+def test_runs_are_told_from_checked_files_in_one_grouping(spark):
+    runs, f, disk = three_stages(spark)
+    stray = table(spark, [("nobody", "/raw", sha("raw"), "input", False, "2024-01-03")], FILES)
+    verified = verify.verify_runs(runs.union(table(spark, [("none", None, None, None, None, None)], RUNS)), f.union(stray), disk)
+    assert ids(verified, "session_id", "status", "n_files") == [("A", "verified", 2), ("B", "verified", 2), ("none", "verified", 0)]
+    assert "Join" not in verify.run_statuses(runs, verify.checked(runs, f, disk).select("session_id", "file_path", "role", "status").limit(9))._jdf.queryExecution().optimizedPlan().toString().split("GlobalLimit")[0]
