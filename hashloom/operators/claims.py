@@ -16,6 +16,20 @@ def source_sessions(claims: DataFrame, files: DataFrame) -> DataFrame:
     return claims.join(newest, "source_file", "left").withColumn("session", F.coalesce("source_session", "_made")).drop("_made")
 
 
+def behind(members: DataFrame, runs: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
+    """``behind`` (runs) and ``file_hashes`` of the sessions in ``members``: all that verdicts on the claims above them can depend on."""
+    names = members.select("session_id")
+    return {"behind": runs.join(names, "session_id", "left_semi"), "file_hashes": files.join(names, "session_id", "left_semi")}
+
+
+def on_disk(disk: DataFrame, *paths: DataFrame) -> DataFrame:
+    """The rows of ``disk`` at any of ``paths`` (one column each); a path that nobody asks for decides nothing."""
+    asked = paths[0].toDF("file_path").distinct()
+    for more in paths[1:]:
+        asked = asked.union(more.toDF("file_path").distinct())
+    return disk.join(asked.distinct(), "file_path", "left_semi")
+
+
 def verify_claims(claims: DataFrame, disk: DataFrame, chains: DataFrame) -> DataFrame:
     """Claims with ``source_status``, ``chain_verified`` and ``new_status``.
 

@@ -214,7 +214,7 @@ def _verified(name: str, suspect: str | None) -> str:
 @query(f"with {_CHECKED} select session_id, file_path, role, status from checked", "file_hashes", "runs", "disk")
 def verify_files(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
-    return verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]).select("session_id", "file_path", "role", "status")
+    return verify.checked(t["runs"], t["file_hashes"], t["disk"]).select("session_id", "file_path", "role", "status")
 
 
 @query(f"with {_CHECKED}, {_verified('v', 'suspect')} select * from v", "file_hashes", "runs", "disk")
@@ -273,11 +273,16 @@ def verify_dag(spark, sf_dir):
     return verify.verify_dag(edges, lineage.reachable(edges, _all_leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
 
 
+def _checked(t):
+    """Checked files, written once for several uses, without their hashes."""
+    return materialize(verify.checked(t["runs"], t["file_hashes"], t["disk"]).select("session_id", "file_path", "role", "status"), "checked")
+
+
 @query(f"""with {_EDGES}, {_CHECKED}, hit as (select distinct session_id from checked where status in ('mismatch', 'missing') and session_id in (select session_id from runs)
            union select e.child from hit h join edges e on e.parent = h.session_id) select session_id from hit""", "file_hashes", "runs", "disk", recursive=True)
 def blast_radius(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
-    checked = verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]).join(t["runs"].select("session_id"), "session_id", "left_semi")
+    checked = verify.checked(t["runs"], t["file_hashes"], t["disk"]).join(t["runs"].select("session_id"), "session_id", "left_semi")
     return verify.blast_radius(_edges(t), checked)
 
 
@@ -321,17 +326,28 @@ _ANCHORS = """anchors as (select s.ord, s.file_path, s.sha256 from sources s joi
 
 
 def _claims(spark, sf_dir, gated=False):
-    """(tables, claims with sessions and verdicts, marks of all chains); with ``gated`` marks tell trusted files too."""
+    """(tables, claims with sessions and verdicts, marks of their chains); with ``gated`` marks tell trusted files too.
+
+    Lineage is walked up from the claims' sources first; runs, files and the disk are then looked up for what lies there alone.
+    """
     t = load(spark, sf_dir, "claims", "runs", "file_hashes", "disk", "sources")
     sourced = materialize(claims.source_sessions(t["claims"], t["file_hashes"]), "claims")
     targets = sourced.where("source_file is not null").select(F.col("source_file").alias("file_path"), F.col("session").alias("session_id")).distinct()
+    edges = _edges(t)
+    behind = materialize(lineage.reachable(edges, sourced.where("session is not null").select(F.col("session").alias("session_id"))), "behind")
+    t |= claims.behind(behind, t["runs"], t["file_hashes"])
+    t["file_hashes"] = materialize(t["file_hashes"].select("session_id", "file_path", "role", "hash", "frozen"), "files")
+    t["behind"] = materialize(t["behind"], "runs")
+    known = [t["file_hashes"].select("file_path"), t["behind"].select("script_path"), targets.select("file_path")] + ([t["sources"].select("file_path")] if gated else [])
+    t["disk"] = materialize(claims.on_disk(t["disk"], *known), "disk")
     anchored = None
     if gated:
         t["entries"] = materialize(gate.manifest_entries(t["sources"], t["disk"]), "entries")
         anchored = gate.anchored_sessions(t["file_hashes"], t["entries"].where("valid"))
-    verified = verify.verify_runs(t["runs"], t["file_hashes"], t["disk"])
-    marks = materialize(verify.chain_marks(_edges(t), t["runs"], t["file_hashes"], verified, anchored), "marks")
-    return t, claims.verify_claims(sourced, t["disk"], verify.chain_statuses(targets, marks)), marks
+    verified = verify.verify_runs(t["behind"], t["file_hashes"], t["disk"])
+    inner = materialize(lineage.within(edges, behind), "inner")
+    marks = materialize(verify.chain_marks(inner, t["behind"], t["file_hashes"], verified, anchored), "marks")
+    return t, materialize(claims.verify_claims(sourced, t["disk"], verify.chain_statuses(targets, marks)), "verified"), marks
 
 
 @query(f"with {_CLAIMS} select claim_id, source_status, chain_verified, new_status, code from verdicts", *_CLAIM_TABLES, recursive=True)
@@ -359,7 +375,7 @@ _RANKS = "ranks(code, rank) as (values (0, 0), (20, 1), (13, 2), (17, 3), (10, 4
        *_CLAIM_TABLES, recursive=True)
 def claims_exit(spark, sf_dir):
     _, found, _ = _claims(spark, sf_dir)
-    _, out = claims.gate_claims(materialize(found, "found"), codes.resolve_severity() | {13: "warning"}, strict=True)
+    _, out = claims.gate_claims(found, codes.resolve_severity() | {13: "warning"}, strict=True)
     return out.select("exit_code", F.array_contains("warnings", 13).alias("warned"))
 
 

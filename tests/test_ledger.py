@@ -403,6 +403,23 @@ def test_files_are_dealt_by_path_once(spark):
         verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]), "session_id", "file_path", "role", "status")
 
 
+def test_claims_look_up_only_what_lies_behind_them(spark):
+    runs, f, disk = three_stages(spark)
+    apart = table(spark, [("C", "/mid", sha("mid"), "input", False, "2024-01-03"), ("C", "/far", sha("far"), "output", False, "2024-01-03")], FILES)
+    all_files, edges = f.union(apart), lineage.file_edges(f.union(apart))
+    assert ids(edges, "child", "parent") == [("B", "A"), ("C", "A")]
+    members = lineage.reachable(edges, spark.createDataFrame([("B",)], "session_id string"))
+    assert ids(lineage.within(edges, members), "child", "parent") == [("B", "A")]
+    assert lineage.within(edges, lineage.reachable(edges, members.select("session_id"), 0), 0).isEmpty()
+    t = claims.behind(members, runs, all_files)
+    assert ids(t["file_hashes"], "session_id", "file_path") == ids(f, "session_id", "file_path") and t["behind"].count() == 2
+    found = claims.on_disk(disk.union(table(spark, [("/far", True, sha("far"), None)], DISK)), t["file_hashes"].select("file_path"), runs.select("script_path"))
+    assert ids(found, "file_path") == [("/leaf",), ("/mid",), ("/raw",)]
+    whole, part = (verify.chain_marks(e, r, x, verify.verify_runs(r, x, disk)) for e, r, x in ((edges, runs, all_files), (lineage.within(edges, members), t["behind"], t["file_hashes"])))
+    at = spark.createDataFrame([("/leaf", "B")], "file_path string, session_id string")
+    assert ids(verify.chain_statuses(at, part), "file_path", "status") == ids(verify.chain_statuses(at, whole), "file_path", "status")
+
+
 def test_runs_are_told_from_checked_files_in_one_grouping(spark):
     runs, f, disk = three_stages(spark)
     stray = table(spark, [("nobody", "/raw", sha("raw"), "input", False, "2024-01-03")], FILES)
