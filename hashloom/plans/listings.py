@@ -8,7 +8,7 @@ from hashloom.functions import codes, hashes
 from hashloom.operators import citations, claims, estimate, gate, groupers, lineage, lookups, verify
 from hashloom.plans import exports
 from hashloom.plans.queries import (
-    _ALL_LEAVES, _ANCHORS, _CHECKED, _CLAIM_TABLES, _CLAIMS, _CLOSURE, _EDGES, _MEMBERS, _RANKS, _all_leaves, _claims, _edges, _verified, query)
+    _ALL_LEAVES, _ANCHORS, _CHECKED, _CLAIM_TABLES, _CLAIMS, _CLOSURE, _EDGES, _MEMBERS, _RANKS, _all_leaves, _checked, _claims, _edges, _verified, query)
 from hashloom.plans.scratch import materialize
 from hashloom.plans.testbed import load
 
@@ -168,8 +168,9 @@ def run_exit_codes(spark, sf_dir):
 def attribution(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     edges = _edges(t)
-    dag = verify.verify_dag(edges, lineage.reachable(edges, _all_leaves(t)), verify.verify_runs(t["runs"], t["file_hashes"], t["disk"], propagate=False))
-    return verify.attribution(dag, verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]))
+    checked = _checked(t)
+    dag = verify.verify_dag(edges, lineage.reachable(edges, _all_leaves(t)), verify.run_statuses(t["runs"], checked, propagate=False))
+    return verify.attribution(dag, checked)
 
 
 # --- claims -----------------------------------------------------------------
@@ -382,7 +383,7 @@ _GRAPH = f"""{_CHECKED}, rows as (select session_id, role, file_path, hash from
 
 def _contracted(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
-    checked = verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"])
+    checked = verify.checked(t["runs"], t["file_hashes"], t["disk"])
     scripts = t["runs"].select(F.col("session_id").alias("id"), F.lit("script").alias("kind"), F.col("script_path").alias("label"), F.lit("verified").alias("status"), "session_id")
     return exports.grouped_graph(scripts, checked, {"type": "pattern", "regex": "[0-9]+"})
 
@@ -457,7 +458,7 @@ def split_claims(spark, sf_dir):
     """Claims whose chain meets the blast radius of changed and missing files: what is downstream of a failure holds its own session too."""
     t = load(spark, sf_dir, "claims", "runs", "file_hashes", "disk")
     sourced = claims.source_sessions(t["claims"], t["file_hashes"]).select("claim_id", F.col("session").alias("source_session"))
-    blast = verify.blast_radius(_edges(t), verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"]))
+    blast = verify.blast_radius(_edges(t), verify.checked(t["runs"], t["file_hashes"], t["disk"]))
     return verify.split_claims(sourced, blast.select(F.col("session_id").alias("leaf"), "session_id"), blast).select("claim_id", "still_valid")
 
 
@@ -474,8 +475,7 @@ def _graph(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     edges = _edges(t)
     placed = materialize(lineage.levels(edges, lineage.reachable(edges, _all_leaves(t))), "placed")
-    checked = verify.verify_files(verify.checked_files(t["runs"], t["file_hashes"]), t["disk"])
-    mine = materialize(checked.join(placed.select("session_id"), "session_id", "left_semi"), "checked")
+    mine = materialize(_checked(t).join(placed.select("session_id"), "session_id", "left_semi"), "placed-files")
     nodes = exports.graph_nodes(t["runs"], mine, placed)
     return nodes, exports.graph_edges(nodes, mine)
 
