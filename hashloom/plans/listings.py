@@ -475,7 +475,8 @@ def _graph(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
     edges = _edges(t)
     placed = materialize(lineage.levels(edges, lineage.reachable(edges, _all_leaves(t))), "placed")
-    mine = materialize(_checked(t).join(placed.select("session_id"), "session_id", "left_semi"), "placed-files")
+    checked = verify.checked(t["runs"], t["file_hashes"], t["disk"]).select("session_id", "file_path", "role", "status")
+    mine = materialize(checked.join(placed.select("session_id"), "session_id", "left_semi"), "checked")
     nodes = exports.graph_nodes(t["runs"], mine, placed)
     return nodes, exports.graph_edges(nodes, mine)
 
