@@ -38,6 +38,24 @@ def file_edges(files: DataFrame) -> DataFrame:
     return read.join(pair, "file_path").select("child", parent.alias("parent")).where("parent is not null").distinct()
 
 
+def traced(files: DataFrame) -> DataFrame:
+    """``files`` with ``parent`` (of an input: whose file it read, as in ``file_edges``), ``newest`` (the path's newest producer), ``first`` and ``needed``.
+
+    first: true in one row of each path. needed: true in rows of outputs whose session is
+    the newest producer or the parent of somebody. All comes from one window by path, so
+    files that are dealt by path stay where they are; a path's rows meet in one task.
+    """
+    by = Window.partitionBy("file_path").orderBy(F.desc("role"), F.desc("recorded_at"), "session_id")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made, me = F.col("role") == "output", F.col("session_id")
+    x = files.withColumn("newest", F.first(F.when(made, me), ignorenulls=True).over(whole)).withColumn("first", F.row_number().over(by) == 1)
+    x = x.withColumn("_mine", me == F.col("newest")).withColumns({
+        "_next": F.first(F.when(made & ~F.col("_mine"), me), ignorenulls=True).over(whole), "_own": F.bool_or((F.col("role") == "input") & F.col("_mine")).over(whole)})
+    parent = F.when(F.col("role") == "input", F.when(~F.col("_mine"), F.col("newest")).otherwise(F.col("_next")))
+    needed = made & (F.col("_mine") | (F.col("_own") & (me == F.col("_next"))))
+    return x.withColumn("parent", parent).withColumn("needed", F.coalesce(needed, F.lit(False))).drop("_mine", "_next", "_own")
+
+
 def recorded_edges(runs: DataFrame, parents: DataFrame) -> DataFrame:
     """(child, parent) as recorded with the runs: listed parents, and a run's own parent where none is listed."""
     listed = parents.select(F.col("session_id").alias("child"), F.col("parent_session").alias("parent"))
@@ -153,6 +171,39 @@ def inherited(edges: DataFrame, own: DataFrame, merges: dict[str, Callable], max
     return known.groupBy("session_id").agg(*put)
 
 
+#: Hops after which ``totals`` drops what was met before.
+SIFTED = (8, 16, 32)
+
+
+def totals(edges: DataFrame, own: DataFrame, max_depth: int | None = 50) -> DataFrame:
+    """(session_id, n, marks): how many sessions each chain has, as in ``closure``, itself included, and the bits that occur in it.
+
+    own: (session_id, marks), one row for each session that is asked for or lies upstream
+    of one; edges from or to others do not count. Sessions are numbered, so a pair is
+    three numbers, and pairs bring the bits of their upper end along. Hop k joins only
+    what hop k - 1 met. What was met by shorter ways is not looked up at each hop, but
+    after the hops in SIFTED and each 32nd one, so cycles end; chains count it once.
+    """
+    known = materialize(own.select("session_id", F.monotonically_increasing_id().alias("id"), "marks"), "totals-own")
+    up, down = known.select(F.col("session_id").alias("parent"), F.col("id").alias("at"), "marks"), known.select(F.col("session_id").alias("child"), F.col("id").alias("leaf"))
+    links = materialize(edges.join(down, "child").join(up, "parent").select("leaf", "at", "marks").distinct(), "totals-1")
+    step = links.select(F.col("leaf").alias("at"), F.col("at").alias("_at"), F.col("marks").alias("_marks"))
+    seen = known.select(F.col("id").alias("leaf"), F.col("id").alias("at"), "marks")
+    fresh, hop = links, 1
+    if max_depth is None or max_depth > 0:
+        while not fresh.isEmpty():
+            seen = seen.union(fresh)
+            if max_depth is not None and hop >= max_depth:
+                break
+            hop += 1
+            met = fresh.join(step, "at").select("leaf", F.col("_at").alias("at"), F.col("_marks").alias("marks")).distinct()
+            fresh = materialize(met, f"totals-{hop}")
+            if (hop in SIFTED or hop % 32 == 0) and not fresh.isEmpty():
+                fresh = materialize(fresh.join(seen.select("leaf", "at"), ["leaf", "at"], "left_anti"), f"totals-new-{hop}")
+    once = seen.repartition("leaf").distinct().groupBy(F.col("leaf").alias("id")).agg(F.count("*").alias("n"), F.bit_or("marks").alias("marks"))
+    return known.select("session_id", "id").join(once, "id").select("session_id", "n", "marks")
+
+
 #: For ``inherited``: bits that add up, and the least value.
 BITS = F.bit_or
 LEAST = F.min

@@ -157,6 +157,36 @@ def chain_statuses(targets: DataFrame, marks: DataFrame) -> DataFrame:
     return found.select("file_path", "session_id", F.when(F.col("session_id").isNull(), UNKNOWN).otherwise(marked_status()).alias("status"))
 
 
+def file_chains(runs: DataFrame, files: DataFrame, disk: DataFrame, max_depth: int | None = 50) -> DataFrame:
+    """``verify_chains`` of every path in ``files``, without looking up the status of each pair of leaf and ancestor.
+
+    Files meet the disk, their producers and their readers once, by path. Runs take the
+    bits of their failed files, which their chains add up: of a chain's bits only the
+    worst counts, so a run's lesser ones do no harm.
+    """
+    bit = lambda name: F.lit(MARKS[name]).cast("long")
+    run, needed, none = F.lit(64).cast("long"), F.lit(128).cast("long"), F.lit(0).cast("long")
+    bad = F.when(F.col("status") == MISMATCH, bit(MISMATCH)).when(F.col("status") == MISSING, bit(MISSING)).otherwise(none)
+    told = F.when(F.col("role") == "output", bad).when((F.col("role") == "input") & F.col("status").isin(*FAILED), bit(SUSPECT)).otherwise(none)
+    rows = lineage.traced(files.select("session_id", "file_path", "hash", "role", F.coalesce("frozen", F.lit(False)).alias("frozen"), "recorded_at"))
+    scripts = _scripts(runs).select("file_path", "hash", "frozen").distinct()
+    path = F.when(F.col("first"), F.col("file_path"))
+    met = materialize(verify_files(rows, disk).select(
+        "session_id", told.bitwiseOR(F.when(F.col("needed"), needed).otherwise(none)).alias("marks"), "parent", path.alias("file_path"), F.when(F.col("first"), F.col("newest")).alias("newest"),
+        F.lit(None).cast("string").alias("hash"), "first").unionByName(verify_files(scripts, disk).select(
+            F.lit(None).cast("string").alias("session_id"), bad.alias("marks"), F.lit(None).cast("string").alias("parent"), "file_path", F.lit(None).cast("string").alias("newest"),
+            "hash", F.lit(None).cast("boolean").alias("first"))), "met")
+    own, of_script = met.where("first is not null"), met.where("first is null").select(F.col("file_path").alias("script_path"), F.col("hash").alias("script_hash"), "marks")
+    ran = runs.select("session_id", "script_path", "script_hash").join(of_script, ["script_path", "script_hash"], "left").select(
+        "session_id", F.coalesce("marks", none).bitwiseOR(run).alias("marks"))
+    marks = own.select("session_id", "marks").where("marks > 0").union(ran).groupBy("session_id").agg(F.bit_or("marks").alias("marks")).where(F.col("marks").bitwiseAND(needed) > 0)
+    status = F.when(F.col("marks").bitwiseAND(run) > 0, F.col("marks").bitwiseAND(bit(MISMATCH) + bit(MISSING) + bit(SUSPECT))).otherwise(bit(UNKNOWN))
+    edges = own.where("parent is not null").select(F.col("session_id").alias("child"), "parent")
+    found = lineage.totals(edges, marks.select("session_id", status.alias("marks")), max_depth)
+    return own.where("first").select("file_path", F.col("newest").alias("session_id")).join(found, "session_id", "left").select(
+        "file_path", "session_id", F.when(F.col("n").isNull(), UNKNOWN).otherwise(marked_status()).alias("status"), F.coalesce("n", none).alias("n_runs"))
+
+
 def verify_dag(edges: DataFrame, members: DataFrame, verified: DataFrame) -> DataFrame:
     """(session_id, level, status, failed): runs of a target DAG, in the strict order of levels, and whether they or an ancestor failed.
 

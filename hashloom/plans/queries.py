@@ -241,9 +241,7 @@ _WORST = """case when bool_and(coalesce(v.status, 'unknown') = 'verified') then
        "file_hashes", "newest", "runs", "disk", recursive=True)
 def verify_chains(spark, sf_dir):
     t = load(spark, sf_dir, "runs", "file_hashes", "disk")
-    targets = materialize(verify.targets_of(t["file_hashes"], t["file_hashes"]), "targets")
-    members = lineage.closure(_edges(t), targets.where("session_id is not null"))
-    return verify.verify_chains(targets, members, verify.verify_runs(t["runs"], t["file_hashes"], t["disk"]))
+    return verify.file_chains(t["runs"], t["file_hashes"], t["disk"])
 
 
 @query(f"""with {_EDGES}, targets as (select distinct p.file_path, n.session_id from file_hashes p left join newest n on n.file_path = p.file_path),
