@@ -42,12 +42,13 @@ def traced(files: DataFrame) -> DataFrame:
     """``files`` with ``parent`` (of an input: whose file it read, as in ``file_edges``), ``newest`` (the path's newest producer), ``first`` and ``needed``.
 
     first: true in one row of each path. needed: true in rows of outputs whose session is
-    the newest producer or the parent of somebody. All comes from one window by path, so
-    files that are dealt by path stay where they are; a path's rows meet in one task.
+    the newest producer or the parent of somebody. Rows without a path make and read
+    nothing. All comes from one window by path, so files that are dealt by path stay where
+    they are; a path's rows meet in one task.
     """
     by = Window.partitionBy("file_path").orderBy(F.desc("role"), F.desc("recorded_at"), "session_id")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    made, me = F.col("role") == "output", F.col("session_id")
+    made, me = (F.col("role") == "output") & F.col("file_path").isNotNull(), F.col("session_id")
     x = files.withColumn("newest", F.first(F.when(made, me), ignorenulls=True).over(whole)).withColumn("first", F.row_number().over(by) == 1)
     x = x.withColumn("_mine", me == F.col("newest")).withColumns({
         "_next": F.first(F.when(made & ~F.col("_mine"), me), ignorenulls=True).over(whole), "_own": F.bool_or((F.col("role") == "input") & F.col("_mine")).over(whole)})

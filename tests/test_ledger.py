@@ -426,3 +426,66 @@ def test_runs_are_told_from_checked_files_in_one_grouping(spark):
     verified = verify.verify_runs(runs.union(table(spark, [("none", None, None, None, None, None)], RUNS)), f.union(stray), disk)
     assert ids(verified, "session_id", "status", "n_files") == [("A", "verified", 2), ("B", "verified", 2), ("none", "verified", 0)]
     assert "Join" not in verify.run_statuses(runs, verify.checked(runs, f, disk).select("session_id", "file_path", "role", "status").limit(9))._jdf.queryExecution().optimizedPlan().toString().split("GlobalLimit")[0]
+
+
+def chain_counts(runs, f, disk, max_depth):
+    """``verify_chains`` by pairs of leaf and ancestor, for ``file_chains`` to equal."""
+    targets = verify.targets_of(f, f)
+    leaves = targets.where("session_id is not null").select("session_id").distinct()
+    members = lineage.closure(lineage.file_edges(f), leaves, max_depth)
+    return verify.verify_chains(targets, members, verify.verify_runs(runs, f, disk))
+
+
+def test_chains_of_all_files_equal_those_by_pairs(spark):
+    import random
+
+    draw = random.Random(9)
+    day = lambda: f"2024-01-0{draw.randint(1, 9)}"
+    some = lambda k: f"/p{draw.randrange(k)}"
+    rows = [(f"s{i}", some(30), draw.choice(["now"] * 28 + ["old", None]), role, draw.random() < 0.1, day()) for i in range(40) for role in ("input", "input", "output", "output")]
+    rows += [(f"s{i}", some(30), "now", "script", None, day()) for i in range(0, 40, 5)] + [("s1", "/only", "now", "script", False, day())]
+    rows += [(r[0], r[1], "now", "input", False, day()) for r in rows[2::9]]  # a session reads what it wrote
+    rows += [(f"s{i}", None, "now", role, False, day()) for i, role in ((2, "output"), (3, "input"))]
+    rows += [(s, "/tie", "now", "output", False, "2024-01-05") for s in ("s7", "s6")] + [("s6", "/tie", "now", "input", False, "2024-01-05")]
+    f = table(spark, rows, FILES)
+    runs = table(spark, [(f"s{i}", *((f"/p{i % 7 + 1}", "old" if i == 13 else "now") if i % 3 else (None, None)), None, None, None) for i in range(40) if i % 8], RUNS)
+    disk = table(spark, [(f"/p{k}", k % 11 > 0, "now" if k % 11 else None, "now" if k % 22 == 0 else None) for k in range(29)] + [("/tie", True, "now", None)], DISK)
+    statuses, longest = set(), 0
+    for bound in (0, 1, 50):
+        got, want = (ids(x.fillna("-"), "file_path", "session_id", "status", "n_runs") for x in (
+            verify.file_chains(runs, f, disk, bound), chain_counts(runs, f, disk, bound)))
+        assert got == want, bound
+        statuses, longest = statuses | {r[2] for r in got}, max(r[3] for r in got)
+    assert len(statuses) == 5 and longest > 5
+
+
+def test_long_chains_and_rounds_are_counted_once(spark, monkeypatch):
+    chain = [(f"s{i:02}", f"s{i - 1:02}") for i in range(1, 45)] + [(f"s{i:02}", f"s{i - 3:02}") for i in range(3, 45, 3)]
+    around = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "c"), ("c", "s40")]
+    edges = spark.createDataFrame(chain + around, "child string, parent string")
+    own = edges.selectExpr("child as session_id").union(edges.select("parent")).distinct().withColumn("marks", F.when(F.col("session_id") == "s05", 1).otherwise(0).cast("long"))
+    for bound in (50, 9):
+        pairs = lineage.closure(edges, own.select("session_id"), bound)
+        want = pairs.join(own.select("session_id", "marks"), "session_id").groupBy(F.col("leaf").alias("session_id")).agg(F.count("*").alias("n"), F.bit_or("marks").alias("marks"))
+        assert ids(lineage.totals(edges, own, bound), "session_id", "n", "marks") == ids(want, "session_id", "n", "marks"), bound
+    made = {}
+    write = lineage.materialize
+    monkeypatch.setattr(lineage, "materialize", lambda df, name: made.setdefault(name, write(df, name)))
+    lineage.totals(edges, own)
+    assert all(dict(t.dtypes) == {"leaf": "bigint", "at": "bigint", "marks": "bigint"} for n, t in made.items() if n != "totals-own")
+    assert {n for n in made if n.startswith("totals-new")} <= {"totals-new-8", "totals-new-16", "totals-new-32"}
+
+
+def test_chains_meet_files_and_disk_once(spark, monkeypatch):
+    seen = {}
+
+    def write(df, name):
+        seen[name] = df._jdf.queryExecution().executedPlan().toString()
+        return materialize(df, name)
+
+    from hashloom.plans.scratch import materialize
+    for module in (verify, lineage, queries):
+        monkeypatch.setattr(module, "materialize", write)
+    queries.verify_chains(spark, "/root/testdata/sf0.001")
+    assert {n for n in seen if not n.startswith("totals-")} == {"met"}
+    assert not any("lineitem" in plan for n, plan in seen.items() if n != "met")
